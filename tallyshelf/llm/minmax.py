@@ -14,8 +14,9 @@ The work, all of it in Spark joins and aggregations:
    (never with all others), the pairs are confirmed, and connected components
    are formed;
 4. buckets that still hold several components are searched in full, in blocks:
-   pairs from different components whose sizes and sketches allow a link are
-   confirmed as well.  No bucket is capped, so no link that banding finds is lost.
+   members of different components whose sizes and sketches allow a link have
+   their full sets compared as well.  No bucket is capped, so no link that
+   banding finds is lost.
 
 With threshold t a pair misses all bands with probability (1 - t^4)^32 at most:
 6e-11 at 0.85, 5e-8 at 0.8.
@@ -186,9 +187,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     linked = stage(confirmed(pairs, texts, shingle_words, percent), "minmax-links")
     parts = stage(connected_components(linked), "minmax-parts")
 
-    more = stage(_across(classes, parts, percent), "minmax-across")
-    more = confirmed(more.join(pairs, ["a", "b"], "left_anti"), texts, shingle_words, percent)
-    whole = connected_components(linked.union(stage(more, "minmax-links")))
+    more = stage(_across(classes, parts, texts, shingle_words, percent), "minmax-links")
+    whole = connected_components(linked.union(more))
 
     same_id = usable.select("doc_id", "fp").join(classes.select("fp", "cls"), "fp").select("doc_id", "cls")
     found = same_id.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("c"))
@@ -197,9 +197,14 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("c", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and whose
-    sizes and sketches allow a link."""
+def _across(classes: DataFrame, parts: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different
+    components: enough of them to connect all that any such link connects.
+
+    A large bucket is dealt out in pairs of blocks.  First a semi-join keeps the
+    members with some partner that size and sketch allow; then the full sets of
+    those alone are sent to their blocks and compared there.
+    """
     label = classes.select("cls", "n_shingles", "sk0", "sk1", "bands").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     label = stage(label.withColumn("part", F.coalesce("component", "cls")).drop("component"), "minmax-labels")
     bands = label.select("cls", "part", F.explode("bands").alias("band"))
@@ -207,18 +212,93 @@ def _across(classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     members = label.select("cls", "part", "n_shingles", "sk0", "sk1", F.explode("bands").alias("band")).join(mixed, "band")
     members = members.withColumn("mine", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("mine", i).alias("i"), F.greatest("mine", i).alias("j"))))
-    members = members.withColumn("pair", pair).select("band", "pair.i", "pair.j", "cls", "part", "n_shingles", "sk0", "sk1")
-    members = stage(members, "minmax-members")
-    a, b = (members.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "part", "n_shingles", "sk0", "sk1"))) for x in "ab")
+    members = stage(members.withColumn("pair", pair).select("band", "pair.i", "pair.j", "mine", "cls", "part", "n_shingles", "sk0", "sk1"), "minmax-members")
+    a, b = (members.select("band", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("mine", "cls", "part", "n_shingles", "sk0", "sk1"))) for x in "ab")
     apart = F.bit_count(F.col("sk0_a").bitwiseXOR(F.col("sk0_b"))) + F.bit_count(F.col("sk1_a").bitwiseXOR(F.col("sk1_b")))
-    on = ["band", "i", "j"]
-    near = a.hint("merge").join(b, on).filter(
-        (F.col("cls_a") > F.col("cls_b"))
-        & (F.col("part_a") != F.col("part_b"))
-        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (apart <= 2 * PERMUTATIONS - sketch_cut(percent / 100))
-    )
-    return near.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    on = [a.band == b.band, a.i == b.i, a.j == b.j, F.col("part_a") != F.col("part_b"), (a.i == a.j) | (F.col("mine_a") != F.col("mine_b"))]
+    on += [100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")]
+    on += [apart <= 2 * PERMUTATIONS - sketch_cut(percent / 100)]
+    alive = a.hint("merge").join(b, on, "left_semi").select("band", "i", "j", F.col("mine_a").alias("mine"), F.col("cls_a").alias("cls"), F.col("part_a").alias("part"))
+    alive = stage(alive, "minmax-alive")
+    ids = stage(alive.select(F.col("cls").alias("doc_id")).distinct(), "pair-ids")
+    sets = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "cls long, shingles binary")
+    blocks = alive.join(sets, "cls").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return blocks.select("band", "i", "j", "mine", "cls", "part", "shingles").mapInArrow(_links(percent), "a long, b long").distinct()
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets: a product of 0/1 matrices over
+    the shingles that two sets or more hold, in slices of columns."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    common = np.cumsum(count > 1) - 1
+    use = count[column] > 1
+    owner, column = owner[use], common[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _links(percent: int):
+    """Per block: links between different components, less those whose ends
+    earlier links of the block connect already."""
+
+    def block(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if len(rows) < 2:
+            return
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        both = _shared(sets)
+        n = np.array([len(s) for s in sets])
+        ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+            p, q = root(rows[x][5]), root(rows[y][5])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                yield rows[x][4], rows[y][4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    out += block(rows)
+                    rows = []
+                rows.append(row)
+            yield _pairs(out)
+        yield _pairs(list(block(rows)))
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
