@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tallyshelf.llm import minmax
+from tallyshelf.llm import minmax, mixing, onebit, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
+    "op4_mix_sources": mixing.op4,
+    "op5_one_bit_neighbours": onebit.op5,
     "op7_minmax_near_duplicates": minmax.op7,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.OP4_SQL,
+}
