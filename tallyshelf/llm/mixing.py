@@ -34,10 +34,11 @@ summed AS (SELECT source, source_size, weight,
     sum(source_size) OVER () AS all_size
   FROM weighted),
 levels AS (SELECT source, source_size, weight, ({num} * all_size - {den} * {most} * size_before) / ({den}.0E0 * weight_left) AS level FROM summed),
-level AS (SELECT max(CASE WHEN level * weight < {most} * source_size THEN level END) AS level FROM levels)
+shared AS (SELECT source, source_size, weight,
+    (SELECT max(CASE WHEN level * weight < {most} * source_size THEN level END) FROM levels) AS level FROM levels)
 SELECT source, source_size,
-    CASE WHEN level.level IS NULL OR level.level * weight >= {most} * source_size THEN CAST({most} * source_size AS DOUBLE) ELSE level.level * weight END AS target
-FROM levels CROSS JOIN level
+    CASE WHEN level IS NULL OR level * weight >= {most} * source_size THEN CAST({most} * source_size AS DOUBLE) ELSE level * weight END AS target
+FROM shared
 """
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyshelf.llm import minmax, mixing, onebit, packing
+from tallyshelf.llm import minmax, mixing, onebit, packing, rollup, shards
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op4_mix_sources": mixing.op4,
     "op5_one_bit_neighbours": onebit.op5,
     "op7_minmax_near_duplicates": minmax.op7,
+    "op9_token_rollup": rollup.op9,
+    "op10_training_order_shards": shards.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
