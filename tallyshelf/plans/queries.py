@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.operators import catalog as C
+from tallyshelf.operators import pages as P
+from tallyshelf.operators import resolve as R
+from tallyshelf.operators.enrich import classify_batches
 from tallyshelf.plans.views import WITH, offers, products, table
+from tallyshelf.sources import feeds as S
+from tallyshelf.streaming import jobs as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -302,3 +307,213 @@ def related_products(spark, d):
 def slugs(spark, d):
     p = products(spark, d)
     return p.select("product_id", rules.slug(F.concat_ws(" ", "brand", "model_name")).alias("slug"), rules.discount_percent(F.lit(850).cast("double"), F.col("list_price").cast("double")).alias("discount"))
+
+
+# Resolution, quality, pages and streams over the driver tables.
+
+FEED = WITH + ", feed AS (SELECT o.offer_id, o.store_name, p.brand, p.model_name, p.category, p.ram_gb, p.product_id, o.price, o.last_seen, o.stock_status FROM offers o JOIN products p ON o.product_id = p.product_id) "
+
+
+def records(spark, d):
+    """Offers as feed records."""
+    return offers(spark, d).join(products(spark, d), "product_id")
+
+
+@query("e1_resolve_brands", WITH + ", s AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(brand), '[^a-z0-9\\s_-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-') AS slug, brand AS name FROM products) SELECT slug, min(name) AS name, min(name) NOT IN (SELECT brand FROM products WHERE product_id < 5) AS is_new FROM s GROUP BY slug")
+def resolve_brands(spark, d):
+    p = products(spark, d)
+    have = p.filter("product_id < 5").select("brand").distinct().select(R.key_id(F.col("brand")).alias("brand_id"), F.col("brand").alias("name"), rules.slug(F.col("brand")).alias("slug"))
+    return R.resolve_brands(p, have).select("slug", "name", "is_new")
+
+
+@query("e2_assign_category", WITH + ", c AS (SELECT DISTINCT category FROM products WHERE category < 'M') SELECT product_id, CASE WHEN category IN (SELECT category FROM c) THEN lower(category) ELSE 'others' END AS category_id FROM products")
+def assign_category(spark, d):
+    p = products(spark, d)
+    known = p.filter("category < 'M'").select("category").distinct().select(F.lower("category").alias("category_id"), F.col("category").alias("name"))
+    known = known.union(spark.range(1).select(F.lit("others"), F.lit("others")))
+    return R.assign_category(p, known).select("product_id", "category_id")
+
+
+@query("e3_resolve_products", WITH + "SELECT product_id, min(product_id) OVER (PARTITION BY lower(brand), lower(model_name)) AS first_id FROM products")
+def resolve_products(spark, d):
+    keyed = R.resolve_products(products(spark, d).withColumn("row_id", F.col("product_id")), "name")
+    first = keyed.groupBy("product_key").agg(F.min("product_id").alias("first_id"))
+    return keyed.join(first, "product_key").select("product_id", "first_id")
+
+
+@query("e3_product_components")
+def product_components(spark, d):
+    """Products joined by name or by a number shared by parts of equal size and price step."""
+    p = products(spark, d).withColumns({"row_id": F.col("product_id"), "model_number": F.concat(F.lit("m"), (F.col("product_id") % 97).cast("string"))})
+    keyed = R.resolve_products(p, "components")
+    return keyed.groupBy("product_key").agg(F.min("product_id").alias("first_id"), F.count("*").alias("products"))
+
+
+@query("e4_resolve_variants", WITH + "SELECT min(product_id) AS product_id, count(*) AS records FROM products GROUP BY lower(brand), lower(model_name), ram_gb, lower(category)")
+def resolve_variants(spark, d):
+    p = products(spark, d).withColumns({"row_id": F.col("product_id"), "product_key": R.key_id(F.lower("brand"), F.lower("model_name")), "ram": F.col("ram_gb"), "storage": F.lit(None).cast("int"), "color": F.col("category")})
+    v = R.resolve_variants(p).select("variant_id", F.col("product_id"))
+    n = p.groupBy(R.variant_key().alias("variant_id")).agg(F.count("*").alias("records"))
+    return v.join(n, "variant_id").select("product_id", "records")
+
+
+@query("e6_upsert_listings", WITH + ", l AS (SELECT product_id || '/' || store_name AS url, price, last_seen, offer_id FROM offers), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l WHERE last_seen < DATE '1999-01-01') WHERE n = 1), i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l WHERE last_seen >= DATE '1999-01-01') WHERE n = 1) SELECT coalesce(i.url, c.url) AS url, coalesce(i.last_seen, c.last_seen) AS scraped_at, coalesce(c.last_seen, i.last_seen) AS created_at, CASE WHEN i.url IS NULL THEN 'kept' WHEN c.url IS NULL THEN 'new' ELSE 'updated' END AS change FROM c FULL OUTER JOIN i ON c.url = i.url")
+def upsert_listings(spark, d):
+    l = offers(spark, d).select(F.concat_ws("/", F.col("product_id").cast("string"), "store_name").alias("url"), "price", F.col("last_seen").alias("scraped_at"), F.col("last_seen").alias("created_at"), "offer_id")  # noqa: E741
+    current = C.first_seen(l.filter("scraped_at < '1999-01-01'"), ["url"], [F.desc("scraped_at"), F.desc("offer_id"), F.desc("price")])
+    return R.upsert_listings(current, l.filter("scraped_at >= '1999-01-01'")).select("url", "scraped_at", "created_at", "change")
+
+
+@query("e7_upsert_offers", WITH + ", k AS (SELECT product_id, store_name, max(last_seen) FILTER (is_active) AS b, max(last_seen) FILTER (NOT is_active) AS a FROM offers GROUP BY ALL) SELECT product_id AS variant_id, store_name, coalesce(b, a) AS last_seen, CASE WHEN b IS NULL THEN 'kept' WHEN a IS NULL THEN 'new' ELSE 'updated' END AS change FROM k")
+def upsert_offers(spark, d):
+    o = offers(spark, d).select(F.col("product_id").alias("variant_id"), "store_name", F.lit(None).cast("string").alias("store_product_id"), "price", "last_seen", "is_active", "offer_id")
+    current = C.first_seen(o.filter("not is_active"), ["variant_id", "store_name"], [F.desc("last_seen"), "offer_id"])
+    return R.upsert_offers(current, o.filter("is_active")).select("variant_id", "store_name", "last_seen", "change")
+
+
+@query("e8_reconcile_similarity", WITH + "SELECT product_id, CAST(floor((greatest(length(brand), length(category)) - levenshtein(lower(brand), lower(category))) / greatest(length(brand), length(category)) * 100 + 0.5) AS INTEGER) AS similarity FROM products")
+def reconcile_similarity(spark, d):
+    return products(spark, d).select("product_id", rules.similarity(F.col("brand"), F.col("category")).alias("similarity"))
+
+
+@query("e9_ingest")
+def ingest(spark, d):
+    """The whole flow over all offers as feed records: rows by entity and state."""
+    r = records(spark, d).select(
+        F.col("offer_id").alias("row_id"), "store_name", F.concat(F.lit("https://shop.example/"), F.col("offer_id").cast("string")).alias("url"), F.concat_ws(" ", "brand", "model_name").alias("title"),
+        "brand", "model_name", F.lit(None).cast("string").alias("model_number"), "category", F.lit(None).cast("string").alias("color"), F.col("ram_gb").cast("int").alias("ram"), F.lit(None).cast("int").alias("storage"),
+        F.lit(None).cast("double").alias("display_size"), F.lit(None).cast("string").alias("connectivity_type"), "price", F.col("last_seen").cast("timestamp").alias("scraped_at"),
+    )
+    return R.ingestion_summary(R.ingest(r))
+
+
+@query("e11_backfill", WITH + "SELECT product_id, first(number) AS model_number FROM (SELECT product_id, store_name AS number, row_number() OVER (PARTITION BY product_id ORDER BY offer_id, last_seen, store_name) AS n FROM offers) WHERE n = 1 GROUP BY product_id")
+def backfill(spark, d):
+    o = offers(spark, d)
+    order = F.struct("offer_id", "last_seen", "store_name")
+    feed_ = o.select(F.col("product_id").alias("product_key"), F.col("store_name").alias("model_number"), order.alias("row_id"))
+    base = o.select(F.col("product_id").alias("product_key")).distinct().withColumn("model_number", F.lit(None).cast("string"))
+    return R.backfill_model_numbers(base, feed_).select(F.col("product_key").alias("product_id"), "model_number")
+
+
+@query("j5_join_enrichment", WITH + ", a AS (SELECT product_id, min(store_name) AS brand_name FROM offers WHERE stock_status = 'limited_stock' GROUP BY product_id) SELECT p.product_id, a.brand_name FROM products p LEFT JOIN a ON p.product_id = a.product_id")
+def join_enrichment(spark, d):
+    attrs = offers(spark, d).filter("stock_status = 'limited_stock'").select(F.col("product_id").cast("string").alias("url"), F.col("store_name").alias("brand_name"))
+    return R.join_enrichment(products(spark, d).withColumn("url", F.col("product_id").cast("string")), attrs).select("product_id", "attrs.brand_name")
+
+
+@query("s4_append_new", "SELECT split_part(split_part(url, '#', 1), '?', 1) AS url, count(*) AS n FROM (SELECT DISTINCT rtrim(lower(regexp_extract(u, '^(https?://[^/]+)', 1)) || substr(u, length(regexp_extract(u, '^(https?://[^/]+)', 1)) + 1), '/') AS url FROM (SELECT regexp_replace(url, '[?#].*$', '') AS u FROM pages)) GROUP BY 1")
+def append_new(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    out = S.append_new_by_url(p.limit(0), p, "croma", ["page_id"])
+    return out.select(rules.croma_key(F.col("url")).alias("url"), F.lit(1).cast("long").alias("n"))
+
+
+@query("s7_split_rejects", WITH + "SELECT CASE WHEN category <> 'SMALL' THEN 'other category' END AS reject_reason, count(*) AS n FROM products GROUP BY 1")
+def split_rejects(spark, d):
+    good, bad = R.split_rejects(products(spark, d).withColumn("title", F.col("model_name")), "SMALL")
+    return good.groupBy(F.lit(None).cast("string").alias("reject_reason")).agg(F.count("*").alias("n")).union(bad.groupBy("reject_reason").agg(F.count("*").alias("n")))
+
+
+@query("s6_taxonomy", f"WITH RECURSIVE {TREE}, e AS (SELECT name, (SELECT name FROM nodes p WHERE p.node = n.parent) AS parent, lower(replace(replace(replace(name, '#', ''), '_', '-'), ' ', '-')) AS slug FROM nodes n), t AS (SELECT name, parent, slug, 0 AS level, slug AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.name, e.parent, e.slug, level + 1, path || '/' || e.slug FROM t JOIN e ON e.parent = t.name) SELECT name, parent, slug, level, path, row_number() OVER (PARTITION BY parent ORDER BY name) AS sort_order, parent IS NOT NULL AND row_number() OVER (PARTITION BY parent ORDER BY name) <= 8 AS is_featured FROM t")
+def taxonomy(spark, d):
+    t = tree(spark, d)
+    up = t.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
+    return S.build_taxonomy(t.join(up, "parent", "left").select("name", F.col("parent_name").alias("parent"), F.lit(0).alias("position")))
+
+
+@query("a11_missing_values", FEED + "SELECT store_name, 'brand' AS field, count(*) FILTER (brand IS NULL OR trim(brand) = '') AS missing FROM feed GROUP BY store_name UNION ALL SELECT store_name, 'category', count(*) FILTER (category IS NULL) FROM feed GROUP BY store_name")
+def missing_values(spark, d):
+    return R.missing_value_report(records(spark, d), "store_name", ["brand", "category"])
+
+
+@query("a12_identifier_quality", FEED + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NULL) AS no_brand, count(*) FILTER (model_name IS NULL) AS no_model, count(*) FILTER (ram_gb > 40) AS to_review, floor(count(*) FILTER (ram_gb > 40) * 10000 / count(*) + 0.5) / 100 AS review_pct FROM feed GROUP BY store_name")
+def identifier_quality(spark, d):
+    return R.identifier_quality(records(spark, d).withColumn("needs_manual_review", F.col("ram_gb") > 40), "store_name")
+
+
+@query("a13_completeness", FEED + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL AND ram_gb IS NOT NULL) AS complete, floor(count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL AND ram_gb IS NOT NULL) * 10000 / count(*) + 0.5) / 100 AS complete_pct FROM feed GROUP BY store_name")
+def completeness(spark, d):
+    return R.extraction_completeness(records(spark, d), "store_name", ["brand", "model_name", "ram_gb"])
+
+
+@query("a14_processing_stats", FEED + "SELECT 'category' AS kind, category AS name, count(*) AS n FROM feed GROUP BY category UNION ALL (SELECT 'brand', brand, count(*) AS n FROM feed GROUP BY brand ORDER BY n DESC, brand LIMIT 10)")
+def processing_stats(spark, d):
+    return R.processing_stats(records(spark, d))
+
+
+@query("x1_page_fields", r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS h1 FROM pages".replace('""', '"'))
+def page_fields(spark, d):
+    return table(spark, d, "pages").select("page_id", P.element("h1").alias("h1"))
+
+
+LINKS = """WITH m AS (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*?\\bhref=["'']([^"''#]+)', 1) AS links FROM pages), l AS (SELECT page_id, unnest(range(0, len(links))) AS pos, unnest(links) AS link FROM m), f AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) AS n FROM l) """
+
+
+@query("x5_extract_links", LINKS + "SELECT page_id, pos, link FROM f WHERE n = 1")
+def extract_links(spark, d):
+    return P.extract_links(table(spark, d, "pages"))
+
+
+@query("x6_related_links", LINKS + "SELECT page_id, pos, link, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1) WHERE rank <= 3")
+def related_links(spark, d):
+    pages = table(spark, d, "pages")
+    return P.related_links(pages, pages.select(F.lit("").alias("link")), 3)
+
+
+@query("x2_spec_tables")
+def spec_tables(spark, d):
+    """Pages by the number of specification sections found."""
+    return P.extract_spec_table(table(spark, d, "pages")).select("page_id", F.size("specifications").alias("sections"))
+
+
+@query("x3_price_rating")
+def price_rating(spark, d):
+    return P.extract_price_rating(table(spark, d, "pages"))
+
+
+@query("x4_images_breadcrumb")
+def images_breadcrumb(spark, d):
+    return P.extract_images_breadcrumb_tags(table(spark, d, "pages"))
+
+
+@query("x7_default_categories", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'tablet|ipad') THEN 'Electronics>Tablets' WHEN regexp_matches(lower(url), 'phone|mobile|galaxy|redmi') THEN 'Electronics>Mobiles & Accessories>Smartphones' WHEN regexp_matches(lower(url), 'laptop|notebook') THEN 'Electronics>Computers>Laptops' WHEN regexp_matches(lower(url), 'watch') THEN 'Electronics>Wearables' ELSE 'Electronics>Others' END AS crumb FROM pages")
+def default_categories(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(P.default_categories(F.col("url")), ">").alias("crumb"))
+
+
+@query("f6_error_pages", "SELECT page_id, CASE WHEN regexp_matches(html, '(?i)captcha|not a robot') THEN 'captcha' END AS error FROM pages")
+def error_pages(spark, d):
+    return P.flag_error_pages(table(spark, d, "pages")).select("page_id", "error")
+
+
+@query("v2_classify_pages")
+def classify_pages(spark, d):
+    titles = P.extract_page_fields(table(spark, d, "pages"))
+    return classify_batches(titles)
+
+
+@query("t6_request_counts", "SELECT user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS over_limit FROM events GROUP BY ALL")
+def request_counts(spark, d):
+    return T.request_counts(table(spark, d, "events"), "user_id", "ts", 3600, 2)
+
+
+@query("t7_sliding_counts", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS trailing FROM events")
+def sliding_counts(spark, d):
+    return T.sliding_request_counts(table(spark, d, "events"), "user_id", "ts", 86400).select("event_id", "trailing")
+
+
+@query("t7_two_bucket", "WITH c AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS requests FROM events GROUP BY ALL) SELECT a.user_id, a.window_start, a.requests, a.requests + coalesce(b.requests, 0) * 0.5E0 AS estimate FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND b.window_start = a.window_start - 86400")
+def two_bucket(spark, d):
+    return T.two_bucket_estimate(table(spark, d, "events"), "user_id", "ts", 86400, 2).select("user_id", "window_start", "requests", F.col("estimate").cast("double").alias("estimate"))
+
+
+@query("t8_token_bucket")
+def token_bucket(spark, d):
+    return T.token_bucket_decisions(table(spark, d, "events"), "user_id", "ts", [(2, 1 / 3600), (10, 10 / 86400)])
+
+
+@query("t10_price_alerts", WITH + ", a AS (SELECT product_id AS alert_id, product_id, list_price * 15 AS target FROM products), h AS (SELECT alert_id, offer_id, last_seen, row_number() OVER (PARTITION BY alert_id ORDER BY last_seen, offer_id, price) AS n FROM offers o JOIN a ON o.product_id = a.product_id WHERE price <= target) SELECT alert_id, offer_id, last_seen FROM h WHERE n = 1")
+def price_alerts(spark, d):
+    alerts = products(spark, d).select(F.col("product_id").alias("alert_id"), "product_id", (F.col("list_price") * 15).alias("target"))
+    return T.price_alerts(offers(spark, d), alerts).select("alert_id", "offer_id", "last_seen")
