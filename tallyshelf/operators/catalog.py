@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from tallyshelf.functions.rules import discount_2, network_key
 
 AVAILABLE = ("in_stock", "limited_stock")
-PRICE = F.col("price").cast("double")
+
+
+def price():
+    return F.col("price").cast("double")
 
 
 def mean(c: str):
@@ -206,18 +209,18 @@ def compare_specs(items: DataFrame, ids: list, specs: list[str], key: str = "pro
 def brand_summary(products: DataFrame, offers: DataFrame) -> DataFrame:
     """A1: products and offer prices per brand; brands without offers kept."""
     joined = products.select("product_id", "brand").join(offers.select("product_id", "price"), "product_id", "left")
-    return joined.groupBy("brand").agg(F.countDistinct("product_id").alias("products"), F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"), mean("price").alias("avg_price"))
+    return joined.groupBy("brand").agg(F.countDistinct("product_id").alias("products"), F.min(price()).alias("min_price"), F.max(price()).alias("max_price"), mean("price").alias("avg_price"))
 
 
 def top_stores(offers: DataFrame, limit: int = 10) -> DataFrame:
     """A2."""
-    out = offers.filter("is_active").groupBy("store_name").agg(F.count("*").alias("offers"), mean("price").alias("avg_price"), F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"))
+    out = offers.filter("is_active").groupBy("store_name").agg(F.count("*").alias("offers"), mean("price").alias("avg_price"), F.min(price()).alias("min_price"), F.max(price()).alias("max_price"))
     return out.orderBy(F.desc("offers"), "store_name").limit(limit)
 
 
 def refresh_price_stats(products: DataFrame, offers: DataFrame) -> DataFrame:
     """A3: products with the price range of their offers."""
-    stats = offers.groupBy("product_id").agg(F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"), mean("price").alias("avg_price"))
+    stats = offers.groupBy("product_id").agg(F.min(price()).alias("min_price"), F.max(price()).alias("max_price"), mean("price").alias("avg_price"))
     return products.join(stats, "product_id", "left")
 
 
@@ -295,7 +298,7 @@ def facets(products: DataFrame, offers: DataFrame, band: int = 20000) -> DataFra
 def price_analysis(offers: DataFrame) -> DataFrame:
     """Range, average, median, spread and cheapest store per product."""
     best = F.min(F.struct("price", "store_name")).getField("store_name")
-    return offers.filter("price is not null").groupBy("product_id").agg(F.min(PRICE).alias("min_price"), F.max(PRICE).alias("max_price"), mean("price").alias("avg_price"), F.percentile(PRICE, 0.5).alias("median_price"), (F.max(PRICE) - F.min(PRICE)).alias("spread"), best.alias("cheapest_store"))
+    return offers.filter("price is not null").groupBy("product_id").agg(F.min(price()).alias("min_price"), F.max(price()).alias("max_price"), mean("price").alias("avg_price"), F.percentile(price(), 0.5).alias("median_price"), (F.max(price()) - F.min(price())).alias("spread"), best.alias("cheapest_store"))
 
 
 def store_wins(offers: DataFrame) -> DataFrame:
@@ -306,7 +309,7 @@ def store_wins(offers: DataFrame) -> DataFrame:
 
 def store_matrix(offers: DataFrame, stores: list[str]) -> DataFrame:
     """Lowest price per product and store, a column for each given store."""
-    return offers.filter(F.col("store_name").isin(*stores)).groupBy("product_id").pivot("store_name", stores).agg(F.min(PRICE))
+    return offers.filter(F.col("store_name").isin(*stores)).groupBy("product_id").pivot("store_name", stores).agg(F.min(price()))
 
 
 def brand_category_matrix(products: DataFrame) -> DataFrame:
