@@ -49,7 +49,8 @@ def assign_category(feed: DataFrame, categories: DataFrame, default: str = "Smar
 
 def category_lookup(feed: DataFrame, categories: DataFrame) -> DataFrame:
     """category_id of active categories by exact slug or name, then in lower case."""
-    on = categories.filter("is_active").select("category_id", F.explode(F.array(F.struct(F.col("slug").alias("k"), F.lit(0).alias("p")), F.struct(F.col("name"), F.lit(1)), F.struct(F.lower("slug"), F.lit(2)), F.struct(F.lower("name"), F.lit(3)))).alias("e"))
+    keys = (F.col("slug"), F.col("name"), F.lower("slug"), F.lower("name"))
+    on = categories.filter("is_active").select("category_id", F.explode(F.array(*(F.struct(k.alias("k"), F.lit(p).alias("p")) for p, k in enumerate(keys)))).alias("e"))
     best = on.groupBy(F.col("e.k").alias("_k")).agg(F.min_by("category_id", F.struct("e.p", "category_id")).alias("_id"))
     exact, low = best.select(F.col("_k").alias("_a"), F.col("_id").alias("_ia")), best.select(F.col("_k").alias("_b"), F.col("_id").alias("_ib"))
     out = feed.join(exact, F.col("category") == F.col("_a"), "left").join(low, F.lower("category") == F.col("_b"), "left")

@@ -442,7 +442,7 @@ def processing_stats(spark, d):
     return R.processing_stats(records(spark, d))
 
 
-@query("x1_page_fields", r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS h1 FROM pages".replace('""', '"'))
+@query("x1_page_fields", r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS h1 FROM pages")
 def page_fields(spark, d):
     return table(spark, d, "pages").select("page_id", P.element("h1").alias("h1"))
 
