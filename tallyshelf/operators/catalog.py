@@ -332,11 +332,16 @@ def top_models(feed: DataFrame, source: str, n: int = 10) -> DataFrame:
 def related_products(products: DataFrame, n: int = 3, band: float = 50.0) -> DataFrame:
     """L4: products of the same brand and category nearest in price.
 
-    Each product meets its neighbours in price order only, n on either side,
-    which hold the n nearest; no group is paired with itself."""
-    w = W.partitionBy("brand", "category").orderBy("list_price", "product_id")
-    around = [F.lag(F.struct("product_id", "list_price"), k).over(w) for k in range(1, n + 1)] + [F.lead(F.struct("product_id", "list_price"), k).over(w) for k in range(1, n + 1)]
-    near = products.select("product_id", "list_price", F.array(*around).alias("near")).select("product_id", "list_price", F.explode("near").alias("other")).filter("other is not null")
+    Each product meets its n neighbours on either side in price order and the
+    first of its own price, which hold the n nearest with ties to smaller ids; no
+    group is paired with itself."""
+    group = W.partitionBy("brand", "category")
+    me = F.struct("product_id", "list_price")
+    above = [F.lead(me, k).over(group.orderBy("list_price", "product_id")) for k in range(1, n + 1)]
+    below = [F.lag(me, k).over(group.orderBy("list_price", F.desc("product_id"))) for k in range(1, n + 1)]
+    same = W.partitionBy("brand", "category", "list_price").orderBy("product_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    equal = [F.nth_value(me, k).over(same) for k in range(1, n + 2)]
+    near = products.select("product_id", "list_price", F.array_distinct(F.array(*above, *below, *equal)).alias("near")).select("product_id", "list_price", F.explode("near").alias("other")).filter("other is not null and other.product_id <> product_id")
     gap = F.abs(F.col("other.list_price") - F.col("list_price"))
     rank = F.row_number().over(W.partitionBy("product_id").orderBy("gap", "related_id"))
     return near.select("product_id", F.col("other.product_id").alias("related_id"), gap.cast("double").alias("gap")).withColumn("rank", rank).filter(F.col("rank") <= n)
