@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.operators import catalog as C
+from tallyshelf.operators import normalize as N
 from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
@@ -517,3 +518,27 @@ def token_bucket(spark, d):
 def price_alerts(spark, d):
     alerts = products(spark, d).select(F.col("product_id").alias("alert_id"), "product_id", (F.col("list_price") * 15).alias("target"))
     return T.price_alerts(offers(spark, d), alerts).select("alert_id", "offer_id", "last_seen")
+
+
+@query("f7_url_keys", "WITH p AS (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS bare FROM pages), h AS (SELECT *, regexp_extract(bare, '^(https?://[^/]+)', 1) AS host FROM p) SELECT page_id, lower(host) || substr(bare, length(host) + 1) AS croma_key, coalesce(nullif(regexp_extract(url, '^.*?/dp/[A-Z0-9]{10}'), ''), url) AS amazon_key FROM h")
+def url_keys(spark, d):
+    return table(spark, d, "pages").select("page_id", rules.croma_key(F.col("url")).alias("croma_key"), rules.amazon_key(F.col("url")).alias("amazon_key"))
+
+
+@query("n9_validate_attributes", "SELECT event_id, CASE WHEN value - 20 >= 0 THEN value - 20 END AS storage FROM events")
+def validate_attributes(spark, d):
+    df = table(spark, d, "events").select("event_id", (F.col("value") - 20).alias("storage"))
+    return N.validate_attributes(df)
+
+
+@query("f1_filter_tablets", WITH + "SELECT product_id FROM products WHERE category = 'SMALL'")
+def filter_tablets(spark, d):
+    crumb = F.array(F.lit("Home"), F.col("brand"), F.when(F.col("category") == "SMALL", "Tablets").otherwise(F.col("category")))
+    return products(spark, d).withColumn("category", crumb).filter(N.is_tablet("flipkart")).select("product_id")
+
+
+@query("f2_classify_smartphones", WITH + "SELECT product_id, CASE WHEN category = 'SMALL' THEN 'Feature Phones' ELSE 'Smartphones' END AS leaf FROM products")
+def classify_smartphones(spark, d):
+    said = F.when(F.col("category") == "SMALL", "No").when(F.col("category") == "ECONOMY", "Yes")
+    specs = F.create_map(F.lit("General"), F.create_map(F.lit("Smartphone"), said))
+    return products(spark, d).withColumn("specifications", specs).select("product_id", N.classify_smartphone().alias("leaf"))
