@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
 from tallyshelf.scratch import broadcast_if_small, stage
 
 #: One boundary in so many lines on average, and the words of a long line.
@@ -52,7 +53,7 @@ def split_chunks(text: str, divisor: int = DIVISOR, long: int = LONG) -> list[tu
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             t = text.as_py()
@@ -71,7 +72,7 @@ def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
 
 
 def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "chunks")), strict=True):
             chunks, lines = split_chunks(text), text.split("\n")
@@ -83,7 +84,7 @@ def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strip(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, removed = [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
                 n = 0

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
+
 
 def _riff(data: bytes, at: int, kind: bytes, first: bytes) -> int:
     if data[at + 8 : at + 12] != kind or at + 12 > len(data):
@@ -198,7 +200,7 @@ def sniff(media: DataFrame, content: str = "content", declared: str = "declared_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             detected, corrected, length, embedded = [], [], [], []
             for value, said in zip(batch.column(content), batch.column(declared).to_pylist(), strict=True):
                 found = sniff_bytes(value.as_py()) if value.is_valid else []
@@ -244,7 +246,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     a positive multiple of 576) and declared_type, which says nothing of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, stored = [], []
             for text in batch.column("text"):
                 raw = (text.as_py() or "").encode("utf-8")
@@ -259,7 +261,7 @@ _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, n, media, kind, length, inner in zip(*(batch.column(c) for c in ("doc_id", "n_bytes", "content", "detected", "length", "embedded")), strict=True):
             data = media.as_py()[: length.as_py()]

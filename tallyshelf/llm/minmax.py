@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
 from tallyshelf.llm.texthash import shingle_set
 from tallyshelf.scratch import broadcast_if_small, stage
 
@@ -84,7 +85,7 @@ _SIGNED = "doc_id long, n_shingles long, fp binary, bands array<long>, sk0 long,
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, fp, bands, sk0, sk1 = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, k)
@@ -113,7 +114,7 @@ def _confirm(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
                 if b != last[0]:
@@ -228,7 +229,7 @@ def _across(classes: DataFrame, parts: DataFrame, texts: DataFrame, shingle_word
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 

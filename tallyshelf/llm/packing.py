@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
 from tallyshelf.llm.configlp import rounded
 from tallyshelf.llm.tokens import END, encoder
 from tallyshelf.scratch import broadcast_if_small, stage
@@ -41,7 +42,7 @@ def _cut(path: str | None, capacity: int):
         encode = encoder(path).encode
         task = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = encode(text.as_py()) + _END

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
 from tallyshelf.llm.texthash import word_hashes
 from tallyshelf.scratch import broadcast_if_small, stage
 
@@ -66,7 +67,7 @@ class Model:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [features(t).astype(np.int32) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", *TARGETS)), pa.array(found, pa.list_(pa.int32()))], names=["h", *TARGETS, "f"])
 
@@ -121,10 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     n = known.count()
     known = stage(known.filter(F.col("h") < 1_000_000 * min(1.0, rows / max(n, 1))), "quality-labels")
     sample = docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id")
-    rows_ = sample.select("h", "text", *TARGETS).mapInArrow(_features, "h long, low_quality long, toxic long, f array<int>").toPandas()  # at most about `rows`
-    rows_ = rows_.sort_values(["h", *TARGETS], kind="stable")
-    y, found = rows_[[*TARGETS]].to_numpy(float), rows_["f"].tolist()
-    first = rows_["h"].to_numpy() % 2 == 0
+    rows_ = sample.select("h", "text", *TARGETS).mapInArrow(_features, "h long, low_quality long, toxic long, f array<int>").toArrow()  # at most about `rows`
+    order = np.lexsort([rows_.column(c).to_numpy() for c in ("toxic", "low_quality", "h")])
+    y = np.stack([rows_.column(c).to_numpy()[order] for c in TARGETS], axis=1).astype(float)
+    lists = rows_.column("f").combine_chunks()
+    cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    found = [flat[cuts[k] : cuts[k + 1]] for k in order]
+    first = rows_.column("h").to_numpy()[order] % 2 == 0
     base = [(float(y[:, k].sum()) + 0.5) / (len(y) + 1) for k in range(len(TARGETS))]
     raw = Model(np.zeros((len(TARGETS), _WIDTH)), [1.0] * len(TARGETS), [0.0] * len(TARGETS), base)
     if first.any():
@@ -143,7 +147,7 @@ def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             e = model.evidence(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e[:, 0]), pa.array(e[:, 1])], names=[*names, "_e0", "_e1"])
 

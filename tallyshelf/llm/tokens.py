@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import json
 from array import array
+from functools import cached_property
 
 #: End-of-document id that the corpus operators append.
 END = 2
 #: Pieces kept per worker process before the cache is emptied.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -68,12 +69,11 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            held = json.load(f)
+        self.special, vocab = [t["content"] for t in held["added_tokens"]], held["model"]["vocab"]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
@@ -81,6 +81,13 @@ class Encoder:
         self.fast = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = _Pieces(self.fast.encode_ordinary, " ")
 
+    @cached_property
+    def exact(self):
+        """The file in ``tokenizers``, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text, four bytes each (null: none)."""
         if not text:
