@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from tallyshelf.llm.batches import slices
 from tallyshelf.scratch import broadcast_if_small, stage
 
-#: One boundary in so many lines on average, and the words of a long line.
-DIVISOR, LONG = 3, 50
-#: Single lines shorter than LONG words are never removed on their own.
+#: One line in so many may end a chunk, and the words of a long line.
+DIVISOR, LONG = 2, 50
+#: Fewest lines of a chunk; single lines shorter than LONG words, which long lines
+#: and the ends of texts leave, are never removed on their own.
 LEAST_LINES = 2
 
 
@@ -44,7 +45,7 @@ def split_chunks(text: str, divisor: int = DIVISOR, long: int = LONG) -> list[tu
         own = _line_hash(line)
         rolled = ((before * 0x9E3779B97F4A7C15) ^ own) >> 7 & 0xFFFFFFFF
         before = own
-        if rolled % divisor == 0:
+        if rolled % divisor == 0 and k + 1 - start >= LEAST_LINES:
             out.append((start, k + 1 - start, k + 1 - start >= LEAST_LINES))
             start, before = k + 1, 0
     if start < len(lines):
