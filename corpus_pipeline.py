@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.chunks import dedup_lines
 from tallyshelf.llm.minmax import near_duplicates
 from tallyshelf.llm.mixing import mix
 from tallyshelf.llm.packing import pack
+from tallyshelf.llm.passages import dedup_passages
 from tallyshelf.llm.quality import classify
 from tallyshelf.scratch import broadcast_if_small, stage
 
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their globally repeated line chunks."""
-    return dedup_lines(docs)
+    """Documents less their globally repeated passages."""
+    return dedup_passages(docs)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,255 @@
+"""Removal of repeated passages: runs of 50 words or more anywhere in a text, and
+runs of two whole lines or more.
+
+Words are runs of bytes other than ASCII white space; a passage is the bytes from
+its first word to its last.  It is repeated where all its windows are: stretches
+of LONG words, or two neighbouring lines with words.  Windows of LONG words are
+only looked at around sampled runs of SEED words that occur twice (the minima of
+every LONG - SEED + 1 neighbours, so that each repeated window holds one).  Of
+each window all but the first occurrence, by doc_id and place, are removed, if
+they do not overlap it; the bytes of both are compared before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyshelf.llm import texthash
+from tallyshelf.llm.batches import slices
+from tallyshelf.llm.chunks import LONG
+from tallyshelf.scratch import broadcast_if_small, stage
+
+#: Words of a sampled run.
+SEED = 25
+#: Sets hashes of line pairs apart from those of word windows.
+_LINES = np.uint64(0x6C696E6573)
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word."""
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = ~texthash._SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(word))
+    return edges[0::2], edges[1::2]
+
+
+def _hashes(data: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges a to b, in ascending order of both; texts are
+    taken in segments."""
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(a):
+        to = int(np.searchsorted(a, a[at] + texthash.SEGMENT))
+        low, high = int(a[at]), int(b[to - 1])
+        power, inverse = texthash._powers(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(texthash._LETTER[np.frombuffer(data, np.uint8, high - low, low)] * power[: high - low], out=sums[1:])
+        first = a[at:to] - low
+        out.append(texthash.mix((sums[b[at:to] - low] - sums[first]) * inverse[first]))
+        at = to
+    return np.concatenate(out)
+
+
+def _slide(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of each ``width`` neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _seeds(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of the sampled runs; at least one in every LONG words."""
+    if len(starts) < LONG:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, w = _hashes(data, starts[: len(starts) - SEED + 1], ends[SEED - 1 :]), LONG - SEED + 1
+    rim = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([rim, _slide(h, w, np.minimum), rim]), w, np.maximum) == h)
+    return h[at], at
+
+
+def _line_pairs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, words) of neighbouring lines that have words; those of
+    LONG words together are left to the word windows."""
+    line = np.cumsum(np.frombuffer(data, np.uint8) == 10)[starts]
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    at, to = first[:-1], np.append(first[2:], len(starts))[: len(first[:-1])]
+    short = to - at < LONG
+    at, to = at[short], to[short]
+    return _hashes(data, starts[at], ends[to - 1]) ^ _LINES, at, to - at
+
+
+def _table(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+WINDOW = "hash long, doc_id long, at int, n int"
+
+
+def _rows(of):
+    """Arrow function: rows (hash, doc_id, at, n) of ``of(data, starts, ends, seeds)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            seeds = batch.column("seeds") if "seeds" in batch.schema.names else None
+            for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                starts, ends = _words(data)
+                if not len(starts):
+                    continue
+                for h, at, n in of(data, starts, ends, None if seeds is None else np.array(seeds[k].as_py(), np.int64)):
+                    rows.append((h, np.full(len(h), doc, np.int64), at, n))
+            yield _table(rows, ("hash", "doc_id", "at", "n"), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))
+
+    return run
+
+
+def _sampled(data, starts, ends, _):
+    h, at = _seeds(data, starts, ends)
+    yield h, at, np.zeros(len(h), np.int64)  # no words: a seed
+
+
+def _word_windows(data, starts, ends, seeds):
+    last = len(starts) - LONG
+    if last >= 0:
+        near = np.zeros(last + 2, np.int64)
+        np.add.at(near, np.clip(seeds - (LONG - SEED), 0, last + 1), 1)
+        np.add.at(near, np.clip(seeds + 1, 0, last + 1), -1)
+        at = np.flatnonzero(np.cumsum(near)[:-1])
+        yield _hashes(data, starts[at], ends[at + LONG - 1]), at, np.full(len(at), LONG, np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that overlap alike in both documents, joined."""
+    for batch in slices(batches):
+        rows = []
+        for doc, found in zip(batch.column("doc_id").to_pylist(), batch.column("found"), strict=True):
+            f = found.values
+            other, delta, at, n = (f.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first_doc", "delta", "at", "n"))
+            order = np.lexsort((at, delta, other))
+            other, delta, at, end = other[order], delta[order], at[order], (at + n)[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (other[1:] != other[:-1]) | (delta[1:] != delta[:-1]) | (at[1:] >= end[:-1])  # where they only touch, the space between may differ
+            first = np.flatnonzero(new)
+            size = np.maximum.reduceat(end, first) - at[first]
+            rows.append((np.full(len(first), doc, np.int64), at[first], size, other[first], at[first] - delta[first]))
+        yield _table(rows, ("doc_id", "at", "n", "first_doc", "first_at"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        docs, ats, sizes, found = [], [], [], []
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            starts, ends = _words(data)
+            for w in wanted:
+                at, n = w["at"], w["n"]
+                if at + n <= len(starts):
+                    docs.append(doc)
+                    ats.append(at)
+                    sizes.append(n)
+                    found.append(data[starts[at] : ends[at + n - 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(sizes, pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "at", "n", "bytes"])
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, n): first word and number of words of the passages to remove."""
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text <> ''")
+    sampled = stage(texts.mapInArrow(_rows(_sampled), WINDOW), "passages-sampled")
+    seeds = sampled.filter("n = 0")
+    twice = seeds.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash")
+    marks = stage(seeds.join(twice, "hash").groupBy("doc_id").agg(F.collect_list("at").alias("seeds")), "passages-seeds")
+    long = stage(texts.join(broadcast_if_small(marks, 200_000), "doc_id").mapInArrow(_rows(_word_windows), WINDOW), "passages-windows")
+    windows = long.union(sampled.filter("n > 0"))
+    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    again = windows.join(first, "hash").filter("doc_id <> first.doc_id or at >= first.at + n")
+    found = F.struct(F.col("first.doc_id").alias("first_doc"), (F.col("at") - F.col("first.at")).alias("delta"), "at", "n")
+    runs = stage(again.select("doc_id", found.alias("f")).groupBy("doc_id").agg(F.collect_list("f").alias("found")).mapInArrow(_runs, "doc_id long, at int, n int, first_doc long, first_at int"), "passages-runs")
+    wanted = runs.select("doc_id", "at", "n").union(runs.select("first_doc", "first_at", "n")).distinct()
+    wanted = stage(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("wanted")), "passages-wanted")
+    pieces = texts.join(broadcast_if_small(wanted, 200_000), "doc_id").mapInArrow(_pieces, "doc_id long, at int, n int, bytes binary")
+    pieces = stage(pieces.distinct(), "passages-pieces")
+    theirs = pieces.select(F.col("doc_id").alias("first_doc"), F.col("at").alias("first_at"), "n", F.col("bytes").alias("first_bytes"))
+    return runs.join(pieces, ["doc_id", "at", "n"]).join(theirs, ["first_doc", "first_at", "n"]).filter("bytes = first_bytes").select("doc_id", "at", "n").distinct()
+
+
+def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text less the passages (first word, words), words removed, lines removed).
+
+    What is left keeps its bytes.  A passage from the start of a line goes with
+    the white space after it, another one with the white space before it.
+    """
+    data = text.encode("utf-8", "surrogatepass")
+    starts, ends = _words(data)
+    drop = np.zeros(len(starts) + 1, np.int64)
+    for at, n in gone:
+        if at + n <= len(starts):
+            drop[at] += 1
+            drop[at + n] -= 1
+    dropped = np.cumsum(drop)[:-1] > 0
+    if not len(starts) or not dropped.any():
+        return text, 0, 0
+    words = int(dropped.sum())
+    line = np.cumsum(np.frombuffer(data, np.uint8) == 10)[starts]
+    lines = len(np.unique(line)) - len(np.unique(line[~dropped]))
+    if words == len(starts):
+        return "", words, lines
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], dropped.astype(np.int8), [0]])))
+    keep, done = [], 0
+    for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+        if b < len(starts) and (a == 0 or line[a] != line[a - 1]):
+            keep.append(data[done : starts[a]])
+            done = int(starts[b])
+        else:
+            keep.append(data[done : ends[a - 1]])
+            done = int(ends[b - 1])
+    keep.append(data[done:])
+    return b"".join(keep).decode("utf-8", "surrogatepass"), words, lines
+
+
+def _strip(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts, words, lines = [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+                t, w, n = without(text, [(g["at"], g["n"]) for g in gone]) if text and gone else (text, 0, 0)
+                texts.append(t)
+                words.append(w)
+                lines.append(n)
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(lines, pa.int64())], names=[*names, "_words", "_lines"])
+
+    return run
+
+
+def dedup_passages(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """``docs`` with the texts less their repeated passages (and _words and _lines,
+    the numbers of words and of whole lines removed, if ``counted``).
+
+    Columns and rows stay as they are; a column n_chars is set to the new length.
+    Null and empty texts stay.  Rows with a null doc_id are neither counted nor
+    changed; rows that share a doc_id lose the same word numbers, once each; a
+    document all of whose words are repeated becomes the empty text.
+    """
+    gone = stage(repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("_gone")), "passages-gone")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    names = docs.columns
+    joined = docs.join(broadcast_if_small(gone, 200_000), "doc_id", "left").select(*names, "_gone")
+    out = joined.mapInArrow(_strip(names), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _words long, _lines long")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("_words") > 0, F.char_length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
+    return out if counted else out.drop("_words", "_lines")
+
+
+def op6(spark, sf_dir: str) -> DataFrame:
+    """All documents: lines and words removed and the digest of what is left."""
+    out = dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), counted=True)
+    return out.select("doc_id", F.col("_lines").alias("lines_removed"), F.col("_words").alias("words_removed"), F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

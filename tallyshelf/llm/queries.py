@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyshelf.llm import chunks, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards
+from tallyshelf.llm import licenses, media, minmax, mixing, onebit, packing, passages, quality, rollup, shards
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -10,7 +10,7 @@ QUERIES = {
     "op3_media_signatures": media.op3,
     "op4_mix_sources": mixing.op4,
     "op5_one_bit_neighbours": onebit.op5,
-    "op6_line_chunks": chunks.op6,
+    "op6_line_chunks": passages.op6,
     "op7_minmax_near_duplicates": minmax.op7,
     "op8_license_scan": licenses.op8,
     "op9_token_rollup": rollup.op9,

@@ -1,0 +1,46 @@
+"""Repeated passages against brute force over all windows."""
+
+import random
+import re
+
+from test_operators import docs, prose
+
+from tallyshelf.llm import passages
+
+
+def brute(texts):
+    """Texts less every word under a repeated window, from all windows of all texts."""
+    first, out = {}, {}
+    for i, t in enumerate(texts):
+        if not t:
+            out[i] = t
+            continue
+        data = t.encode()
+        w = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", data)]
+        line = [data[:a].count(b"\n") for a, _ in w]
+        heads = [k for k in range(len(w)) if k == 0 or line[k] != line[k - 1]] + [len(w)]
+        spans = [("w", k, 50) for k in range(len(w) - 49)] + [("l", a, c - a) for a, c in zip(heads, heads[2:], strict=False)]
+        gone = []
+        for kind, at, n in spans:
+            d, p = first.setdefault((kind, data[w[at][0] : w[at + n - 1][1]]), (i, at))
+            if d != i or at >= p + n:
+                gone.append((at, n))
+        out[i] = passages.without(t, gone)[0]
+    return out
+
+
+def run(spark, texts):
+    return {r.doc_id: r for r in passages.dedup_passages(docs(spark, *texts).repartition(3), counted=True).collect()}
+
+
+def test_passage_inside_longer_lines_goes(spark):
+    p = prose(7, 53)
+    texts = [f"{prose(10 + k, 20 + k)} {p} {prose(30 + k, 15)}\n{prose(60 + k, 9)}" for k in range(5)]
+    got = run(spark, texts)
+    assert got[0].text == texts[0]
+    assert all(got[k].text == texts[k].replace(p + " ", "") and got[k]._words == 53 for k in range(1, 5))
+
+
+def test_without_keeps_lines():
+    t = "x a b\nc d\ne f\n"
+    assert [passages.without(t, [g])[0] for g in ((1, 2), (3, 2), (1, 4), (5, 2), (0, 7), (0, 1))] == ["x\nc d\ne f\n", "x a b\ne f\n", "x\ne f\n", "x a b\nc d\n", "", "a b\nc d\ne f\n"]
