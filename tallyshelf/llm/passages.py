@@ -115,6 +115,7 @@ def _rows(of):
 def _sampled(data, starts, ends, _):
     h, at = _seeds(data, starts, ends)
     yield h, at, np.zeros(len(h), np.int64)  # no words: a seed
+    yield _line_pairs(data, starts, ends)
 
 
 def _word_windows(data, starts, ends, seeds):

@@ -41,6 +41,25 @@ def test_passage_inside_longer_lines_goes(spark):
     assert all(got[k].text == texts[k].replace(p + " ", "") and got[k]._words == 53 for k in range(1, 5))
 
 
+def test_short_lines_go_whole(spark):
+    for n, words in ((2, 6), (3, 20), (8, 12)):
+        p = "\n".join(prose(100 * n + k, words) for k in range(n))
+        texts = [f"{prose(10 + k, 9)}\n{p}\n{prose(30 + k, 8)}" for k in range(12)]
+        got = run(spark, texts)
+        assert got[0].text == texts[0]
+        assert all(got[k].text == texts[k].replace(p + "\n", "") and got[k]._lines == n for k in range(1, 12))
+
+
+def test_equals_brute_force(spark):
+    r = random.Random(3)
+    pool = [prose(500 + k, r.choice((3, 12, 26, 40, 50, 51, 70))) for k in range(25)]
+    texts = ["".join(r.choice(pool) + r.choice((" ", "\n", "\n\n", "  ")) for _ in range(r.randint(1, 12))) for _ in range(80)]
+    texts += [None, "", "\n\n", "é", "a " * 500, prose(1, 40) + " ", (prose(2, 40) + "\n") * 6, prose(3, 120), prose(3, 120)]
+    got = run(spark, texts)
+    assert {i: x.text for i, x in got.items()} == brute(texts)
+    assert sum(x._words for x in got.values()) > 1000
+
+
 def test_without_keeps_lines():
     t = "x a b\nc d\ne f\n"
     assert [passages.without(t, [g])[0] for g in ((1, 2), (3, 2), (1, 4), (5, 2), (0, 7), (0, 1))] == ["x\nc d\ne f\n", "x a b\ne f\n", "x\ne f\n", "x a b\nc d\n", "", "a b\nc d\ne f\n"]
