@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,28 +106,53 @@ def two_bucket_estimate(events: DataFrame, key: str, ts: str, seconds: int, limi
     return n.withColumn("estimate", F.col("requests") + before * 0.5)
 
 
+def _admit(tiers: list[tuple[float, float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, level, last = None, [], None
+        for batch in batches:
+            out = []
+            for key, part, t in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "t")), strict=True):
+                if (key, part) != now:
+                    now, level, last = (key, part), [c for c, _ in tiers], None
+                if t is None:
+                    out.append(False)
+                    continue
+                if last is not None:
+                    level = [min(c, x + (t - last) / 1e6 * r) for x, (c, r) in zip(level, tiers, strict=True)]
+                last = t
+                ok = all(x >= 1 for x in level)
+                if ok:
+                    level = [x - 1 for x in level]
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.int64()), batch.column("event_id").cast(pa.int64()), pa.array(out, pa.bool_())], names=["key", "event_id", "admitted"])
+
+    return run
+
+
 def token_bucket_decisions(events: DataFrame, key: str, ts: str, tiers: list[tuple[float, float]]) -> DataFrame:
     """Admitted or not for each request, by event time.
 
     tiers are (capacity, refill a second); a request must find a token in every
-    tier.  Requests of one key run in time order, by event_id at equal times.
-    """
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["t", "event_id"])
-        level, last, out = [c for c, _ in tiers], None, []
-        for t in df["t"]:
-            if last is not None:
-                level = [min(c, x + (t - last) / 1e6 * r) for x, (c, r) in zip(level, tiers, strict=True)]
-            last = t
-            ok = all(x >= 1 for x in level)
-            if ok:
-                level = [x - 1 for x in level]
-            out.append(ok)
-        return pd.DataFrame({"key": df["key"], "event_id": df["event_id"], "admitted": out})
+    tier.  Requests of one key run in time order, by event_id at equal times;
+    requests without a time are refused.
 
+    A key's time is cut where it was idle until all tiers were full again, so its
+    parts run apart; a task goes through sorted rows and keeps one level a tier.
+    Idle times are found from the first and last request of slots of that length,
+    of which only a slot's first request can end one.
+    """
     rows = events.select(F.col(key).alias("key"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    return rows.groupBy("key").applyInPandas(run, "key long, event_id long, admitted boolean")
+    if all(r > 0 for _, r in tiers):
+        idle = int(max(c / r for c, r in tiers) * 1e6 * (1 + 1e-9)) + 1
+        rows = rows.withColumn("_slot", F.expr(f"(t - pmod(t, {idle}L)) div {idle}L"))
+        by = W.partitionBy("key").orderBy("_slot")
+        parts = rows.groupBy("key", "_slot").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+        parts = parts.withColumn("_cut", F.coalesce(F.col("_first") - F.lag("_last").over(by) >= idle, F.lit(False)).cast("int"))
+        parts = parts.select(F.col("key").alias("_key"), F.col("_slot").alias("_s"), F.sum("_cut").over(by).alias("part"))
+        rows = rows.join(parts, F.col("key").eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_s"))).select("key", "event_id", "t", "part")
+    else:
+        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "t", "event_id").mapInArrow(_admit(tiers), "key long, event_id long, admitted boolean")
 
 
 def failed_items_retry(dead: DataFrame, succeeded: DataFrame, most: int = 3) -> DataFrame:
