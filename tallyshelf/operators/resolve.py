@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
-from tallyshelf.operators.catalog import first_seen
+from tallyshelf.operators.catalog import first_seen, refresh_counts
 from tallyshelf.scratch import stage
 
 
@@ -201,9 +201,11 @@ def constraint_rejects(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """What ingestion returns: five tables, the rejects and match labels per record."""
+    """What ingestion returns: six tables with the rejects, and per record its ids
+    and match labels (product_match, category_match)."""
 
     brands: DataFrame
+    categories: DataFrame
     products: DataFrame
     variants: DataFrame
     listings: DataFrame
@@ -213,7 +215,23 @@ class Catalog:
 
 def empty_catalog(spark) -> dict[str, DataFrame]:
     make = lambda schema: spark.createDataFrame([], schema)
-    return {"brands": make("brand_id string, name string, slug string"), "variants": make("variant_id string"), "listings": make("url string, variant_id string, store_name string, title string, price double, scraped_at timestamp, created_at timestamp")}
+    return {"brands": make("brand_id string, name string, slug string"), "categories": make("category_id string, name string"), "products": make("product_key string, brand string, model_name string, model_number string"), "variants": make("variant_id string"), "listings": make("url string, variant_id string, store_name string, title string, price double, scraped_at timestamp, created_at timestamp")}
+
+
+def match_labels(records: DataFrame, old: DataFrame) -> DataFrame:
+    """records (with product_key) and product_match: model_number or model_name if
+    an earlier record or an old product has it, existing or linked if the product
+    is old or was found by a later record's keys, else new_product."""
+    brand = F.lower(rules.squeeze(F.col("brand")))
+    named = lambda df: df.withColumns({"_name": key_id(brand, rules.network_key(F.col("model_name"))), "_number": F.when(F.nullif(rules.squeeze(F.col("model_number")), F.lit("")).isNotNull(), key_id(brand, F.upper(rules.squeeze(F.col("model_number")))))})
+    out = named(records)
+    every = out.select("product_key", "_name", "_number", "row_id", F.lit(False).alias("_old")).unionByName(named(old).select("product_key", "_name", "_number", F.lit(None).cast(records.schema["row_id"].dataType).alias("row_id"), F.lit(True).alias("_old")))
+    for k, tag in (("_number", "number"), ("_name", "name"), ("product_key", "product")):
+        seen = every.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("row_id").alias(f"_{tag}_row"), F.max("_old").alias(f"_{tag}_old"))
+        out = out.join(seen, k, "left")
+    earlier = lambda tag: F.coalesce(F.col(f"_{tag}_old") | (F.col(f"_{tag}_row") < F.col("row_id")), F.lit(False))
+    match = F.when(earlier("number"), "model_number").when(earlier("name"), "model_name").when(F.col("_product_old"), "existing").when(earlier("product"), "linked").otherwise("new_product")
+    return out.withColumn("product_match", match).select(*records.columns, "product_match")
 
 
 def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: str = "components") -> Catalog:
@@ -221,29 +239,46 @@ def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: s
 
     feed has row_id, store_name, url, title, brand, model_name, model_number,
     category, color, ram, storage, display_size, connectivity_type, price and
-    scraped_at.  Tablets (category Tablets) get the tablet key.
+    scraped_at.  Tablets (category Tablets) get the tablet key.  catalog may have
+    categories (category_id, name), by which records get their category_id (none
+    without them), and products of an earlier run, which new records join.
     """
-    catalog = catalog or empty_catalog(feed.sparkSession)
+    spark = feed.sparkSession
+    catalog = empty_catalog(spark) | (catalog or {})
     good, rejects = split_rejects(feed)
     brands = stage(resolve_brands(good, catalog["brands"]), "brands")
-    keyed = stage(resolve_products(good, mode), "resolved")
-    products = keyed.groupBy("product_key").agg(F.min_by("brand", "row_id").alias("brand"), F.min_by("model_name", "row_id").alias("model_name"), F.min_by("category", "row_id").alias("category"), F.lit(None).cast("string").alias("model_number"), F.count("*").alias("records"))
+    good = brand_of(good, brands)
+    categories = catalog["categories"]
+    known = F.coalesce("category", F.lit("Smartphones"))
+    named = assign_category(good, categories).join(categories.select(F.col("name").alias("_known")).distinct(), known == F.col("_known"), "left")
+    good = named.withColumn("category_match", F.when(F.col("_known").isNotNull(), F.when(F.col("category").isNull(), "default").otherwise("name")).when(F.col("category_id").isNotNull(), "other").otherwise("none")).drop("_known")
+    before = catalog["products"].select("brand", "model_name", "model_number", F.lit(True).alias("_old"))
+    resolved = stage(resolve_products(good.withColumn("_old", F.lit(False)).unionByName(before, allowMissingColumns=True), mode), "resolved")
+    keyed, old = resolved.filter("not _old").drop("_old"), resolved.filter("_old").drop("_old")
+    products = keyed.groupBy("product_key").agg(*(F.min_by(c, "row_id").alias(c) for c in ("brand", "brand_id", "model_name", "category", "category_id")), F.lit(None).cast("string").alias("model_number"), F.count("*").alias("records"))
     products = backfill_model_numbers(products, keyed).withColumn("slug", F.concat_ws("-", rules.slug(F.col("brand")), rules.product_slug(F.col("model_name"))))
+    products = products.join(old.select("product_key", F.lit(False).alias("_new")).distinct(), "product_key", "left").withColumn("is_new", F.coalesce("_new", F.lit(True))).drop("_new")
     tablets = F.coalesce(F.col("category") == "Tablets", F.lit(False))
-    labels = stage(keyed.withColumn("variant_id", F.when(tablets, variant_key(True)).otherwise(variant_key(False))), "labels")
+    labels = stage(match_labels(keyed, old).withColumn("variant_id", F.when(tablets, variant_key(True)).otherwise(variant_key(False))), "labels")
     variants = resolve_variants(keyed.filter(~tablets), catalog["variants"]).unionByName(resolve_variants(keyed.filter(tablets), catalog["variants"], tablets=True))
     incoming = labels.filter("url is not null").select("url", "variant_id", "store_name", "title", F.col("price").cast("double").alias("price"), "scraped_at", F.col("scraped_at").alias("created_at"))
-    return Catalog(brands, products, variants, upsert_listings(catalog["listings"], incoming), rejects, labels)
+    return Catalog(brands, categories, products, variants, upsert_listings(catalog["listings"], incoming), rejects, labels)
 
 
-def ingest_offers(feed: DataFrame, products: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parsed records to (offers after upsert, products with price statistics)."""
-    keyed = resolve_products(feed, "name")
+def ingest_offers(feed: DataFrame, products: DataFrame, current: DataFrame, categories: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed records to (offers after upsert, products with price statistics
+    and active offers, brands).  Records without a brand or a known active
+    category (category_id, name, slug, is_active) are left out."""
+    brands = stage(resolve_brands(feed, brands), "offer-brands")
+    keyed = resolve_products(category_lookup(brand_of(feed, brands), categories).filter("brand_id is not null and category_id is not null"), "name")
     keyed = keyed.withColumn("variant_id", variant_key()).withColumn("url", rules.url_or_placeholder(F.col("url"), F.col("store_name"), F.col("store_product_id")))
-    after = upsert_offers(current, keyed.select(*current.columns))
-    priced = keyed.select("variant_id", "product_key").distinct().join(after, "variant_id").filter("price is not null")
-    stats = priced.groupBy("product_key").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price"), F.count("*").alias("offers"))
-    return after, products.join(stats, "product_key", "left")
+    keyed = stage(keyed, "offer-records")
+    after = stage(upsert_offers(current, keyed.select(*current.columns)), "offers-after")
+    of = keyed.select("variant_id", "product_key").distinct().join(after, "variant_id")
+    stats = of.filter("price is not null").groupBy("product_key").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price"), F.count("*").alias("offers"))
+    products = products.join(stats, "product_key", "left")
+    counted = refresh_counts(products.withColumn("product_id", F.col("product_key")), of.withColumn("product_id", F.col("product_key")).select("product_id", "is_active"))
+    return after, counted.drop("product_id"), brands
 
 
 def ingestion_summary(result: Catalog) -> DataFrame:
@@ -255,6 +290,20 @@ def ingestion_summary(result: Catalog) -> DataFrame:
     return out.unionByName(result.rejects.groupBy(F.col("reject_reason").alias("state")).count().withColumn("entity", F.lit("reject"))).select("entity", "state", F.col("count").alias("n"))
 
 
+def ingestion_report(result: Catalog) -> DataFrame:
+    """A15 in full: the summary, products by state, records by category and match
+    type, deduplicated records (pct of all), and processed and skipped by source."""
+    out = result.products.groupBy(F.when(F.col("is_new"), "created").otherwise("existing").alias("state")).agg(F.count("*").alias("n")).withColumn("entity", F.lit("product"))
+    parts = [("category", result.categories.select(F.lit("existing").alias("state"))), ("category_match", result.labels.select(F.col("category_match").alias("state"))), ("product_match", result.labels.select(F.col("product_match").alias("state")))]
+    parts += [("processed", result.labels.select(F.col("store_name").alias("state"))), ("skipped", result.rejects.select(F.col("store_name").alias("state")))]
+    for entity, rows in parts:
+        out = out.unionByName(rows.groupBy("state").agg(F.count("*").alias("n")).withColumn("entity", F.lit(entity)))
+    out = ingestion_summary(result).unionByName(out).withColumn("pct", F.lit(None).cast("double"))
+    matched = F.count_if(F.col("product_match") != "new_product")
+    rate = result.labels.agg(matched.alias("n"), F.count("*").alias("_all")).select(F.lit("deduplicated").alias("entity"), F.lit("records").alias("state"), "n", F.when(F.col("_all") > 0, F.floor(F.col("n") * 1000 / F.col("_all") + 0.5) / 10).alias("pct"))
+    return out.unionByName(rate)
+
+
 def missing_value_report(df: DataFrame, source: str, fields: list[str]) -> DataFrame:
     """Null or blank values per source and field, in one aggregation."""
     blank = [F.count_if(F.col(f).isNull() | (F.trim(F.col(f).cast("string")) == "")).alias(f) for f in fields]

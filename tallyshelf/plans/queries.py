@@ -379,13 +379,16 @@ def reconcile_similarity(spark, d):
 
 @query("e9_ingest")
 def ingest(spark, d):
-    """The whole flow over all offers as feed records: rows by entity and state."""
+    """The whole flow over all offers as feed records, with the part's number as
+    model number and some part types as known categories: rows by entity and state."""
+    known = products(spark, d).filter("category < 'M'").select("category").distinct().select(F.lower("category").alias("category_id"), F.col("category").alias("name"))
+    known = known.union(spark.range(1).select(F.lit("others"), F.lit("others")))
     r = records(spark, d).select(
         F.col("offer_id").alias("row_id"), "store_name", F.concat(F.lit("https://shop.example/"), F.col("offer_id").cast("string")).alias("url"), F.concat_ws(" ", "brand", "model_name").alias("title"),
-        "brand", "model_name", F.lit(None).cast("string").alias("model_number"), "category", F.lit(None).cast("string").alias("color"), F.col("ram_gb").cast("int").alias("ram"), F.lit(None).cast("int").alias("storage"),
+        "brand", "model_name", F.concat(F.lit("P"), F.col("product_id").cast("string")).alias("model_number"), "category", F.lit(None).cast("string").alias("color"), F.col("ram_gb").cast("int").alias("ram"), F.lit(None).cast("int").alias("storage"),
         F.lit(None).cast("double").alias("display_size"), F.lit(None).cast("string").alias("connectivity_type"), "price", F.col("last_seen").cast("timestamp").alias("scraped_at"),
     )
-    return R.ingestion_summary(R.ingest(r))
+    return R.ingestion_report(R.ingest(r, {"categories": known}))
 
 
 @query("e11_backfill", WITH + "SELECT product_id, first(number) AS model_number FROM (SELECT product_id, store_name AS number, row_number() OVER (PARTITION BY product_id ORDER BY offer_id, last_seen, store_name) AS n FROM offers) WHERE n = 1 GROUP BY product_id")

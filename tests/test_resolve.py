@@ -43,6 +43,29 @@ def test_ingest_twice_is_once(spark):
     assert {r.n for r in R.ingestion_summary(two).collect()} == {1}
 
 
+def test_ingest_categories_and_report(spark):
+    f = feed(spark, {"row_id": 1, "brand": "A", "model_name": "m", "model_number": "X-1"}, {"row_id": 2, "brand": "A", "model_name": "m2", "model_number": "x-1", "category": "Tablets"}, {"row_id": 3, "brand": "A", "model_name": "m", "category": "Toys"}, {"row_id": 4, "brand": "A", "model_name": "z", "category": "Toys"}, {"row_id": 5, "brand": None, "model_name": "m"})
+    cats = spark.createDataFrame([("1", "Smartphones"), ("2", "Tablets"), ("3", "others")], "category_id string, name string")
+    one = R.ingest(f, {"categories": cats})
+    assert {r.row_id: (r.category_id, r.product_match, r.category_match) for r in one.labels.collect()} == {1: ("1", "new_product", "default"), 2: ("2", "model_number", "name"), 3: ("3", "model_name", "other"), 4: ("3", "new_product", "other")}
+    assert sorted((r.category_id, r.model_number, r.is_new) for r in one.products.collect()) == [("1", "X-1", True), ("3", None, True)]
+    got = {(r.entity, r.state): (r.n, r.pct) for r in R.ingestion_report(one).collect()}
+    assert got["processed", "s"] == (4, None) and got["skipped", "s"] == (1, None) and got["deduplicated", "records"] == (2, 50.0)
+    assert got["product", "created"][0] == 2 and got["category", "existing"][0] == 3 and got["product_match", "model_number"][0] == 1
+    two = R.ingest(f, {"categories": cats, "products": one.products})
+    assert {r.is_new for r in two.products.collect()} == {False} and "new_product" not in {r.product_match for r in two.labels.collect()}
+
+
+def test_ingest_offers_counts(spark):
+    f = feed(spark, {"row_id": 1, "brand": "A", "model_name": "m", "category": "tablets"}, {"row_id": 2, "brand": "A", "model_name": "n", "category": "x"}).withColumns({"store_product_id": F.lit("1"), "last_seen": F.lit(T), "is_active": F.lit(True)})
+    cats = spark.createDataFrame([("2", "Tablets", "tabs", True)], "category_id string, name string, slug string, is_active boolean")
+    current = spark.createDataFrame([], "variant_id string, store_name string, store_product_id string, price double, last_seen timestamp, is_active boolean")
+    products = R.resolve_products(f).select("product_key", "model_name")
+    after, counted, brands = R.ingest_offers(f, products, current, cats, R.empty_catalog(spark)["brands"])
+    assert after.count() == 1 and brands.count() == 1
+    assert sorted((r.model_name, r.active_offers, r.offers) for r in counted.collect()) == [("m", 1, 1), ("n", 0, None)]
+
+
 def test_empty_feed(spark):
     r = R.ingest(feed(spark))
     assert r.brands.count() == r.products.count() == r.listings.count() == 0
