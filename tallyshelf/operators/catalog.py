@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyshelf.functions.rules import discount_2, network_key
+from tallyshelf.scratch import stage
 
 AVAILABLE = ("in_stock", "limited_stock")
 
@@ -117,6 +118,33 @@ def next_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
     return df.filter(F.col(key) > after).orderBy(key).limit(limit)
 
 
+def sort_products(products: DataFrame, by: str, offers: DataFrame | None = None, descending: bool | None = None) -> DataFrame:
+    """L2: all products with position from 1, by price (list_price, lowest first),
+    popularity (offers, most first) or date (last_seen of the offers, newest
+    first); nulls last, ties by product_id.
+
+    The sorted rows are written; positions are places in a partition plus the
+    rows of the partitions before it.
+    """
+    if by == "price":
+        keyed, key, down = products, "list_price", False
+    elif by in ("popularity", "date"):
+        value = F.count("*").alias("popularity") if by == "popularity" else F.max("last_seen").alias("date")
+        keyed, key, down = products.join(offers.groupBy("product_id").agg(value), "product_id", "left"), by, True
+        if by == "popularity":
+            keyed = keyed.withColumn(key, F.coalesce(key, F.lit(0)))
+    else:
+        raise ValueError(f"no order {by!r}")
+    down = down if descending is None else descending
+    order = F.desc_nulls_last(key) if down else F.asc_nulls_last(key)
+    rows = stage(keyed.orderBy(order, "product_id").withColumn("_id", F.monotonically_increasing_id()), "sorted-products")
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(parts), "_part").withColumn("position", place).drop("_id", "_part", "_before")
+
+
 def stale_offers(offers: DataFrame, products: DataFrame, as_of, days: int) -> DataFrame:
     """Active offers not seen for days before as_of, with their product."""
     return offers.filter(F.col("is_active") & (F.col("last_seen") < F.date_sub(as_of, days))).join(products, "product_id", "left")

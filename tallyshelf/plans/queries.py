@@ -291,7 +291,23 @@ def search_trends(spark, d):
 
 @query("l2_sort_products", WITH + "SELECT product_id, CAST(list_price AS DOUBLE) AS list_price FROM products ORDER BY list_price DESC, product_id LIMIT 50")
 def sort_products(spark, d):
-    return _dbl(products(spark, d).orderBy(F.desc("list_price"), "product_id").limit(50), "list_price").select("product_id", "list_price")
+    """The first 50, as its SQL has them; the l2_sort_products_* queries return all rows."""
+    return _dbl(C.sort_products(products(spark, d), "price", descending=True).filter("position <= 50"), "list_price").select("product_id", "list_price")
+
+
+@query("l2_sort_products_price", WITH + "SELECT product_id, CAST(list_price AS DOUBLE) AS list_price, row_number() OVER (ORDER BY list_price, product_id) AS position FROM products")
+def sort_products_price(spark, d):
+    return _dbl(C.sort_products(products(spark, d), "price"), "list_price").select("product_id", "list_price", "position")
+
+
+@query("l2_sort_products_popularity", WITH + ", c AS (SELECT p.product_id, count(o.offer_id) AS popularity FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) SELECT *, row_number() OVER (ORDER BY popularity DESC, product_id) AS position FROM c")
+def sort_products_popularity(spark, d):
+    return C.sort_products(products(spark, d), "popularity", offers(spark, d)).select("product_id", "popularity", "position")
+
+
+@query("l2_sort_products_date", WITH + ", c AS (SELECT p.product_id, max(last_seen) AS date FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, product_id) AS position FROM c")
+def sort_products_date(spark, d):
+    return C.sort_products(products(spark, d), "date", offers(spark, d)).select("product_id", "date", "position")
 
 
 @query("l1_keyset_page", WITH + "SELECT product_id, model_name FROM products WHERE product_id > 100 ORDER BY product_id LIMIT 25")

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyshelf.operators import catalog as C
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.catalog import price_history, relabel_main_image
 
@@ -96,3 +97,12 @@ def test_constraints_and_categories(spark):
     f = spark.createDataFrame([(None,), ("Smartphones",), ("x",), ("SMARTPHONES",)], "category string")
     assert [r.category_id for r in R.assign_category(f.coalesce(1), cats).orderBy("category").collect()] == ["1", "2", "1", "2"]
     assert {r.category: r.category_id for r in R.category_lookup(f, cats).collect()} == {None: None, "Smartphones": "1", "x": None, "SMARTPHONES": "1"}
+
+
+def test_sort_keeps_all_rows(spark):
+    p = spark.range(300).select(F.col("id").alias("product_id"), (F.col("id") % 7).cast("double").alias("list_price")).repartition(5)
+    o = spark.range(900).select((F.col("id") % 250).alias("product_id"), F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).alias("last_seen"))
+    got = C.sort_products(p, "price").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 301)) and [r.product_id for r in got] == sorted(range(300), key=lambda k: (k % 7, k))
+    assert [r.product_id for r in C.sort_products(p, "date", o).filter("position <= 2 or position = 300").orderBy("position").collect()] == [149, 148, 299]
+    assert [r.product_id for r in C.sort_products(p, "popularity", o).filter("position in (1, 150, 151, 251)").orderBy("position").collect()] == [0, 149, 150, 250]
