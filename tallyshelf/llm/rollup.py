@@ -1,26 +1,35 @@
 """Token counts kept as delta-maintained rollups.
 
-A store is a folder with one sub-folder a batch: ``batch=<id>/deltas`` holds the
-signed change of (source, lang, tokenizer) totals that the batch makes,
-``batch=<id>/ledger`` the signed count of every document version that it touches,
-and ``batch=<id>/_COMMITTED``, written last, makes it count.  Totals are sums of
-the deltas of committed batches.  Applying a committed batch again does nothing;
-a batch that failed half-way is overwritten by its retry.
+A store is a folder.  Every batch writes a folder of its own under ``data``: its
+``ledger`` has the signed count of each document version that the batch touches,
+its ``deltas`` the signed change of the (source, lang, tokenizer) totals.  The
+batch counts from the moment that an entry of ``log`` names its folder.  Entries
+are numbered and created exclusively: of two writers that start from the same
+state one commits, the other reads the new state and works its batch out again.
+A batch that failed half-way has no entry; a batch that has one is not applied
+again.  Totals are sums of deltas.  ``compact`` folds what is committed into one
+ledger and one table of totals, so that neither grows with the number of batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import slices
 from tallyshelf.llm.tokens import encoder
+from tallyshelf.scratch import broadcast_if_small, scratch_dir, stage
 
 _KEY = ["source", "lang", "tokenizer"]
 _DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
-_LEDGER = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
+_LEDGER = f"doc_id long, {_DELTAS}"
+_COUNTED = ["doc_id", *_KEY, "tokens"]
 
 
 def bpe_counts(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
@@ -28,9 +37,9 @@ def bpe_counts(docs: DataFrame, tokenizer: str, path: str | None = None) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(encode(t.as_py())) // 4 for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([tokenizer] * len(n)), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], names=_COUNTED)
 
     return docs.select("doc_id", "source", "lang", "text").mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
 
@@ -39,9 +48,12 @@ class TokenRollup:
     """A store of token totals at ``path``.
 
     ``count`` turns documents (doc_id, text, lang, source) into (doc_id, source,
-    lang, tokenizer, tokens).  Null sources and languages are groups of their own;
-    rows with a null doc_id can be inserted but never deleted or revised; rows
-    that repeat a doc_id are counted each, and deleted or revised together.
+    lang, tokenizer, tokens); frames with a column tokens are taken as counted.
+    Null sources and languages are groups of their own; rows with a null doc_id
+    can be inserted but never deleted or revised; rows that repeat a doc_id are
+    counted each, and deleted or revised together.  Only documents that are there
+    are deleted or revised; one that a batch both deletes and revises is deleted.
+    Deletes and revisions of a batch see the state before it, without its inserts.
     """
 
     def __init__(self, spark: SparkSession, path: str, count: Callable[[DataFrame], DataFrame]):
@@ -51,67 +63,123 @@ class TokenRollup:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _log(self) -> tuple[int, list[dict]]:
+        """Number of the next entry, and the entries in order: one file a batch."""
+        fs, path = self._fs(f"{self.path}/log")
+        if not fs.exists(path):
+            return 0, []
+        entries, n = [], -1
+        for status in fs.listStatus(path):
+            n = max(n, int(status.getPath().getName()))
+            held = fs.open(status.getPath())
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
+            held.close()
+            if text:  # an entry without text was given up by its writer
+                entries.append(json.loads(text))
+        return n + 1, sorted(entries, key=lambda e: e["n"])
+
+    def _commit(self, n: int, entry: dict) -> bool:
+        """Create entry ``n`` of the log; False if another writer was first."""
+        fs, path = self._fs(f"{self.path}/log/{n:010d}")
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(json.dumps({"n": n, **entry}).encode()))
+        out.close()
+        return True
+
     def committed(self) -> list[str]:
         """Ids of the batches that count, in order."""
-        fs, path = self._fs(self.path)
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(p.getName().removeprefix("batch=") for p in names if fs.exists(self._fs(f"{p}/_COMMITTED")[1]))
+        return [e["batch"] for e in self._log()[1] if "batch" in e]
 
-    def _read(self, what: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/batch={b}/{what}" for b in self.committed()]
+    def _read(self, what: str, entries: list[dict]) -> DataFrame:
+        schema = {"ledger": _LEDGER, "deltas": _DELTAS}[what]
+        last = max((k for k, e in enumerate(entries) if "batch" not in e), default=0)
+        paths = [f"{e['at']}/{what}" for e in entries[last:]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def apply(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
-        """Apply one batch: documents to insert, doc_ids to delete, documents whose
-        text or labels changed.  Returns False if the batch was committed before."""
-        if batch in self.committed():
-            return False
-        plus = [self.count(d) for d in (inserts, revisions) if d is not None]
-        gone = [d.select("doc_id") for d in (deletes, revisions) if d is not None]
-        signed = [p.select("doc_id", *_KEY, F.lit(1).cast("long").alias("documents"), "tokens") for p in plus]
-        if gone:
-            ids = gone[0] if len(gone) == 1 else gone[0].union(gone[1])
-            old = self._read("ledger", _LEDGER).join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id", *_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-            signed.append(old.filter("documents <> 0 or tokens <> 0").select("doc_id", *_KEY, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
-        if revisions is not None:  # only documents that are there can be revised
-            there = self._read("ledger", _LEDGER).groupBy("doc_id").agg(F.sum("documents").alias("n")).filter("n > 0").select("doc_id")
-            k = 0 if inserts is None else 1
-            signed[k] = signed[k].join(there, "doc_id", "left_semi")
-        change = signed[0]
+    def _counted(self, docs: DataFrame) -> DataFrame:
+        return (docs if "tokens" in docs.columns else self.count(docs)).select(*_COUNTED)
+
+    def _change(self, entries: list[dict], inserts: DataFrame | None, deletes: DataFrame | None, revisions: DataFrame | None) -> DataFrame:
+        """The signed ledger rows of a batch.  What is joined is narrow: ids and counts."""
+        plus = [] if inserts is None else [self._counted(inserts)]
+        minus, touched = [], []
+        if deletes is not None:
+            gone = stage(deletes.select("doc_id").filter("doc_id is not null").distinct(), "rollup-gone")
+            touched.append(gone)
+        if revisions is not None:
+            new = stage(self._counted(revisions).filter("doc_id is not null"), "rollup-new")
+            if deletes is not None:
+                new = new.join(broadcast_if_small(gone), "doc_id", "left_anti")
+            touched.append(new.select("doc_id").distinct())
+        if touched:
+            ids = touched[0] if len(touched) == 1 else stage(touched[0].union(touched[1]), "rollup-touched")
+            held = self._read("ledger", entries).join(broadcast_if_small(ids), "doc_id", "left_semi")
+            held = held.groupBy("doc_id", *_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents <> 0 or tokens <> 0")
+            if revisions is not None:
+                held = stage(held, "rollup-held")
+                plus.append(new.join(broadcast_if_small(held.select("doc_id")), "doc_id", "left_semi"))
+            minus = [held.select("doc_id", *_KEY, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))]
+        signed = [p.select("doc_id", *_KEY, F.lit(1).cast("long").alias("documents"), "tokens") for p in plus] + minus
+        change = signed[0] if signed else self.spark.createDataFrame([], _LEDGER)
         for more in signed[1:]:
             change = change.union(more)
-        at = f"{self.path}/batch={batch}"
-        change.write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/ledger")
+        return change
+
+    def _write(self, ledger: DataFrame) -> str:
+        at = f"{self.path}/data/{uuid4().hex}"
+        ledger.write.option("compression", "zstd").parquet(f"{at}/ledger")
         written = self.spark.read.schema(_LEDGER).parquet(f"{at}/ledger")
-        written.groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).coalesce(1).write.mode("overwrite").parquet(f"{at}/deltas")
-        fs, mark = self._fs(f"{at}/_COMMITTED")
-        fs.create(mark, True).close()
-        return True
+        written.groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.parquet(f"{at}/deltas")
+        return at
+
+    def apply(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
+        """Apply one batch: documents to insert, doc_ids to delete, documents whose
+        text or labels changed.  Returns False if the batch was committed before."""
+        while True:
+            n, entries = self._log()
+            if any(e.get("batch") == batch for e in entries):
+                return False
+            if self._commit(n, {"batch": batch, "at": self._write(self._change(entries, inserts, deletes, revisions))}):
+                return True
+
+    def compact(self) -> None:
+        """Fold all committed batches into one ledger and one table of totals.
+        Totals stay as they are; folders of folded batches are kept for readers
+        that still use them."""
+        while True:
+            n, entries = self._log()
+            if not entries:
+                return
+            sums = self._read("ledger", entries).groupBy("doc_id", *_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+            if self._commit(n, {"at": self._write(sums.filter("documents <> 0 or tokens <> 0"))}):
+                return
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens over all committed batches."""
-        sums = self._read("deltas", _DELTAS).groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        sums = self._read("deltas", self._log()[1]).groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents <> 0 or tokens <> 0")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents inserted, those labelled toxic
     deleted, those labelled low quality revised to their distinct lines; each
-    batch is delivered twice."""
-    import uuid
-
-    from tallyshelf.scratch import scratch_dir
-
+    batch is delivered twice.  A revision that leaves its text as it is changes no
+    total, so only changed texts are counted anew; labels meet counts, not texts."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    store = TokenRollup(spark, f"{scratch_dir(spark)}/rollup-{uuid.uuid4().hex}", lambda d: bpe_counts(d, "byte_bpe_50k"))
+    store = TokenRollup(spark, f"{scratch_dir(spark)}/rollup-{uuid4().hex}", lambda d: bpe_counts(d, "byte_bpe_50k"))
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    low = labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    low = stage(labels.filter("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti"), "rollup-low")
     lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    revised = docs.join(low, "doc_id", "left_semi").select("doc_id", "source", "lang", lines.alias("text"))
+    changed = docs.select("doc_id", "source", "lang", "text", lines.alias("lines")).filter("lines <> text").withColumn("text", F.col("lines"))
+    revised = stage(store.count(changed), "rollup-revised").join(broadcast_if_small(low), "doc_id", "left_semi")
     for _ in range(2):
         store.apply("1-insert", inserts=docs)
         store.apply("2-delete", deletes=toxic)
         store.apply("3-revise", revisions=revised)
+    store.compact()
     return store.totals()
