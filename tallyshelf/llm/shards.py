@@ -1,35 +1,54 @@
-"""Token sequences in training order, as binary shards of fixed stride.
+"""Token sequences in training order, as binary shard files of fixed stride.
 
 Every document's ids and an end id are cut into sequences of ``stride`` ids, the
 last padded.  Sequences are numbered without gaps, a keyed Feistel permutation
 with cycle-walking turns the number into a slot, and slots are dealt by range:
-shard s holds slots s * per_shard and on, in order, each exactly ``stride`` ids
-long, so a reader seeks to any slot by arithmetic and resumes anywhere.
+file ``shard=s`` holds slots s * per_shard and on, in order.  A record is the ids
+in little-endian order and one line feed, so slot k starts at byte
+(k % per_shard) * record of its shard; a reader opens that one file (1 MB as set
+here), goes to the place and resumes.  Files may be compressed as wholes: padded
+ids take twice the space otherwise.
+
+Files are written by Spark's text sink, so a lost task or job leaves none in
+part, in any store that Spark writes.  Beside them, ``slots`` says which document
+piece each slot holds, and ``manifest`` first slot, slots, bytes and checksum of
+every shard.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.tokens import END, encoder
+from tallyshelf.llm.batches import slices
+from tallyshelf.llm.tokens import END, default_path, encoder
 from tallyshelf.scratch import broadcast_if_small, scratch_dir, stage
 
 STRIDE, PER_SHARD, KEY = 1024, 512, 0x5EED
-#: A file holds whole shards, of about this many bytes.
-FILE_BYTES = 1 << 27
-#: Ids are stored in two bytes; the vocabulary has fewer than 65,536.
-_ID = np.dtype("<u2")
+#: Codec of shard files ("none": raw, so that a seek in the file finds a slot).
+CODEC = "gzip"
+#: A task writes whole shards, of about this many bytes in all.
+TASK_BYTES = 1 << 26
 _ROUNDS = 6
 
 
+def id_bytes(tokenizer: str | None = None) -> int:
+    """Bytes of a stored id: two if all ids of the vocabulary fit, else four."""
+    with open(tokenizer or default_path(), encoding="utf-8") as f:
+        held = json.load(f)
+    most = max([*held["model"]["vocab"].values(), *(t["id"] for t in held["added_tokens"]), END])
+    return 2 if most < 1 << 16 else 4
+
+
 def _round_keys(key: int) -> list[np.uint64]:
     return [np.uint64(x) for x in np.random.Generator(np.random.PCG64(key)).integers(0, 2**63, _ROUNDS, dtype=np.uint64)]
 
@@ -58,82 +77,123 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(path: str | None, stride: int):
+def slot_of(number: Column, n: int, key: int = KEY) -> Column:
+    """The slot of a sequence number; only the number goes to Python."""
+
+    @F.pandas_udf("long")
+    def slots(x: pd.Series) -> pd.Series:
+        return pd.Series(feistel(x.to_numpy(), n, key))
+
+    return slots(number)
+
+
+def _sequences(path: str | None, stride: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         task, nth = TaskContext.get().partitionId(), 0
-        end = np.array([END], np.uint32)
-        for batch in batches:
-            rows, held = [], 0
+        end = np.array([END], np.uint32).tobytes()
+        for batch in slices(batches):
+            rows, data, sizes, size = [], [], [], 0
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.concatenate([np.frombuffer(encode(text.as_py()), np.uint32), end]).astype(_ID)
-                for piece, at in enumerate(range(0, len(ids), stride)):
-                    part = ids[at : at + stride]
-                    data = part.tobytes()
-                    rows.append((doc, piece, len(part), data, task, nth))
-                    held, nth = held + len(data), nth + 1
-                    if held > 1 << 24:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            yield _batch(rows)
+                ids = encode(text.as_py()) + end
+                data.append(ids)
+                n = len(ids) // 4
+                for piece, at in enumerate(range(0, n, stride)):
+                    sizes.append(min(stride, n - at))
+                    rows.append((doc, piece, sizes[-1], task, nth))
+                    nth += 1
+                size += n
+                if size > 1 << 22:  # a few very long texts
+                    yield _batch(rows, data, sizes, width)
+                    rows, data, sizes, size = [], [], [], 0
+            yield _batch(rows, data, sizes, width)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "n_tokens", "ids", "task", "nth"])
+def _batch(rows: list[tuple], data: list[bytes], sizes: list[int], width: int) -> pa.RecordBatch:
+    """Rows with their ids as slices of one buffer."""
+    ids = np.frombuffer(b"".join(data), "<u4").astype(f"<u{width}")
+    cuts = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(np.array(sizes, np.int64) * width, out=cuts[1:])
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+    packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+    return pa.RecordBatch.from_arrays([*columns, packed], names=["doc_id", "piece", "n_tokens", "task", "nth", "ids"])
 
 
-def _slots(n: int, key: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = feistel(batch.column("number").to_numpy(zero_copy_only=False), n, key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "n_tokens", "ids")), pa.array(slot)], names=["doc_id", "piece", "n_tokens", "ids", "slot"])
+class Shards:
+    """Shards that were written to ``path``."""
 
-    return run
+    def __init__(self, spark: SparkSession, path: str, stride: int, per_shard: int, width: int):
+        self.spark, self.path, self.per_shard = spark, path, per_shard
+        self.record, self.ids = stride * width + 1, stride * width
 
+    def files(self) -> DataFrame:
+        """shard and content of every shard file, a row each."""
+        text = self.spark.read.schema("value string, shard long").text(f"{self.path}/shards", wholetext=True)
+        return text.select("shard", F.col("value").cast("binary").alias("content"))
 
-def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
+    def _cut(self, low: Column, high: Column) -> Column:
+        """slot and ids of the records ``low`` to ``high`` of a file."""
+        return F.inline(F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda k: F.struct((F.col("shard") * self.per_shard + k).alias("slot"), F.substring("content", k * self.record + 1, F.lit(self.ids)).alias("ids"))))
+
+    def records(self) -> DataFrame:
+        """shard, slot and ids, cut from the shard files by arithmetic."""
+        return self.files().select("shard", self._cut(F.lit(0), F.length("content") / self.record - 1))
+
+    def slots(self) -> DataFrame:
+        """slot, doc_id, piece and n_tokens."""
+        return self.spark.read.parquet(f"{self.path}/slots")
+
+    def manifest(self) -> DataFrame:
+        """shard, first_slot, slots, bytes and crc32 of every shard file."""
+        return self.spark.read.parquet(f"{self.path}/manifest")
+
+    def read(self, first: int, count: int) -> DataFrame:
+        """Slots first .. first + count - 1 in order: where a reader resumes.  Only
+        the shards that hold them are opened, and of these only those records cut."""
+        last, at = first + count - 1, F.col("shard") * self.per_shard
+        low, high = F.greatest(F.lit(0), F.lit(first) - at), F.least((F.length("content") / self.record).cast("long") - 1, F.lit(last) - at)
+        held = self.files().filter(F.col("shard").between(first // self.per_shard, last // self.per_shard))
+        return held.filter(low <= high).select("shard", self._cut(low, high)).orderBy("slot")
+
+
+def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, tokenizer: str | None = None, codec: str = CODEC) -> Shards:
     """Write all documents (doc_id, text) to ``path`` in training order.
 
-    The table at ``path`` has one row per slot (shard, slot, doc_id, piece,
-    n_tokens, ids), where ids is 2 * stride bytes, padded with the end id; its
-    files are slot ranges, sorted.  Null and empty texts give one sequence that
-    holds the end id alone; rows with equal or null doc_id are kept each.
-    Returns the written table.
+    A record is ``stride`` ids, padded with the end id.  Null and empty texts give
+    one sequence that holds the end id alone; rows with equal or null doc_id are
+    kept each; no documents give no shard.  Further columns are ignored.
     """
-    spark = docs.sparkSession
-    cut = stage(docs.select("doc_id", "text").mapInArrow(_sequences(tokenizer, stride), "doc_id long, piece int, n_tokens int, ids binary, task int, nth long"), "shards-cut")
-    tasks = cut.groupBy("task").agg(F.count("*").alias("n"))
+    spark, width = docs.sparkSession, id_bytes(tokenizer)
+    kinds = "doc_id long, piece int, n_tokens int, task int, nth long, ids binary"
+    cut = stage(docs.select("doc_id", "text").mapInArrow(_sequences(tokenizer, stride, width), kinds), "shards-cut")
+    tasks = stage(cut.groupBy("task").agg(F.count("*").alias("n")), "shards-tasks")  # a row a task
+    n = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    base = stage(tasks.select("task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards-bases")
-    n = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    numbered = cut.join(broadcast_if_small(base.select("task", "base")), "task").withColumn("number", F.col("base") + F.col("nth"))
-    placed = numbered.select("doc_id", "piece", "n_tokens", "ids", "number").mapInArrow(_slots(n, key), "doc_id long, piece int, n_tokens int, ids binary, slot long")
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long"))
-    pad = np.array([END], _ID).tobytes().hex()
-    padding = F.unhex(F.repeat(F.lit(pad), F.lit(stride) - F.col("n_tokens")))
+    base = stage(tasks.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards-bases")
+    numbered = cut.join(broadcast_if_small(base), "task").withColumn("slot", slot_of(F.col("base") + F.col("nth"), n, key))
+    numbered.select("slot", "doc_id", "piece", "n_tokens").write.option("compression", "zstd").parquet(f"{path}/slots")
     shards = ceil(n / per_shard)
-    files = max(1, min(shards, max(ceil(2 * stride * n / FILE_BYTES), spark.sparkContext.defaultParallelism)))
-    ready = placed.repartitionById(files, F.floor(F.col("shard") * files / max(shards, 1)).cast("int")).sortWithinPartitions("slot").select("shard", "slot", "doc_id", "piece", "n_tokens", F.concat("ids", padding).alias("ids"))
-    ready.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
-def read_slots(spark: SparkSession, path: str, first: int, count: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Slots first .. first + count - 1 in order: where a reader resumes.  The
-    range is pushed down to the files' slot statistics."""
-    last = first + count - 1
-    rows = spark.read.parquet(path).filter(F.col("shard").between(first // per_shard, last // per_shard) & F.col("slot").between(first, last))
-    return rows.orderBy("slot")
+    tasks_ = max(1, min(shards, max(ceil(stride * width * n / TASK_BYTES), spark.sparkContext.defaultParallelism)))
+    pad = np.array([END], f"<u{width}").tobytes().hex()
+    record = F.concat("ids", F.unhex(F.repeat(F.lit(pad), F.lit(stride) - F.col("n_tokens")))).cast("string")
+    placed = numbered.select(F.floor(F.col("slot") / per_shard).cast("long").alias("shard"), "slot", "ids", "n_tokens")
+    placed = placed.repartitionById(tasks_, F.floor(F.col("shard") * tasks_ / max(shards, 1)).cast("int")).sortWithinPartitions("shard", "slot")
+    placed.select("shard", record.alias("value")).write.partitionBy("shard").option("compression", codec).option("zlib.compress.level", "BEST_SPEED").text(f"{path}/shards")
+    out = Shards(spark, path, stride, per_shard, width)
+    files = out.files() if n else spark.createDataFrame([], "shard long, content binary")
+    size = F.length("content").cast("long")
+    rows = files.select("shard", (F.col("shard") * per_shard).alias("first_slot"), (size / out.record).cast("long").alias("slots"), size.alias("bytes"), F.crc32("content").alias("crc32"))
+    rows.write.parquet(f"{path}/manifest")
+    return out
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in training order; the rows are digested from the written shards."""
-    import uuid
+    """All documents in training order; the ids are read back from the shard files."""
+    from uuid import uuid4
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    table = write_shards(docs, f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}")
-    return table.select("doc_id", "piece", "slot", "shard", (F.col("slot") % PER_SHARD).alias("place"), "n_tokens", F.length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
+    shards = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch_dir(spark)}/shards-{uuid4().hex}")
+    stored = shards.records().select("shard", "slot", F.length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
+    found = stored.join(shards.slots(), "slot")
+    return found.select("doc_id", "piece", "slot", "shard", (F.col("slot") % PER_SHARD).alias("place"), "n_tokens", "n_bytes", "ids_crc32")

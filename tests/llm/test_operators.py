@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import chunks, configlp, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards, tokens
+from tallyshelf.llm import configlp, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, task string, hash string, band string"
 
@@ -159,36 +159,6 @@ def test_neighbours_are_exact_here(spark):
     assert onebit.search(df.filter("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
 
 
-# 6
-
-
-def test_chunks(spark):
-    shared = [prose(900 + k, 8) for k in range(12)]
-    long = prose(5, 60)
-    texts = ["\n".join([prose(k, 7), *shared, prose(50 + k, 7), long]) for k in range(6)] + [None, "", "\n\n", prose(3, 4), shared[0]]
-    df = docs(spark, *texts)
-    got = {r.doc_id: r for r in chunks.dedup_lines(df, counted=True).collect()}
-    first, want = {}, {}
-    for i, t in enumerate(texts):
-        lines, keep = (t or "").split("\n"), []
-        for at, n, removable in chunks.split_chunks(t) if t else []:
-            part = lines[at : at + n]
-            if not removable or not any(part) or first.setdefault("\n".join(part), (i, at)) == (i, at):
-                keep += part
-        want[i] = t if not t else "\n".join(keep)
-    assert {i: r.text for i, r in got.items()} == want
-    assert got[0]._removed == 0 and got[3]._removed > 6 and long not in got[3].text and shared[0] == got[10].text
-    assert chunks.dedup_lines(df).columns == df.columns
-    assert chunks.dedup_lines(docs(spark)).count() == 0
-
-
-def test_boundaries_follow_content():
-    lines = [prose(k, 6) for k in range(40)]
-    inner = lambda t: {tuple(t.split("\n")[a : a + n]) for a, n, _ in chunks.split_chunks(t)}
-    a, b = inner("\n".join(lines)), inner("\n".join(["new", *lines]))
-    assert len(a & b) >= len(a) - 2
-
-
 # 7
 
 
@@ -261,13 +231,45 @@ def test_rollup(spark, tmp_path):
     assert store.totals().count() == 0
     base = docs(spark, "one two", "three", None, "four", ids=[1, 2, 3, None], sources=["a", "a", None, "a"])
     assert store.apply("1", inserts=base) and not store.apply("1", inserts=base)
-    store.apply("2", deletes=spark.createDataFrame([(2,), (99,)], "doc_id long"), revisions=docs(spark, "one", "none", ids=[1, 98]))
-    (tmp_path / "r" / "batch=3").mkdir()  # a batch that failed half-way
+    store.apply("2", deletes=spark.createDataFrame([(2,), (99,)], "doc_id long"), revisions=docs(spark, "one", "none", "gone", ids=[1, 98, 2]))
+    (tmp_path / "r" / "data" / "half").mkdir()  # a batch that failed half-way
     n = lambda t: len(tokens.encoder().encode(t)) // 4
-    got = {(r.source, r.documents, r.tokens) for r in store.totals().collect()}
-    assert got == {("a", 1, n("four")), ("s", 1, n("one")), (None, 1, 0)}
+    want = {("a", 1, n("four")), ("s", 1, n("one")), (None, 1, 0)}
+    got = lambda: {(r.source, r.documents, r.tokens) for r in store.totals().collect()}
+    assert got() == want
+    store.compact()
+    assert got() == want and store.committed() == ["1", "2"] and not store.apply("2", inserts=base)
+    assert store._read("ledger", store._log()[1]).count() == 3
     store.apply("3", deletes=spark.createDataFrame([(1,), (3,)], "doc_id long"))
-    assert [(r.source, r.documents, r.tokens) for r in store.totals().collect()] == [("a", 1, n("four"))]
+    assert got() == {("a", 1, n("four"))}
+
+
+def test_of_two_writers_one_starts_over(spark, tmp_path):
+    store = rollup.TokenRollup(spark, str(tmp_path / "r"), lambda d: rollup.bpe_counts(d, "v1"))
+    other, change, late = rollup.TokenRollup(spark, store.path, store.count), store._change, []
+
+    def slow(entries, *args):
+        made = change(entries, *args)
+        if not late:
+            late.append(other.apply("first", inserts=docs(spark, "one", ids=[1])))
+        return made
+
+    store._change = slow
+    assert store.apply("second", deletes=spark.createDataFrame([(1,)], "doc_id long"))
+    assert store.committed() == ["first", "second"] and store.totals().count() == 0
+
+
+def test_rollup_query(spark, sf):
+    docs_, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    toxic, low, e = set(labels.doc_id[labels.toxic == 1]), set(labels.doc_id[labels.quality == 0]), tokens.encoder()
+    want = {}
+    for r in docs_.itertuples():
+        if r.doc_id not in toxic:
+            text = "\n".join(dict.fromkeys(r.text.split("\n"))) if r.doc_id in low else r.text
+            held = want.setdefault((r.source, r.lang), [0, 0])
+            held[0] += 1
+            held[1] += len(e.encode(text)) // 4
+    assert {(r.source, r.lang): [r.documents, r.tokens] for r in rollup.op9(spark, sf).collect()} == want
 
 
 # 10
@@ -281,16 +283,35 @@ def test_feistel_is_a_bijection():
 
 def test_shards_round_trip(spark, tmp_path):
     texts = [prose(k, k) for k in range(40)] + [None, ""]
-    path = str(tmp_path / "s")
-    rows = shards.write_shards(docs(spark, *texts).repartition(3), path, stride=16, per_shard=8).toPandas()
-    assert sorted(rows.slot) == list(range(len(rows))) and (rows.ids.map(len) == 32).all() and (rows.shard == rows.slot // 8).all()
+    zipped = shards.write_shards(docs(spark, *texts), str(tmp_path / "z"), stride=16, per_shard=8)
+    out = shards.write_shards(docs(spark, *texts).repartition(3), str(tmp_path / "s"), stride=16, per_shard=8, codec="none")
+    assert sorted(zipped.records().select("slot").collect()) == sorted(out.records().select("slot").collect())
+    assert [r.slot for r in zipped.read(3, 9).collect()] == list(range(3, 12))
+    rows = out.records().join(out.slots(), "slot").toPandas()
+    n = len(rows)
+    assert sorted(rows.slot) == list(range(n)) and (rows.ids.map(len) == 32).all() and (rows.shard == rows.slot // 8).all()
     e = tokens.encoder()
     for i, t in enumerate(texts):
         p = rows[rows.doc_id == i].sort_values("piece")
-        ids = np.concatenate([np.frombuffer(x, "<u2")[:n] for x, n in zip(p.ids, p.n_tokens, strict=True)])
+        ids = np.concatenate([np.frombuffer(x, "<u2")[:k] for x, k in zip(p.ids, p.n_tokens, strict=True)])
         assert ids.tolist() == [*np.frombuffer(e.encode(t), np.uint32).tolist(), 2]
-    assert [r.slot for r in shards.read_slots(spark, path, 5, 12, 8).collect()] == list(range(5, 17))
-    assert shards.write_shards(docs(spark), str(tmp_path / "e")).count() == 0
+    assert [r.slot for r in out.read(5, 12).collect()] == list(range(5, 17)) and [r.slot for r in out.read(n - 2, 12).collect()] == [n - 2, n - 1]
+    by = {r.slot: bytes(r.ids) for r in out.records().collect()}
+    for m in out.manifest().collect():  # plain files: a seek finds a slot
+        (file,) = (tmp_path / "s" / "shards" / f"shard={m.shard}").glob("*.txt")
+        held = file.read_bytes()
+        assert (m.first_slot, m.slots, m.bytes, m.crc32) == (8 * m.shard, len(held) // 33, len(held), crc32(held))
+        assert all(held[33 * k : 33 * k + 32] == by[m.first_slot + k] for k in range(m.slots))
+    assert shards.write_shards(docs(spark), str(tmp_path / "e")).manifest().count() == 0
+
+
+def test_wide_ids_take_four_bytes(tmp_path):
+    import json
+
+    held = json.loads(open(tokens.default_path(), encoding="utf-8").read())
+    held["added_tokens"][0]["id"] = 1 << 16
+    (tmp_path / "v.json").write_text(json.dumps(held))
+    assert (shards.id_bytes(), shards.id_bytes(str(tmp_path / "v.json"))) == (2, 4)
 
 
 def test_pipeline(spark, sf):
