@@ -1,4 +1,5 @@
-"""Arrow batches in slices, so that a worker holds few texts as Python objects."""
+"""Arrow batches in slices, so that a worker holds few texts as Python objects, and
+names for helper columns."""
 
 from __future__ import annotations
 
@@ -17,3 +18,15 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, ROWS):
             yield batch.slice(at, ROWS)
     pa.default_memory_pool().release_unused()
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as set it apart from the
+    columns ``taken`` (Spark's names ignore case)."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        low.add(name)
+        out.append(name)
+    return out
