@@ -7,12 +7,14 @@ Words are runs of bytes other than ASCII white space.  A text's chunks are
   LONG - SEED + 1 neighbours, so that places follow the content, survive shifts,
   and every LONG words hold at least one, however long the line is.
 
-Chunk hashes are grouped over all texts.  A chunk that occurs before, by doc_id
-and place, is the seed of a passage: its bytes and those of its first occurrence
-are compared, and so are the words before and after it, up to LONG to each side.
-The equal words are removed if they are LONG or more; of fewer, the whole lines
-are removed if they are two or more.  Nothing is removed without an equal
-passage in an earlier place.
+Chunk hashes are grouped over all texts.  A chunk that occurs before is the seed
+of a passage: its bytes and those of an earlier occurrence are compared, and so
+are the words before and after it, up to LONG to each side.  The earlier one is
+the last in the same text that lies LONG words or more before (of a line pair: as
+many words as it has), else the first of all texts, by doc_id and place.  The
+equal words are removed if they are LONG or more; of fewer, the whole lines are
+removed if they are two or more.  Nothing is removed without an equal passage in
+an earlier place.
 """
 
 from __future__ import annotations
@@ -132,23 +134,54 @@ def clusters(first_doc: np.ndarray, first_h: np.ndarray, delta: np.ndarray, at:
     return [(int(a[i]), int(reach[j - 1]), order[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
+def earlier(own: np.ndarray, group: np.ndarray, first_at: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the chunks of one text: the place of the last equal chunk (same group) in
+    the text that is far enough before (-1: none); ``own`` says whose first
+    occurrence is in this text, too.  And which are to be compared with it."""
+    heads = np.flatnonzero(own)
+    held = np.unique(np.concatenate([group, group[heads]]) * (1 << 40) + np.concatenate([at, first_at[heads]]))
+    wanted = group * (1 << 40) + at - np.where(n == SEED, LONG, n)
+    k = np.searchsorted(held, wanted, side="right") - 1
+    found = held[np.maximum(k, 0)]
+    return np.where((k >= 0) & (found >> 40 == group), found & ((1 << 40) - 1), -1), ~own
+
+
+#: Passages found in the text itself have no first_doc; low and delta are their
+#: first word and their words.
 _SEEDS = "doc_id long, h long, low long, bytes binary, first_doc long, first_h long, first_low long, first_high long, delta long, seeds array<long>, opens boolean, closes boolean"
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around the repeated chunks of a text, a row a cluster, and the
-    range of words of the earlier text that they are compared with."""
+    """Passages that repeat in one text; and the bytes around the chunks that others
+    hold, a row a cluster, with the range of words they are compared with."""
     for batch in slices(batches):
         rows = []
         for doc, h, text, found in zip(*(batch.column(c) for c in ("doc_id", "h", "text", "found")), strict=True):
-            data = text.as_py().encode("utf-8", "surrogatepass")
+            data, doc, h = text.as_py().encode("utf-8", "surrogatepass"), doc.as_py(), h.as_py()
             starts, ends = words(data)
-            of, oh, delta, place = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("first_doc", "first_h", "delta", "place"))
-            for low, high, mine in clusters(of, oh, delta, place >> 6, place & 63):
-                d = int(delta[mine[0]])
+            of, oh, fp, place = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("first_doc", "first_h", "first_place", "place"))
+            at, n, first_at = place >> 6, place & 63, fp >> 6
+            order = np.lexsort((fp, oh, of))
+            group = np.empty(len(order), np.int64)
+            group[order] = np.cumsum(np.append(False, (np.diff(of[order]) != 0) | (np.diff(oh[order]) != 0) | (np.diff(fp[order]) != 0)))
+            before, others = earlier((of == doc) & (oh == h), group, first_at, at, n)
+            inner = np.flatnonzero(before >= 0)
+            opens = lambda k: k == 0 or b"\n" in data[ends[k - 1] : starts[k]]  # noqa: B023, E731
+            zero = np.zeros(len(inner), np.int64)
+            for low, high, mine in clusters(zero, zero, (at - before)[inner], at[inner], n[inner]):
+                mine = inner[mine]
+                d = int(at[mine[0]] - before[mine[0]])
+                low, high = max(low, d), min(high, len(starts))
+                a, b = ((data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in ((low, high), (low - d, high - d)))
+                seeds = list(zip((at[mine] - low).tolist(), n[mine].tolist(), strict=True))
+                rows += [(doc, h, low + k, None, None, None, None, None, size, None, None, None) for k, size in common(*a, *b, 0, seeds, opens(low), high == len(starts) or opens(high))]
+            outer = np.flatnonzero((before < 0) & others)
+            for low, high, mine in clusters(of[outer], oh[outer], (at - first_at)[outer], at[outer], n[outer]):
+                mine = outer[mine]
+                d = int(at[mine[0]] - first_at[mine[0]])
                 low, high = max(low, 0, d), min(high, len(starts))
-                part = data[starts[low] : ends[high - 1]]
-                rows.append((doc.as_py(), h.as_py(), low, part, int(of[mine[0]]), int(oh[mine[0]]), (low - d) // RANGE * RANGE, -(-(high - d) // RANGE) * RANGE, d, place[mine], low == 0 or b"\n" in data[ends[low - 1] : starts[low]], high == len(starts) or b"\n" in data[ends[high - 1] : starts[high]]))
+                range_ = ((low - d) // RANGE * RANGE, -(-(high - d) // RANGE) * RANGE)
+                rows.append((doc, h, low, data[starts[low] : ends[high - 1]], int(of[mine[0]]), int(oh[mine[0]]), *range_, d, place[mine], opens(low), high == len(starts) or opens(high)))
         kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.bool_(), pa.bool_()]
         columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _SEEDS.split(", ")])
@@ -170,11 +203,10 @@ def _earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=[c.split()[0] for c in _EARLIER.split(", ")])
 
 
-def common(a: bytes, b: bytes, shift: int, seeds: list[tuple[int, int]], opens: bool, closes: bool) -> list[tuple[int, int]]:
-    """(first word, words) of ``a`` to remove.  ``seeds`` are chunks (first word,
-    words) of ``a``; word k of ``a`` lies with word k + shift of ``b``.  ``opens``
+def common(a: bytes, sa: np.ndarray, ea: np.ndarray, b: bytes, sb: np.ndarray, eb: np.ndarray, shift: int, seeds: list[tuple[int, int]], opens: bool, closes: bool) -> list[tuple[int, int]]:
+    """(first word, words) of ``a`` to remove.  ``sa`` and ``ea``, ``sb`` and ``eb``
+    are the words of both; ``seeds`` are chunks (first word, words) of ``a``; word k of ``a`` lies with word k + shift of ``b``.  ``opens``
     and ``closes`` say whether a line begins or ends where ``a`` does."""
-    (sa, ea), (sb, eb) = words(a), words(b)
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     out, done = [], -1
     runs: list[list[int]] = []  # first and end of the equal words, and of the seeds' reach
@@ -216,12 +248,16 @@ def common(a: bytes, b: bytes, shift: int, seeds: list[tuple[int, int]], opens:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    b, cut = None, ()
     for batch in slices(batches):
         rows = []
         for r in batch.to_pylist():
-            shift = r["low"] - r["delta"] - r["first_low"]
+            if r["first_bytes"] != b:  # rows come by their earlier text
+                b = r["first_bytes"]
+                cut = words(b)
             seeds = [((p >> 6) - r["low"], p & 63) for p in r["seeds"]]
-            rows += [(r["doc_id"], r["h"], at + r["low"], n) for at, n in common(r["bytes"], r["first_bytes"], shift, seeds, r["opens"], r["closes"])]
+            found = common(r["bytes"], *words(r["bytes"]), b, *cut, r["low"] - r["delta"] - r["first_low"], seeds, r["opens"], r["closes"])
+            rows += [(r["doc_id"], r["h"], at + r["low"], n) for at, n in found]
         columns = zip(*rows, strict=True) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "h", "at", "n"])
 
@@ -234,18 +270,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "place")).alias("f"), F.count("*").alias("c")).filter("c > 1")
     first = stage(first.select("hash", F.col("f.doc_id").alias("first_doc"), F.col("f.h").alias("first_h"), F.col("f.place").alias("first_place")), "chunks-first")
     again = found.join(broadcast_if_small(first), "hash")
-    own = (F.col("doc_id") == F.col("first_doc")) & (F.col("h") == F.col("first_h"))
-    at, n, first_at = F.shiftright("place", 6), F.col("place").bitwiseAND(63), F.shiftright("first_place", 6)
-    again = again.filter(~own | (at >= first_at + F.when(n == SEED, LONG).otherwise(n)))
-    seed = F.struct("first_doc", "first_h", (at - first_at).alias("delta"), "place")
+    again = again.filter("doc_id <> first_doc or h <> first_h or place <> first_place")
+    seed = F.struct("first_doc", "first_h", "first_place", "place")
     seeds = stage(again.select("doc_id", "h", seed.alias("s")).groupBy("doc_id", "h").agg(F.collect_set("s").alias("found")), "chunks-again")
     near = texts.join(broadcast_if_small(seeds), ["doc_id", "h"])
     near = stage(near.mapInArrow(_near, _SEEDS), "chunks-near")
-    wanted = near.select("first_doc", "first_h", F.struct("first_low", "first_high").alias("r")).groupBy("first_doc", "first_h").agg(F.collect_set("r").alias("ranges"))
+    apart = near.filter("first_doc is not null")
+    wanted = apart.select("first_doc", "first_h", F.struct("first_low", "first_high").alias("r")).groupBy("first_doc", "first_h").agg(F.collect_set("r").alias("ranges"))
     wanted = stage(wanted.select(F.col("first_doc").alias("doc_id"), F.col("first_h").alias("h"), "ranges"), "chunks-wanted")
-    earlier = texts.join(broadcast_if_small(wanted), ["doc_id", "h"]).mapInArrow(_earlier, _EARLIER).distinct()
-    both = near.join(earlier, ["first_doc", "first_h", "first_low", "first_high"])
-    return both.mapInArrow(_passages, "doc_id long, h long, at long, n long").distinct()
+    sources = texts.join(broadcast_if_small(wanted), ["doc_id", "h"]).mapInArrow(_earlier, _EARLIER).distinct()
+    found = apart.join(sources, ["first_doc", "first_h", "first_low", "first_high"]).mapInArrow(_passages, "doc_id long, h long, at long, n long")
+    inside = near.filter("first_doc is null").select("doc_id", "h", F.col("low").alias("at"), F.col("delta").alias("n"))
+    return found.union(inside).distinct()
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:

@@ -42,9 +42,15 @@ def brute(texts, ids=None):
     first, gone = {}, {i: [] for i in ids}
     for i, t in sorted((i, t) for i, t in zip(ids, texts, strict=True) if t):
         words, gaps, lines = parts[i]
+        places = {}
         for key, at, n in sorted(seeds(t, parts[i]), key=lambda s: s[1]):
             d, p = first.setdefault(key, (i, at))
-            if (d, p) == (i, at) or (d == i and at < p + (LONG if key[:1] == b"w" else n)):
+            here = places.setdefault(key, [])
+            here.append(at)
+            before = [x for x in here if x <= at - (LONG if key[:1] == b"w" else n)]
+            if before:
+                d, p = i, before[-1]
+            elif d == i:
                 continue
             other, og, _ = parts[d]
             a, b = at, at + n
