@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def slug(c: Column) -> Column:
     """Lower case, non-word characters out, white space and dashes to one dash."""
     out = F.regexp_replace(F.lower(c), r"[^a-z0-9\s_-]", "")
@@ -34,8 +39,8 @@ def network_key(c: Column) -> Column:
 
 
 def color_key(c: Column) -> Column:
-    """C4: lower case, no trailing "color" or "colour", single spaces."""
-    return squeeze(F.regexp_replace(F.lower(squeeze(c)), r"\s*colou?r\z", ""))
+    """C4: lower case, no final word "color", single spaces; "multicolor" stays."""
+    return squeeze(F.regexp_replace(F.lower(c), r"\s+color\s*\z", ""))
 
 
 def first_number(c: Column) -> Column:
@@ -83,53 +88,102 @@ def capacity_gb(c: Column) -> Column:
     return F.floor(gb + 0.5).cast("int")
 
 
-def display_inches(c: Column, most: float = 15.0, least: float = 6.0) -> Column:
-    """Inches, else centimetres over 2.54, within bounds, one decimal."""
-    inch = F.regexp_extract(c, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*(?:inch|inches|\"|”)", 1).try_cast("double")
-    cm = F.regexp_extract(c, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*cm", 1).try_cast("double") / 2.54
-    size = F.floor(F.coalesce(inch, cm) * 10 + 0.5) / 10
-    return F.when(size.between(least, most), size)
+def gigabytes(c: Column) -> Column:
+    """C8, plain dialect: the first number, as TB or MB if the text has these, else GB."""
+    n, low = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double"), F.lower(c)
+    return F.floor(F.when(low.contains("tb"), n * 1024).when(low.contains("mb"), n / 1024).otherwise(n) + 0.5).cast("int")
+
+
+def _bounded(size: Column, least: float, most: float) -> Column:
+    return F.when(size.between(least, most), F.floor(size * 10 + 0.5) / 10)
+
+
+def _number(c: Column, pattern: str) -> Column:
+    return F.regexp_extract(c, pattern, 1).try_cast("double")
+
+
+def display_inches(c: Column) -> Column:
+    """C9, Flipkart: the inches in brackets, else the first number, over 2.54 if the
+    text has cm and no inch; 6 to 15 inches, one decimal."""
+    low, first = F.lower(c), _number(c, r"(\d+\.?\d*)")
+    plain = F.when(low.contains("cm") & ~low.contains("inch"), first / 2.54).otherwise(first)
+    return F.coalesce(_bounded(_number(c, r"(?i)\((\d+\.?\d*)\s*inch\)"), 6, 15), _bounded(plain, 6, 15))
 
 
-def connectivity_type(c: Column, breadcrumb: Column | None = None) -> Column:
-    """C10: "Wi-Fi + Cellular" if a mobile network is named, "Wi-Fi" if only that."""
-    def of(x: Column) -> Column:
-        low = F.lower(x)
-        cell = low.rlike(r"cellular|[345]g\b|lte|sim|volte")
-        return F.when(cell, "Wi-Fi + Cellular").when(low.rlike(r"wi-?fi"), "Wi-Fi")
-    return of(c) if breadcrumb is None else F.coalesce(of(c), of(breadcrumb))
+def screen_inches(c: Column) -> Column:
+    """C9, Amazon: the first number, over 2.54 if its unit is cm; 6 to 20 inches."""
+    unit = F.lower(F.regexp_extract(c, r"(?i)\d+\.?\d*\s*(inch|inches|cm|centimetres?)?", 1))
+    first = _number(c, r"(\d+\.?\d*)")
+    return _bounded(F.when(unit.rlike("cm|centimetre"), first / 2.54).otherwise(first), 6, 20)
+
+
+def connectivity_type(c: Column, breadcrumb: Column) -> Column:
+    """C10, Flipkart: the named networks; else by the call facility of the fourth
+    breadcrumb; else Wi-Fi alone."""
+    crumb = F.lower(F.get(breadcrumb, 3))
+    return (
+        F.when(c.isin("Wi-Fi+5G", "Wi-Fi+4G", "Wi-Fi+3G", "Wi-Fi Only"), c)
+        .when(c.isin("4G", "3G"), F.concat(F.lit("Wi-Fi+"), c))
+        .when(crumb.contains("with call facility"), "Wi-Fi+Cellular")
+        .otherwise("Wi-Fi Only")
+    )
+
+
+def connectivity_kind(c: Column) -> Column:
+    """C10, Amazon: cellular or Wi-Fi where the text says so, else the text."""
+    low = F.lower(c)
+    return F.when(low.rlike("cellular|5g|4g"), "Wi-Fi + Cellular").when(low.rlike("wi-fi|wifi"), "Wi-Fi Only").otherwise(c)
 
 
 def stock_status(c: Column) -> Column:
     """C11: from availability text; null counts as in stock."""
     low = F.lower(c)
     return (
-        F.when(low.isNull(), "in_stock")
-        .when(low.rlike("out of stock|unavailable|sold out|not in stock"), "out_of_stock")
-        .when(low.rlike("limited|few left|only [0-9]+ left|hurry"), "limited_stock")
-        .when(low.rlike("pre-?order"), "pre_order")
-        .when(low.rlike("discontinued"), "discontinued")
+        F.when(low.rlike("out of stock|unavailable"), "out_of_stock")
+        .when(low.rlike("limited|few left"), "limited_stock")
+        .when(low.rlike("pre-order|coming soon"), "pre_order")
         .otherwise("in_stock")
     )
 
 
 #: Brand spellings that are standardised.
-BRAND_NAMES = {"mi": "Xiaomi", "moto": "Motorola", "oneplus": "OnePlus", "iqoo": "iQOO", "realme": "realme", "poco": "POCO", "redmi": "Redmi", "vivo": "vivo", "oppo": "OPPO", "samsung": "Samsung", "apple": "Apple", "xiaomi": "Xiaomi", "motorola": "Motorola", "nokia": "Nokia", "google": "Google", "nothing": "Nothing", "infinix": "Infinix", "tecno": "Tecno", "lava": "Lava", "honor": "HONOR", "lenovo": "Lenovo", "itel": "itel", "asus": "ASUS"}
-#: What is no brand or model.
-NOT_A_NAME = ("na", "n/a", "not available", "none", "null", "unknown", "generic", "others", "-")
+BRAND_NAMES = {
+    "samsung": "Samsung", "apple": "Apple", "xiaomi": "Xiaomi", "redmi": "Redmi", "oneplus": "OnePlus", "one plus": "OnePlus", "realme": "Realme", "vivo": "Vivo",
+    "oppo": "Oppo", "poco": "POCO", "tecno": "Tecno", "motorola": "Motorola", "moto": "Motorola", "nokia": "Nokia", "nothing": "Nothing",
+}
+#: What is no model name.
+NOT_A_MODEL = ("product information", "mobile phone information", "smartphone", "mobile phone", "phone", "mobile")
+#: Brands that a title may start with.
+TITLE_BRANDS = (
+    "Apple", "Samsung", "Redmi", "Realme", "OnePlus", "POCO", "Vivo", "Tecno", "Google", "Infinix", "Nothing", "Motorola", "Nokia", "Huawei", "Honor", "Asus", "Lenovo", "HTC", "Sony", "LG",
+    "BlackBerry", "ZTE", "Alcatel", "Gionee", "Micromax", "Lava", "Intex", "Karbonn", "iBall", "Xolo", "Spice", "Videocon", "Onida", "BPL", "Godrej", "Panasonic", "Sharp", "Toshiba", "Philips",
+    "Sanyo", "Hitachi", "Daewoo", "Hyundai", "Sansui", "Akai", "Bush", "Goodmans", "Grundig", "Loewe", "Metz", "Nordmende", "Telefunken", "Thomson", "Vestel", "Wharfedale", "Yamaha", "Denon",
+    "Marantz", "Onkyo", "Pioneer", "Technics", "JVC", "Kenwood",
+)
+#: Shapes of manufacturers' numbers, in any case.
+MODEL_NUMBERS = (r"[A-Z]{2,4}\d{3,4}[A-Z]*", r"[A-Z]{2,3}-[A-Z0-9]{5,}", r"[A-Z]\d{2,4}[A-Z]{0,2}", r"[A-Z]{1,2}\d{1,3}[A-Z]?", r"[A-Z]+\d+[A-Z]*")
 
 
 def standard_brand(c: Column) -> Column:
-    """The standard spelling; unknown brands stay as they are, non-names are null."""
+    """The standard spelling; other brands stay as they are, empty ones are null."""
     names = F.create_map(*(F.lit(x) for pair in BRAND_NAMES.items() for x in pair))
-    low = F.lower(squeeze(c))
-    return F.when(low.isin(*NOT_A_NAME) | (low == ""), None).otherwise(F.coalesce(F.try_element_at(names, low), squeeze(c)))
+    return F.nullif(F.coalesce(F.try_element_at(names, F.lower(c)), c), F.lit(""))
+
+
+def clean_model(c: Column) -> Column:
+    """Without bracketed parts and what follows the last comma; empty is null."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", ""), r",[^,]*\z", " ")
+    return F.nullif(squeeze(bare), F.lit(""))
+
+
+def is_model_name(c: Column) -> Column:
+    """Two characters or more and no general term."""
+    return (F.length(squeeze(c)) >= 2) & ~F.lower(squeeze(c)).isin(*NOT_A_MODEL)
 
 
 def is_model_number(c: Column) -> Column:
     """Shaped like a manufacturer's number rather than a name."""
-    shapes = (r"^[A-Z]{2,4}\d{3,5}[A-Z]?$", r"^SM-[A-Z]\d{3,4}[A-Z]{0,2}(/\w+)?$", r"^[A-Z]\d{4}$", r"^\d{4,6}[A-Z]{2,}\d*[A-Z]*$", r"^M[A-Z0-9]{3,4}[0-9A-Z]HN/A$")
-    return reduce(lambda a, b: a | b, (squeeze(c).rlike(s) for s in shapes))
+    return squeeze(c).rlike(r"(?i)^(" + "|".join(MODEL_NUMBERS) + r")\z")
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -140,35 +194,59 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def without_brand(model: Column, brand: Column) -> Column:
-    """The model without a leading brand (any case) and a final 5G."""
-    low = F.lower(squeeze(model))
-    head = F.concat(F.lower(squeeze(brand)), F.lit(" "))
-    rest = F.when(low.startswith(head), F.substring(squeeze(model), F.length(head) + 1, F.length(model))).otherwise(squeeze(model))
-    return F.regexp_replace(rest, r"(?i)\s+5G\z", "")
+    """The model without a leading brand in any case, spelled as it is, without
+    spaces, or by its first word; a model that is nothing else stays."""
+
+    def strip(x: Column) -> Column:
+        out = F.when(x["model"].isNull() | (F.coalesce(x["brand"], F.lit("")) == ""), x["model"])
+        for name in (x["brand"], F.regexp_replace(x["brand"], " ", ""), F.split(x["brand"], " ")[0]):
+            rest = squeeze(F.substring(x["model"], F.length(name) + 1, F.length(x["model"])))
+            out = out.when(F.lower(x["model"]).startswith(name) & (rest != ""), rest)
+        return out.otherwise(x["model"])
+
+    return let(F.struct(squeeze(model).alias("model"), F.lower(squeeze(brand)).alias("brand")), strip)
+
+
+def without_5g(model: Column) -> Column:
+    """The model without a final 5G."""
+    return squeeze(F.regexp_replace(model, r"(?i)\s*5g\s*\z", ""))
 
 
 def title_brand(title: Column) -> Column:
-    """The known brand that a title starts with."""
-    names = "|".join(sorted(BRAND_NAMES, key=len, reverse=True))
-    return standard_brand(F.nullif(F.regexp_extract(title, rf"(?i)^\s*({names})\b", 1), F.lit("")))
+    """The known brand that a title starts with, as written there."""
+    return F.nullif(F.regexp_extract(squeeze(title), rf"(?i)^({'|'.join(TITLE_BRANDS)})\b", 1), F.lit(""))
 
 
 def title_model(title: Column) -> Column:
-    """What follows the brand, up to a bracket, comma, dash or capacity."""
-    rest = F.regexp_replace(title, r"(?i)^\s*(" + "|".join(sorted(BRAND_NAMES, key=len, reverse=True)) + r")\s+", "")
-    return F.nullif(squeeze(F.regexp_replace(rest, r"(?i)\s*([(,|]| - | \d+\s*(GB|TB)\b).*$", "")), F.lit(""))
+    """What follows the brand up to a capacity, comma or "Mobile Phone", with
+    the 5G that the title has elsewhere; null without a known brand."""
+    names, fast = "|".join(TITLE_BRANDS), r"(?i)\b5G\b"
+    found = F.regexp_extract(squeeze(title), rf"(?i)^(?:{names})\s+(.+?)(?=\s+\d+(?:\.\d+)?\s*(?:GB|TB)\b|\s*,|\s+Mobile Phone\b|\z)", 1)
+
+    def whole(model: Column) -> Column:
+        model = F.when(title.rlike(fast) & ~model.rlike(fast), F.concat(model, F.lit(" 5G"))).otherwise(model)
+        return squeeze(F.regexp_replace(model, r"[\s\-,:]+\z", ""))
+
+    return let(F.nullif(found, F.lit("")), whole)
+
 
+def image_url(url: Column, store: str) -> Column:
+    """C17: the full-size address of a picture."""
+    if store == "amazon":
+        return F.regexp_replace(F.regexp_replace(url, r"_(SX|SY)\d+_", ""), r"\.{2,}", ".")
+    if store == "flipkart":
+        return F.regexp_replace(url, r"(?s)^(.*?)/\d+/\d+/", "$1/845/845/")
+    if store == "reliance":
+        return F.regexp_replace(url, r"(?s)^(.*?)resize-w:\d+", "$1original")
+    return F.when(~url.contains("video_thumbnail"), url)
 
-def image_urls(urls: Column, store: str) -> Column:
-    """C17: full-size, distinct product pictures; video thumbnails dropped."""
-    change = {
-        "amazon": lambda u: F.regexp_replace(u, r"\._[^./]+_\.", "."),
-        "flipkart": lambda u: F.regexp_replace(F.regexp_replace(u, r"/image/\d+/\d+/", "/image/832/832/"), r"\?q=\d+$", "?q=70"),
-        "croma": lambda u: F.regexp_replace(u, r"\?.*$", ""),
-        "reliance": lambda u: F.when(u.startswith("/"), F.concat(F.lit("https://www.reliancedigital.in"), u)).otherwise(u),
-    }.get(store, lambda u: u)
-    good = F.filter(urls, lambda u: u.isNotNull() & (u != "") & ~F.lower(u).rlike("video|play-button|youtube"))
-    return F.array_distinct(F.transform(good, change))
+
+def image_urls(urls: Column, store: str, main: Column | None = None) -> Column:
+    """C17: full-size, distinct pictures in order, but for the main one where it is
+    given; of Croma no video thumbnails; null lists are empty."""
+    found = F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: image_url(F.nullif(u, F.lit("")), store))
+    good = F.array_distinct(F.filter(found, lambda u: u.isNotNull()))
+    return good if main is None else F.filter(good, lambda u: ~u.eqNullSafe(image_url(main, store)))
 
 
 def pixels_per_inch(resolution: Column, inches: Column) -> Column:
@@ -189,9 +267,10 @@ CURRENCY_SIGNS = {"INR": "₹", "USD": "$", "EUR": "€", "GBP": "£"}
 
 
 def formatted_price(price: Column, currency: Column) -> Column:
-    """Sign (or code) and the price with thousands separators."""
+    """Sign (or code) and the price as a number prints, without grouping."""
     signs = F.create_map(*(F.lit(x) for pair in CURRENCY_SIGNS.items() for x in pair))
-    return F.concat(F.coalesce(F.try_element_at(signs, currency), F.concat(currency, F.lit(" "))), F.format_number(price.cast("double"), 2))
+    number = F.regexp_replace(F.regexp_replace(price.cast("decimal(38,10)").cast("string"), r"0+\z", ""), r"\.\z", "")
+    return F.concat(F.coalesce(F.try_element_at(signs, currency), currency), number)
 
 
 def total_cost(price: Column, shipping: Column) -> Column:
@@ -199,10 +278,16 @@ def total_cost(price: Column, shipping: Column) -> Column:
     return price + F.coalesce(shipping, F.lit(0))
 
 
-def network_variant(model: Column, title: Column) -> Column:
-    """C20: the model with the network named in the title, if it names one."""
-    net = F.upper(F.regexp_substr(title, F.lit(r"(?i)\b[45]g\b")))
-    return F.when(model.rlike(r"(?i)\b[45]g\b") | net.isNull(), model).otherwise(F.concat_ws(" ", model, net))
+def network_names(model: Column, title: Column, network: Column) -> Column:
+    """C20: (model_name, model_name_with_5g).  A model that names 4G or 5G gives its
+    form without; else title, then network field, then 5G give the form with."""
+    base = clean_model(model)
+    five, four = (rf"(?i)\b{n}g\b" for n in (5, 4))
+    said = lambda pattern: F.coalesce(title.rlike(pattern), F.lit(False)) | F.coalesce(network.rlike(pattern), F.lit(False))
+    once = lambda pattern: squeeze(F.regexp_replace(base, r"(?s)^(.*?)" + pattern.replace("(?i)", "(?i:") + ")", "$1"))
+    bare = F.when(base.rlike(five), once(five)).when(base.rlike(four), once(four))
+    with_ = F.when(bare.isNotNull(), base).otherwise(F.concat(base, F.when(~said(five) & said(four), " 4G").otherwise(" 5G")))
+    return F.struct(F.coalesce(F.nullif(bare, F.lit("")), base).alias("model_name"), with_.alias("model_name_with_5g"))
 
 
 def url_or_placeholder(url: Column, store: Column, key: Column) -> Column:
@@ -210,10 +295,14 @@ def url_or_placeholder(url: Column, store: Column, key: Column) -> Column:
     return F.coalesce(F.nullif(url, F.lit("")), F.concat(F.lit("https://"), slug(store), F.lit(".example/"), key.cast("string")))
 
 
-def breadcrumb_model(breadcrumb: Column, model: Column) -> Column:
-    """iPhone 16 breadcrumbs override the model."""
-    hit = F.regexp_substr(F.array_join(breadcrumb, " "), F.lit(r"(?i)iPhone 16( Pro Max| Pro| Plus|e)?"))
-    return F.coalesce(hit, model)
+#: The breadcrumb of smartphones.
+SMARTPHONE_CRUMBS = ("Electronics", "Mobiles & Accessories", "Smartphones & Basic Mobiles", "Smartphones")
+
+
+def title_breadcrumb(title: Column, breadcrumb: Column) -> Column:
+    """Titles that name an iPhone 16 set the breadcrumb; null ones are empty."""
+    fixed = F.array(*(F.lit(c) for c in SMARTPHONE_CRUMBS))
+    return F.when(F.lower(title).rlike(r"iphone(\s*|-|_)16"), fixed).otherwise(F.coalesce(breadcrumb, F.array().cast("array<string>")))
 
 
 def amazon_key(url: Column) -> Column:

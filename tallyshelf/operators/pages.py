@@ -129,10 +129,15 @@ def related_links(pages: DataFrame, seen: DataFrame, max_per_page: int, pattern:
 
 
 def default_categories(title: Column) -> Column:
-    """A breadcrumb by keyword where none was found."""
+    """A breadcrumb by keyword where none was found; empty without a title."""
     low = F.lower(title)
-    make = lambda *names: F.array(*(F.lit(n) for n in ("Electronics", *names)))
-    return F.when(low.rlike("tablet|ipad"), make("Tablets")).when(low.rlike("phone|mobile|galaxy|redmi"), make("Mobiles & Accessories", "Smartphones")).when(low.rlike("laptop|notebook"), make("Computers", "Laptops")).when(low.rlike("watch"), make("Wearables")).otherwise(make("Others"))
+    make = lambda *names: F.array(*(F.lit(n) for n in names)).cast("array<string>")
+    return (
+        F.when(F.coalesce(title, F.lit("")) == "", make())
+        .when(low.rlike("phone|mobile"), make("Electronics", "Mobile Phones"))
+        .when(low.rlike("laptop|computer|tablet"), make("Electronics", "Computers"))
+        .otherwise(make("Electronics"))
+    )
 
 
 #: What error pages say.

@@ -159,24 +159,37 @@ def reconcile_identifiers(df: DataFrame) -> DataFrame:
     """Brand, model_name, model_number and needs_manual_review from
     spec_brand, spec_model, title_brand and title_model.
 
-    A missing side gives way to the other; at 90 % similarity the longer stays;
-    else the title's stays and the record is flagged, but for a Redmi or POCO
-    title brand.  A spec model shaped like a model number becomes model_number.
+    A missing side gives way to the other.  Brands: a Redmi or POCO title wins; at
+    90 % similarity the longer stays, ties to the specification; else the title's
+    stays and the record is flagged.  Models: a specification that is shaped like
+    a model number gives way to the title's; brand and 5G are left out for the
+    comparison alone; at 90 % the more informative one stays (10 a word and its
+    length, ties to the specification), else the title's, flagged.
     """
-    number = F.when(rules.is_model_number(F.col("spec_model")), rules.squeeze(F.col("spec_model")))
-    spec_brand, title_brand = rules.standard_brand(F.col("spec_brand")), rules.standard_brand(F.col("title_brand"))
-    sub = title_brand.isin("Redmi", "POCO")
-    spec_model = F.when(number.isNull(), rules.without_brand(F.col("spec_model"), F.coalesce(F.when(sub, title_brand), spec_brand, F.lit(""))))
-    title_model = rules.without_brand(F.col("title_model"), F.coalesce(title_brand, F.lit("")))
-
-    def settle(spec: Column, title: Column) -> tuple[Column, Column]:
-        close = rules.similarity(spec, title) >= 90
-        value = F.when(spec.isNull(), title).when(title.isNull(), spec).when(close, F.when(F.length(spec) > F.length(title), spec).otherwise(title)).otherwise(title)
-        return value, F.coalesce(~close, F.lit(False))
-
-    brand, brand_apart = settle(spec_brand, title_brand)
-    model, model_apart = settle(spec_model, title_model)
-    return df.withColumns({"brand": F.when(sub, title_brand).otherwise(brand), "model_name": model, "model_number": number, "needs_manual_review": F.when(sub, F.lit(False)).otherwise(brand_apart) | model_apart})
+
+    def settle(x: Column) -> Column:
+        near, sub = rules.similarity(x["spec_brand"], x["title_brand"]) >= 90, x["title_brand"].isin("Redmi", "POCO")
+        longer = F.length(x["spec_brand"]) >= F.length(x["title_brand"])
+        brand = F.when(x["title_brand"].isNull() | (near & ~sub & longer), x["spec_brand"]).otherwise(x["title_brand"])
+        return F.struct(brand.alias("brand"), F.coalesce(~near & ~sub, F.lit(False)).alias("apart"), x["spec"].alias("spec"), x["title"].alias("title"))
+
+    def choose(x: Column) -> Column:
+        number = F.when(rules.is_model_number(x["spec"]), x["spec"])
+        bare = lambda m: rules.without_5g(rules.without_brand(m, x["brand"]))
+        score = lambda m: F.size(F.split(m, r"\s+")) * 10 + F.length(m)
+        both = x["spec"].isNotNull() & x["title"].isNotNull() & number.isNull()
+        return F.struct(x["brand"].alias("brand"), x["apart"].alias("apart"), x["spec"].alias("spec"), x["title"].alias("title"), number.alias("number"), both.alias("both"), (both & (rules.similarity(bare(x["spec"]), bare(x["title"])) >= 90)).alias("alike"), (score(x["spec"]) >= score(x["title"])).alias("more"))
+
+    def result(x: Column) -> Column:
+        model = F.when(x["title"].isNull() | (x["alike"] & x["more"]), x["spec"]).otherwise(x["title"])
+        return F.struct(x["brand"].alias("brand"), model.alias("model_name"), x["number"].alias("model_number"), (x["apart"] | (x["both"] & ~x["alike"])).alias("needs_manual_review"))
+
+    sides = F.struct(
+        rules.standard_brand(F.col("spec_brand")).alias("spec_brand"), rules.standard_brand(F.col("title_brand")).alias("title_brand"),
+        rules.clean_model(F.col("spec_model")).alias("spec"), rules.clean_model(F.col("title_model")).alias("title"),
+    )
+    out = rules.let(rules.let(rules.let(sides, settle), choose), result)
+    return df.withColumn("_settled", out).withColumns({c: F.col(f"_settled.{c}") for c in ("brand", "model_name", "model_number", "needs_manual_review")}).drop("_settled")
 
 
 def split_rejects(df: DataFrame, target_category: str | None = None) -> tuple[DataFrame, DataFrame]:

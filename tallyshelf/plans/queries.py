@@ -497,7 +497,7 @@ def images_breadcrumb(spark, d):
     return P.extract_images_breadcrumb_tags(table(spark, d, "pages"))
 
 
-@query("x7_default_categories", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'tablet|ipad') THEN 'Electronics>Tablets' WHEN regexp_matches(lower(url), 'phone|mobile|galaxy|redmi') THEN 'Electronics>Mobiles & Accessories>Smartphones' WHEN regexp_matches(lower(url), 'laptop|notebook') THEN 'Electronics>Computers>Laptops' WHEN regexp_matches(lower(url), 'watch') THEN 'Electronics>Wearables' ELSE 'Electronics>Others' END AS crumb FROM pages")
+@query("x7_default_categories", "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' WHEN regexp_matches(lower(url), 'phone|mobile') THEN 'Electronics>Mobile Phones' WHEN regexp_matches(lower(url), 'laptop|computer|tablet') THEN 'Electronics>Computers' ELSE 'Electronics' END AS crumb FROM pages")
 def default_categories(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.default_categories(F.col("url")), ">").alias("crumb"))
 

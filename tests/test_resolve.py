@@ -73,9 +73,19 @@ def test_empty_feed(spark):
 
 
 def test_reconcile(spark):
-    df = spark.createDataFrame([("Xiaomi", "CPH2717", "Redmi", "Note 13"), ("Samsung", "Galaxy S24", "Samsung", "Galaxy S24 5G"), ("Vivo", "Y300", "OPPO", "Reno 14"), (None, None, "OPPO", "Reno 14")], "spec_brand string, spec_model string, title_brand string, title_model string")
-    got = [tuple(r) for r in R.reconcile_identifiers(df).select("brand", "model_name", "model_number", "needs_manual_review").collect()]
-    assert got == [("Redmi", "Note 13", "CPH2717", False), ("Samsung", "Galaxy S24", None, False), ("OPPO", "Reno 14", None, True), ("OPPO", "Reno 14", None, False)]
+    rows = [
+        (("Xiaomi", "CPH2717", "redmi", "Note 13"), ("Redmi", "Note 13", "CPH2717", False)),
+        (("Samsung", "Galaxy S24", "Samsung", "Galaxy S24 5G"), ("Samsung", "Galaxy S24 5G", None, False)),
+        (("Samsung", "Samsung Galaxy S24", "samsung", "Galaxy S24"), ("Samsung", "Samsung Galaxy S24", None, False)),
+        (("vivo", "Y300 Pro", "OPPO", "Reno 14"), ("Oppo", "Reno 14", None, True)),
+        (("Samsung", "Galaxy Note", "Samsung", "Galaxy S24 Ultra"), ("Samsung", "Galaxy S24 Ultra", None, True)),
+        ((None, None, "OPPO", "Reno 14"), ("Oppo", "Reno 14", None, False)),
+        (("Apple", "A3290", None, None), ("Apple", "A3290", "A3290", False)),
+        ((None, None, None, None), (None, None, None, False)),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, (r, _) in enumerate(rows)], "k int, spec_brand string, spec_model string, title_brand string, title_model string")
+    got = [tuple(r) for r in R.reconcile_identifiers(df).orderBy("k").select("brand", "model_name", "model_number", "needs_manual_review").collect()]
+    assert got == [w for _, w in rows]
 
 
 def test_history_keeps_thirty(spark):
