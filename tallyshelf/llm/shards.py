@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -133,13 +134,32 @@ class Shards:
         text = self.spark.read.schema("value string, shard long").text(f"{self.path}/shards", wholetext=True)
         return text.select("shard", F.col("value").cast("binary").alias("content"))
 
-    def _cut(self, low: Column, high: Column) -> Column:
-        """slot and ids of the records ``low`` to ``high`` of a file."""
-        return F.inline(F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda k: F.struct((F.col("shard") * self.per_shard + k).alias("slot"), F.substring("content", k * self.record + 1, F.lit(self.ids)).alias("ids"))))
-
-    def records(self) -> DataFrame:
-        """shard, slot and ids, cut from the shard files by arithmetic."""
-        return self.files().select("shard", self._cut(F.lit(0), F.length("content") / self.record - 1))
+    def records(self, first: int = 0, last: int | None = None, digest: bool = False) -> DataFrame:
+        """shard, slot and ids of the records of slots ``first`` to ``last``, cut from
+        the shard files by arithmetic; or n_bytes and ids_crc32 of the ids."""
+        record, size, per_shard = self.record, self.ids, self.per_shard
+        stop = 2**62 if last is None else last + 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                    held = content.as_buffer()
+                    base = shard * per_shard
+                    low, high = max(first - base, 0), min(stop - base, len(held) // record)
+                    if low >= high:
+                        continue
+                    rows = np.frombuffer(held, np.uint8)[low * record : high * record].reshape(-1, record)[:, :size]
+                    slot = pa.array(np.arange(base + low, base + high))
+                    if digest:
+                        crc = pa.array([crc32(r.tobytes()) for r in rows], pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), slot, pa.array([size] * len(rows), pa.int64()), crc], names=["shard", "slot", "n_bytes", "ids_crc32"])
+                    else:
+                        cuts = np.arange(len(rows) + 1, dtype=np.int32) * size
+                        ids = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(rows))])
+                        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int64()), slot, ids], names=["shard", "slot", "ids"])
+
+        files = self.files().filter(F.col("shard").between(first // per_shard, (stop - 1) // per_shard))
+        return files.mapInArrow(run, "shard long, slot long, " + ("n_bytes long, ids_crc32 long" if digest else "ids binary"))
 
     def slots(self) -> DataFrame:
         """slot, doc_id, piece and n_tokens."""
@@ -152,10 +172,7 @@ class Shards:
     def read(self, first: int, count: int) -> DataFrame:
         """Slots first .. first + count - 1 in order: where a reader resumes.  Only
         the shards that hold them are opened, and of these only those records cut."""
-        last, at = first + count - 1, F.col("shard") * self.per_shard
-        low, high = F.greatest(F.lit(0), F.lit(first) - at), F.least((F.length("content") / self.record).cast("long") - 1, F.lit(last) - at)
-        held = self.files().filter(F.col("shard").between(first // self.per_shard, last // self.per_shard))
-        return held.filter(low <= high).select("shard", self._cut(low, high)).orderBy("slot")
+        return self.records(first, first + count - 1).orderBy("slot")
 
 
 def write_shards(docs: DataFrame, path: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY, tokenizer: str | None = None, codec: str = CODEC) -> Shards:
@@ -194,6 +211,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from uuid import uuid4
 
     shards = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch_dir(spark)}/shards-{uuid4().hex}")
-    stored = shards.records().select("shard", "slot", F.length("ids").alias("n_bytes"), F.crc32("ids").alias("ids_crc32"))
-    found = stored.join(shards.slots(), "slot")
+    found = shards.records(digest=True).join(shards.slots(), "slot")
     return found.select("doc_id", "piece", "slot", "shard", (F.col("slot") % PER_SHARD).alias("place"), "n_tokens", "n_bytes", "ids_crc32")
