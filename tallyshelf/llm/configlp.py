@@ -4,8 +4,14 @@ The configuration linear program asks for the fewest sequences such that every
 length is covered as often as it occurs.  Multiplicative weights keep a price for
 each length; a knapsack dynamic program finds the configurations of greatest
 price.  Lengths covered ahead of the schedule get cheaper, lengths behind dearer.
-The fractional solution is rounded configuration by configuration within what is
-left of each length, and the rest is packed best-fit.
+Any prices bound the program from below: no sequence is worth more than the best
+configuration.
+
+The solution is rounded down, but for its configurations that leave space; what
+remains is completed from the longest length down, each sequence filled by the
+same dynamic program, and what it cannot fill is packed best-fit.  As rounding
+down costs most where counts are small, completion from nothing and best-fit alone
+are worked out as well, until one meets the bound; the fewest sequences win.
 
 Everything here works on at most ``capacity`` lengths and their counts, whatever
 the number of documents, and is deterministic.
@@ -21,14 +27,16 @@ import numpy as np
 #: Rounds of the multiplicative weights and the learning rate; in the sweeps of a
 #: round, how far below the best price a configuration may be.
 ROUNDS, RATE, TOLERANCES = 15, 0.5, (0.3, 1.0, 1.0)
-#: Configurations filled less than this are left to best-fit when rounding.
-FULL = 0.998
+#: Completion prefers long lengths: prices are lengths to this power.
+POWER = 1.1
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int, exactly: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Best total price for every capacity up to ``capacity`` (items may repeat)
-    and the item that a best choice takes (-1: none)."""
-    best = np.zeros(capacity + 1)
+    and the item that a best choice takes (-1: none).  With ``exactly`` a choice
+    fills its capacity (-inf: none does); items at -inf are not to be had."""
+    best = np.full(capacity + 1, -np.inf) if exactly else np.zeros(capacity + 1)
+    best[0] = 0
     take = np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -36,10 +44,11 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.n
         if k:
             worth = prices[:k] + best[c - sizes[:k]]
             i = int(worth.argmax())
-            if worth[i] > best[c - 1]:
+            if worth[i] > (-np.inf if exactly else best[c - 1]):
                 best[c], take[c] = worth[i], i
                 continue
-        best[c] = best[c - 1]
+        if not exactly:
+            best[c] = best[c - 1]
     return best, take
 
 
@@ -55,14 +64,16 @@ def _fill(sizes: list[int], take: list[int], space: int) -> list[int]:
     return out
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
-    """Amounts of configurations (sorted item indices).  Round t may cover each
-    length up to the share t / ROUNDS of its count, never beyond, so the amounts
-    are a solution of the program but for what the last round leaves uncovered."""
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """A solution of the program, amounts of configurations (sorted item indices),
+    and the best lower bound that its prices prove.  Round t may cover each length
+    up to the share t / ROUNDS of its count; what the last round leaves is covered
+    best-fit."""
     amounts: dict[tuple[int, ...], float] = defaultdict(float)
     room = np.zeros(len(sizes)).tolist()
     weight = np.ones(len(sizes))
     listed = sizes.tolist()
+    bound = float((sizes * counts).sum() / capacity)
     for t in range(1, ROUNDS + 1):
         room = [r + c / ROUNDS for r, c in zip(room, counts.tolist(), strict=True)]
         for tolerance in TOLERANCES:
@@ -71,6 +82,8 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
             weight /= weight.mean()
             prices = np.where(behind > 1e-9, np.clip(weight, 0.05, 20), 0) * sizes / capacity
             best, take = knapsack(sizes, prices, capacity)
+            if best[capacity] > 0:
+                bound = max(bound, float((prices * counts).sum() / best[capacity]))
             steps = take.tolist()
             for i in range(len(sizes) - 1, -1, -1):
                 if room[i] <= 0 or prices[i] + best[capacity - listed[i]] < (1 - tolerance) * best[capacity]:
@@ -83,26 +96,78 @@ def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tup
                 amounts[tuple(items)] += amount
                 for k, m in need.items():
                     room[k] -= amount * m
-    return amounts
+    index = {size: k for k, size in enumerate(listed)}
+    for config, copies in best_fit(listed, [ceil(r - 1e-9) for r in room], capacity):
+        amounts[tuple(sorted(index[x] for x in config))] += copies
+    return amounts, bound
+
+
+def complete(sizes: np.ndarray, left: list[int], capacity: int, slack: int) -> dict[tuple[int, ...], int]:
+    """Configurations of what is ``left`` of each length (counted down), from the
+    longest down, many copies at a time; each fills its sequence but for at most
+    ``slack``.  Lengths that find no such configuration stay."""
+    listed, prices = sizes.tolist(), (sizes / capacity) ** POWER
+    out: dict[tuple[int, ...], int] = defaultdict(int)
+    table = None
+    for i in range(len(listed) - 1, -1, -1):
+        barred: list[int] = []
+        fresh = False
+        while left[i] > 0:
+            if table is None:
+                use = np.where(np.array(left) > 0, prices, -np.inf)
+                use[barred] = -np.inf
+                table, fresh = knapsack(sizes, use, capacity, exactly=True), True
+            best, take = table
+            gap = capacity - listed[i]
+            top = next((c for c in range(gap, max(0, gap - slack) - 1, -1) if best[c] > -np.inf), None)
+            items = [i] if top is None else [i, *_fill(listed, take.tolist(), top)]
+            need = Counter(items)
+            short = [k for k, m in need.items() if left[k] < m]
+            if top is not None and not short:
+                copies = min(left[k] // m for k, m in need.items())
+                out[tuple(sorted(listed[k] for k in items))] += copies
+                for k, m in need.items():
+                    left[k] -= copies * m
+                fresh = False
+            elif not fresh:
+                table = None  # it was worked out when more was left
+            elif short:
+                barred, table = barred + short, None
+            else:
+                break
+        if barred:
+            table = None
+    return out
 
 
 def rounded(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(configuration as lengths, copies) that use every length exactly ``counts`` times."""
-    left = counts.astype(np.int64).tolist()
-    listed = sizes.tolist()
-    out: dict[tuple[int, ...], int] = defaultdict(int)
-    amounts = fractional(sizes, counts, capacity)
-    used = lambda items: sum(listed[k] for k in items)
-    for items, amount in sorted(amounts.items(), key=lambda x: (-used(x[0]), -x[1], x[0])):
-        need = {k: items.count(k) for k in set(items)}
-        copies = min(ceil(amount), *(left[k] // m for k, m in need.items()))
-        if copies and used(items) >= FULL * capacity:
-            out[tuple(listed[k] for k in items)] += copies
-            for k, m in need.items():
-                left[k] -= copies * m
-    for config, copies in best_fit(listed, left, capacity):
-        out[config] += copies
-    return sorted(out.items())
+    listed, all_ = sizes.tolist(), counts.astype(np.int64).tolist()
+    amounts, bound = fractional(sizes, counts, capacity)
+
+    def whole(start: dict[tuple[int, ...], float], slack: int) -> dict[tuple[int, ...], int]:
+        out, left = defaultdict(int), list(all_)
+        for items, amount in sorted(start.items()):
+            need = Counter(items)
+            copies = min(int(amount + 1e-9), *(left[k] // m for k, m in need.items()))
+            if copies and sum(listed[k] for k in items) == capacity:
+                out[tuple(listed[k] for k in items)] += copies
+                for k, m in need.items():
+                    left[k] -= copies * m
+        for found in (complete(sizes, left, capacity, slack), dict(best_fit(listed, left, capacity))):
+            for config, copies in found.items():
+                out[config] += copies
+        return out
+
+    ways = (lambda: dict(best_fit(listed, all_, capacity)), lambda: whole(amounts, capacity), lambda: whole({}, 4))
+    fewest: dict[tuple[int, ...], int] | None = None
+    for way in ways:
+        found = way()
+        if fewest is None or sum(found.values()) < sum(fewest.values()):
+            fewest = found
+        if sum(fewest.values()) <= ceil(bound - 1e-9):
+            break
+    return sorted(fewest.items())
 
 
 def best_fit(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -48,7 +48,44 @@ def test_configurations_use_each_length_exactly():
             for x in config:
                 used[x] += copies
         assert (used == counts).all()
-        assert total <= ceil(1.1 * (sizes * counts[sizes]).sum() / 64) + 1
+        amounts, bound = configlp.fractional(sizes, counts[sizes], 64)
+        covered = np.zeros(len(sizes))
+        for items, amount in amounts.items():
+            np.add.at(covered, list(items), amount)
+        assert (covered >= counts[sizes] - 1e-6).all() and sum(amounts.values()) >= bound - 1e-6
+        assert ceil(bound - 1e-9) <= total <= sum(k for _, k in configlp.best_fit(sizes.tolist(), counts[sizes].tolist(), 64))
+
+
+def fewest(lengths, capacity):
+    """Bins of an optimal packing, by search over all placements."""
+    best = len(lengths)
+
+    def place(k, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if k == len(lengths):
+            best = len(spaces)
+            return
+        for space in {x for x in spaces if x >= lengths[k]}:
+            rest = list(spaces)
+            rest[rest.index(space)] -= lengths[k]
+            place(k + 1, rest)
+        place(k + 1, [*spaces, capacity - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_small_instances_are_packed_in_the_fewest_sequences():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = r.integers(1, 21, r.integers(1, 11))
+        counts = np.bincount(lengths, minlength=21)
+        sizes = np.flatnonzero(counts)
+        got = sum(k for _, k in configlp.rounded(sizes, counts[sizes], 20))
+        assert got <= fewest(lengths.tolist(), 20) + (len(lengths) > 8)
 
 
 def test_pack(spark):
