@@ -2,8 +2,8 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: the files
 outlive a lost executor, are column-prunable and compressed, and can be read by
-any later job.  The setting is read from the session; only where it is unset
-(local tests) a temporary folder is made.
+any later job.  The setting is read from the session; only where it is unset and
+Spark runs in one process (tests) a temporary folder is made.
 """
 
 from __future__ import annotations
@@ -11,14 +11,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
 
-#: Most rows of a narrow table (ids and a few numbers) that are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a table that is broadcast, as its rows take in memory, and what a
+#: row takes besides its values.
+BROADCAST_BYTES, ROW_BYTES = 48 << 20, 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,6 +28,8 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-scratch-")
@@ -41,10 +45,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables that ``stage`` wrote in this application; results that
-    still read them must have been written before.  Returns how many went."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``stage`` wrote in this application after the first
+    ``since``; results that still read them must have been written before.
+    Returns how many went."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    paths = written[since:]
+    del written[since:]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -53,7 +60,35 @@ def drop_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` (a staged, narrow table) for broadcast if it has at most
-    ``rows`` rows; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def staged(spark: SparkSession) -> int:
+    """How many tables ``stage`` has written in this application and not dropped."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, nested ones included."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.MapType):
+            return F.coalesce(F.aggregate(c, F.lit(0), lambda n, x: n + _bytes(x, kind.elementType).cast("int")), F.lit(0)) + 16
+        return F.coalesce(F.size(c), F.lit(0)) * _fixed(kind.elementType) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def _fixed(kind: T.DataType) -> int:
+    return 16 + sum(_fixed(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 8
+
+
+def size_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` (a staged table) take in memory, about."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` (a staged table) for broadcast if its rows take at most ``most``
+    bytes; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if size_bytes(df) <= most else df
