@@ -3,9 +3,12 @@
 A document's own evidence is a log-likelihood ratio per label from hashed words
 and shape features, fitted on labelled documents.  Its site adds a prior: label
 rates of hosts are shrunk toward the corpus rate and rates of paths toward their
-host's, each by a strength estimated from the spread between groups.  Sites with
-few documents so inherit their parents' rate.  All counts and rates cover all
-documents and come from grouped aggregation.
+host's.  Each level has its own strength, the variance of scores within its groups
+over the variance between the groups' true rates (both by analysis of variance),
+so sites with few documents inherit their parents' rate.  A document's prior comes
+from the other documents of its path, host and corpus: its own evidence counts
+once.  All counts and rates cover all documents and come from grouped aggregation
+of exact decimals, so reruns agree.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.batches import slices
+from tallyshelf.llm.batches import slices, unused
 from tallyshelf.llm.texthash import word_hashes
 from tallyshelf.scratch import broadcast_if_small, stage
 
@@ -29,6 +32,8 @@ SHAPES = 6
 #: Passes over the sample and step size.
 EPOCHS, RATE = 6, 0.1
 TARGETS = ("low_quality", "toxic")
+#: Strength where groups do not differ beyond chance: they all get the parent's rate.
+MOST_STRENGTH = 1e9
 _WIDTH = BUCKETS + SHAPES * BINS
 
 
@@ -142,16 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return raw
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _e0 and _e1, a log-likelihood ratio per target."""
-    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
+def with_evidence(docs: DataFrame, model: Model, names: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` less the columns ``drop`` and with a log-likelihood ratio per target,
+    as columns ``names``."""
+    kept, kinds = [c for c in docs.columns if c not in drop], {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             e = model.evidence(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e[:, 0]), pa.array(e[:, 1])], names=[*names, "_e0", "_e1"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(e[:, 0]), pa.array(e[:, 1])], names=[*kept, *names])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _e0 double, _e1 double")
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in names)]))
 
 
 def _logit(p: Column) -> Column:
@@ -163,53 +169,97 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def site_rates(scored: DataFrame, model: Model) -> DataFrame:
-    """(host, path, prior0, prior1): shrunk label rates of every path.
+def _score(evidence: Column, base: float) -> Column:
+    """The chance of a label by its evidence and the labelled rows' share."""
+    return _sigmoid(evidence + float(np.log(base / (1 - base))))
 
-    ``scored`` has host, path, _e0 and _e1.  The strength of a prior is its
-    binomial variance over the variance of the groups' rates beyond sampling.
-    """
-    soft = [_sigmoid(F.col(f"_e{k}") + float(np.log(b / (1 - b)))).alias(f"p{k}") for k, b in enumerate(model.base)]
-    paths = stage(scored.select("host", "path", *soft).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p0").alias("s0"), F.sum("p1").alias("s1")), "quality-paths")
-    hosts = stage(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s0").alias("h0"), F.sum("s1").alias("h1")), "quality-hosts")
-    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("h0").alias("s0"), F.sum("h1").alias("s1"), F.count("*").alias("g")).first()
-    if not whole["n"]:
-        return paths.select("host", "path", F.lit(0.5).alias("prior0"), F.lit(0.5).alias("prior1"))
-    rate = [whole[f"s{k}"] / whole["n"] for k in (0, 1)]
-    spread = hosts.agg(*(F.sum(F.col("hn") * (F.col(f"h{k}") / F.col("hn") - rate[k]) ** 2) for k in (0, 1))).first()
-    strength = []
+
+def strength(n: float, groups: float, squares: float, within: float, between: float, unequal: float) -> float:
+    """Documents that a parent's rate is worth: variance within groups over the
+    variance between them.  ``within`` is the sum of squared deviations from group
+    means, ``between`` that of these means from the parents', a document each,
+    ``squares`` and ``unequal`` the degrees of freedom and effective size."""
+    inside = within / max(n - groups, 1.0)
+    beyond = (between - squares * inside) / max(unequal, 1e-9)
+    return min(max(inside / beyond, 0.0), MOST_STRENGTH) if beyond > 0 else MOST_STRENGTH
+
+
+@dataclass
+class Sites:
+    """Per (host, path): n and s0, s1, documents and score sums of the path; hn and
+    h0, h1, those of its host.  And the corpus sums and strengths per target."""
+
+    table: DataFrame
+    n: float
+    sums: list[float]
+    host_strength: list[float]
+    path_strength: list[float]
+
+    def prior(self, k: int, score: Column, n: Column, s: Column, hn: Column, h: Column) -> Column:
+        """The rate that the other documents give one with that score."""
+        corpus = (self.sums[k] - score) / (self.n - 1) if self.n > 1 else F.lit(0.5)
+        host = (h - score + self.host_strength[k] * corpus) / (hn - 1 + self.host_strength[k])
+        return (s - score + self.path_strength[k] * host) / (n - 1 + self.path_strength[k])
+
+
+def site_rates(scored: DataFrame, model: Model) -> Sites:
+    """Sites from ``scored``: host, path and the evidence columns e0 and e1."""
+    exact = lambda c: c.cast("decimal(20,12)")
+    soft = {f"p{k}": _score(F.col(f"e{k}"), b) for k, b in enumerate(model.base)}
+    sums = [F.sum(exact(F.col(f"p{k}"))).cast("double").alias(f"s{k}") for k in (0, 1)]
+    square = [F.sum(exact(F.col(f"p{k}") * F.col(f"p{k}"))).cast("double").alias(f"q{k}") for k in (0, 1)]
+    paths = stage(scored.select("host", "path", *(c.alias(n) for n, c in soft.items())).groupBy("host", "path").agg(F.count("*").alias("n"), *sums, *square), "quality-paths")
+    total = lambda c: F.sum(exact(F.col(c))).cast("double")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *(total(f"s{k}").alias(f"h{k}") for k in (0, 1)))
+    hosts = stage(hosts, "quality-hosts").withColumnRenamed("host", "of")
+    table = paths.join(broadcast_if_small(hosts), F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    table = stage(table, "quality-sites")
+    number = lambda c: F.coalesce(F.sum(c.cast("decimal(38,12)")).cast("double"), F.lit(0.0))
+    share = [number(F.col("n")).alias("n"), F.count("*").alias("paths"), number(F.col("n") * F.col("n") / F.col("hn")).alias("inner")]
+    share += [number(F.col(f"{c}{k}")).alias(f"{c}{k}") for k in (0, 1) for c in "sq"]
+    share += [number(F.col(f"s{k}") * F.col(f"s{k}") / F.col("n")).alias(f"m{k}") for k in (0, 1)]
+    p = table.agg(*share).first()
+    outer = [F.count("*").alias("hosts"), number(F.col("hn") * F.col("hn")).alias("squared")]
+    outer += [number(F.col(f"h{k}") * F.col(f"h{k}") / F.col("hn")).alias(f"m{k}") for k in (0, 1)]
+    h = hosts.agg(*outer).first()
+    n = max(p["n"], 1.0)
+    host_strength, path_strength = [], []
     for k in (0, 1):
-        p = min(max(rate[k], 1e-6), 1 - 1e-6)
-        between = (spread[k] - (whole["g"] - 1) * p * (1 - p)) / whole["n"]
-        strength.append(min(max(p * (1 - p) / max(between, 1e-9) - 1, 10.0), 1e5))
-    of_host = [((F.col(f"h{k}") + strength[k] * rate[k]) / (F.col("hn") + strength[k])).alias(f"r{k}") for k in (0, 1)]
-    both = paths.join(broadcast_if_small(stage(hosts.select(F.col("host").alias("of"), *of_host), "quality-host-rates")), F.col("host").eqNullSafe(F.col("of")))
-    return both.select("host", "path", *(((F.col(f"s{k}") + strength[k] * F.col(f"r{k}")) / (F.col("n") + strength[k])).alias(f"prior{k}") for k in (0, 1)))
+        corpus = p[f"s{k}"] ** 2 / n
+        host_strength.append(strength(n, h["hosts"], h["hosts"] - 1, p[f"q{k}"] - h[f"m{k}"], h[f"m{k}"] - corpus, n - h["squared"] / n))
+        path_strength.append(strength(n, p["paths"], p["paths"] - h["hosts"], p[f"q{k}"] - p[f"m{k}"], p[f"m{k}"] - h[f"m{k}"], n - p["inner"]))
+    return Sites(table, p["n"], [p["s0"], p["s1"]], host_strength, path_strength)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, narrow: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS, into: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text and the two site columns) with low_quality and toxic,
     posterior probabilities, and kept: both under one half.
 
-    Null hosts and paths are sites of their own.  Null and empty texts bring no
-    evidence and get their site's rate.  With ``narrow`` only doc_id and the new
-    columns are returned, from a single pass over the texts.
+    With ``into`` these three are one struct of that name, and all columns of
+    ``docs`` stay; without, only doc_id and the three are returned.  Null hosts and
+    paths are sites of their own.  Null and empty texts bring no evidence and get
+    their site's rate.  Rows that repeat a doc_id are classified each.  The texts
+    are read once: evidence is written, with the columns of ``docs`` if these stay.
     """
     model = fit(docs, labels, rows)
-    site = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
-    scored = stage(with_evidence(site, model).drop("text"), "quality-evidence")
-    sites = broadcast_if_small(stage(site_rates(scored, model).select(F.struct("host", "path", "prior0", "prior1").alias("_site")), "quality-sites"))
-    if narrow:
-        base, at, names = scored, ("host", "path"), ["doc_id"]
-    else:
-        names = [c for c in docs.columns if c not in (*TARGETS, "kept")]
-        base, at = with_evidence(docs.select(*names), model), (host, path)
-    out = base.join(sites, base[at[0]].eqNullSafe(F.col("_site.host")) & base[at[1]].eqNullSafe(F.col("_site.path")))
-    chance = [_sigmoid(F.col(f"_e{k}") + _logit(F.col(f"_site.prior{k}"))) for k in (0, 1)]
-    return out.select(*names, chance[0].alias("low_quality"), chance[1].alias("toxic"), ((chance[0] < 0.5) & (chance[1] < 0.5)).alias("kept"))
+    names = docs.columns if into else ["doc_id"]
+    base = docs if into else docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), "text")
+    e0, e1, *site = unused(base.columns, "e0", "e1", "host", "path", "n", "s0", "s1", "hn", "h0", "h1")
+    scored = stage(with_evidence(base, model, [e0, e1], () if into else ("text",)), "quality-evidence")
+    at = (host, path) if into else ("host", "path")
+    sites = site_rates(scored.select(F.col(at[0]).alias("host"), F.col(at[1]).alias("path"), F.col(e0).alias("e0"), F.col(e1).alias("e1")), model)
+    table = broadcast_if_small(sites.table.select("host", "path", "n", "s0", "s1", "hn", "h0", "h1")).toDF(*site)
+    by_host, by_path, n, s0, s1, hn, h0, h1 = site
+    out = scored.join(table, F.col(at[0]).eqNullSafe(F.col(by_host)) & F.col(at[1]).eqNullSafe(F.col(by_path)))
+    chance = []
+    for k, (e, s, h) in enumerate(((e0, s0, h0), (e1, s1, h1))):
+        prior = sites.prior(k, _score(F.col(e), model.base[k]), F.col(n), F.col(s), F.col(hn), F.col(h))
+        chance.append(_sigmoid(F.col(e) + _logit(prior)))
+    result = [chance[0].alias("low_quality"), chance[1].alias("toxic"), ((chance[0] < 0.5) & (chance[1] < 0.5)).alias("kept")]
+    return out.select(*(F.col(f"`{c}`") for c in names), *([F.struct(*result).alias(into)] if into else result))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """All documents, with their source as host and its languages as paths."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels, narrow=True)
+    return classify(docs, labels)

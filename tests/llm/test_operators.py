@@ -115,18 +115,59 @@ def test_classifier(spark):
     labels = spark.createDataFrame([(k, int(k % 3 != 1), int(k % 3 == 2)) for k in range(0, 200)] + [(None, None, None)], "doc_id long, quality int, toxic int")
     got = quality.classify(df, labels).toPandas().set_index("doc_id")
     held = range(200, 300)
-    assert np.mean([got.kept[k] == (k % 3 == 0) for k in held]) > 0.95
-    narrow = quality.classify(df, labels, narrow=True).toPandas().set_index("doc_id")
-    assert len(got) == len(narrow) == 302 and (got.kept.sort_index() == narrow.kept.sort_index()).all()
+    assert np.mean([got.kept[k] == (k % 3 == 0) for k in held]) > 0.95 and len(got) == 302
+    odd = df.withColumns({c: F.lit("mine") for c in ("kept", "low_quality", "toxic", "e0", "host", "n", "s0", "_e0", "_site")})
+    wide = quality.classify(odd, labels, into="q")
+    assert wide.columns == [*odd.columns, "q"]
+    wide = {r.doc_id: r for r in wide.collect()}
+    assert all(wide[k].q.kept == got.kept[k] and wide[k].q.toxic == got.toxic[k] and wide[k].kept == wide[k].n == "mine" for k in range(302))
+    again = quality.classify(df.repartition(7), labels).toPandas().set_index("doc_id")
+    assert (again.sort_index() == got.sort_index()).all(axis=None)
     assert quality.classify(docs(spark), labels).count() == 0
     assert quality.classify(df, labels.limit(0)).count() == 302
+    twice = docs(spark, "a b", "a b", None, ids=[1, 1, None], sources=[None, None, None])
+    rows = quality.classify(twice, labels.filter("quality = 1")).collect()
+    assert len(rows) == 3 and len({(r.kept, r.toxic) for r in rows if r.doc_id == 1}) == 1
+
+
+def test_posteriors_equal_plain_sums(spark):
+    r = np.random.default_rng(2)
+    rows = [(f"h{k % 5}", f"p{k % 3}" if k % 7 else None, float(x), float(y)) for k, (x, y) in enumerate(r.normal(size=(200, 2)) + np.arange(200)[:, None] % 5 - 2)]
+    scored = spark.createDataFrame(rows, "host string, path string, e0 double, e1 double")
+    model = quality.Model(np.zeros((2, 1)), [1, 1], [0, 0], [0.3, 0.1])
+    sites = quality.site_rates(scored.repartition(4), model)
+    for k in (0, 1):
+        p = 1 / (1 + np.exp(-np.array([x[2 + k] for x in rows]) - np.log(model.base[k] / (1 - model.base[k]))))
+        host, path = np.array([x[0] for x in rows]), np.array([f"{x[0]}/{x[1]}" for x in rows])
+        n = len(p)
+        mean = lambda g: np.array([p[g == x].mean() for x in g])  # noqa: B023, E731
+        size = lambda g: np.array([(g == x).sum() for x in g])
+        mh, mp, nh, np_ = mean(host), mean(path), size(host), size(path)
+        hosts, paths = len(set(host)), len(set(path))
+        inside = ((p - mh) ** 2).sum() / (n - hosts)
+        between = (((mh - p.mean()) ** 2).sum() - (hosts - 1) * inside) / (n - nh.sum() / n)
+        inside_path = ((p - mp) ** 2).sum() / (n - paths)
+        between_path = (((mp - mh) ** 2).sum() - (paths - hosts) * inside_path) / (n - (np_ / nh).sum())
+        want = [inside / between if between > 0 else 1e9, inside_path / between_path if between_path > 0 else 1e9]
+        got = [sites.host_strength[k], sites.path_strength[k]]
+        assert np.allclose(np.minimum(got, 1e7), np.minimum(want, 1e7), rtol=1e-6)
+        table = {(x.host, x.path): x for x in sites.table.collect()}
+        for i in (0, 7, 100):
+            others = np.arange(n) != i
+            corpus = p[others].mean()
+            h = (p[others & (host == host[i])].sum() + got[0] * corpus) / ((others & (host == host[i])).sum() + got[0])
+            w = (p[others & (path == path[i])].sum() + got[1] * h) / ((others & (path == path[i])).sum() + got[1])
+            t = table[rows[i][0], rows[i][1]]
+            prior = sites.prior(k, F.lit(float(p[i])), *(F.lit(float(t[c])) for c in ("n", f"s{k}", "hn", f"h{k}")))
+            assert abs(spark.range(1).select(prior).first()[0] - w) < 1e-9
 
 
 def test_sparse_sites_shrink(spark):
-    scored = spark.createDataFrame([("a", "p", 20.0, 0.0)] + [("b", "p", -20.0, 0.0)] * 200 + [("c", "q", 20.0, 0.0)] * 200, "host string, path string, _e0 double, _e1 double")
+    scored = spark.createDataFrame([("a", "p", 20.0, 0.0)] * 2 + [("b", "p", -20.0, 0.0)] * 100 + [("b", "p", 20.0, 0.0)] * 20 + [("c", "q", 20.0, 0.0)] * 200 + [("c", "q", -20.0, 0.0)] * 20, "host string, path string, e0 double, e1 double")
     model = quality.Model(np.zeros((2, 1)), [1, 1], [0, 0], [0.5, 0.5])
-    p = {r.host: r.prior0 for r in quality.site_rates(scored, model).collect()}
-    assert p["b"] < 0.1 < p["a"] < p["c"]
+    sites = quality.site_rates(scored, model)
+    rate = {x.host: spark.range(1).select(sites.prior(0, F.lit(1.0), *(F.lit(float(x[c])) for c in ("n", "s0", "hn", "h0")))).first()[0] for x in sites.table.collect()}
+    assert rate["b"] < 0.25 < rate["a"] < 1 and 0.85 < rate["c"]
 
 
 # 3
