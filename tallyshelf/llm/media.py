@@ -8,8 +8,10 @@ further inside are carved as embedded media.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -19,9 +21,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.batches import slices
+from tallyshelf.scratch import stage
+
+
+class Value(bytes):
+    """Bytes with what validators found out about them, so that many hits in one
+    value don't search or walk the same stretch again."""
+
+    def __init__(self, _: bytes = b""):
+        self.places: dict[bytes, list[int]] = {}
+        self.ends: dict[tuple[str, int], int] = {}
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on (-1: none); all places are
+        searched once."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        found = self.places[mark]
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    def walk(self, kind: str, place: int, step: Callable[[Value, int], tuple[int, bool]]) -> int:
+        """The end of the structure whose part lies at ``place`` (0: broken).  ``step``
+        gives the next place and whether it is the end; 0 says broken."""
+        path, end = [], None
+        while (end := self.ends.get((kind, place))) is None:
+            path.append(place)
+            place, last = step(self, place)
+            if last or not place:
+                end = place
+                break
+        for p in path:
+            self.ends[kind, p] = end
+        return end
 
 
-def _riff(data: bytes, at: int, kind: bytes, first: bytes) -> int:
+def _riff(data: Value, at: int, kind: bytes, first: bytes) -> int:
     if data[at + 8 : at + 12] != kind or at + 12 > len(data):
         return 0
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -35,81 +70,100 @@ def _riff(data: bytes, at: int, kind: bytes, first: bytes) -> int:
     return end - at if seen and place in (end, end + 1) else 0
 
 
-def wav(data: bytes, at: int) -> int:
+def wav(data: Value, at: int) -> int:
     return _riff(data, at, b"WAVE", b"fmt ")
 
 
-def webp(data: bytes, at: int) -> int:
+def webp(data: Value, at: int) -> int:
     return _riff(data, at, b"WEBP", b"VP8")
 
 
-def png(data: bytes, at: int) -> int:
+def _png_chunk(data: Value, place: int) -> tuple[int, bool]:
+    size = int.from_bytes(data[place : place + 4], "big")
+    end = place + 12 + size
+    if end > len(data) or place + 12 > len(data) or zlib.crc32(memoryview(data)[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
+        return 0, False
+    return end, data[place + 4 : place + 8] == b"IEND"
+
+
+def png(data: Value, at: int) -> int:
     """Chunks with right checksums from IHDR to IEND."""
-    place, first = at + 8, True
-    while place + 12 <= len(data):
-        size = int.from_bytes(data[place : place + 4], "big")
-        kind, end = data[place + 4 : place + 8], place + 12 + size
-        if end > len(data) or first and kind != b"IHDR" or zlib.crc32(data[place + 4 : end - 4]) != int.from_bytes(data[end - 4 : end], "big"):
-            return 0
-        if kind == b"IEND":
-            return end - at
-        place, first = end, False
-    return 0
-
-
-def gif(data: bytes, at: int) -> int:
+    if data[at + 8 : at + 16] != b"\0\0\0\x0dIHDR":
+        return 0
+    end = data.walk("png", at + 8, _png_chunk)
+    return end and end - at
+
+
+def _gif_table(flags: int) -> int:
+    return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+
+def _gif_part(data: Value, place: int) -> tuple[int, bool]:
+    """A sub-block (length byte and bytes)."""
+    if place >= len(data):
+        return 0, False
+    return place + 1 + data[place], data[place] == 0
+
+
+def _gif_block(data: Value, place: int) -> tuple[int, bool]:
+    if place >= len(data):
+        return 0, False
+    mark = data[place]
+    if mark == 0x3B:
+        return place + 1, True
+    if mark == 0x21:
+        place += 2
+    elif mark == 0x2C and place + 10 <= len(data):
+        place += 11 + _gif_table(data[place + 9])
+    else:
+        return 0, False
+    return data.walk("gif part", place, _gif_part), False
+
+
+def gif(data: Value, at: int) -> int:
     """Logical screen, blocks and sub-blocks up to the trailer."""
     if len(data) < at + 14 or data[at + 4 : at + 5] not in (b"7", b"9") or data[at + 5 : at + 6] != b"a":
         return 0
-    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    place = at + 13 + table(data[at + 10])
-    while place < len(data):
-        mark = data[place]
-        if mark == 0x3B:
-            return place + 1 - at
-        if mark == 0x21:
-            place += 2
-        elif mark == 0x2C and place + 10 <= len(data):
-            place += 11 + table(data[place + 9])
-        else:
-            return 0
-        while place < len(data) and data[place]:
-            place += 1 + data[place]
-        place += 1
-    return 0
-
-
-def bmp(data: bytes, at: int) -> int:
+    end = data.walk("gif", at + 13 + _gif_table(data[at + 10]), _gif_block)
+    return end and end - at
+
+
+def bmp(data: Value, at: int) -> int:
     if len(data) < at + 26:
         return 0
     size, reserved, offset, header = struct.unpack_from("<IIII", data, at + 2)
     return size if reserved == 0 and header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= offset <= size <= len(data) - at else 0
 
 
-def jpeg(data: bytes, at: int) -> int:
+def _jpeg_segment(data: Value, place: int) -> tuple[int, bool]:
+    if place + 4 > len(data) or data[place] != 0xFF:
+        return 0, False
+    size = int.from_bytes(data[place + 2 : place + 4], "big")
+    after = place + 2 + size
+    if size < 2 or after > len(data):
+        return 0, False
+    if data[place + 1] != 0xDA:
+        return after, False
+    end = data.next(b"\xff\xd9", after)
+    return (end + 2, True) if end >= 0 else (0, False)
+
+
+def jpeg(data: Value, at: int) -> int:
     """Segments up to the scan, then the end marker."""
-    place = at + 2
-    while place + 4 <= len(data) and data[place] == 0xFF:
-        mark, size = data[place + 1], int.from_bytes(data[place + 2 : place + 4], "big")
-        if size < 2 or place + 2 + size > len(data):
-            return 0
-        place += 2 + size
-        if mark == 0xDA:
-            end = data.find(b"\xff\xd9", place)
-            return end + 2 - at if end >= 0 else 0
-    return 0
-
-
-def pdf(data: bytes, at: int) -> int:
+    end = data.walk("jpeg", at + 2, _jpeg_segment)
+    return end and end - at
+
+
+def pdf(data: Value, at: int) -> int:
     if not (data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"."):
         return 0
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and data.find(b"startxref", at, end) > 0 else 0
+    end = data.next(b"%%EOF", at)
+    return end + 5 - at if end > 0 and 0 < data.next(b"startxref", at) < end else 0
 
 
-def zip_(data: bytes, at: int) -> int:
+def zip_(data: Value, at: int) -> int:
     """A local header, and an end record whose directory lies before it."""
-    end = data.find(b"PK\x05\x06", at)
+    end = data.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, offset, note = struct.unpack_from("<IIH", data, end + 12)
@@ -117,27 +171,41 @@ def zip_(data: bytes, at: int) -> int:
     return end + 22 + note - at if ok else 0
 
 
-def gzip_(data: bytes, at: int) -> int:
+def gzip_(data: Value, at: int) -> int:
+    """A whole stream, unpacked piece by piece, with its checksum."""
     if data[at + 2 : at + 3] != b"\x08" or len(data) < at + 18 or data[at + 3] > 31:
         return 0
-    unpack = zlib.decompressobj(31)
+    unpack, place = zlib.decompressobj(31), at
     try:
-        rest = data[at:]
-        while not unpack.eof and rest:
-            unpack.decompress(rest, 1 << 20)
-            rest = unpack.unconsumed_tail
+        while not unpack.eof and place < len(data):
+            piece = data[place : place + (1 << 12)]
+            place += len(piece)
+            while piece and not unpack.eof:
+                unpack.decompress(piece, 1 << 20)
+                piece = unpack.unconsumed_tail
     except zlib.error:
         return 0
-    return len(data) - at - len(unpack.unused_data) if unpack.eof else 0
+    return place - len(unpack.unused_data) - at if unpack.eof else 0
+
 
+def _flac_block(data: Value, place: int) -> tuple[int, bool]:
+    if place + 4 > len(data):
+        return 0, False
+    after = place + 4 + int.from_bytes(data[place + 1 : place + 4], "big")
+    return (after, bool(data[place] & 0x80)) if after <= len(data) else (0, False)
 
-def flac(data: bytes, at: int) -> int:
-    """STREAMINFO first and whole metadata blocks; audio runs to the end."""
-    return len(data) - at if len(data) >= at + 42 and data[at + 4] & 0x7F == 0 and data[at + 5 : at + 8] == b"\0\0\x22" else 0
+
+def flac(data: Value, at: int) -> int:
+    """STREAMINFO first, whole metadata blocks, and a frame's sync code where audio
+    follows; audio has no length and runs to the end."""
+    if len(data) < at + 42 or data[at + 4] & 0x7F or data[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    audio = data.walk("flac", at + 4, _flac_block)
+    return len(data) - at if audio and (audio == len(data) or data[audio : audio + 2] in (b"\xff\xf8", b"\xff\xf9")) else 0
 
 
 #: Magic bytes and validators; a validator returns the medium's length or 0.
-FORMATS: dict[str, tuple[bytes, Callable[[bytes, int], int]]] = {
+FORMATS: dict[str, tuple[bytes, Callable[[Value, int], int]]] = {
     "audio/wav": (b"RIFF", wav),
     "image/webp": (b"RIFF", webp),
     "image/png": (b"\x89PNG\r\n\x1a\n", png),
@@ -170,6 +238,7 @@ def sniff_bytes(data: bytes) -> list[tuple[str, int, int]]:
 
     What lies inside a confirmed medium is not reported apart from it, unless
     that medium is the whole value: then its inside is carved."""
+    data = Value(data)
     out: list[tuple[str, int, int]] = []
     until = 0
     for last, (size, kinds) in _automaton().iter(data.decode("latin-1")):
@@ -243,7 +312,10 @@ def load_wav(media: bytes) -> bytes:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, content (a WAV file of the text's bytes, padded with 255 to
-    a positive multiple of 576) and declared_type, which says nothing of it."""
+    a positive multiple of 576) and declared_type, which says nothing of it.
+
+    ``docs`` needs doc_id and text; further columns are ignored.  Null texts count
+    as empty, a block of padding; rows with equal or null doc_id are stored each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -277,6 +349,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """All texts as media, sniffed, read back and digested."""
-    media = text_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All texts as media: written, read back, sniffed and digested."""
+    media = stage(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
     return sniff(media).mapInArrow(_digest, _DIGEST)

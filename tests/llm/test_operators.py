@@ -195,6 +195,48 @@ def test_media_round_trip_and_carving(spark):
     assert gzip.decompress(bytes(parts.part)) == b"x" * 100
 
 
+def test_media_of_odd_rows(spark):
+    m = media.text_media(docs(spark, None, "x", "x", ids=[None, 4, 4]))
+    got = media.sniff(m).mapInArrow(media._digest, media._DIGEST).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes) for r in got) == [(-1, 0, 576), (4, 1, 576), (4, 1, 576)]
+    assert media.text_media(docs(spark)).count() == 0
+
+
+def test_validators_of_hand_made_media():
+    import gzip
+    import io
+    import zipfile
+    import zlib
+
+    chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", b"abc") + chunk(b"IEND", b"")
+    gif = b"GIF89a" + b"\1\0\1\0\0\0\0" + b"\x21\xf9\x04abcd\0" + b"\x2c" + b"\0" * 8 + b"\0\2" + b"\2zz\0" + b"\x3b"
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\2" + b"scan" + b"\xff\xd9"
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a", "b" * 50)
+    flac = b"fLaC\0\0\0\x22" + b"i" * 34 + b"\x84\0\0\2cc" + b"\xff\xf8audio"
+    for kind, data in (("image/png", png), ("image/gif", gif), ("image/jpeg", jpeg), ("application/pdf", pdf), ("application/zip", packed.getvalue()), ("application/gzip", gzip.compress(b"y" * 9999)), ("audio/flac", flac), ("audio/wav", media.store_wav(b"abc"))):
+        assert media.sniff_bytes(data)[0] == (kind, 0, len(data)), kind
+        cut = [f for f in media.sniff_bytes(b"--" + data[:-1]) if f[0] == kind]
+        assert not cut or kind == "audio/flac", kind
+        if kind != "audio/flac":
+            assert (kind, 3, len(data)) in media.sniff_bytes(b"..." + data + b"tail"), kind
+    assert not media.sniff_bytes(flac[:48] + b"no sync")
+
+
+def test_validators_take_linear_time():
+    import time
+
+    for magic, _ in media.FORMATS.values():
+        for unit in (magic + b"1.4 \x08\0", magic + b"\xe0\0\4ab", magic[:3]):
+            data = unit * (3_000_000 // len(unit))
+            at = time.time()
+            media.sniff_bytes(data)
+            assert time.time() - at < 20, (magic, unit)
+
+
 # 4
 
 
