@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyshelf.llm.batches import unused
 from tallyshelf.scratch import broadcast_if_small, stage
 
 #: Weights by code-point order of the sources, repeating; the share of all sizes
@@ -86,13 +87,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most: int = MOST, seed: s
     as ``plan`` says.  The texts are not shuffled: the draw is made again, and
     only the rates are joined, one row per source."""
     names = docs.columns
+    of, size, target, copies, copy = unused(names, "of", "of_size", "target", "copies", "copy")
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    sources = stage(rates(sized, weights, share, most), "mix-sources")
-    sources = broadcast_if_small(sources.select(F.struct("source", "source_size", "target").alias("_mix")))
-    rate = F.when(F.col("_mix.source_size") > 0, F.col("_mix.target") / F.col("_mix.source_size")).otherwise(0.0)
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    out = docs.join(sources, docs["source"].eqNullSafe(F.col("_mix.source"))).withColumn("_copies", copies.cast("int"))
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    sources = broadcast_if_small(stage(rates(sized, weights, share, most), "mix-sources")).toDF(of, size, target)
+    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(0.0)
+    number = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    out = docs.join(sources, F.col("source").eqNullSafe(F.col(of))).withColumn(copies, number.cast("int"))
+    return out.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in names))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

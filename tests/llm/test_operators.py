@@ -252,6 +252,8 @@ def test_mix(spark):
     out = mixing.mix(df)
     assert out.columns == df.columns and out.count() == got["copies"].sum()
     assert mixing.plan(docs(spark)).count() == 0
+    odd = df.withColumns({c: F.lit(c) for c in ("_mix", "of", "target", "copies", "copy", "_copies")})
+    assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).filter("target = 'target' and copies = 'copies'").count() == out.count()
     one = mixing.plan(docs(spark, "a b", "a b", ids=[1, 1])).toPandas()
     assert one["copies"].nunique() == 1
 
