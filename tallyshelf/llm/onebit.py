@@ -2,9 +2,11 @@
 
 A vector is normalised and rotated; its code is the signs of its coordinates,
 packed to bits, with two scalars: its norm and the inner product of the rotated
-vector with its own code.  The code gives an unbiased estimate of the inner
-product with a query and a bound on the error; candidates whose bound reaches
-the k-th best exact score so far are reranked on the original vectors.
+vector with its own code.  A query's rotated coordinates are cut to QUERY_BITS
+bits, kept as bit planes; counts of the bits that code and planes share give the
+estimate of the inner product, the scalars a bound on its error.  Candidates
+whose bound reaches the k-th best exact score of the likeliest ones are reranked
+on the original vectors.
 
 The stated queries meet all candidates in blocks: both sides are dealt by a hash
 of their id, each pair of blocks is one group, and every group returns at most k
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tallyshelf.scratch import stage
 
-#: Deviations that the error bound allows for.
-DEVIATIONS = 3.0
+#: Deviations that the error bound allows for, and bits of a query's coordinate.
+DEVIATIONS, QUERY_BITS = 2.0, 4
 CANDIDATE_BLOCK, QUERY_BLOCK = 16384, 2048
 _CODED = "vec_id long, dim int, code binary, norm double, own double, vector binary, is_query boolean"
 
@@ -68,6 +70,29 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def _words(packed: np.ndarray) -> np.ndarray:
+    """Rows of packed bits as 64-bit words."""
+    wide = np.zeros((len(packed), -(-packed.shape[1] // 8) * 8), np.uint8)
+    wide[:, : packed.shape[1]] = packed
+    return wide.view(np.uint64)
+
+
+def planes(turned: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Offset, step and bit planes (as words) of a query's rotated coordinates."""
+    low, top = float(turned.min()), float(turned.max())
+    step = max((top - low) / (2**QUERY_BITS - 1), 1e-300)
+    level = np.round((turned - low) / step).astype(np.uint8)
+    return low, step, _words(np.packbits([(level >> j) & 1 for j in range(QUERY_BITS)], axis=1))
+
+
+def signed_sums(codes: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+    """The products of a query with the codes read as +1 and -1, from shared bits, and
+    their deviation by the cut to bits.  ``ones`` are the codes' numbers of bits."""
+    low, step, bits = planes(turned)
+    shared = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << j for j, plane in enumerate(bits))
+    return 2 * (low * ones + step * shared) - turned.sum(), step * np.sqrt(len(turned) / 12)
+
+
 def _search(k: int):
     def block(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
         table = pa.Table.from_batches(batches)
@@ -78,28 +103,28 @@ def _search(k: int):
         dim = mine.column("dim")[0].as_py()
         queries, vectors = (_matrix(t.column("vector"), np.float64) for t in (mine, theirs))
         q_ids, ids = (t.column("vec_id").to_numpy() for t in (mine, theirs))
-        signs = np.unpackbits(_matrix(theirs.column("code"), np.uint8), axis=1, count=dim).astype(np.float32) * 2 - 1
+        keys = mine.column("key").to_numpy()
+        codes = _words(_matrix(theirs.column("code"), np.uint8))
+        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
         norm, own = (theirs.column(c).to_numpy() for c in ("norm", "own"))
-        scale = (norm / (own * np.sqrt(dim))).astype(np.float32)[:, None]
-        spread = (norm * np.sqrt(np.maximum(1 - own * own, 0)) / own * DEVIATIONS / np.sqrt(max(dim - 1, 1))).astype(np.float32)
-        q_norm = np.sqrt((queries * queries).sum(axis=1))
-        turned = (queries @ rotation(dim).T).astype(np.float32)
-        for at in range(0, len(queries), 128):
-            guess = (signs @ turned[at : at + 128].T) * scale
-            for c in range(guess.shape[1]):
-                q = queries[at + c]
-                upper = guess[:, c] + spread * np.float32(q_norm[at + c])
-                other = ids != q_ids[at + c]
-                upper[~other] = -np.inf
-                first = min(4 * k, len(ids))
-                best = np.argpartition(-upper, first - 1)[:first]
-                score = (vectors[best] * q).sum(axis=1)
-                score[~other[best]] = -np.inf
-                floor = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
-                use = np.flatnonzero((upper >= floor - 1e-6 * abs(floor)) & other) if np.isfinite(floor) else np.flatnonzero(other)
-                score = (vectors[use] * q).sum(axis=1)
-                order = np.lexsort((ids[use], -score))[:k]
-                yield from zip([int(q_ids[at + c])] * len(order), ids[use][order].tolist(), score[order].tolist(), strict=True)
+        scale = norm / (own * np.sqrt(dim))
+        spread = norm * np.sqrt(np.maximum(1 - own * own, 0)) / own / np.sqrt(max(dim - 1, 1))
+        rotated = queries @ rotation(dim).T
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        first = min(4 * k, len(ids))
+        for q_id, key, q, turned, length in zip(q_ids, keys, queries, rotated, lengths, strict=True):
+            sums, cut = signed_sums(codes, ones, turned)
+            upper = sums * scale + DEVIATIONS * np.hypot(spread * length, cut * scale)
+            other = ids != q_id
+            upper[~other] = -np.inf
+            best = np.argpartition(-upper, first - 1)[:first]
+            score = (vectors[best] * q).sum(axis=1)
+            score[~other[best]] = -np.inf
+            floor = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
+            use = np.flatnonzero((upper >= floor - 1e-6 * abs(floor)) & other) if np.isfinite(floor) else np.flatnonzero(other)
+            score = (vectors[use] * q).sum(axis=1)
+            order = np.lexsort((ids[use], -score))[:k]
+            yield from zip([int(q_id)] * len(order), [int(key)] * len(order), ids[use][order].tolist(), score[order].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -122,8 +147,8 @@ def _search(k: int):
 
 
 def _rows(found: Iterator[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*found, strict=True)] or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+    columns = [*zip(*found, strict=True)] or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "key", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -134,7 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     but those with its own vec_id.  Rows whose vec_id or vector is null, and
     vectors that are empty, zero or hold null or non-finite numbers, take no
     part.  Returns query_id, rank from 1, vec_id and score; equal scores go by
-    smaller vec_id.
+    smaller vec_id.  Repeated rows are candidates each; query rows alike in vec_id
+    and vector are one query, those that share a vec_id alone are ranked each.
     """
     coded = stage(vectors.select("vec_id", "embedding", is_query.alias("is_query")).mapInArrow(_encode, _CODED), "onebit-codes")
     n, asked = coded.agg(F.count("*"), F.count_if("is_query")).first()
@@ -142,12 +168,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     here = F.pmod(F.xxhash64("vec_id"), F.lit(cbs)).cast("int")
     there = F.pmod(F.xxhash64("vec_id"), F.lit(qbs)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    columns = ["dim", "cb", "qb", "side", "vec_id", "code", "norm", "own", "vector"]
-    candidates = coded.withColumns({"cb": here, "side": F.lit(0)}).withColumn("qb", every(qbs)).select(*columns)
-    queries = coded.filter("is_query").withColumns({"qb": there, "side": F.lit(1)}).withColumn("cb", every(cbs)).select(*columns)
+    columns = ["dim", "cb", "qb", "side", "vec_id", "key", "code", "norm", "own", "vector"]
+    candidates = coded.withColumns({"cb": here, "side": F.lit(0), "key": F.lit(0).cast("long")}).withColumn("qb", every(qbs)).select(*columns)
+    asked_once = coded.filter("is_query").withColumn("key", F.xxhash64("vector")).dropDuplicates(["vec_id", "key"])
+    queries = asked_once.withColumns({"qb": there, "side": F.lit(1)}).withColumn("cb", every(cbs)).select(*columns)
     blocks = candidates.union(queries).repartition("dim", "cb", "qb").sortWithinPartitions("dim", "cb", "qb")
-    found = blocks.mapInArrow(_search(k), "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = blocks.mapInArrow(_search(k), "query_id long, key long, vec_id long, score double")
+    place = F.row_number().over(W.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

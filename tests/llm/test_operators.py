@@ -277,10 +277,41 @@ def test_neighbours_are_exact_here(spark):
         hit += len(set(want) & set(g.vec_id))
         assert g.score.tolist() == sorted(s[g.vec_id], reverse=True)
     assert hit >= 0.9 * 5 * 20 and len(got) == 100
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 3.0]), (1, [2.0, 3.0])], "vec_id long, embedding array<double>")
+    rows = onebit.search(twice, F.col("vec_id") == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == [(0, 1, 1, 2.0), (0, 1, 1, 3.0), (0, 2, 1, 2.0), (0, 2, 1, 3.0)]
     assert onebit.search(df.limit(0), F.lit(True)).count() == 0
     assert onebit.search(df.filter("vec_id in (0, 3)"), F.col("vec_id") == 0).count() == 1
 
 
+def test_shared_bits_estimate_products():
+    r = np.random.default_rng(4)
+    for dim in (3, 16, 64, 100):
+        x, q = r.normal(size=(500, dim)), r.normal(size=dim)
+        code, norm, own = onebit.encode(x)
+        words = onebit._words(code)
+        turned = onebit.rotation(dim) @ q
+        sums, cut = onebit.signed_sums(words, np.bitwise_count(words).sum(axis=1, dtype=np.int64), turned)
+        signs = np.unpackbits(code, axis=1, count=dim).astype(float) * 2 - 1
+        assert np.abs(sums - signs @ turned).max() <= 6 * cut + 1e-9
+        if dim >= 64:
+            guess = sums * norm / (own * np.sqrt(dim))
+            bound = 3 * norm * np.sqrt(1 - own**2) / own / np.sqrt(dim - 1) * np.linalg.norm(q)
+            assert (np.abs(guess - x @ q) <= bound + cut * 3).mean() > 0.98
+
+
+def test_recall_on_the_given_table(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    x, ids = np.stack(t.embedding).astype(float), t.vec_id.to_numpy()
+    got = onebit.op5(spark, "/root/testdata/sf0.01").toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = (x * x[ids == q][0]).sum(axis=1)
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id))
+    assert len(got) == 20 * (ids % 20 == 0).sum() and hits >= 0.9 * len(got)
+
+
 # 7
 
 
