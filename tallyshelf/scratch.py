@@ -45,13 +45,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> int:
-    """Delete the tables that ``stage`` wrote in this application after the first
-    ``since``; results that still read them must have been written before.
-    Returns how many went."""
+def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that ``stage`` wrote in this application, but for the first
+    ``since`` and the last ``keep``; results that still read them must have been
+    written before.  Returns how many went."""
     written = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    paths = written[since:]
-    del written[since:]
+    paths = written[since : len(written) - keep]
+    del written[since : len(written) - keep]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
