@@ -465,12 +465,3 @@ def test_wide_ids_take_four_bytes(tmp_path):
     held["added_tokens"][0]["id"] = 1 << 16
     (tmp_path / "v.json").write_text(json.dumps(held))
     assert (shards.id_bytes(), shards.id_bytes(str(tmp_path / "v.json"))) == (2, 4)
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline
-
-    base = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf).toPandas()
-    assert set(out.doc_id) <= {r.doc_id for r in base.select("doc_id").collect()}
-    assert out.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
