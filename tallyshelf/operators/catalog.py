@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyshelf.functions import rules
 from tallyshelf.functions.rules import discount_2, network_key
 from tallyshelf.scratch import stage
 
@@ -96,21 +97,35 @@ def relabel_main_image(variants: DataFrame, gallery: str = "other") -> DataFrame
     return variants.withColumn("images", F.transform("images", label))
 
 
-def product_detail(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """Products with their offers, those without kept."""
-    return products.join(offers.select("product_id", "offer_id", "store_name", "price", "stock_status"), "product_id", "left")
+def product_detail(products: DataFrame, offers: DataFrame, brands: DataFrame | None = None, categories: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
+    """Products with slug, brand and category names, variants and offers, those
+    without variants or offers kept; position is an offer's place by price in its
+    product.  brands (brand_id, brand_name) and categories (category_id,
+    category_name) are joined by id; offers by variant_id where variants are given.
+    """
+    out = products if "slug" in products.columns else products.withColumn("slug", rules.product_slug(F.concat_ws(" ", "brand", "model_name")))
+    if brands is not None:
+        out = out.join(brands, "brand_id")
+    if categories is not None:
+        out = out.join(categories, "category_id")
+    key = "product_id"
+    if variants is not None:
+        out, key = out.join(variants, "product_id", "left"), "variant_id"
+    order = W.partitionBy("product_id").orderBy(F.asc_nulls_last("price"), "store_name", "offer_id")
+    return out.join(offers.select(key, "offer_id", "store_name", "price", "stock_status"), key, "left").withColumn("position", F.row_number().over(order))
 
 
 def offers_by_store(offers: DataFrame, products: DataFrame, store: str, page: int = 1, limit: int = 20) -> DataFrame:
-    """A page of a store's active offers by price, with the total count."""
-    mine = offers.filter(F.col("is_active") & (F.col("store_name") == store)).join(products, "product_id", "left")
-    return paginate(mine, page, limit, ["price", "offer_id", "product_id", "last_seen"])
+    """A page of a store's active offers by price, with the total count; only
+    the page's rows meet their products."""
+    mine = offers.filter(F.col("is_active") & (F.col("store_name") == store))
+    return paginate(mine, page, limit, ["price", "offer_id", "product_id", "last_seen"]).join(products, "product_id", "left")
 
 
 def paginate(df: DataFrame, page: int, limit: int, order: list[str]) -> DataFrame:
     """L1: rows of a page, each with total, the count over all pages."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset((page - 1) * limit).limit(limit).join(F.broadcast(total))
+    rows = df.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def next_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
@@ -197,27 +212,41 @@ def trigrams(name: str):
 
 def similar_names(names: DataFrame, threshold: float = 0.3, block: str = "brand", name: str = "model_name") -> DataFrame:
     """Pairs of distinct names of a block whose trigram similarity reaches the
-    threshold: shared over all trigrams, by an inverted join."""
-    base = names.select(block, name).distinct().withColumn("grams", trigrams(name)).withColumn("n", F.size("grams"))
-    grams = base.select(block, name, "n", F.explode("grams").alias("gram"))
-    a, b = (grams.select(F.col(block).alias("block"), "gram", F.col(name).alias(f"name_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    shared = a.join(b, ["block", "gram"]).filter("name_a < name_b").groupBy("block", "name_a", "name_b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    score = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return shared.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(F.col("block").alias(block), "name_a", "name_b", "similarity")
+    threshold: shared over all trigrams.
+
+    Names meet by their rarest trigrams alone: of n, the n - ceil(threshold * n) + 1
+    first, rarest first, of which a pair at the threshold shares one; and only where
+    their numbers of trigrams allow it.
+    """
+    base = names.select(F.col(block).alias("block"), F.col(name).alias("name")).distinct().withColumn("grams", trigrams("name"))
+    base = base.withColumn("n", F.size("grams"))
+    grams = base.select("block", "name", F.explode("grams").alias("gram"))
+    often = grams.groupBy("block", "gram").agg(F.count("*").alias("often"))
+    rare = grams.join(often, ["block", "gram"]).groupBy("block", "name").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("rare"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
+    ready = base.join(rare, ["block", "name"]).withColumn("gram", F.explode(F.transform(F.slice("rare", F.lit(1), most), lambda r: r.gram))).drop("rare")
+    a, b = (ready.select("block", "gram", F.col("name").alias(f"name_{x}"), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    close = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    met = a.join(b, ["block", "gram"]).filter((F.col("name_a") < F.col("name_b")) & close)
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    scored = met.select("block", "name_a", "name_b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold).distinct().withColumnRenamed("block", block)
 
 
 def search(products: DataFrame, term: str, threshold: float = 0.3) -> DataFrame:
-    """Q1: products whose name holds every word of the term (score 1) or is
-    similar to it by trigrams, best first."""
-    words = [w for w in term.lower().split() if w]
-    name = F.lower("model_name")
-    all_words = F.lit(True)
-    for w in words:
-        all_words = all_words & name.contains(w)
-    own = products.withColumn("_q", F.lit(term)).withColumn("_a", trigrams("model_name")).withColumn("_b", trigrams("_q"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    score = F.when(all_words, F.lit(1.0)).otherwise(both / F.nullif(F.size("_a") + F.size("_b") - both, F.lit(0)))
-    out = own.withColumn("score", score).filter(F.col("score") >= threshold).drop("_q", "_a", "_b")
+    """Q1: products whose name, number and brand together hold every word of the
+    term (score 1), or one of which is similar to it by trigrams, best first."""
+    parts = [c for c in ("model_name", "model_number", "brand") if c in products.columns]
+    whole, hit = F.lower(F.concat_ws(" ", *parts)), F.lit(True)
+    for w in term.lower().split():
+        hit = hit & whole.contains(w)
+    asked = products.withColumn("_q", F.lit(term)).withColumns({f"_{k}": trigrams(c) for k, c in enumerate([*parts, "_q"])})
+    mine, scores = f"_{len(parts)}", []
+    for k in range(len(parts)):
+        both = F.size(F.array_intersect(f"_{k}", mine))
+        scores.append(F.coalesce(both / F.nullif(F.size(f"_{k}") + F.size(mine) - both, F.lit(0)), F.lit(0.0)))
+    score = F.when(hit, F.lit(1.0)).otherwise(F.greatest(*scores, F.lit(0.0)))
+    out = asked.withColumn("score", score).filter(F.col("score") >= threshold).drop("_q", *(f"_{k}" for k in range(len(parts) + 1)))
     return out.orderBy(F.desc("score"), "product_id")
 
 
@@ -228,16 +257,24 @@ def autocomplete(products: DataFrame, offers: DataFrame, prefix: str, limit: int
     return counted.orderBy(F.desc("offers"), "model_name").limit(limit)
 
 
-def compare_specs(items: DataFrame, ids: list, specs: list[str], key: str = "product_id") -> DataFrame:
-    """One row per spec, one column per chosen item."""
-    rows = items.filter(F.col(key).isin(*ids)).select(key, F.explode(F.create_map(*(x for s in specs for x in (F.lit(s), F.col(s).cast("string"))))).alias("spec", "value"))
+def compare_specs(items: DataFrame, ids: list, specs: list[str], key: str = "product_id", offers: DataFrame | None = None) -> DataFrame:
+    """One row per spec, one column per chosen item; with offers also their
+    lowest and highest price."""
+    chosen = items.filter(F.col(key).isin(*ids))
+    if offers is not None:
+        prices = offers.filter(F.col(key).isin(*ids)).groupBy(key).agg(F.min(price()).alias("min_price"), F.max(price()).alias("max_price"))
+        chosen, specs = chosen.join(prices, key, "left"), [*specs, "min_price", "max_price"]
+    rows = chosen.select(key, F.explode(F.create_map(*(x for s in specs for x in (F.lit(s), F.col(s).cast("string"))))).alias("spec", "value"))
     return rows.groupBy("spec").pivot(key, ids).agg(F.first("value")).select("spec", *(F.col(str(i)).alias(f"item_{i}") for i in ids))
 
 
 def brand_summary(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """A1: products and offer prices per brand; brands without offers kept."""
-    joined = products.select("product_id", "brand").join(offers.select("product_id", "price"), "product_id", "left")
-    return joined.groupBy("brand").agg(F.countDistinct("product_id").alias("products"), F.min(price()).alias("min_price"), F.max(price()).alias("max_price"), mean("price").alias("avg_price"))
+    """A1: products and offer prices per brand; brands without offers kept.  Offers
+    are summed by product before they meet the products (one row each)."""
+    per = offers.groupBy("product_id").agg(F.min(price()).alias("low"), F.max(price()).alias("high"), F.sum("price").alias("total"), F.count("price").alias("n"))
+    joined = products.select("product_id", "brand").join(per, "product_id", "left")
+    average = F.sum("total").cast("double") / F.nullif(F.sum("n"), F.lit(0))
+    return joined.groupBy("brand").agg(F.count("*").alias("products"), F.min("low").alias("min_price"), F.max("high").alias("max_price"), average.alias("avg_price"))
 
 
 def top_stores(offers: DataFrame, limit: int = 10) -> DataFrame:
@@ -266,8 +303,8 @@ def sightings(products: DataFrame, offers: DataFrame) -> DataFrame:
 
 def cross_store_coverage(seen: DataFrame) -> DataFrame:
     """A5: models in several stores, in one, all, and the share in several."""
-    n = seen.groupBy("brand", "name_key").agg(F.countDistinct("store_name").alias("stores"))
-    out = n.agg(F.count_if(F.col("stores") > 1).alias("common"), F.count_if(F.col("stores") == 1).alias("single"), F.count("*").alias("total"))
+    n = seen.groupBy("brand", "name_key").agg(F.min("store_name").alias("a"), F.max("store_name").alias("b"))
+    out = n.agg(F.count_if(F.col("a") != F.col("b")).alias("common"), F.count_if(F.col("a") == F.col("b")).alias("single"), F.count("*").alias("total"))
     return out.withColumn("coverage_pct", F.floor(F.col("common") * 10000 / F.col("total") + 0.5) / 100)
 
 
@@ -313,14 +350,16 @@ def category_rollup(closure: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def facets(products: DataFrame, offers: DataFrame, band: int = 20000) -> DataFrame:
-    """Counts by brand, category, RAM and price band in one pass."""
+    """Products by brand, category, RAM, price band and store; a product counts
+    once in each store that has it."""
     price = offers.groupBy("product_id").agg(F.min("price").alias("price"))
     df = products.join(price, "product_id", "left").select("brand", "category", F.col("ram_gb").cast("string").alias("ram"), (F.floor(F.col("price") / band) * band).cast("bigint").cast("string").alias("band"))
     cols = ["brand", "category", "ram", "band"]
     out = df.groupingSets([[F.col(c)] for c in cols], *(F.col(c) for c in cols)).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
     which = {7: "brand", 11: "category", 13: "ram", 14: "band"}
     facet = F.coalesce(*(F.when(F.col("g") == g, F.lit(c)) for g, c in which.items()))
-    return out.select(facet.alias("facet"), F.coalesce(*cols).alias("value"), "n")
+    stores = offers.select("product_id", "store_name").distinct().groupBy(F.lit("store").alias("facet"), F.col("store_name").alias("value")).agg(F.count("*").alias("n"))
+    return out.select(facet.alias("facet"), F.coalesce(*cols).alias("value"), "n").unionByName(stores)
 
 
 def price_analysis(offers: DataFrame) -> DataFrame:

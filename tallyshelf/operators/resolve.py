@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.operators.catalog import first_seen, refresh_counts
+from tallyshelf.operators.components import connected_components
 from tallyshelf.scratch import stage
 
 
@@ -42,9 +43,9 @@ def assign_category(feed: DataFrame, categories: DataFrame, default: str = "Smar
     """category_id by exact name; a missing name counts as the default, an
     unknown one as other if that exists, else null."""
     known = categories.select(F.col("category_id").alias("_id"), F.col("name").alias("_name"))
-    fallback = categories.filter(F.col("name") == other).agg(F.min("category_id").alias("_other"))
-    out = feed.join(known, F.coalesce("category", F.lit(default)) == F.col("_name"), "left").crossJoin(F.broadcast(fallback))
-    return out.withColumn("category_id", F.coalesce("_id", "_other")).drop("_id", "_name", "_other")
+    fallback = categories.filter(F.col("name") == other).agg(F.min("category_id")).scalar()
+    out = feed.join(known, F.coalesce("category", F.lit(default)) == F.col("_name"), "left")
+    return out.withColumn("category_id", F.coalesce(F.col("_id"), fallback)).drop("_id", "_name")
 
 
 def category_lookup(feed: DataFrame, categories: DataFrame) -> DataFrame:
@@ -62,9 +63,7 @@ def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -
 
     feed has row_id (unique), brand, model_name and model_number.  Within a brand,
     mode "name" joins records by network-normalised model name; mode "components"
-    also by model number, and takes connected components over both keys: each
-    round takes the smallest label of each key, written to the shared folder,
-    until a round changes nothing.
+    also by model number, and takes the connected components of both keys.
     """
     keyed = feed.withColumn("_brand", F.lower(rules.squeeze(F.col("brand")))).withColumn("_name", rules.network_key(F.col("model_name")))
     if mode == "name":
@@ -72,17 +71,9 @@ def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -
     number = F.nullif(F.upper(rules.squeeze(F.col("model_number"))), F.lit(""))
     nodes = keyed.select("_brand", "_name", number.alias("_number")).filter("_name is not null").distinct()
     name, num = key_id(F.lit("name"), F.col("_brand"), F.col("_name")), F.when(F.col("_number").isNotNull(), key_id(F.lit("number"), F.col("_brand"), F.col("_number")))
-    edges = stage(nodes.select(name.alias("n"), num.alias("m")).distinct(), "product-edges")
-    labels = stage(edges.select("n", F.col("n").alias("label")).distinct(), "product-labels")
-    while True:
-        by_number = edges.filter("m is not null").join(labels, "n").groupBy("m").agg(F.min("label").alias("lm"))
-        near = edges.join(by_number, "m").groupBy("n").agg(F.min("lm").alias("ln"))
-        new = stage(labels.join(near, "n", "left").select("n", F.least("label", "ln").alias("label"), (F.col("ln") < F.col("label")).alias("moved")), "product-labels")
-        moved = new.filter("moved").limit(1).count()
-        labels = new.select("n", "label")
-        if not moved:
-            break
-    return keyed.withColumn("n", name).join(labels.withColumnRenamed("label", "product_key"), "n", "left").drop("_brand", "_name", "n")
+    parts = connected_components(nodes.select(name.alias("a"), num.alias("b")).filter("b is not null"), "products")
+    found = keyed.withColumn("_node", name).join(parts.select(F.col("node").alias("_node"), "component"), "_node", "left")
+    return found.withColumn("product_key", F.when(F.col("_name").isNotNull(), F.coalesce("component", "_node"))).drop("_brand", "_name", "_node", "component")
 
 
 def backfill_model_numbers(products: DataFrame, feed: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
@@ -13,25 +11,11 @@ from tallyshelf.operators import normalize as N
 from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
+from tallyshelf.plans.registry import query
 from tallyshelf.plans.views import WITH, offers, products, table
 from tallyshelf.sources import feeds as S
 from tallyshelf.streaming import jobs as T
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def _dbl(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
@@ -89,9 +73,21 @@ def good_deals(spark, d):
     return C.good_deals(offers(spark, d), 8).select("offer_id", "product_id", "discount")
 
 
-@query("j1_product_detail", WITH + "SELECT p.product_id, brand, model_name, offer_id, store_name, CAST(price AS DOUBLE) AS price FROM products p LEFT JOIN offers o ON p.product_id = o.product_id")
+SLUG = r"trim(regexp_replace(regexp_replace(replace(replace(replace(lower(brand || ' ' || model_name), '&', 'and'), '@', 'at'), '%', 'percent'), '[^a-z0-9+\s_-]', '', 'g'), '[\s_-]+', '-', 'g'), '-')"
+DETAIL = f"""SELECT p.product_id, {SLUG} AS slug, brand AS brand_name, category AS category_name, 'v' || p.product_id AS variant_id, ram_gb, offer_id, store_name, CAST(price AS DOUBLE) AS price,
+  row_number() OVER (PARTITION BY p.product_id ORDER BY price NULLS LAST, store_name, offer_id) AS position FROM products p LEFT JOIN offers o ON p.product_id = o.product_id"""
+
+
+@query("j1_product_detail", WITH + DETAIL)
 def product_detail(spark, d):
-    return _dbl(C.product_detail(products(spark, d), offers(spark, d)), "price").select("product_id", "brand", "model_name", "offer_id", "store_name", "price")
+    p = products(spark, d).withColumns({"brand_id": F.lower("brand"), "category_id": F.lower("category")})
+    brands = p.select("brand_id", F.col("brand").alias("brand_name")).distinct()
+    categories = p.select("category_id", F.col("category").alias("category_name")).distinct()
+    variant = lambda c: F.concat(F.lit("v"), c).alias("variant_id")
+    variants = p.select("product_id", variant("product_id"), "ram_gb")
+    sold = offers(spark, d).select("*", variant("product_id"))
+    out = C.product_detail(p.drop("ram_gb"), sold, brands, categories, variants)
+    return _dbl(out, "price").select("product_id", "slug", "brand_name", "category_name", "variant_id", "ram_gb", "offer_id", "store_name", "price", "position")
 
 
 @query("j2_offers_by_store", WITH + "SELECT o.product_id, o.offer_id, CAST(price AS DOUBLE) AS price, brand, (SELECT count(*) FROM offers WHERE is_active AND store_name = 'Supplier#000000001') AS total FROM offers o LEFT JOIN products p ON o.product_id = p.product_id WHERE is_active AND store_name = 'Supplier#000000001' ORDER BY o.price, o.offer_id, o.product_id, o.last_seen LIMIT 20 OFFSET 20")
@@ -114,10 +110,12 @@ def variant_names(spark, d):
     return C.variant_names(products(spark, d)).select("product_id", "display_name")
 
 
-@query("j6_match_attributes", WITH + "SELECT product_id FROM products v WHERE EXISTS (SELECT 1 FROM products w WHERE w.product_id % 7 = 3 AND v.brand = w.brand AND v.category IS NOT DISTINCT FROM w.category AND v.ram_gb IS NOT DISTINCT FROM w.ram_gb)")
+@query("j6_match_attributes", WITH + "SELECT product_id FROM products v WHERE EXISTS (SELECT 1 FROM products w JOIN offers o ON w.product_id = o.product_id WHERE stock_status = 'out_of_stock' AND last_seen < DATE '1995-03-01' AND v.brand = w.brand AND v.category IS NOT DISTINCT FROM w.category AND v.ram_gb IS NOT DISTINCT FROM w.ram_gb)")
 def match_attributes(spark, d):
+    """Products alike to one that was out of stock before March 1995."""
     p = products(spark, d)
-    return C.match_attributes(p, p.filter("product_id % 7 = 3"), "brand", ["category", "ram_gb"]).select("product_id")
+    gone = offers(spark, d).filter("stock_status = 'out_of_stock' and last_seen < '1995-03-01'")
+    return C.match_attributes(p, p.join(gone, "product_id", "left_semi"), "brand", ["category", "ram_gb"]).select("product_id")
 
 
 FEEDS = WITH + ", feed AS (SELECT brand || ' ' || model_name AS model_name, brand, p.product_id, CASE stock_status WHEN 'out_of_stock' THEN 'r' WHEN 'limited_stock' THEN 'a' ELSE 'n' END AS source FROM offers o JOIN products p ON o.product_id = p.product_id) "
@@ -135,10 +133,11 @@ def models_in_both(spark, d):
     return C.models_in_both(f.filter("source = 'a'"), f.filter("source = 'r'"))
 
 
-@query("j8_models_only_in", FEEDS + "SELECT DISTINCT model_name FROM feed WHERE source = 'n' AND model_name NOT IN (SELECT model_name FROM feed WHERE source = 'r')")
+@query("j8_models_only_in", WITH + "SELECT DISTINCT brand || ' ' || model_name AS model_name FROM products p JOIN offers o ON p.product_id = o.product_id WHERE last_seen < DATE '1995-03-01' AND brand || ' ' || model_name NOT IN (SELECT brand || ' ' || model_name FROM products p JOIN offers o ON p.product_id = o.product_id WHERE last_seen >= DATE '2001-09-01')")
 def models_only_in(spark, d):
-    f = feed(spark, d)
-    return C.models_only_in(f.filter("source = 'n'"), f.filter("source = 'r'"))
+    """Models seen before March 1995 and not from September 2001 on."""
+    f = offers(spark, d).join(products(spark, d), "product_id").select(F.concat_ws(" ", "brand", "model_name").alias("model_name"), "last_seen")
+    return C.models_only_in(f.filter("last_seen < '1995-03-01'"), f.filter("last_seen >= '2001-09-01'"))
 
 
 @query("u1_all_models", FEEDS + "SELECT DISTINCT model_name FROM feed")
@@ -170,9 +169,22 @@ def similar_names(spark, d):
     return C.similar_names(products(spark, d))
 
 
-@query("q1_search_products", WITH + "SELECT product_id, model_name FROM products WHERE lower(model_name) LIKE '%red%' AND lower(model_name) LIKE '%ring%'")
+def _grams(c: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _likeness(c: str) -> str:
+    return f"len(list_intersect({_grams(c)}, q)) / CAST(len({_grams(c)}) + len(q) - len(list_intersect({_grams(c)}, q)) AS DOUBLE)"
+
+
+SEARCH = f""", asked AS (SELECT *, {_grams("'ring red'")} AS q FROM products), scored AS (SELECT product_id, model_name,
+  CASE WHEN lower(concat_ws(' ', model_name, brand)) LIKE '%red%' AND lower(concat_ws(' ', model_name, brand)) LIKE '%ring%' THEN 1.0E0 ELSE greatest({_likeness("model_name")}, {_likeness("brand")}) END AS score FROM asked)
+SELECT product_id, model_name, score FROM scored WHERE score >= 0.3"""
+
+
+@query("q1_search_products", WITH + SEARCH)
 def search_products(spark, d):
-    return C.search(products(spark, d), "red ring", threshold=1.0).select("product_id", "model_name")
+    return C.search(products(spark, d), "ring red").select("product_id", "model_name", "score")
 
 
 @query("q2_autocomplete", WITH + "SELECT model_name, count(offer_id) AS offers FROM products p LEFT JOIN offers o ON p.product_id = o.product_id WHERE starts_with(lower(model_name), 're') GROUP BY model_name ORDER BY offers DESC, model_name LIMIT 10")
@@ -180,9 +192,9 @@ def autocomplete(spark, d):
     return C.autocomplete(products(spark, d), offers(spark, d), "re")
 
 
-@query("j10_compare_specs", WITH + ", s AS (SELECT product_id, unnest(['brand', 'category', 'ram_gb']) AS spec, unnest([brand, category, CAST(ram_gb AS VARCHAR)]) AS value FROM products WHERE product_id IN (1, 2, 3)) SELECT spec, max(value) FILTER (product_id = 1) AS item_1, max(value) FILTER (product_id = 2) AS item_2, max(value) FILTER (product_id = 3) AS item_3 FROM s GROUP BY spec")
+@query("j10_compare_specs", WITH + ", pr AS (SELECT product_id, min(CAST(price AS DOUBLE)) AS lo, max(CAST(price AS DOUBLE)) AS hi FROM offers GROUP BY product_id), s AS (SELECT p.product_id, unnest(['brand', 'category', 'ram_gb', 'min_price', 'max_price']) AS spec, unnest([brand, category, CAST(ram_gb AS VARCHAR), CAST(lo AS VARCHAR), CAST(hi AS VARCHAR)]) AS value FROM products p LEFT JOIN pr ON p.product_id = pr.product_id WHERE p.product_id IN (1, 2, 3)) SELECT spec, max(value) FILTER (product_id = 1) AS item_1, max(value) FILTER (product_id = 2) AS item_2, max(value) FILTER (product_id = 3) AS item_3 FROM s GROUP BY spec")
 def compare_specs(spark, d):
-    return C.compare_specs(products(spark, d), [1, 2, 3], ["brand", "category", "ram_gb"])
+    return C.compare_specs(products(spark, d), [1, 2, 3], ["brand", "category", "ram_gb"], offers=offers(spark, d))
 
 
 STATS = "min(CAST(price AS DOUBLE)) AS min_price, max(CAST(price AS DOUBLE)) AS max_price, CAST(sum(price) AS DOUBLE) / count(price) AS avg_price"
@@ -216,9 +228,13 @@ def cross_store_coverage(spark, d):
     return C.cross_store_coverage(C.sightings(products(spark, d), offers(spark, d)))
 
 
-@query("a6_store_exclusives", SEEN + "SELECT store_name, count(*) AS exclusive_models FROM (SELECT DISTINCT s.brand, s.name_key, store_name FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores = 1) GROUP BY store_name")
+EARLY = SEEN.replace("FROM offers o JOIN products p ON o.product_id = p.product_id)", "FROM offers o JOIN products p ON o.product_id = p.product_id WHERE last_seen < DATE '1995-02-01')")
+
+
+@query("a6_store_exclusives", EARLY + "SELECT store_name, count(*) AS exclusive_models FROM (SELECT DISTINCT s.brand, s.name_key, store_name FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores = 1) GROUP BY store_name")
 def store_exclusives(spark, d):
-    return C.store_exclusives(C.sightings(products(spark, d), offers(spark, d)))
+    """Models that one store alone had before February 1995."""
+    return C.store_exclusives(C.sightings(products(spark, d), offers(spark, d).filter("last_seen < '1995-02-01'")))
 
 
 @query("a7_variants_per_store_common", SEEN + "SELECT store_name, count(DISTINCT product_id) AS variants FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores > 1 GROUP BY store_name")
@@ -258,7 +274,7 @@ def category_rollup(spark, d):
     return C.category_rollup(C.category_closure(tree(spark, d)), counts)
 
 
-@query("a17_facets", WITH + ", pr AS (SELECT product_id, min(price) AS price FROM offers GROUP BY product_id), f AS (SELECT brand, category, CAST(ram_gb AS VARCHAR) AS ram, CAST(CAST(floor(CAST(price AS DOUBLE) / 20000) * 20000 AS BIGINT) AS VARCHAR) AS band FROM products p LEFT JOIN pr ON p.product_id = pr.product_id) SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f GROUP BY brand UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ram', ram, count(*) FROM f GROUP BY ram UNION ALL SELECT 'band', band, count(*) FROM f GROUP BY band")
+@query("a17_facets", WITH + ", pr AS (SELECT product_id, min(price) AS price FROM offers GROUP BY product_id), f AS (SELECT brand, category, CAST(ram_gb AS VARCHAR) AS ram, CAST(CAST(floor(CAST(price AS DOUBLE) / 20000) * 20000 AS BIGINT) AS VARCHAR) AS band FROM products p LEFT JOIN pr ON p.product_id = pr.product_id) SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f GROUP BY brand UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ram', ram, count(*) FROM f GROUP BY ram UNION ALL SELECT 'band', band, count(*) FROM f GROUP BY band UNION ALL SELECT 'store', store_name, count(DISTINCT product_id) FROM offers GROUP BY store_name")
 def facets(spark, d):
     return C.facets(products(spark, d), offers(spark, d))
 
@@ -422,11 +438,15 @@ def join_enrichment(spark, d):
     return R.join_enrichment(products(spark, d).withColumn("url", F.col("product_id").cast("string")), attrs).select("product_id", "attrs.brand_name")
 
 
-@query("s4_append_new", "SELECT split_part(split_part(url, '#', 1), '?', 1) AS url, count(*) AS n FROM (SELECT DISTINCT rtrim(lower(regexp_extract(u, '^(https?://[^/]+)', 1)) || substr(u, length(regexp_extract(u, '^(https?://[^/]+)', 1)) + 1), '/') AS url FROM (SELECT regexp_replace(url, '[?#].*$', '') AS u FROM pages)) GROUP BY 1")
+@query("s4_append_new", WITH + "SELECT 'https://shop.example/p/' || product_id AS url, CASE WHEN product_id IN (SELECT product_id FROM offers WHERE stock_status = 'limited_stock' AND last_seen < DATE '1995-03-01') THEN 'old' ELSE 'new' END AS kind FROM products")
 def append_new(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url")
-    out = S.append_new_by_url(p.limit(0), p, "croma", ["page_id"])
-    return out.select(rules.croma_key(F.col("url")).alias("url"), F.lit(1).cast("long").alias("n"))
+    """All products appended to those that ran low before March 1995, under other spellings of their addresses."""
+    p = products(spark, d)
+    low = offers(spark, d).filter("stock_status = 'limited_stock' and last_seen < '1995-03-01'")
+    address = lambda head, tail: F.concat(F.lit(head), F.col("product_id").cast("string"), F.lit(tail)).alias("url")
+    old = p.join(low, "product_id", "left_semi").select(address("https://SHOP.example/p/", "?old=1"), F.lit("old").alias("kind"))
+    new = p.select(address("https://shop.example/p/", "/#new"), F.lit("new").alias("kind"))
+    return S.append_new_by_url(old, new, "croma", ["url"]).select(rules.croma_key(F.col("url")).alias("url"), "kind")
 
 
 @query("s7_split_rejects", WITH + "SELECT CASE WHEN category <> 'SMALL' THEN 'other category' END AS reject_reason, count(*) AS n FROM products GROUP BY 1")
@@ -481,20 +501,32 @@ def related_links(spark, d):
     return P.related_links(pages, pages.select(F.lit("").alias("link")), 3)
 
 
-@query("x2_spec_tables")
+#: A product page per part, in the markup that the page operators read.
+PAGES = """SELECT p_partkey AS page_id, '/p/' || p_partkey AS url, '<html><h1>' || p_name || '</h1><img src="https://i.example/' || p_partkey || '.jpg"><ul class="breadcrumb"><a href="/">Home</a><a>' || p_brand || '</a></ul>' ||
+  '<li class="highlight">' || p_name || '</li><b>₹' || (500 + p_size) || '.00</b><p>M.R.P.: ₹' || (1000 + p_size) || '</p> ' || (p_size % 60) || '% off ' || (p_size % 5) || '.4 out of 5 1,' || (100 + p_size) || ' ratings' ||
+  '<h2>Display</h2><table><tr><th>Size:</th><td>' || p_size || ' inch</td></tr><tr><td colspan=2>Maker</td></tr><tr><td>Brand</td><td> ' || p_brand || '</td></tr></table>' ||
+  CASE p_size % 5 WHEN 0 THEN '<p>Enter the characters you see below</p>' WHEN 1 THEN '<p>Access Denied</p>' WHEN 2 THEN '<h3>Page Not Found</h3>' ELSE '' END || '</html>' AS html FROM {part}"""
+
+
+def part_pages(spark, d):
+    return spark.sql(PAGES, part=table(spark, d, "part"))
+
+
+@query("x2_spec_tables", "SELECT p_partkey AS page_id, p_size || ' inch' AS size, p_brand AS brand, 2 AS sections FROM part")
 def spec_tables(spark, d):
-    """Pages by the number of specification sections found."""
-    return P.extract_spec_table(table(spark, d, "pages")).select("page_id", F.size("specifications").alias("sections"))
+    s = P.extract_spec_table(part_pages(spark, d)).withColumn("s", F.col("specifications"))
+    return s.select("page_id", F.col("s")["Display"]["Size"].alias("size"), F.col("s")["Maker"]["Brand"].alias("brand"), F.size("s").alias("sections"))
 
 
-@query("x3_price_rating")
+@query("x3_price_rating", "SELECT p_partkey AS page_id, CAST(500 + p_size AS INTEGER) AS price, CAST(1000 + p_size AS INTEGER) AS original_price, CAST(p_size % 60 AS INTEGER) AS discount_percent, p_size % 5 + 0.4E0 AS rating, CAST(1100 + p_size AS INTEGER) AS rating_count FROM part")
 def price_rating(spark, d):
-    return P.extract_price_rating(table(spark, d, "pages"))
+    return P.extract_price_rating(part_pages(spark, d)).select("page_id", "price", "original_price", "discount_percent", "rating", "rating_count")
 
 
-@query("x4_images_breadcrumb")
+@query("x4_images_breadcrumb", "SELECT p_partkey AS page_id, 'https://i.example/' || p_partkey || '.jpg' AS main_image, 'Home>' || p_brand AS breadcrumb, p_name AS tags FROM part")
 def images_breadcrumb(spark, d):
-    return P.extract_images_breadcrumb_tags(table(spark, d, "pages"))
+    out = P.extract_images_breadcrumb_tags(part_pages(spark, d))
+    return out.select("page_id", "main_image", F.array_join("breadcrumb", ">").alias("breadcrumb"), F.array_join("tags", ">").alias("tags"))
 
 
 @query("x7_default_categories", "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' WHEN regexp_matches(lower(url), 'phone|mobile') THEN 'Electronics>Mobile Phones' WHEN regexp_matches(lower(url), 'laptop|computer|tablet') THEN 'Electronics>Computers' ELSE 'Electronics' END AS crumb FROM pages")
@@ -502,9 +534,9 @@ def default_categories(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.default_categories(F.col("url")), ">").alias("crumb"))
 
 
-@query("f6_error_pages", "SELECT page_id, CASE WHEN regexp_matches(html, '(?i)captcha|not a robot') THEN 'captcha' END AS error FROM pages")
+@query("f6_error_pages", "SELECT p_partkey AS page_id, CASE p_size % 5 WHEN 0 THEN 'captcha' WHEN 1 THEN 'denied' WHEN 2 THEN 'not_found' END AS error FROM part")
 def error_pages(spark, d):
-    return P.flag_error_pages(table(spark, d, "pages")).select("page_id", "error")
+    return P.flag_error_pages(part_pages(spark, d)).select("page_id", "error")
 
 
 @query("v2_classify_pages")
@@ -528,11 +560,6 @@ def two_bucket(spark, d):
     return T.two_bucket_estimate(table(spark, d, "events"), "user_id", "ts", 86400, 2).select("user_id", "window_start", "requests", F.col("estimate").cast("double").alias("estimate"))
 
 
-@query("t8_token_bucket")
-def token_bucket(spark, d):
-    return T.token_bucket_decisions(table(spark, d, "events"), "user_id", "ts", [(2, 1 / 3600), (10, 10 / 86400)])
-
-
 @query("t10_price_alerts", WITH + ", a AS (SELECT product_id AS alert_id, product_id, list_price * 15 AS target FROM products), h AS (SELECT alert_id, offer_id, last_seen, row_number() OVER (PARTITION BY alert_id ORDER BY last_seen, offer_id, price) AS n FROM offers o JOIN a ON o.product_id = a.product_id WHERE price <= target) SELECT alert_id, offer_id, last_seen FROM h WHERE n = 1")
 def price_alerts(spark, d):
     alerts = products(spark, d).select(F.col("product_id").alias("alert_id"), "product_id", (F.col("list_price") * 15).alias("target"))

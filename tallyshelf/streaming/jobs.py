@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,27 +33,63 @@ def stream_dedup(df: DataFrame, ts: str, keys: list[str], horizon: str = "1 day"
 class UpsertSink:
     """A table kept up to date by micro-batches.
 
-    Each batch writes a new version folder named by its id; a batch id that has
-    its version already is skipped, so replays change nothing.
+    Rows lie in ``buckets`` by a hash of their key.  A batch reads and writes the
+    buckets of its own keys only; its manifest, written last, names each bucket's
+    version and makes the batch count.  A batch id that has its manifest already is
+    skipped, so replays change nothing.  Versions that neither of the last two
+    manifests names are deleted.
     """
 
-    def __init__(self, path: str, keys: list[str], recency: str):
-        self.path, self.keys, self.recency = path.rstrip("/"), keys, recency
+    def __init__(self, path: str, keys: list[str], recency: str, buckets: int = 64):
+        self.path, self.keys, self.recency, self.buckets = path.rstrip("/"), keys, recency, buckets
+
+    def _fs(self, spark: SparkSession, name: str):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _ids(self, spark: SparkSession, name: str) -> list[int]:
+        fs, path = self._fs(spark, name)
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _manifest(self, spark: SparkSession, batch_id: int) -> dict[int, int]:
+        """Version by bucket, a row a bucket."""
+        return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{self.path}/manifest/id={batch_id}").collect()}
+
+    def _committed(self, spark: SparkSession) -> list[int]:
+        return [i for i in self._ids(spark, "manifest") if exists(spark, f"{self.path}/manifest/id={i}/_SUCCESS")]
+
+    def _read(self, spark: SparkSession, versions: dict[int, int], schema) -> DataFrame:
+        paths = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def latest(self, spark: SparkSession) -> tuple[int, DataFrame | None]:
-        if not exists(spark, self.path):
+        """The last batch id and the table after it."""
+        done = self._committed(spark)
+        if not done:
             return -1, None
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if exists(spark, f"{self.path}/{s.getPath().getName()}/_SUCCESS")]
-        return (max(done), spark.read.parquet(f"{self.path}/version={max(done)}")) if done else (-1, None)
+        versions = self._manifest(spark, done[-1])
+        if not versions:
+            return done[-1], None
+        b, v = next(iter(versions.items()))
+        return done[-1], self._read(spark, versions, spark.read.parquet(f"{self.path}/data/version={v}/bucket={b}").schema)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        last, current = self.latest(batch.sparkSession)
-        if batch_id <= last:
+        spark = batch.sparkSession
+        done = self._committed(spark)
+        if done and batch_id <= done[-1]:
             return
-        current = batch.limit(0) if current is None else current
-        upsert(current, batch, self.keys, self.recency).drop("change", "price_changed").write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        versions = self._manifest(spark, done[-1]) if done else {}
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most `buckets`
+        current = self._read(spark, {b: versions[b] for b in touched if b in versions}, batch.schema)
+        after = upsert(current, batch, self.keys, self.recency).drop("change", "price_changed")
+        after.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={batch_id}")
+        versions |= dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(versions.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/id={batch_id}")
+        needed = set(versions.values()) | (set(self._manifest(spark, done[-1]).values()) if done else set())
+        for version in set(self._ids(spark, "data")) - needed:
+            fs, path = self._fs(spark, f"data/version={version}")
+            fs.delete(path, True)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -106,55 +141,6 @@ def two_bucket_estimate(events: DataFrame, key: str, ts: str, seconds: int, limi
     return n.withColumn("estimate", F.col("requests") + before * 0.5)
 
 
-def _admit(tiers: list[tuple[float, float]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, level, last = None, [], None
-        for batch in batches:
-            out = []
-            for key, part, t in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "t")), strict=True):
-                if (key, part) != now:
-                    now, level, last = (key, part), [c for c, _ in tiers], None
-                if t is None:
-                    out.append(False)
-                    continue
-                if last is not None:
-                    level = [min(c, x + (t - last) / 1e6 * r) for x, (c, r) in zip(level, tiers, strict=True)]
-                last = t
-                ok = all(x >= 1 for x in level)
-                if ok:
-                    level = [x - 1 for x in level]
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.int64()), batch.column("event_id").cast(pa.int64()), pa.array(out, pa.bool_())], names=["key", "event_id", "admitted"])
-
-    return run
-
-
-def token_bucket_decisions(events: DataFrame, key: str, ts: str, tiers: list[tuple[float, float]]) -> DataFrame:
-    """Admitted or not for each request, by event time.
-
-    tiers are (capacity, refill a second); a request must find a token in every
-    tier.  Requests of one key run in time order, by event_id at equal times;
-    requests without a time are refused.
-
-    A key's time is cut where it was idle until all tiers were full again, so its
-    parts run apart; a task goes through sorted rows and keeps one level a tier.
-    Idle times are found from the first and last request of slots of that length,
-    of which only a slot's first request can end one.
-    """
-    rows = events.select(F.col(key).alias("key"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    if all(r > 0 for _, r in tiers):
-        idle = int(max(c / r for c, r in tiers) * 1e6 * (1 + 1e-9)) + 1
-        rows = rows.withColumn("_slot", F.expr(f"(t - pmod(t, {idle}L)) div {idle}L"))
-        by = W.partitionBy("key").orderBy("_slot")
-        parts = rows.groupBy("key", "_slot").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
-        parts = parts.withColumn("_cut", F.coalesce(F.col("_first") - F.lag("_last").over(by) >= idle, F.lit(False)).cast("int"))
-        parts = parts.select(F.col("key").alias("_key"), F.col("_slot").alias("_s"), F.sum("_cut").over(by).alias("part"))
-        rows = rows.join(parts, F.col("key").eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_s"))).select("key", "event_id", "t", "part")
-    else:
-        rows = rows.withColumn("part", F.lit(0).cast("long"))
-    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "t", "event_id").mapInArrow(_admit(tiers), "key long, event_id long, admitted boolean")
-
-
 def failed_items_retry(dead: DataFrame, succeeded: DataFrame, most: int = 3) -> DataFrame:
     """The dead-letter rows (url, reason, attempts) to run again: not done by
     now and under the cap, with one attempt more."""
