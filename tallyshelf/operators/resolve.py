@@ -279,7 +279,7 @@ def ingest_offers(feed: DataFrame, products: DataFrame, current: DataFrame, cate
     keyed = stage(keyed, "offer-records")
     after = stage(upsert_offers(current, keyed.select(*current.columns)), "offers-after")
     of = keyed.select("variant_id", "product_key").distinct().join(after, "variant_id")
-    stats = of.filter("price is not null").groupBy("product_key").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("price").alias("avg_price"), F.count("*").alias("offers"))
+    stats = of.filter("price is not null").groupBy("product_key").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), (F.sum(F.col("price").cast("decimal(18,4)")).cast("double") / F.count("price")).alias("avg_price"), F.count("*").alias("offers"))
     products = products.join(stats, "product_key", "left")
     counted = refresh_counts(products.withColumn("product_id", F.col("product_key")), of.withColumn("product_id", F.col("product_key")).select("product_id", "is_active"))
     return after, counted.drop("product_id"), brands

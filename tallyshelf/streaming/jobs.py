@@ -15,9 +15,10 @@ from tallyshelf.operators.resolve import upsert
 from tallyshelf.sources.feeds import exists
 
 
-def stream_feed(spark: SparkSession, folder: str, schema: str, fmt: str = "json") -> DataFrame:
-    """New files of a folder, each once."""
-    return spark.readStream.schema(schema).format(fmt).load(folder)
+def stream_feed(spark: SparkSession, folder: str, schema, fmt: str = "json", names: str | None = None) -> DataFrame:
+    """New files of a folder, each once; of those alone whose names match, if given."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    return (reader.option("pathGlobFilter", names) if names else reader).load(folder)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tallyshelf.plans import parity, queries  # noqa: F401
+from tallyshelf.plans import flows, parity, queries  # noqa: F401
 from tallyshelf.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
