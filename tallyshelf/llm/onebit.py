@@ -85,12 +85,23 @@ def planes(turned: np.ndarray) -> tuple[float, float, np.ndarray]:
     return low, step, _words(np.packbits([(level >> j) & 1 for j in range(QUERY_BITS)], axis=1))
 
 
-def signed_sums(codes: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
+def _bits(words: list[np.ndarray]) -> np.ndarray:
+    """Bits set in rows that are given as columns of words."""
+    out = np.bitwise_count(words[0]).astype(np.int32)
+    for w in words[1:]:
+        out += np.bitwise_count(w)
+    return out
+
+
+def signed_sums(codes: list[np.ndarray], ones: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, float]:
     """The products of a query with the codes read as +1 and -1, from shared bits, and
-    their deviation by the cut to bits.  ``ones`` are the codes' numbers of bits."""
+    their deviation by the cut to bits.  ``codes`` are columns of words, ``ones``
+    their numbers of bits."""
     low, step, bits = planes(turned)
-    shared = sum(np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << j for j, plane in enumerate(bits))
-    return 2 * (low * ones + step * shared) - turned.sum(), step * np.sqrt(len(turned) / 12)
+    shared = np.zeros(len(ones), np.int32)
+    for j, plane in enumerate(bits):
+        shared += _bits([c & p for c, p in zip(codes, plane, strict=True)]) << j
+    return (2 * low) * ones + (2 * step) * shared - turned.sum(), step * np.sqrt(len(turned) / 12)
 
 
 def _search(k: int):
@@ -104,17 +115,18 @@ def _search(k: int):
         queries, vectors = (_matrix(t.column("vector"), np.float64) for t in (mine, theirs))
         q_ids, ids = (t.column("vec_id").to_numpy() for t in (mine, theirs))
         keys = mine.column("key").to_numpy()
-        codes = _words(_matrix(theirs.column("code"), np.uint8))
-        ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+        codes = [np.ascontiguousarray(c) for c in _words(_matrix(theirs.column("code"), np.uint8)).T]
+        ones = _bits(codes)
         norm, own = (theirs.column(c).to_numpy() for c in ("norm", "own"))
         scale = norm / (own * np.sqrt(dim))
-        spread = norm * np.sqrt(np.maximum(1 - own * own, 0)) / own / np.sqrt(max(dim - 1, 1))
+        variance = norm * norm * np.maximum(1 - own * own, 0) / (own * own * max(dim - 1, 1))
+        scale2 = scale * scale
         rotated = queries @ rotation(dim).T
         lengths = np.sqrt((queries * queries).sum(axis=1))
         first = min(4 * k, len(ids))
         for q_id, key, q, turned, length in zip(q_ids, keys, queries, rotated, lengths, strict=True):
             sums, cut = signed_sums(codes, ones, turned)
-            upper = sums * scale + DEVIATIONS * np.hypot(spread * length, cut * scale)
+            upper = sums * scale + DEVIATIONS * np.sqrt(variance * (length * length) + scale2 * (cut * cut))
             other = ids != q_id
             upper[~other] = -np.inf
             best = np.argpartition(-upper, first - 1)[:first]
@@ -122,6 +134,10 @@ def _search(k: int):
             score[~other[best]] = -np.inf
             floor = np.partition(score, -k)[-k] if len(score) >= k else -np.inf
             use = np.flatnonzero((upper >= floor - 1e-6 * abs(floor)) & other) if np.isfinite(floor) else np.flatnonzero(other)
+            rough = vectors[use] @ q
+            if len(use) > k:  # exact scores of those that rounding could place among the first
+                last = np.partition(rough, -k)[-k]
+                use = use[rough >= last - 1e-9 * max(abs(last), float(np.abs(rough).max()))]
             score = (vectors[use] * q).sum(axis=1)
             order = np.lexsort((ids[use], -score))[:k]
             yield from zip([int(q_id)] * len(order), [int(key)] * len(order), ids[use][order].tolist(), score[order].tolist(), strict=True)

@@ -289,9 +289,9 @@ def test_shared_bits_estimate_products():
     for dim in (3, 16, 64, 100):
         x, q = r.normal(size=(500, dim)), r.normal(size=dim)
         code, norm, own = onebit.encode(x)
-        words = onebit._words(code)
+        words = list(onebit._words(code).T)
         turned = onebit.rotation(dim) @ q
-        sums, cut = onebit.signed_sums(words, np.bitwise_count(words).sum(axis=1, dtype=np.int64), turned)
+        sums, cut = onebit.signed_sums(words, onebit._bits(words), turned)
         signs = np.unpackbits(code, axis=1, count=dim).astype(float) * 2 - 1
         assert np.abs(sums - signs @ turned).max() <= 6 * cut + 1e-9
         if dim >= 64:
