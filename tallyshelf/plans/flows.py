@@ -145,3 +145,19 @@ def failed_items(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("url"), "value", "event_type")
     dead = e.groupBy("url").agg(F.count("*").alias("attempts"), F.min("event_type").alias("reason"))
     return T.failed_items_retry(dead, e.filter("value > 250"), 70).select(F.col("url").cast("long").alias("user_id"), "attempts")
+
+
+SUMMARY = """, m AS (SELECT DISTINCT lower(brand) AS b, regexp_replace(trim(lower(model_name)), ' 5g$', '') AS m, ram_gb FROM products p JOIN offers o ON p.product_id = o.product_id)
+SELECT 'brand' AS entity, 'created' AS state, count(DISTINCT b) AS n FROM m UNION ALL SELECT 'variant', 'created', count(DISTINCT (b, m, ram_gb)) FROM m UNION ALL SELECT 'listing', 'new', count(DISTINCT offer_id) FROM offers
+UNION ALL SELECT 'reject', 'no brand', count(*) FROM offers o JOIN products p ON o.product_id = p.product_id WHERE trim(brand) = '' HAVING count(*) > 0"""
+
+
+@query("a15_ingestion_summary", WITH + SUMMARY)
+def ingestion_summary(spark, d):
+    """Brands, variants and listings after all offers went through the flow."""
+    r = offers(spark, d).join(products(spark, d), "product_id").select(
+        F.col("offer_id").alias("row_id"), "store_name", F.concat(F.lit("https://shop.example/"), F.col("offer_id").cast("string")).alias("url"), F.concat_ws(" ", "brand", "model_name").alias("title"),
+        "brand", "model_name", F.lit(None).cast("string").alias("model_number"), "category", F.lit(None).cast("string").alias("color"), F.col("ram_gb").cast("int").alias("ram"), F.lit(None).cast("int").alias("storage"),
+        F.lit(None).cast("double").alias("display_size"), F.lit(None).cast("string").alias("connectivity_type"), "price", F.col("last_seen").cast("timestamp").alias("scraped_at"),
+    )
+    return R.ingestion_summary(R.ingest(r)).filter("n > 0")

@@ -1,7 +1,7 @@
 import json
 
 from tallyshelf.operators import normalize as N
-from tallyshelf.operators.enrich import classify_batches
+from tallyshelf.operators.enrich import CATEGORIES, classify_batches, extract_attributes, keyword_model
 from tallyshelf.operators.pages import extract_images_breadcrumb_tags, extract_price_rating, parse_tables
 from tallyshelf.sources import feeds as S
 
@@ -75,3 +75,18 @@ def test_model_failures_get_the_default(spark):
     df = spark.createDataFrame([("u", "Galaxy Tab tablet"), ("v", None)], "url string, title string")
     assert {r.url: r.category for r in classify_batches(df).collect()} == {"u": "tablets", "v": "mobile-phones"}
     assert {r.confidence for r in classify_batches(df, lambda t: t[:0]).collect()} == {0.1}
+
+
+def test_categories_and_attributes(spark):
+    titles = ["Mi Power Bank 10000", "Galaxy S24 case", "boAt earbuds", "Noise smart watch", "Xbox Series S", "Canon DSLR", "LG smart TV", "Lenovo Tab M10", "HP laptop 14", "HP desktop", "Vivo phone"]
+    got = [c for c, _ in keyword_model(titles)]
+    assert len(set(got)) == len(CATEGORIES) == 11 and set(got) == set(CATEGORIES)
+    df = spark.createDataFrame([("a", "Vivo T3", "mobile-phones"), ("b", None, "laptops"), ("c", "x", "broken"), ("d", "y", None)], "url string, title string, category string")
+
+    def model(category, some):
+        if category == "broken":
+            raise ValueError
+        return [{"brand": t[:4], "ram_gb": 8, "lens_mount": "no"} for t in some]
+
+    rows = {r.url: r.attributes for r in extract_attributes(df, model).collect()}
+    assert rows == {"a": {"brand": "Vivo", "ram_gb": "8"}, "b": {"brand": "", "ram_gb": "8"}, "c": {}, "d": {"brand": "y"}}
