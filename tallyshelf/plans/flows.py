@@ -35,7 +35,13 @@ def category_lookup(spark, d):
     return R.category_lookup(asked, known).select("product_id", "category_id")
 
 
-@query("e5_tablet_variants", WITH + ", v AS (SELECT product_id, CASE WHEN brand LIKE '%1' THEN 'Apple Inc' ELSE brand END AS maker, ram_gb, category FROM products) SELECT min(product_id) AS product_id, count(*) AS records FROM v GROUP BY maker, CASE WHEN maker <> 'Apple Inc' THEN ram_gb END, lower(category), ram_gb % 3, CASE ram_gb % 2 WHEN 0 THEN 'Wi-Fi+5G' ELSE 'Wi-Fi+4G' END")
+@query(
+    "e5_tablet_variants",
+    WITH
+    + ", v AS (SELECT product_id, CASE WHEN brand LIKE '%1' THEN 'Apple Inc' ELSE brand END AS maker, ram_gb, category FROM products) "
+    "SELECT min(product_id) AS product_id, count(*) AS records FROM v GROUP BY maker, CASE "
+    "WHEN maker <> 'Apple Inc' THEN ram_gb END, lower(category), ram_gb % 3, CASE ram_gb % 2 WHEN 0 THEN 'Wi-Fi+5G' ELSE 'Wi-Fi+4G' END",
+)
 def tablet_variants(spark, d):
     """Variants of one product per maker, told apart by display and network; RAM counts but for Apple's."""
     maker = F.when(F.col("brand").endswith("1"), "Apple Inc").otherwise(F.col("brand"))
@@ -45,7 +51,13 @@ def tablet_variants(spark, d):
     return R.resolve_variants(p, tablets=True).select("variant_id", "product_id").join(n, "variant_id").select("product_id", "records")
 
 
-@query("e10_ingest_offers", WITH + ", named AS (SELECT lower(brand) AS b, lower(model_name) AS m, o.store_name, o.is_active, o.price FROM offers o JOIN products p ON o.product_id = p.product_id), last AS (SELECT b, m, store_name FROM named GROUP BY ALL) SELECT count(*) AS offers, (SELECT count(*) FROM (SELECT DISTINCT b, m FROM named)) AS products, (SELECT count(DISTINCT brand) FROM products) AS brands FROM last")
+@query(
+    "e10_ingest_offers",
+    WITH
+    + ", named AS (SELECT lower(brand) AS b, lower(model_name) AS m, o.store_name, o.is_active, o.price FROM offers o "
+    "JOIN products p ON o.product_id = p.product_id), last AS (SELECT b, m, store_name FROM named GROUP BY ALL) SELECT count(*) AS offers, (SELECT count(*) "
+    "FROM (SELECT DISTINCT b, m FROM named)) AS products, (SELECT count(DISTINCT brand) FROM products) AS brands FROM last",
+)
 def ingest_offers(spark, d):
     """All offers as parsed records: offers, products and brands after the flow."""
     p = products(spark, d)
@@ -67,7 +79,13 @@ def main_images(spark, d):
     return C.relabel_main_image(p).select("product_id", F.array_join(F.transform("images", lambda i: i.type), ",").alias("kinds"))
 
 
-@query("x6_unseen_links", LINKS + ", often AS (SELECT link FROM l GROUP BY link HAVING count(DISTINCT page_id) > 2) SELECT page_id, pos, link, rank FROM (SELECT page_id, pos, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1 AND link NOT IN (SELECT link FROM often)) WHERE rank <= 3")
+@query(
+    "x6_unseen_links",
+    LINKS
+    + ", often AS (SELECT link FROM l GROUP BY link HAVING count(DISTINCT page_id) > 2) SELECT page_id, pos, link, rank "
+    "FROM (SELECT page_id, pos, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1 AND link NOT IN (SELECT link "
+    "FROM often)) WHERE rank <= 3",
+)
 def unseen_links(spark, d):
     """Links but for those that three pages or more have."""
     pages = table(spark, d, "pages")
@@ -76,7 +94,12 @@ def unseen_links(spark, d):
     return P.related_links(pages, seen, 3)
 
 
-@query("n7_spec_groups", f"WITH phones AS ({PHONES.format(part='part')}) SELECT id, size + 0.5E0 AS size_in, '1080 x ' || size AS resolution, CAST(5000 + size AS INTEGER) AS capacity_mah, size % 2 = 0 AS nfc, size * 1.0E0 AS weight_g, size % 3 = 0 AS no_camera FROM phones")
+@query(
+    "n7_spec_groups",
+    f"WITH phones AS ({PHONES.format(part='part')}) "
+    f"SELECT id, size + 0.5E0 AS size_in, '1080 x ' || size AS resolution, CAST(5000 + size AS INTEGER) AS capacity_mah, size % 2 = 0 AS nfc, size * 1.0E0 "
+    f"AS weight_g, size % 3 = 0 AS no_camera FROM phones",
+)
 def spec_groups(spark, d):
     """Groups from sections as Croma and Reliance name them."""
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
@@ -91,7 +114,12 @@ def spec_groups(spark, d):
     return g.select("id", "g.display.size_in", "g.display.resolution", "g.battery.capacity_mah", "g.connectivity.nfc", "g.design.weight_g", F.col("g.camera").isNull().alias("no_camera"))
 
 
-@query("n8_spec_groups_extended", f"WITH phones AS ({PHONES.format(part='part')}) SELECT id, CASE WHEN storage LIKE '%TB' THEN (1 + size % 2) * 1024 WHEN storage LIKE '%GB' THEN size END AS internal_gb, size || ' months' AS summary, name AS model_number, storage IS NULL AS no_storage, true AS no_sensors FROM phones")
+@query(
+    "n8_spec_groups_extended",
+    f"WITH phones AS ({PHONES.format(part='part')}) SELECT id, CASE WHEN storage LIKE '%TB' THEN (1 + size % 2) * 1024 "
+    f"WHEN storage LIKE '%GB' THEN size END AS internal_gb, size || ' months' AS summary, name AS model_number, storage IS NULL AS no_storage, true AS "
+    f"no_sensors FROM phones",
+)
 def spec_groups_extended(spark, d):
     fields = lambda *pairs: F.create_map(*(F.lit(x) if isinstance(x, str) else x for p in pairs for x in p))
     specs = F.create_map(F.lit("Memory & Storage Features"), fields(("Internal Storage", F.col("storage"))), F.lit("Warranty"), fields(("Warranty Summary", F.concat("size", F.lit(" months")))), F.lit("General"), fields(("Model Number", F.col("name"))))
@@ -130,7 +158,11 @@ def stream_upsert(spark, d):
     return sink.latest(spark)[1].select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("t4_stream_price_changes", "SELECT user_id, old_price, price FROM (SELECT user_id, value AS price, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_price FROM events) WHERE old_price <> price")
+@query(
+    "t4_stream_price_changes",
+    "SELECT user_id, old_price, price FROM (SELECT user_id, value AS price, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_price "
+    "FROM events) WHERE old_price <> price",
+)
 def stream_changes(spark, d):
     """Changes of each user's value from event to event."""
     out = _folder(spark, "t4")
@@ -139,7 +171,11 @@ def stream_changes(spark, d):
     return spark.read.parquet(out).select(F.col("url").cast("long").alias("user_id"), "old_price", "price")
 
 
-@query("t9_failed_items", "SELECT user_id, n + 1 AS attempts FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE n < 70 AND user_id NOT IN (SELECT user_id FROM events WHERE value > 250)")
+@query(
+    "t9_failed_items",
+    "SELECT user_id, n + 1 AS attempts FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE n < 70 AND user_id NOT IN (SELECT user_id "
+    "FROM events WHERE value > 250)",
+)
 def failed_items(spark, d):
     """Users with fewer than 70 events, each an attempt, but for those who got beyond 250."""
     e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("url"), "value", "event_type")

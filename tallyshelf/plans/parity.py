@@ -82,7 +82,12 @@ def _clean(c: str) -> str:
     return rf"nullif(trim(regexp_replace(regexp_replace(regexp_replace({c}, '\([^)]*\)', '', 'g'), ',[^,]*$', ' '), '\s+', ' ', 'g')), '')"
 
 
-@query("c12_brands_and_models", WITH + f"SELECT id, {_brand('spec_brand')} AS brand, {_clean('title')} AS model, length(trim(name)) >= 2 AND lower(trim(name)) NOT IN ('product information', 'mobile phone information', 'smartphone', 'mobile phone', 'phone', 'mobile') AS valid FROM phones")
+@query(
+    "c12_brands_and_models",
+    WITH
+    + f"SELECT id, {_brand('spec_brand')} AS brand, {_clean('title')} AS model, length(trim(name)) >= 2 "
+    f"AND lower(trim(name)) NOT IN ('product information', 'mobile phone information', 'smartphone', 'mobile phone', 'phone', 'mobile') AS valid FROM phones",
+)
 def brands_and_models(spark, d):
     return phones(spark, d).select("id", rules.standard_brand(F.col("spec_brand")).alias("brand"), rules.clean_model(F.col("title")).alias("model"), rules.is_model_name(F.col("name")).alias("valid"))
 
@@ -116,7 +121,12 @@ def images(spark, d):
     return phones(spark, d).select("id", *(rules.image_url(F.col(f"image_{s[0]}"), s).alias(s) for s in ("flipkart", "reliance", "amazon", "croma")))
 
 
-@query("c19_prices", WITH + " SELECT id, CASE size % 3 WHEN 0 THEN '₹' WHEN 1 THEN '$' ELSE 'CHF' END || regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') AS shown, price + CASE WHEN size % 4 = 0 THEN 0 ELSE size END AS total FROM phones")
+@query(
+    "c19_prices",
+    WITH
+    + " SELECT id, CASE size % 3 WHEN 0 THEN '₹' WHEN 1 THEN '$' ELSE 'CHF' END || regexp_replace(CAST(price AS VARCHAR), '\\.0$', '') AS shown, price + CASE "
+    "WHEN size % 4 = 0 THEN 0 ELSE size END AS total FROM phones",
+)
 def prices(spark, d):
     p, code = phones(spark, d), F.when(F.col("size") % 3 == 0, "INR").when(F.col("size") % 3 == 1, "USD").otherwise("CHF")
     shipping = F.when(F.col("size") % 4 != 0, F.col("size"))

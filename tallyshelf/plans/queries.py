@@ -24,12 +24,22 @@ AS_OF = "2001-06-30"
 AVAILABLE_SQL = "is_active AND stock_status IN ('in_stock', 'limited_stock')"
 
 
-@query("w1_best_offers", WITH + f"SELECT product_id, store_name, offer_id, CAST(price AS DOUBLE) AS price, rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, store_name, offer_id, last_seen) AS rank FROM offers WHERE {AVAILABLE_SQL} AND price IS NOT NULL) WHERE rank <= 5")
+@query(
+    "w1_best_offers",
+    WITH
+    + f"SELECT product_id, store_name, offer_id, CAST(price AS DOUBLE) AS price, rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id "
+    f"ORDER BY price, store_name, offer_id, last_seen) AS rank FROM offers WHERE {AVAILABLE_SQL} AND price IS NOT NULL) WHERE rank <= 5",
+)
 def best_offers(spark, d):
     return _dbl(C.best_offers(offers(spark, d)), "price").select("product_id", "store_name", "offer_id", "price", "rank")
 
 
-@query("w2_price_comparison", WITH + "SELECT product_id, offer_id, CAST(price AS DOUBLE) AS price, rank() OVER (PARTITION BY product_id ORDER BY price) AS rank, CAST(price - min(price) OVER (PARTITION BY product_id) AS DOUBLE) AS gap FROM offers WHERE is_active AND price IS NOT NULL")
+@query(
+    "w2_price_comparison",
+    WITH
+    + "SELECT product_id, offer_id, CAST(price AS DOUBLE) AS price, rank() OVER (PARTITION BY product_id ORDER BY price) AS rank, CAST(price - min(price) "
+    "OVER (PARTITION BY product_id) AS DOUBLE) AS gap FROM offers WHERE is_active AND price IS NOT NULL",
+)
 def price_comparison(spark, d):
     return _dbl(C.price_comparison(offers(spark, d)), "price", "gap").select("product_id", "offer_id", "price", "rank", "gap")
 
@@ -42,13 +52,27 @@ def price_changes(spark, d):
     return _dbl(C.price_changes(offers(spark, d), ["product_id", "store_name"], "last_seen"), "old_price", "price").select("product_id", "store_name", "last_seen", "old_price", "price")
 
 
-@query("w4_price_history", WITH + ", changes AS (SELECT * FROM (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY last_seen, offer_id, price) AS old_price FROM offers) WHERE old_price <> price), recent AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY last_seen DESC, offer_id DESC, price DESC) AS nth FROM changes) SELECT product_id, count(*) AS points, string_agg(CAST(CAST(old_price * 100 AS BIGINT) AS VARCHAR), ',' ORDER BY nth DESC) AS cents FROM recent WHERE nth <= 30 GROUP BY product_id")
+@query(
+    "w4_price_history",
+    WITH
+    + ", changes AS (SELECT * FROM (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY last_seen, offer_id, price) AS old_price FROM offers) "
+    "WHERE old_price <> price), recent AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY last_seen DESC, offer_id DESC, price DESC) AS nth "
+    "FROM changes) SELECT product_id, count(*) AS points, string_agg(CAST(CAST(old_price * 100 AS BIGINT) AS VARCHAR), ',' ORDER BY nth DESC) AS cents "
+    "FROM recent WHERE nth <= 30 GROUP BY product_id",
+)
 def price_history(spark, d):
     h = C.price_history(offers(spark, d), ["product_id"], "last_seen")
     return h.select("product_id", F.size("points").cast("long").alias("points"), F.array_join(F.transform("points", lambda p: (p.price * 100).cast("bigint").cast("string")), ",").alias("cents"))
 
 
-@query("w5_price_trend", WITH + ", t AS (SELECT *, CAST(sum(price) OVER w AS DOUBLE) / count(price) OVER w AS moving_avg FROM offers WINDOW w AS (PARTITION BY product_id ORDER BY last_seen, offer_id, price ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), u AS (SELECT *, lag(moving_avg) OVER (PARTITION BY product_id ORDER BY last_seen, offer_id, price) AS before FROM t) SELECT product_id, offer_id, CAST(price AS DOUBLE) AS price, moving_avg, CASE WHEN before IS NULL OR before = moving_avg THEN 'flat' WHEN moving_avg > before THEN 'up' ELSE 'down' END AS direction FROM u")
+@query(
+    "w5_price_trend",
+    WITH
+    + ", t AS (SELECT *, CAST(sum(price) OVER w AS DOUBLE) / count(price) OVER w AS moving_avg FROM offers WINDOW w AS (PARTITION BY product_id "
+    "ORDER BY last_seen, offer_id, price ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), u AS (SELECT *, lag(moving_avg) OVER (PARTITION BY product_id "
+    "ORDER BY last_seen, offer_id, price) AS before FROM t) SELECT product_id, offer_id, CAST(price AS DOUBLE) AS price, moving_avg, CASE "
+    "WHEN before IS NULL OR before = moving_avg THEN 'flat' WHEN moving_avg > before THEN 'up' ELSE 'down' END AS direction FROM u",
+)
 def price_trend(spark, d):
     return _dbl(C.price_trend(offers(spark, d), ["product_id"], "last_seen"), "price").select("product_id", "offer_id", "price", "moving_avg", "direction")
 
@@ -63,12 +87,23 @@ def available(spark, d):
     return C.available_offers(offers(spark, d)).select("offer_id", "product_id", "store_name")
 
 
-@query("f4_filter_catalog", WITH + "SELECT product_id, brand, model_name FROM products WHERE list_price >= 905 AND list_price <= 1500 AND category IN ('SMALL', 'ECONOMY') AND ram_gb >= 8 AND ram_gb <= 32")
+@query(
+    "f4_filter_catalog",
+    WITH
+    + "SELECT product_id, brand, model_name FROM products WHERE list_price >= 905 AND list_price <= 1500 AND category IN ('SMALL', 'ECONOMY') AND ram_gb >= 8 "
+    "AND ram_gb <= 32",
+)
 def filter_catalog(spark, d):
     return C.filter_catalog(products(spark, d), min_price=905, max_price=1500, categories=["SMALL", "ECONOMY"], min_ram=8, max_ram=32).select("product_id", "brand", "model_name")
 
 
-@query("f5_good_deals", WITH + "SELECT offer_id, product_id, discount FROM (SELECT *, CASE WHEN original_price > price THEN floor((original_price - CAST(price AS DOUBLE)) / original_price * 10000 + 0.5) / 100 ELSE 0.0 END AS discount FROM offers) WHERE discount >= 8")
+@query(
+    "f5_good_deals",
+    WITH
+    + "SELECT offer_id, product_id, discount FROM (SELECT *, CASE "
+    "WHEN original_price > price THEN floor((original_price - CAST(price AS DOUBLE)) / original_price * 10000 + 0.5) / 100 ELSE 0.0 END AS discount "
+    "FROM offers) WHERE discount >= 8",
+)
 def good_deals(spark, d):
     return C.good_deals(offers(spark, d), 8).select("offer_id", "product_id", "discount")
 
@@ -90,17 +125,33 @@ def product_detail(spark, d):
     return _dbl(out, "price").select("product_id", "slug", "brand_name", "category_name", "variant_id", "ram_gb", "offer_id", "store_name", "price", "position")
 
 
-@query("j2_offers_by_store", WITH + "SELECT o.product_id, o.offer_id, CAST(price AS DOUBLE) AS price, brand, (SELECT count(*) FROM offers WHERE is_active AND store_name = 'Supplier#000000001') AS total FROM offers o LEFT JOIN products p ON o.product_id = p.product_id WHERE is_active AND store_name = 'Supplier#000000001' ORDER BY o.price, o.offer_id, o.product_id, o.last_seen LIMIT 20 OFFSET 20")
+@query(
+    "j2_offers_by_store",
+    WITH
+    + "SELECT o.product_id, o.offer_id, CAST(price AS DOUBLE) AS price, brand, (SELECT count(*) FROM offers WHERE is_active "
+    "AND store_name = 'Supplier#000000001') AS total FROM offers o LEFT JOIN products p ON o.product_id = p.product_id WHERE is_active "
+    "AND store_name = 'Supplier#000000001' ORDER BY o.price, o.offer_id, o.product_id, o.last_seen LIMIT 20 OFFSET 20",
+)
 def offers_by_store(spark, d):
     return _dbl(C.offers_by_store(offers(spark, d), products(spark, d), "Supplier#000000001", page=2), "price").select("product_id", "offer_id", "price", "brand", "total")
 
 
-@query("j3_stale_offers", WITH + f"SELECT o.product_id, o.offer_id, o.last_seen, brand FROM offers o LEFT JOIN products p ON o.product_id = p.product_id WHERE is_active AND last_seen < DATE '{AS_OF}' - INTERVAL 30 DAY")
+@query(
+    "j3_stale_offers",
+    WITH
+    + f"SELECT o.product_id, o.offer_id, o.last_seen, brand FROM offers o LEFT JOIN products p ON o.product_id = p.product_id WHERE is_active "
+    f"AND last_seen < DATE '{AS_OF}' - INTERVAL 30 DAY",
+)
 def stale_offers(spark, d):
     return C.stale_offers(offers(spark, d), products(spark, d), F.lit(AS_OF).cast("date"), 30).select("product_id", "offer_id", "last_seen", "brand")
 
 
-@query("t5_deactivate_stale", WITH + f"SELECT store_name, CAST(sum(CAST(is_active AND NOT last_seen < DATE '{AS_OF}' - INTERVAL 7 DAY AS INT)) AS BIGINT) AS active, count(*) AS offers FROM offers GROUP BY store_name")
+@query(
+    "t5_deactivate_stale",
+    WITH
+    + f"SELECT store_name, CAST(sum(CAST(is_active AND NOT last_seen < DATE '{AS_OF}' - INTERVAL 7 DAY AS INT)) AS BIGINT) AS active, count(*) AS offers "
+    f"FROM offers GROUP BY store_name",
+)
 def deactivate_stale(spark, d):
     return C.deactivate_stale(offers(spark, d), F.lit(AS_OF).cast("date")).groupBy("store_name").agg(F.sum(F.col("is_active").cast("int")).alias("active"), F.count("*").alias("offers"))
 
@@ -110,7 +161,13 @@ def variant_names(spark, d):
     return C.variant_names(products(spark, d)).select("product_id", "display_name")
 
 
-@query("j6_match_attributes", WITH + "SELECT product_id FROM products v WHERE EXISTS (SELECT 1 FROM products w JOIN offers o ON w.product_id = o.product_id WHERE stock_status = 'out_of_stock' AND last_seen < DATE '1995-03-01' AND v.brand = w.brand AND v.category IS NOT DISTINCT FROM w.category AND v.ram_gb IS NOT DISTINCT FROM w.ram_gb)")
+@query(
+    "j6_match_attributes",
+    WITH
+    + "SELECT product_id FROM products v WHERE EXISTS (SELECT 1 FROM products w JOIN offers o ON w.product_id = o.product_id "
+    "WHERE stock_status = 'out_of_stock' AND last_seen < DATE '1995-03-01' AND v.brand = w.brand AND v.category IS NOT DISTINCT FROM w.category "
+    "AND v.ram_gb IS NOT DISTINCT FROM w.ram_gb)",
+)
 def match_attributes(spark, d):
     """Products alike to one that was out of stock before March 1995."""
     p = products(spark, d)
@@ -133,7 +190,13 @@ def models_in_both(spark, d):
     return C.models_in_both(f.filter("source = 'a'"), f.filter("source = 'r'"))
 
 
-@query("j8_models_only_in", WITH + "SELECT DISTINCT brand || ' ' || model_name AS model_name FROM products p JOIN offers o ON p.product_id = o.product_id WHERE last_seen < DATE '1995-03-01' AND brand || ' ' || model_name NOT IN (SELECT brand || ' ' || model_name FROM products p JOIN offers o ON p.product_id = o.product_id WHERE last_seen >= DATE '2001-09-01')")
+@query(
+    "j8_models_only_in",
+    WITH
+    + "SELECT DISTINCT brand || ' ' || model_name AS model_name FROM products p JOIN offers o ON p.product_id = o.product_id "
+    "WHERE last_seen < DATE '1995-03-01' AND brand || ' ' || model_name NOT IN (SELECT brand || ' ' || model_name FROM products p "
+    "JOIN offers o ON p.product_id = o.product_id WHERE last_seen >= DATE '2001-09-01')",
+)
 def models_only_in(spark, d):
     """Models seen before March 1995 and not from September 2001 on."""
     f = offers(spark, d).join(products(spark, d), "product_id").select(F.concat_ws(" ", "brand", "model_name").alias("model_name"), "last_seen")
@@ -151,12 +214,24 @@ def distinct_models(spark, d):
     return C.distinct_models(feed(spark, d), "source")
 
 
-@query("a10_model_report", FEEDS + "SELECT brand, model_name, n_a, n_n, n_r, first_number, n, CASE WHEN CAST(n_a > 0 AS INT) + CAST(n_n > 0 AS INT) + CAST(n_r > 0 AS INT) > 1 THEN 'several' ELSE 'one' END AS status FROM (SELECT brand, model_name, count(*) FILTER (source = 'a') AS n_a, count(*) FILTER (source = 'n') AS n_n, count(*) FILTER (source = 'r') AS n_r, min(product_id) AS first_number, count(*) AS n FROM feed GROUP BY ALL) ORDER BY n DESC, brand, model_name LIMIT 20")
+@query(
+    "a10_model_report",
+    FEEDS
+    + "SELECT brand, model_name, n_a, n_n, n_r, first_number, n, CASE "
+    "WHEN CAST(n_a > 0 AS INT) + CAST(n_n > 0 AS INT) + CAST(n_r > 0 AS INT) > 1 THEN 'several' ELSE 'one' END AS status "
+    "FROM (SELECT brand, model_name, count(*) FILTER (source = 'a') AS n_a, count(*) FILTER (source = 'n') AS n_n, count(*) FILTER (source = 'r') AS n_r, "
+    "min(product_id) AS first_number, count(*) AS n FROM feed GROUP BY ALL) ORDER BY n DESC, brand, model_name LIMIT 20",
+)
 def model_report(spark, d):
     return C.model_report(feed(spark, d), "source", ["a", "n", "r"])
 
 
-@query("l3_top_models", FEEDS + "SELECT source, model_name, n, rank FROM (SELECT source, model_name, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, model_name) AS rank FROM feed GROUP BY source, model_name) WHERE rank <= 10")
+@query(
+    "l3_top_models",
+    FEEDS
+    + "SELECT source, model_name, n, rank FROM (SELECT source, model_name, count(*) AS n, row_number() OVER (PARTITION BY source "
+    "ORDER BY count(*) DESC, model_name) AS rank FROM feed GROUP BY source, model_name) WHERE rank <= 10",
+)
 def top_models(spark, d):
     return C.top_models(feed(spark, d), "source")
 
@@ -187,12 +262,26 @@ def search_products(spark, d):
     return C.search(products(spark, d), "ring red").select("product_id", "model_name", "score")
 
 
-@query("q2_autocomplete", WITH + "SELECT model_name, count(offer_id) AS offers FROM products p LEFT JOIN offers o ON p.product_id = o.product_id WHERE starts_with(lower(model_name), 're') GROUP BY model_name ORDER BY offers DESC, model_name LIMIT 10")
+@query(
+    "q2_autocomplete",
+    WITH
+    + "SELECT model_name, count(offer_id) AS offers FROM products p LEFT JOIN offers o ON p.product_id = o.product_id "
+    "WHERE starts_with(lower(model_name), 're') GROUP BY model_name ORDER BY offers DESC, model_name LIMIT 10",
+)
 def autocomplete(spark, d):
     return C.autocomplete(products(spark, d), offers(spark, d), "re")
 
 
-@query("j10_compare_specs", WITH + ", pr AS (SELECT product_id, min(CAST(price AS DOUBLE)) AS lo, max(CAST(price AS DOUBLE)) AS hi FROM offers GROUP BY product_id), s AS (SELECT p.product_id, unnest(['brand', 'category', 'ram_gb', 'min_price', 'max_price']) AS spec, unnest([brand, category, CAST(ram_gb AS VARCHAR), CAST(lo AS VARCHAR), CAST(hi AS VARCHAR)]) AS value FROM products p LEFT JOIN pr ON p.product_id = pr.product_id WHERE p.product_id IN (1, 2, 3)) SELECT spec, max(value) FILTER (product_id = 1) AS item_1, max(value) FILTER (product_id = 2) AS item_2, max(value) FILTER (product_id = 3) AS item_3 FROM s GROUP BY spec")
+@query(
+    "j10_compare_specs",
+    WITH
+    + ", pr AS (SELECT product_id, min(CAST(price AS DOUBLE)) AS lo, max(CAST(price AS DOUBLE)) AS hi FROM offers "
+    "GROUP BY product_id), s AS (SELECT p.product_id, unnest(['brand', 'category', 'ram_gb', 'min_price', 'max_price']) AS spec, unnest([brand, category, "
+    "CAST(ram_gb AS VARCHAR), CAST(lo AS VARCHAR), CAST(hi AS VARCHAR)]) AS value FROM products p LEFT JOIN pr ON p.product_id = pr.product_id "
+    "WHERE p.product_id IN (1, 2, 3)) "
+    "SELECT spec, max(value) FILTER (product_id = 1) AS item_1, max(value) FILTER (product_id = 2) AS item_2, max(value) FILTER (product_id = 3) AS item_3 "
+    "FROM s GROUP BY spec",
+)
 def compare_specs(spark, d):
     return C.compare_specs(products(spark, d), [1, 2, 3], ["brand", "category", "ram_gb"], offers=offers(spark, d))
 
@@ -210,7 +299,12 @@ def top_stores(spark, d):
     return C.top_stores(offers(spark, d))
 
 
-@query("a3_refresh_price_stats", WITH + f", s AS (SELECT product_id, {STATS} FROM offers GROUP BY product_id) SELECT p.product_id, min_price, max_price, avg_price FROM products p LEFT JOIN s ON p.product_id = s.product_id")
+@query(
+    "a3_refresh_price_stats",
+    WITH
+    + f", s AS (SELECT product_id, {STATS} FROM offers GROUP BY product_id) SELECT p.product_id, min_price, max_price, avg_price FROM products p LEFT "
+    f"JOIN s ON p.product_id = s.product_id",
+)
 def refresh_price_stats(spark, d):
     return C.refresh_price_stats(products(spark, d), offers(spark, d)).select("product_id", "min_price", "max_price", "avg_price")
 
@@ -223,7 +317,12 @@ def refresh_counts(spark, d):
 SEEN = WITH + ", seen AS (SELECT DISTINCT o.product_id, store_name, brand, regexp_replace(trim(lower(model_name)), ' 5g$', '') AS name_key FROM offers o JOIN products p ON o.product_id = p.product_id), models AS (SELECT brand, name_key, count(DISTINCT store_name) AS stores, count(DISTINCT product_id) AS variants FROM seen GROUP BY brand, name_key) "
 
 
-@query("a5_cross_store_coverage", SEEN + "SELECT count(*) FILTER (stores > 1) AS common, count(*) FILTER (stores = 1) AS single, count(*) AS total, floor(count(*) FILTER (stores > 1) * 10000 / count(*) + 0.5) / 100 AS coverage_pct FROM models")
+@query(
+    "a5_cross_store_coverage",
+    SEEN
+    + "SELECT count(*) FILTER (stores > 1) AS common, count(*) FILTER (stores = 1) AS single, count(*) AS total, floor(count(*) FILTER (stores > 1) * 10000 / "
+    "count(*) + 0.5) / 100 AS coverage_pct FROM models",
+)
 def cross_store_coverage(spark, d):
     return C.cross_store_coverage(C.sightings(products(spark, d), offers(spark, d)))
 
@@ -231,18 +330,34 @@ def cross_store_coverage(spark, d):
 EARLY = SEEN.replace("FROM offers o JOIN products p ON o.product_id = p.product_id)", "FROM offers o JOIN products p ON o.product_id = p.product_id WHERE last_seen < DATE '1995-02-01')")
 
 
-@query("a6_store_exclusives", EARLY + "SELECT store_name, count(*) AS exclusive_models FROM (SELECT DISTINCT s.brand, s.name_key, store_name FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores = 1) GROUP BY store_name")
+@query(
+    "a6_store_exclusives",
+    EARLY
+    + "SELECT store_name, count(*) AS exclusive_models FROM (SELECT DISTINCT s.brand, s.name_key, store_name FROM seen s JOIN models m ON s.brand = m.brand "
+    "AND s.name_key = m.name_key WHERE stores = 1) GROUP BY store_name",
+)
 def store_exclusives(spark, d):
     """Models that one store alone had before February 1995."""
     return C.store_exclusives(C.sightings(products(spark, d), offers(spark, d).filter("last_seen < '1995-02-01'")))
 
 
-@query("a7_variants_per_store_common", SEEN + "SELECT store_name, count(DISTINCT product_id) AS variants FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores > 1 GROUP BY store_name")
+@query(
+    "a7_variants_per_store_common",
+    SEEN
+    + "SELECT store_name, count(DISTINCT product_id) AS variants FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE stores > 1 "
+    "GROUP BY store_name",
+)
 def variants_per_store(spark, d):
     return C.variants_per_store_common(C.sightings(products(spark, d), offers(spark, d)))
 
 
-@query("a8_common_products", SEEN + "SELECT s.brand, s.name_key, string_agg(DISTINCT store_name, ',' ORDER BY store_name) AS stores, any_value(m.stores) AS n_stores, any_value(m.variants) AS variants FROM seen s JOIN models m ON s.brand = m.brand AND s.name_key = m.name_key WHERE m.stores > 1 GROUP BY s.brand, s.name_key ORDER BY n_stores DESC, s.brand, s.name_key LIMIT 10")
+@query(
+    "a8_common_products",
+    SEEN
+    + "SELECT s.brand, s.name_key, string_agg(DISTINCT store_name, ',' "
+    "ORDER BY store_name) AS stores, any_value(m.stores) AS n_stores, any_value(m.variants) AS variants FROM seen s JOIN models m ON s.brand = m.brand "
+    "AND s.name_key = m.name_key WHERE m.stores > 1 GROUP BY s.brand, s.name_key ORDER BY n_stores DESC, s.brand, s.name_key LIMIT 10",
+)
 def common_products(spark, d):
     return C.common_products_list(C.sightings(products(spark, d), offers(spark, d)))
 
@@ -258,12 +373,21 @@ def tree(spark, d):
     return r.union(n).union(s)
 
 
-@query("r1_category_closure", f"WITH RECURSIVE {TREE}, up AS (SELECT node AS descendant, node AS ancestor, 0 AS distance FROM nodes UNION ALL SELECT descendant, n.parent, distance + 1 FROM up JOIN nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL) SELECT ancestor, descendant, distance FROM up")
+@query(
+    "r1_category_closure",
+    f"WITH RECURSIVE {TREE}, up AS (SELECT node AS descendant, node AS ancestor, 0 AS distance FROM nodes UNION ALL "
+    f"SELECT descendant, n.parent, distance + 1 FROM up JOIN nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL) "
+    f"SELECT ancestor, descendant, distance FROM up",
+)
 def category_closure(spark, d):
     return C.category_closure(tree(spark, d))
 
 
-@query("r2_breadcrumbs", f"WITH RECURSIVE {TREE}, down AS (SELECT node, 0 AS level, name AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.node, level + 1, path || ' > ' || n.name FROM down JOIN nodes n ON n.parent = down.node) SELECT node, level, path FROM down")
+@query(
+    "r2_breadcrumbs",
+    f"WITH RECURSIVE {TREE}, down AS (SELECT node, 0 AS level, name AS path FROM nodes WHERE parent IS NULL UNION ALL "
+    f"SELECT n.node, level + 1, path || ' > ' || n.name FROM down JOIN nodes n ON n.parent = down.node) SELECT node, level, path FROM down",
+)
 def breadcrumbs(spark, d):
     return C.breadcrumbs(tree(spark, d))
 
@@ -274,22 +398,46 @@ def category_rollup(spark, d):
     return C.category_rollup(C.category_closure(tree(spark, d)), counts)
 
 
-@query("a17_facets", WITH + ", pr AS (SELECT product_id, min(price) AS price FROM offers GROUP BY product_id), f AS (SELECT brand, category, CAST(ram_gb AS VARCHAR) AS ram, CAST(CAST(floor(CAST(price AS DOUBLE) / 20000) * 20000 AS BIGINT) AS VARCHAR) AS band FROM products p LEFT JOIN pr ON p.product_id = pr.product_id) SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f GROUP BY brand UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ram', ram, count(*) FROM f GROUP BY ram UNION ALL SELECT 'band', band, count(*) FROM f GROUP BY band UNION ALL SELECT 'store', store_name, count(DISTINCT product_id) FROM offers GROUP BY store_name")
+@query(
+    "a17_facets",
+    WITH
+    + ", pr AS (SELECT product_id, min(price) AS price FROM offers "
+    "GROUP BY product_id), f AS (SELECT brand, category, CAST(ram_gb AS VARCHAR) AS ram, CAST(CAST(floor(CAST(price AS DOUBLE) / 20000) * 20000 AS BIGINT) "
+    "AS VARCHAR) AS band FROM products p LEFT JOIN pr ON p.product_id = pr.product_id) SELECT 'brand' AS facet, brand AS value, count(*) AS n FROM f "
+    "GROUP BY brand UNION ALL SELECT 'category', category, count(*) FROM f GROUP BY category UNION ALL SELECT 'ram', ram, count(*) FROM f GROUP BY ram "
+    "UNION ALL SELECT 'band', band, count(*) FROM f GROUP BY band UNION ALL SELECT 'store', store_name, count(DISTINCT product_id) FROM offers "
+    "GROUP BY store_name",
+)
 def facets(spark, d):
     return C.facets(products(spark, d), offers(spark, d))
 
 
-@query("a18_price_analysis", WITH + f"SELECT product_id, {STATS}, quantile_cont(CAST(price AS DOUBLE), 0.5) AS median_price, max(CAST(price AS DOUBLE)) - min(CAST(price AS DOUBLE)) AS spread, arg_min(store_name, (price, store_name)) AS cheapest_store FROM offers WHERE price IS NOT NULL GROUP BY product_id")
+@query(
+    "a18_price_analysis",
+    WITH
+    + f"SELECT product_id, {STATS}, quantile_cont(CAST(price AS DOUBLE), 0.5) AS median_price, max(CAST(price AS DOUBLE)) - min(CAST(price AS DOUBLE)) AS "
+    f"spread, arg_min(store_name, (price, store_name)) AS cheapest_store FROM offers WHERE price IS NOT NULL GROUP BY product_id",
+)
 def price_analysis(spark, d):
     return C.price_analysis(offers(spark, d))
 
 
-@query("a19_store_wins", WITH + ", r AS (SELECT *, rank() OVER (PARTITION BY product_id ORDER BY price) AS rank FROM offers WHERE is_active AND price IS NOT NULL) SELECT store_name, count(DISTINCT product_id) AS wins FROM r WHERE rank = 1 GROUP BY store_name")
+@query(
+    "a19_store_wins",
+    WITH
+    + ", r AS (SELECT *, rank() OVER (PARTITION BY product_id ORDER BY price) AS rank FROM offers WHERE is_active AND price IS NOT NULL) "
+    "SELECT store_name, count(DISTINCT product_id) AS wins FROM r WHERE rank = 1 GROUP BY store_name",
+)
 def store_wins(spark, d):
     return C.store_wins(offers(spark, d))
 
 
-@query("a19_store_matrix", WITH + "SELECT product_id, min(CAST(price AS DOUBLE)) FILTER (store_name = 'Supplier#000000001') AS s1, min(CAST(price AS DOUBLE)) FILTER (store_name = 'Supplier#000000002') AS s2 FROM offers WHERE store_name IN ('Supplier#000000001', 'Supplier#000000002') GROUP BY product_id")
+@query(
+    "a19_store_matrix",
+    WITH
+    + "SELECT product_id, min(CAST(price AS DOUBLE)) FILTER (store_name = 'Supplier#000000001') AS s1, min(CAST(price AS DOUBLE)) FILTER (store_name = "
+    "'Supplier#000000002') AS s2 FROM offers WHERE store_name IN ('Supplier#000000001', 'Supplier#000000002') GROUP BY product_id",
+)
 def store_matrix(spark, d):
     out = C.store_matrix(offers(spark, d), ["Supplier#000000001", "Supplier#000000002"])
     return out.toDF("product_id", "s1", "s2")
@@ -300,7 +448,11 @@ def brand_category_matrix(spark, d):
     return C.brand_category_matrix(products(spark, d))
 
 
-@query("a21_search_trends", "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type AS term, count(*) AS uses FROM events GROUP BY ALL) SELECT day, term, uses, uses - lag(uses) OVER (PARTITION BY term ORDER BY day) AS change FROM d")
+@query(
+    "a21_search_trends",
+    "WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type AS term, count(*) AS uses FROM events GROUP BY ALL) SELECT day, term, uses, uses - lag(uses) "
+    "OVER (PARTITION BY term ORDER BY day) AS change FROM d",
+)
 def search_trends(spark, d):
     return C.search_trends(table(spark, d, "events"), "ts", "event_type")
 
@@ -316,12 +468,22 @@ def sort_products_price(spark, d):
     return _dbl(C.sort_products(products(spark, d), "price"), "list_price").select("product_id", "list_price", "position")
 
 
-@query("l2_sort_products_popularity", WITH + ", c AS (SELECT p.product_id, count(o.offer_id) AS popularity FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) SELECT *, row_number() OVER (ORDER BY popularity DESC, product_id) AS position FROM c")
+@query(
+    "l2_sort_products_popularity",
+    WITH
+    + ", c AS (SELECT p.product_id, count(o.offer_id) AS popularity FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) "
+    "SELECT *, row_number() OVER (ORDER BY popularity DESC, product_id) AS position FROM c",
+)
 def sort_products_popularity(spark, d):
     return C.sort_products(products(spark, d), "popularity", offers(spark, d)).select("product_id", "popularity", "position")
 
 
-@query("l2_sort_products_date", WITH + ", c AS (SELECT p.product_id, max(last_seen) AS date FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, product_id) AS position FROM c")
+@query(
+    "l2_sort_products_date",
+    WITH
+    + ", c AS (SELECT p.product_id, max(last_seen) AS date FROM products p LEFT JOIN offers o ON p.product_id = o.product_id GROUP BY p.product_id) "
+    "SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, product_id) AS position FROM c",
+)
 def sort_products_date(spark, d):
     return C.sort_products(products(spark, d), "date", offers(spark, d)).select("product_id", "date", "position")
 
@@ -331,12 +493,24 @@ def keyset_page(spark, d):
     return C.next_page(products(spark, d), "product_id", 100, 25).select("product_id", "model_name")
 
 
-@query("l4_related_products", WITH + ", near AS (SELECT a.product_id, b.product_id AS related_id, abs(a.list_price - b.list_price) AS gap FROM products a JOIN products b ON a.brand = b.brand AND a.category = b.category AND a.product_id <> b.product_id), r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY gap, related_id) AS rank FROM near) SELECT product_id, related_id, CAST(gap AS DOUBLE) AS gap, rank FROM r WHERE rank <= 3")
+@query(
+    "l4_related_products",
+    WITH
+    + ", near AS (SELECT a.product_id, b.product_id AS related_id, abs(a.list_price - b.list_price) AS gap FROM products a "
+    "JOIN products b ON a.brand = b.brand AND a.category = b.category AND a.product_id <> b.product_id), r AS (SELECT *, row_number() "
+    "OVER (PARTITION BY product_id ORDER BY gap, related_id) AS rank FROM near) SELECT product_id, related_id, CAST(gap AS DOUBLE) AS gap, rank FROM r "
+    "WHERE rank <= 3",
+)
 def related_products(spark, d):
     return C.related_products(products(spark, d))
 
 
-@query("c1_slugs", WITH + r"SELECT product_id, regexp_replace(regexp_replace(regexp_replace(lower(brand || ' ' || model_name), '[^a-z0-9\s_-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CAST(floor((list_price - 850) / list_price * 100 + 0.5) AS INTEGER) AS discount FROM products")
+@query(
+    "c1_slugs",
+    WITH
+    + r"SELECT product_id, regexp_replace(regexp_replace(regexp_replace(lower(brand || ' ' || model_name), '[^a-z0-9\s_-]', '', 'g'), '[\s_-]+', '-', 'g'), "
+    r"'^-+|-+$', '', 'g') AS slug, CAST(floor((list_price - 850) / list_price * 100 + 0.5) AS INTEGER) AS discount FROM products",
+)
 def slugs(spark, d):
     p = products(spark, d)
     return p.select("product_id", rules.slug(F.concat_ws(" ", "brand", "model_name")).alias("slug"), rules.discount_percent(F.lit(850).cast("double"), F.col("list_price").cast("double")).alias("discount"))
@@ -352,14 +526,24 @@ def records(spark, d):
     return offers(spark, d).join(products(spark, d), "product_id")
 
 
-@query("e1_resolve_brands", WITH + ", s AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(brand), '[^a-z0-9\\s_-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-') AS slug, brand AS name FROM products) SELECT slug, min(name) AS name, min(name) NOT IN (SELECT brand FROM products WHERE product_id < 5) AS is_new FROM s GROUP BY slug")
+@query(
+    "e1_resolve_brands",
+    WITH
+    + ", s AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(lower(brand), '[^a-z0-9\\s_-]', '', 'g'), '[\\s_-]+', '-', 'g'), '-') AS slug, brand AS "
+    "name FROM products) SELECT slug, min(name) AS name, min(name) NOT IN (SELECT brand FROM products WHERE product_id < 5) AS is_new FROM s GROUP BY slug",
+)
 def resolve_brands(spark, d):
     p = products(spark, d)
     have = p.filter("product_id < 5").select("brand").distinct().select(R.key_id(F.col("brand")).alias("brand_id"), F.col("brand").alias("name"), rules.slug(F.col("brand")).alias("slug"))
     return R.resolve_brands(p, have).select("slug", "name", "is_new")
 
 
-@query("e2_assign_category", WITH + ", c AS (SELECT DISTINCT category FROM products WHERE category < 'M') SELECT product_id, CASE WHEN category IN (SELECT category FROM c) THEN lower(category) ELSE 'others' END AS category_id FROM products")
+@query(
+    "e2_assign_category",
+    WITH
+    + ", c AS (SELECT DISTINCT category FROM products WHERE category < 'M') SELECT product_id, CASE WHEN category IN (SELECT category "
+    "FROM c) THEN lower(category) ELSE 'others' END AS category_id FROM products",
+)
 def assign_category(spark, d):
     p = products(spark, d)
     known = p.filter("category < 'M'").select("category").distinct().select(F.lower("category").alias("category_id"), F.col("category").alias("name"))
@@ -390,21 +574,41 @@ def resolve_variants(spark, d):
     return v.join(n, "variant_id").select("product_id", "records")
 
 
-@query("e6_upsert_listings", WITH + ", l AS (SELECT product_id || '/' || store_name AS url, price, last_seen, offer_id FROM offers), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l WHERE last_seen < DATE '1999-01-01') WHERE n = 1), i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l WHERE last_seen >= DATE '1999-01-01') WHERE n = 1) SELECT coalesce(i.url, c.url) AS url, coalesce(i.last_seen, c.last_seen) AS scraped_at, coalesce(c.last_seen, i.last_seen) AS created_at, CASE WHEN i.url IS NULL THEN 'kept' WHEN c.url IS NULL THEN 'new' ELSE 'updated' END AS change FROM c FULL OUTER JOIN i ON c.url = i.url")
+@query(
+    "e6_upsert_listings",
+    WITH
+    + ", l AS (SELECT product_id || '/' || store_name AS url, price, last_seen, offer_id FROM offers), c AS (SELECT * FROM (SELECT *, row_number() "
+    "OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l WHERE last_seen < DATE '1999-01-01') "
+    "WHERE n = 1), i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY last_seen DESC, offer_id DESC, price DESC) AS n FROM l "
+    "WHERE last_seen >= DATE '1999-01-01') WHERE n = 1) "
+    "SELECT coalesce(i.url, c.url) AS url, coalesce(i.last_seen, c.last_seen) AS scraped_at, coalesce(c.last_seen, i.last_seen) AS created_at, CASE "
+    "WHEN i.url IS NULL THEN 'kept' WHEN c.url IS NULL THEN 'new' ELSE 'updated' END AS change FROM c FULL OUTER JOIN i ON c.url = i.url",
+)
 def upsert_listings(spark, d):
     l = offers(spark, d).select(F.concat_ws("/", F.col("product_id").cast("string"), "store_name").alias("url"), "price", F.col("last_seen").alias("scraped_at"), F.col("last_seen").alias("created_at"), "offer_id")  # noqa: E741
     current = C.first_seen(l.filter("scraped_at < '1999-01-01'"), ["url"], [F.desc("scraped_at"), F.desc("offer_id"), F.desc("price")])
     return R.upsert_listings(current, l.filter("scraped_at >= '1999-01-01'")).select("url", "scraped_at", "created_at", "change")
 
 
-@query("e7_upsert_offers", WITH + ", k AS (SELECT product_id, store_name, max(last_seen) FILTER (is_active) AS b, max(last_seen) FILTER (NOT is_active) AS a FROM offers GROUP BY ALL) SELECT product_id AS variant_id, store_name, coalesce(b, a) AS last_seen, CASE WHEN b IS NULL THEN 'kept' WHEN a IS NULL THEN 'new' ELSE 'updated' END AS change FROM k")
+@query(
+    "e7_upsert_offers",
+    WITH
+    + ", k AS (SELECT product_id, store_name, max(last_seen) FILTER (is_active) AS b, max(last_seen) FILTER (NOT is_active) AS a FROM offers GROUP BY ALL) "
+    "SELECT product_id AS variant_id, store_name, coalesce(b, a) AS last_seen, CASE WHEN b IS NULL THEN 'kept' WHEN a IS NULL THEN 'new' "
+    "ELSE 'updated' END AS change FROM k",
+)
 def upsert_offers(spark, d):
     o = offers(spark, d).select(F.col("product_id").alias("variant_id"), "store_name", F.lit(None).cast("string").alias("store_product_id"), "price", "last_seen", "is_active", "offer_id")
     current = C.first_seen(o.filter("not is_active"), ["variant_id", "store_name"], [F.desc("last_seen"), "offer_id"])
     return R.upsert_offers(current, o.filter("is_active")).select("variant_id", "store_name", "last_seen", "change")
 
 
-@query("e8_reconcile_similarity", WITH + "SELECT product_id, CAST(floor((greatest(length(brand), length(category)) - levenshtein(lower(brand), lower(category))) / greatest(length(brand), length(category)) * 100 + 0.5) AS INTEGER) AS similarity FROM products")
+@query(
+    "e8_reconcile_similarity",
+    WITH
+    + "SELECT product_id, CAST(floor((greatest(length(brand), length(category)) - levenshtein(lower(brand), lower(category))) / greatest(length(brand), "
+    "length(category)) * 100 + 0.5) AS INTEGER) AS similarity FROM products",
+)
 def reconcile_similarity(spark, d):
     return products(spark, d).select("product_id", rules.similarity(F.col("brand"), F.col("category")).alias("similarity"))
 
@@ -423,7 +627,12 @@ def ingest(spark, d):
     return R.ingestion_report(R.ingest(r, {"categories": known}))
 
 
-@query("e11_backfill", WITH + "SELECT product_id, first(number) AS model_number FROM (SELECT product_id, store_name AS number, row_number() OVER (PARTITION BY product_id ORDER BY offer_id, last_seen, store_name) AS n FROM offers) WHERE n = 1 GROUP BY product_id")
+@query(
+    "e11_backfill",
+    WITH
+    + "SELECT product_id, first(number) AS model_number FROM (SELECT product_id, store_name AS number, row_number() OVER (PARTITION BY product_id "
+    "ORDER BY offer_id, last_seen, store_name) AS n FROM offers) WHERE n = 1 GROUP BY product_id",
+)
 def backfill(spark, d):
     o = offers(spark, d)
     order = F.struct("offer_id", "last_seen", "store_name")
@@ -432,13 +641,23 @@ def backfill(spark, d):
     return R.backfill_model_numbers(base, feed_).select(F.col("product_key").alias("product_id"), "model_number")
 
 
-@query("j5_join_enrichment", WITH + ", a AS (SELECT product_id, min(store_name) AS brand_name FROM offers WHERE stock_status = 'limited_stock' GROUP BY product_id) SELECT p.product_id, a.brand_name FROM products p LEFT JOIN a ON p.product_id = a.product_id")
+@query(
+    "j5_join_enrichment",
+    WITH
+    + ", a AS (SELECT product_id, min(store_name) AS brand_name FROM offers WHERE stock_status = 'limited_stock' GROUP BY product_id) "
+    "SELECT p.product_id, a.brand_name FROM products p LEFT JOIN a ON p.product_id = a.product_id",
+)
 def join_enrichment(spark, d):
     attrs = offers(spark, d).filter("stock_status = 'limited_stock'").select(F.col("product_id").cast("string").alias("url"), F.col("store_name").alias("brand_name"))
     return R.join_enrichment(products(spark, d).withColumn("url", F.col("product_id").cast("string")), attrs).select("product_id", "attrs.brand_name")
 
 
-@query("s4_append_new", WITH + "SELECT 'https://shop.example/p/' || product_id AS url, CASE WHEN product_id IN (SELECT product_id FROM offers WHERE stock_status = 'limited_stock' AND last_seen < DATE '1995-03-01') THEN 'old' ELSE 'new' END AS kind FROM products")
+@query(
+    "s4_append_new",
+    WITH
+    + "SELECT 'https://shop.example/p/' || product_id AS url, CASE WHEN product_id IN (SELECT product_id FROM offers WHERE stock_status = 'limited_stock' "
+    "AND last_seen < DATE '1995-03-01') THEN 'old' ELSE 'new' END AS kind FROM products",
+)
 def append_new(spark, d):
     """All products appended to those that ran low before March 1995, under other spellings of their addresses."""
     p = products(spark, d)
@@ -455,34 +674,68 @@ def split_rejects(spark, d):
     return good.groupBy(F.lit(None).cast("string").alias("reject_reason")).agg(F.count("*").alias("n")).union(bad.groupBy("reject_reason").agg(F.count("*").alias("n")))
 
 
-@query("s6_taxonomy", f"WITH RECURSIVE {TREE}, e AS (SELECT name, (SELECT name FROM nodes p WHERE p.node = n.parent) AS parent, lower(replace(replace(replace(name, '#', ''), '_', '-'), ' ', '-')) AS slug FROM nodes n), t AS (SELECT name, parent, slug, 0 AS level, slug AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.name, e.parent, e.slug, level + 1, path || '/' || e.slug FROM t JOIN e ON e.parent = t.name) SELECT name, parent, slug, level, path, row_number() OVER (PARTITION BY parent ORDER BY name) AS sort_order, parent IS NOT NULL AND row_number() OVER (PARTITION BY parent ORDER BY name) <= 8 AS is_featured FROM t")
+@query(
+    "s6_taxonomy",
+    f"WITH RECURSIVE {TREE}, e AS (SELECT name, (SELECT name FROM nodes p "
+    f"WHERE p.node = n.parent) AS parent, lower(replace(replace(replace(name, '#', ''), '_', '-'), ' ', '-')) AS slug "
+    f"FROM nodes n), t AS (SELECT name, parent, slug, 0 AS level, slug AS path FROM e WHERE parent IS NULL UNION ALL "
+    f"SELECT e.name, e.parent, e.slug, level + 1, path || '/' || e.slug FROM t JOIN e ON e.parent = t.name) "
+    f"SELECT name, parent, slug, level, path, row_number() OVER (PARTITION BY parent ORDER BY name) AS sort_order, parent IS NOT NULL AND row_number() "
+    f"OVER (PARTITION BY parent ORDER BY name) <= 8 AS is_featured FROM t",
+)
 def taxonomy(spark, d):
     t = tree(spark, d)
     up = t.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
     return S.build_taxonomy(t.join(up, "parent", "left").select("name", F.col("parent_name").alias("parent"), F.lit(0).alias("position")))
 
 
-@query("a11_missing_values", FEED + "SELECT store_name, 'brand' AS field, count(*) FILTER (brand IS NULL OR trim(brand) = '') AS missing FROM feed GROUP BY store_name UNION ALL SELECT store_name, 'category', count(*) FILTER (category IS NULL) FROM feed GROUP BY store_name")
+@query(
+    "a11_missing_values",
+    FEED
+    + "SELECT store_name, 'brand' AS field, count(*) FILTER (brand IS NULL OR trim(brand) = '') AS missing FROM feed GROUP BY store_name UNION ALL "
+    "SELECT store_name, 'category', count(*) FILTER (category IS NULL) FROM feed GROUP BY store_name",
+)
 def missing_values(spark, d):
     return R.missing_value_report(records(spark, d), "store_name", ["brand", "category"])
 
 
-@query("a12_identifier_quality", FEED + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NULL) AS no_brand, count(*) FILTER (model_name IS NULL) AS no_model, count(*) FILTER (ram_gb > 40) AS to_review, floor(count(*) FILTER (ram_gb > 40) * 10000 / count(*) + 0.5) / 100 AS review_pct FROM feed GROUP BY store_name")
+@query(
+    "a12_identifier_quality",
+    FEED
+    + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NULL) AS no_brand, count(*) FILTER (model_name IS NULL) AS no_model, count(*) FILTER "
+    "(ram_gb > 40) AS to_review, floor(count(*) FILTER (ram_gb > 40) * 10000 / count(*) + 0.5) / 100 AS review_pct FROM feed GROUP BY store_name",
+)
 def identifier_quality(spark, d):
     return R.identifier_quality(records(spark, d).withColumn("needs_manual_review", F.col("ram_gb") > 40), "store_name")
 
 
-@query("a13_completeness", FEED + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL AND ram_gb IS NOT NULL) AS complete, floor(count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL AND ram_gb IS NOT NULL) * 10000 / count(*) + 0.5) / 100 AS complete_pct FROM feed GROUP BY store_name")
+@query(
+    "a13_completeness",
+    FEED
+    + "SELECT store_name, count(*) AS n, count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL "
+    "AND ram_gb IS NOT NULL) AS complete, floor(count(*) FILTER (brand IS NOT NULL AND model_name IS NOT NULL "
+    "AND ram_gb IS NOT NULL) * 10000 / count(*) + 0.5) / 100 AS complete_pct FROM feed GROUP BY store_name",
+)
 def completeness(spark, d):
     return R.extraction_completeness(records(spark, d), "store_name", ["brand", "model_name", "ram_gb"])
 
 
-@query("a14_processing_stats", FEED + "SELECT 'category' AS kind, category AS name, count(*) AS n FROM feed GROUP BY category UNION ALL (SELECT 'brand', brand, count(*) AS n FROM feed GROUP BY brand ORDER BY n DESC, brand LIMIT 10)")
+@query(
+    "a14_processing_stats",
+    FEED
+    + "SELECT 'category' AS kind, category AS name, count(*) AS n FROM feed GROUP BY category UNION ALL (SELECT 'brand', brand, count(*) AS n FROM feed "
+    "GROUP BY brand ORDER BY n DESC, brand LIMIT 10)",
+)
 def processing_stats(spark, d):
     return R.processing_stats(records(spark, d))
 
 
-@query("x1_page_fields", r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS h1 FROM pages")
+@query(
+    "x1_page_fields",
+    r"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, "
+    r"'(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), "
+    r"'\s+', ' ', 'g')), '') AS h1 FROM pages",
+)
 def page_fields(spark, d):
     return table(spark, d, "pages").select("page_id", P.element("h1").alias("h1"))
 
@@ -518,7 +771,11 @@ def spec_tables(spark, d):
     return s.select("page_id", F.col("s")["Display"]["Size"].alias("size"), F.col("s")["Maker"]["Brand"].alias("brand"), F.size("s").alias("sections"))
 
 
-@query("x3_price_rating", "SELECT p_partkey AS page_id, CAST(500 + p_size AS INTEGER) AS price, CAST(1000 + p_size AS INTEGER) AS original_price, CAST(p_size % 60 AS INTEGER) AS discount_percent, p_size % 5 + 0.4E0 AS rating, CAST(1100 + p_size AS INTEGER) AS rating_count FROM part")
+@query(
+    "x3_price_rating",
+    "SELECT p_partkey AS page_id, CAST(500 + p_size AS INTEGER) AS price, CAST(1000 + p_size AS INTEGER) AS original_price, CAST(p_size % 60 AS INTEGER) AS "
+    "discount_percent, p_size % 5 + 0.4E0 AS rating, CAST(1100 + p_size AS INTEGER) AS rating_count FROM part",
+)
 def price_rating(spark, d):
     return P.extract_price_rating(part_pages(spark, d)).select("page_id", "price", "original_price", "discount_percent", "rating", "rating_count")
 
@@ -529,7 +786,11 @@ def images_breadcrumb(spark, d):
     return out.select("page_id", "main_image", F.array_join("breadcrumb", ">").alias("breadcrumb"), F.array_join("tags", ">").alias("tags"))
 
 
-@query("x7_default_categories", "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' WHEN regexp_matches(lower(url), 'phone|mobile') THEN 'Electronics>Mobile Phones' WHEN regexp_matches(lower(url), 'laptop|computer|tablet') THEN 'Electronics>Computers' ELSE 'Electronics' END AS crumb FROM pages")
+@query(
+    "x7_default_categories",
+    "SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '' WHEN regexp_matches(lower(url), 'phone|mobile') THEN 'Electronics>Mobile Phones' "
+    "WHEN regexp_matches(lower(url), 'laptop|computer|tablet') THEN 'Electronics>Computers' ELSE 'Electronics' END AS crumb FROM pages",
+)
 def default_categories(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(P.default_categories(F.col("url")), ">").alias("crumb"))
 
@@ -555,18 +816,35 @@ def sliding_counts(spark, d):
     return T.sliding_request_counts(table(spark, d, "events"), "user_id", "ts", 86400).select("event_id", "trailing")
 
 
-@query("t7_two_bucket", "WITH c AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS requests FROM events GROUP BY ALL) SELECT a.user_id, a.window_start, a.requests, a.requests + coalesce(b.requests, 0) * 0.5E0 AS estimate FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND b.window_start = a.window_start - 86400")
+@query(
+    "t7_two_bucket",
+    "WITH c AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS window_start, count(*) AS requests FROM events GROUP BY ALL) "
+    "SELECT a.user_id, a.window_start, a.requests, a.requests + coalesce(b.requests, 0) * 0.5E0 AS estimate FROM c a LEFT JOIN c b ON a.user_id = b.user_id "
+    "AND b.window_start = a.window_start - 86400",
+)
 def two_bucket(spark, d):
     return T.two_bucket_estimate(table(spark, d, "events"), "user_id", "ts", 86400, 2).select("user_id", "window_start", "requests", F.col("estimate").cast("double").alias("estimate"))
 
 
-@query("t10_price_alerts", WITH + ", a AS (SELECT product_id AS alert_id, product_id, list_price * 15 AS target FROM products), h AS (SELECT alert_id, offer_id, last_seen, row_number() OVER (PARTITION BY alert_id ORDER BY last_seen, offer_id, price) AS n FROM offers o JOIN a ON o.product_id = a.product_id WHERE price <= target) SELECT alert_id, offer_id, last_seen FROM h WHERE n = 1")
+@query(
+    "t10_price_alerts",
+    WITH
+    + ", a AS (SELECT product_id AS alert_id, product_id, list_price * 15 AS target FROM products), h AS (SELECT alert_id, offer_id, last_seen, row_number() "
+    "OVER (PARTITION BY alert_id ORDER BY last_seen, offer_id, price) AS n FROM offers o JOIN a ON o.product_id = a.product_id WHERE price <= target) "
+    "SELECT alert_id, offer_id, last_seen FROM h WHERE n = 1",
+)
 def price_alerts(spark, d):
     alerts = products(spark, d).select(F.col("product_id").alias("alert_id"), "product_id", (F.col("list_price") * 15).alias("target"))
     return T.price_alerts(offers(spark, d), alerts).select("alert_id", "offer_id", "last_seen")
 
 
-@query("f7_url_keys", "WITH p AS (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS bare FROM pages), h AS (SELECT *, regexp_extract(bare, '^(https?://[^/]+)', 1) AS host FROM p) SELECT page_id, lower(host) || substr(bare, length(host) + 1) AS croma_key, coalesce(nullif(regexp_extract(url, '^.*?/dp/[A-Z0-9]{10}'), ''), url) AS amazon_key FROM h")
+@query(
+    "f7_url_keys",
+    "WITH p AS (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS bare "
+    "FROM pages), h AS (SELECT *, regexp_extract(bare, '^(https?://[^/]+)', 1) AS host FROM p) "
+    "SELECT page_id, lower(host) || substr(bare, length(host) + 1) AS croma_key, coalesce(nullif(regexp_extract(url, '^.*?/dp/[A-Z0-9]{10}'), ''), url) AS "
+    "amazon_key FROM h",
+)
 def url_keys(spark, d):
     return table(spark, d, "pages").select("page_id", rules.croma_key(F.col("url")).alias("croma_key"), rules.amazon_key(F.col("url")).alias("amazon_key"))
 
