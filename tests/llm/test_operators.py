@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyshelf.llm import configlp, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards, tokens
+from tallyshelf.llm import configlp, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards, texthash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, task string, hash string, band string"
 
@@ -375,6 +375,23 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark)).count() == 0 and licenses.scan(docs(spark, "a"), {}).count() == 0
 
 
+def test_long_texts_are_taken_in_stretches():
+    """Words across segment borders, and a license far inside a text."""
+    words = [prose(k, 1) for k in range(997)]
+    text = " ".join(words[k * k % 997] for k in range(130_000))
+    assert len(text) > 2 * texthash.SEGMENT
+    whole = texthash.word_hashes(text.encode())
+    one = {w: int(texthash.word_hashes(w.encode())[0]) for w in words}
+    assert whole.tolist() == [one[w] for w in text.split()]
+    t = licenses.TEMPLATES
+    index = licenses.Index(t)
+    for at in (32_700, 32_768, 65_530, 129_000):
+        parts = text.split()
+        parts[at:at] = t["MPL-2.0-notice"].split()
+        found = index.matches(" ".join(parts))
+        assert [m[0] for m in found] == ["MPL-2.0-notice"] and at - 4 <= found[0][2] <= at
+
+
 # 9
 
 
