@@ -269,11 +269,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = stage(texts.mapInArrow(_chunk_rows, _CHUNKS), "chunks")
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "h", "place")).alias("f"), F.count("*").alias("c")).filter("c > 1")
     first = stage(first.select("hash", F.col("f.doc_id").alias("first_doc"), F.col("f.h").alias("first_h"), F.col("f.place").alias("first_place")), "chunks-first")
-    again = found.join(broadcast_if_small(first), "hash")
+    again = found.join(first.hint("merge"), "hash")  # both grow with the words: one plan at every size
     again = again.filter("doc_id <> first_doc or h <> first_h or place <> first_place")
     seed = F.struct("first_doc", "first_h", "first_place", "place")
     seeds = stage(again.select("doc_id", "h", seed.alias("s")).groupBy("doc_id", "h").agg(F.collect_set("s").alias("found")), "chunks-again")
-    near = texts.join(broadcast_if_small(seeds), ["doc_id", "h"])
+    near = texts.join(seeds.hint("merge"), ["doc_id", "h"])
     near = stage(near.mapInArrow(_near, _SEEDS), "chunks-near")
     apart = near.filter("first_doc is not null")
     wanted = apart.select("first_doc", "first_h", F.struct("first_low", "first_high").alias("r")).groupBy("first_doc", "first_h").agg(F.collect_set("r").alias("ranges"))

@@ -95,12 +95,14 @@ def test_passage_inside_longer_lines_goes(spark):
 
 
 def test_short_lines_go_whole(spark):
-    for n, words in ((2, 6), (3, 20), (8, 12)):
-        p = "\n".join(prose(100 * n + k, words) for k in range(n))
-        texts = [f"{prose(10 + k, 9)}\n{p}\n{prose(30 + k, 8)}" for k in range(12)]
-        got = {r.doc_id: r for r in run(spark, texts)}
-        assert got[0].text == texts[0]
-        assert all(got[k].text == texts[k].replace(p + "\n", "") and got[k].lines_removed == n for k in range(1, 12))
+    texts, kinds = [], [(2, 6), (3, 20), (8, 12)]
+    shared = ["\n".join(prose(100 * n + k, words) for k in range(n)) for n, words in kinds]
+    for g, p in enumerate(shared):
+        texts += [f"{prose(1000 * g + 10 + k, 9)}\n{p}\n{prose(1000 * g + 30 + k, 8)}" for k in range(12)]
+    got = {r.doc_id: r for r in run(spark, texts)}
+    for g, (n, _) in enumerate(kinds):
+        assert got[12 * g].text == texts[12 * g]
+        assert all(got[k].text == texts[k].replace(shared[g] + "\n", "") and got[k].lines_removed == n for k in range(12 * g + 1, 12 * g + 12))
 
 
 def test_every_planted_passage_goes(spark):
