@@ -327,7 +327,7 @@ def _strip(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["text", "words", "lines"])
 
 
-def dedup_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, counted: bool = False, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with the texts less their repeated passages (and words_removed and
     lines_removed, of words and of whole lines, if ``counted``).
 
@@ -336,7 +336,7 @@ def dedup_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
     neither counted nor changed.  Rows that share a doc_id are told apart by their
     texts, the one with the smaller hash being the earlier; rows alike in doc_id
     and text are one document, and stay alike.  A text all of whose words are
-    repeated becomes empty.
+    repeated becomes empty; its row goes unless ``keep_emptied``.
     """
     gone = stage(repeated_passages(docs).groupBy("doc_id", "h").agg(F.collect_list(F.struct("at", "n")).alias("gone")), "chunks-gone")
     names = [c for c in docs.columns if not (counted and c in ("words_removed", "lines_removed"))]
@@ -346,6 +346,8 @@ def dedup_lines(docs: DataFrame, counted: bool = False) -> DataFrame:
     strip = F.arrow_udf(_strip, "struct<text string, words long, lines long>")
     out = joined.withColumn(s, strip(F.when(F.col(g).isNotNull(), F.col("text")), F.col(g)))
     changed = F.col(f"{s}.words") > 0
+    if not keep_emptied:
+        out = out.filter(F.coalesce(~changed | (F.col(f"{s}.text") != ""), F.lit(True)))
     new = {"text": F.when(changed, F.col(f"{s}.text")).otherwise(F.col("text"))}
     if "n_chars" in names:
         new["n_chars"] = F.when(changed, F.char_length(f"{s}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
