@@ -32,9 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their globally repeated passages.  Null and empty texts and
-    rows without doc_id stay as they are; repeated rows stay alike."""
-    return dedup_lines(docs)
+    """Documents less their globally repeated passages; those of which nothing is left
+    (copies of earlier ones) go.  Null and empty texts and rows without doc_id stay
+    as they are; repeated rows stay alike."""
+    return dedup_lines(docs, keep_emptied=False)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
