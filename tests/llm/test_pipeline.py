@@ -19,7 +19,7 @@ def folder(spark, tmp_path):
     texts = [*good, *bad, *vile] + [f"{prose(500 + k, 20)} {passage} {prose(600 + k, 30)}" for k in range(4)]
     texts += [" ".join([*base[:50], f"new{k}", *base[51:]]) for k in range(4)] + [None, "", " ", prose(9, 30)]
     ids = [*range(len(texts)), None, 170, 170, 800]
-    texts += ["null id", "same id " + prose(11, 20), "same id " + prose(11, 20), texts[2] + " " + texts[3]]
+    texts += ["null id", "same id " + prose(11, 20), "same id " + prose(11, 20), texts[160]]
     df = docs(spark, *texts, ids=ids, sources=[None if k % 11 == 5 else f"s{k % 3}" for k in range(len(texts))])
     odd = df.withColumns({c: F.lit(c) for c in ("quality", "gone", "kept", "toxic", "low_quality", "_mix", "copies", "e0", "_quality")})
     labels = spark.createDataFrame([(k, int(not 80 <= k < 120), int(120 <= k < 160)) for k in range(160)] + [(None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int")
