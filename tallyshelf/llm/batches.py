@@ -3,6 +3,7 @@ names for helper columns."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,14 @@ import pyarrow as pa
 ROWS = 256
 
 
+def _trim() -> None:
+    """Give freed memory of this worker back to the system, where its C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of all batches, at most ROWS at a time, in order.  Memory that the
     last batch took is given back at the end."""
@@ -18,6 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, ROWS):
             yield batch.slice(at, ROWS)
     pa.default_memory_pool().release_unused()
+    _trim()
 
 
 def unused(taken: list[str], *names: str) -> list[str]:

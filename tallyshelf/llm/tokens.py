@@ -18,7 +18,7 @@ from functools import cached_property
 #: End-of-document id that the corpus operators append.
 END = 2
 #: Pieces kept per worker process before the cache is emptied.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 _ENCODERS: dict[str, Encoder] = {}
 
