@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyshelf.llm import chunks, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards
+from tallyshelf.llm import chunks, decontam, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_license_scan": licenses.op8,
     "op9_token_rollup": rollup.op9,
     "op10_training_order_shards": shards.op10,
+    "op13_benchmark_decontamination": decontam.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mix_sources": mixing.OP4_SQL,
+    "op13_benchmark_decontamination": decontam.OP13_SQL,
 }
