@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyshelf.llm import chunks, decontam, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards
+from tallyshelf.llm import alignment, chunks, decontam, licenses, media, minmax, mixing, onebit, packing, quality, rollup, shards
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8,
     "op9_token_rollup": rollup.op9,
     "op10_training_order_shards": shards.op10,
+    "op12_token_alignment": alignment.op12,
     "op13_benchmark_decontamination": decontam.op13,
 }
 
