@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.functions.rules import discount_2, network_key
+from tallyshelf.operators.hierarchy import breadcrumbs, closure as category_closure  # noqa: F401
 from tallyshelf.scratch import stage
 
 AVAILABLE = ("in_stock", "limited_stock")
@@ -412,26 +413,3 @@ def related_products(products: DataFrame, n: int = 3, band: float = 50.0) -> Dat
     gap = F.abs(F.col("other.list_price") - F.col("list_price"))
     rank = F.row_number().over(W.partitionBy("product_id").orderBy("gap", "related_id"))
     return near.select("product_id", F.col("other.product_id").alias("related_id"), gap.cast("double").alias("gap")).withColumn("rank", rank).filter(F.col("rank") <= n)
-
-
-def category_closure(nodes: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) of a tree of (node, parent)."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up (descendant, ancestor, distance) AS (
-            SELECT node, node, 0 FROM {nodes} UNION ALL
-            SELECT up.descendant, n.parent, up.distance + 1 FROM up JOIN {nodes} n ON n.node = up.ancestor WHERE n.parent IS NOT NULL)
-        SELECT ancestor, descendant, distance FROM up""",
-        nodes=nodes,
-    )
-
-
-def breadcrumbs(nodes: DataFrame) -> DataFrame:
-    """R2: names from the root to each node of (node, parent, name)."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE down (node, level, path) AS (
-            SELECT node, 0, name FROM {nodes} WHERE parent IS NULL UNION ALL
-            SELECT n.node, down.level + 1, concat(down.path, ' > ', n.name) FROM down JOIN {nodes} n ON n.parent = down.node)
-        SELECT node, level, path FROM down""",
-        nodes=nodes,
-    )

@@ -11,6 +11,7 @@ from tallyshelf.operators import normalize as N
 from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
+from tallyshelf.operators.hierarchy import subtree
 from tallyshelf.plans.registry import query
 from tallyshelf.plans.views import WITH, offers, products, table
 from tallyshelf.sources import feeds as S
@@ -392,6 +393,17 @@ def breadcrumbs(spark, d):
     return C.breadcrumbs(tree(spark, d))
 
 
+@query(
+    "r1_category_tree",
+    f"WITH RECURSIVE {TREE}, t AS (SELECT node, name, 0 AS level FROM nodes WHERE name = 'ASIA' UNION ALL "
+    f"SELECT n.node, n.name, level + 1 FROM t JOIN nodes n ON n.parent = t.node) SELECT node, name, level FROM t",
+)
+def category_tree(spark, d):
+    """A category by name with all below it."""
+    nodes = tree(spark, d)
+    return subtree(nodes, F.col("name") == "ASIA").join(nodes.select("node", "name"), "node").select("node", "name", "level")
+
+
 @query("a16_category_rollup", "WITH RECURSIVE " + WITH.removeprefix("WITH ") + f", {TREE}, up AS (SELECT node AS descendant, node AS ancestor FROM nodes UNION ALL SELECT descendant, n.parent FROM up JOIN nodes n ON n.node = up.ancestor WHERE n.parent IS NOT NULL) SELECT ancestor, count(*) AS n, min(CAST(l_extendedprice AS DOUBLE)) AS min_price, max(CAST(l_extendedprice AS DOUBLE)) AS max_price FROM up JOIN lineitem ON descendant = 's' || l_suppkey GROUP BY ancestor")
 def category_rollup(spark, d):
     counts = table(spark, d, "lineitem").groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("node")).agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("min_price"), F.max("l_extendedprice").alias("max_price"))
@@ -689,6 +701,20 @@ def taxonomy(spark, d):
     return S.build_taxonomy(t.join(up, "parent", "left").select("name", F.col("parent_name").alias("parent"), F.lit(0).alias("position")))
 
 
+@query(
+    "s6_featured_categories",
+    f"WITH RECURSIVE {TREE}, e AS (SELECT name, (SELECT name FROM nodes p WHERE p.node = n.parent) AS parent FROM nodes n) "
+    f"SELECT name, parent, row_number() OVER (PARTITION BY parent ORDER BY name) AS sort_order FROM e WHERE parent IS NOT NULL "
+    f"QUALIFY row_number() OVER (PARTITION BY parent ORDER BY name) <= CASE parent WHEN 'ASIA' THEN 2 WHEN 'CHINA' THEN 0 ELSE 4 END",
+)
+def featured_categories(spark, d):
+    """Featured categories, with numbers of their own for two parents."""
+    t = tree(spark, d)
+    up = t.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
+    edges = t.join(up, "parent", "left").select("name", F.col("parent_name").alias("parent"), F.lit(0).alias("position"))
+    return S.build_taxonomy(edges, 4, {"ASIA": 2, "CHINA": 0}).filter("is_featured").select("name", "parent", "sort_order")
+
+
 @query(
     "a11_missing_values",
     FEED

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
+from tallyshelf.operators.hierarchy import rooted
 
 _SPECS = "specifications map<string,map<string,string>>"
 #: Schemas of the raw feeds, one JSON array of objects a file.
@@ -73,17 +74,19 @@ def read_catalog(spark: SparkSession, path: str, names: list[str]) -> dict[str,
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
-def build_taxonomy(edges: DataFrame, featured: int = 8) -> DataFrame:
+#: How many children of a category are featured, where it isn't the usual number.
+FEATURED = {"Mobiles": 1, "Basic Mobiles": 0, "Accessories": 5}
+
+
+def build_taxonomy(edges: DataFrame, featured: int = 8, by_parent: dict[str, int] | None = None) -> DataFrame:
     """Categories with level, path, slug, sort_order and is_featured (the first
-    of each parent) from (name, parent, position)."""
+    of each parent, as many as ``by_parent`` says for its name, else ``featured``) from
+    (name, parent, position).  Names are unique; those below no root are left out."""
     named = edges.select("name", "parent", "position", rules.slug(F.col("name")).alias("slug"))
-    spark = edges.sparkSession
-    tree = spark.sql(
-        """WITH RECURSIVE t (name, parent, slug, position, level, path) AS (
-            SELECT name, parent, slug, position, 0, slug FROM {e} WHERE parent IS NULL UNION ALL
-            SELECT e.name, e.parent, e.slug, e.position, t.level + 1, concat(t.path, '/', e.slug) FROM t JOIN {e} e ON e.parent = t.name)
-        SELECT * FROM t""",
-        e=named,
-    )
+    nodes = named.select(F.col("name").alias("node"), "parent", "slug")
+    tree = rooted(nodes, path=(F.col("slug"), "/")).select(F.col("node").alias("name"), "level", "path")
     order = F.row_number().over(W.partitionBy("parent").orderBy("position", "name"))
-    return tree.withColumn("sort_order", order).withColumn("is_featured", F.col("parent").isNotNull() & (F.col("sort_order") <= featured)).drop("position")
+    most = F.lit(featured)
+    for name, n in (FEATURED if by_parent is None else by_parent).items():
+        most = F.when(F.col("parent") == name, n).otherwise(most)
+    return named.join(tree, "name").withColumn("sort_order", order).withColumn("is_featured", F.col("parent").isNotNull() & (F.col("sort_order") <= most)).drop("position")
