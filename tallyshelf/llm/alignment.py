@@ -16,6 +16,7 @@ totals come back to a chunk for its own pairs only, and meet its documents there
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from tallyshelf.scratch import stage
 
 #: Links kept in a worker's window memo before it is emptied, and the most tokens of
 #: a window that is kept.
-MEMO_LINKS, MEMO_TOKENS = 1 << 20, 48
+MEMO_LINKS, MEMO_TOKENS = 1 << 21, 48
 #: Distinct pairs of documents that a chunk gathers before it ends.
 CHUNK_PAIRS = 1 << 19
 
@@ -56,29 +57,6 @@ def piece_bytes(model) -> list[bytes]:
     return [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in ids]
 
 
-def match(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups and links of two token sequences over the same bytes."""
-    i = j = 0
-    groups, links = [([a[0]], [b[0]])], [(a[0], b[0])]
-    a_end, b_end = a_len[a[0]], b_len[b[0]]
-    while True:
-        if a_end == b_end:
-            if i + 1 == len(a):
-                return groups, links
-            i, j = i + 1, j + 1
-            a_end, b_end = a_end + a_len[a[i]], b_end + b_len[b[j]]
-            groups.append(([a[i]], [b[j]]))
-        elif a_end < b_end:
-            i += 1
-            a_end += a_len[a[i]]
-            groups[-1][0].append(a[i])
-        else:
-            j += 1
-            b_end += b_len[b[j]]
-            groups[-1][1].append(b[j])
-        links.append((a[i], b[j]))
-
-
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -96,27 +74,51 @@ class Aligner:
         self.a_size, self.b_size = len(a_bytes), len(self.b_bytes)
         self._a_len, self._b_len = np.array(self.a_len), np.array(self.b_len)
         self._a_mark, self._b_mark = (np.array([x[:1] == b" " for x in t]) for t in (a_bytes, self.b_bytes))
+        self._said = [str(i) for i in range(max(self.a_size, self.b_size))]
         self.empty_memo()
 
     def empty_memo(self) -> None:
         self.number: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.groups: list[int] = []
-        self.links: list[np.ndarray] = []
-        self.held = 0
+        #: The windows' links one after the other, and where each window's begin.
+        self.links, self.begin = array("q"), [0]
 
-    def _window(self, key: bytes) -> int:
-        """The number of a window whose alignment isn't kept yet."""
+    def _window(self, key: bytes, n_a: int) -> int:
+        """The number of a window whose alignment isn't kept yet: ``n_a`` ids of A, then
+        those of B past A's.  Both sides end at the same byte."""
         ids = np.frombuffer(key, np.uint32).tolist()
-        a, b = [x for x in ids if x < self.a_size], [x - self.a_size for x in ids if x >= self.a_size]
-        groups, links = match(a, b, self.a_len, self.b_len)
+        a_len, b_len, said, a_size, b_size = self.a_len, self.b_len, self._said, self.a_size, self.b_size
+        i, j, a_end, b_end, a_ids, b_ids, texts, links = -1, n_a - 1, 0, 0, "", "", [], []
+        while True:
+            if a_end == b_end:
+                if i >= 0:
+                    texts.append(f"{a_ids}|{b_ids}")
+                if i + 1 == n_a:
+                    break
+                i, j = i + 1, j + 1
+                a, b = ids[i], ids[j] - a_size
+                a_ids, b_ids = said[a], said[b]
+                a_end += a_len[a]
+                b_end += b_len[b]
+            elif a_end < b_end:
+                i += 1
+                a = ids[i]
+                a_ids += "," + said[a]
+                a_end += a_len[a]
+            else:
+                j += 1
+                b = ids[j] - a_size
+                b_ids += "," + said[b]
+                b_end += b_len[b]
+            links.append(a * b_size + b)
         k = len(self.texts)
         if len(ids) <= MEMO_TOKENS:
             self.number[key] = k
-        self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-        self.groups.append(len(groups))
-        self.links.append(np.array([x * self.b_size + y for x, y in links]))
-        self.held += len(links)
+        self.texts.append(";".join(texts))
+        self.groups.append(len(texts))
+        self.links.extend(links)
+        self.begin.append(len(self.links))
         return k
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -147,22 +149,25 @@ class Aligner:
         data, cuts = row.tobytes(), (4 * (i + j)).tolist()
         get, new = self.number.get, self._window
         out = []
-        for start, end in zip(cuts, [*cuts[1:], len(data)], strict=True):
+        for start, end, n_a in zip(cuts, [*cuts[1:], len(data)], (ends - i).tolist(), strict=True):
             k = get(key := data[start:end])
-            out.append(new(key) if k is None else k)
+            out.append(new(key, n_a) if k is None else k)
         return out
 
     def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
         """Tokens of A and of B, groups, the groups as text, and the links as
         a * (size of B) + b."""
-        if self.held > MEMO_LINKS:
+        if len(self.links) > MEMO_LINKS:
             self.empty_memo()
         ids = self.tokens(text)
         if ids is None:
             return 0, 0, 0, "", np.empty(0, np.int64)
         found = self.windows(*ids)
-        texts, groups, links = self.texts, self.groups, self.links
-        return len(ids[0]), len(ids[1]), sum([groups[k] for k in found]), ";".join([texts[k] for k in found]), np.concatenate([links[k] for k in found])
+        texts, groups, begin = self.texts, self.groups, self.begin
+        start = np.array([begin[k] for k in found])
+        n = np.array([begin[k + 1] for k in found]) - start
+        links = np.frombuffer(self.links, np.int64)[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)]
+        return len(ids[0]), len(ids[1]), sum([groups[k] for k in found]), ";".join([texts[k] for k in found]), links
 
 
 def _schema(kind: str, code: str) -> str:
