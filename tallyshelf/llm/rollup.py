@@ -4,31 +4,32 @@ A store is a folder.  Every batch writes a folder of its own under ``data``: its
 ``ledger`` has the signed count of each document version that the batch touches,
 its ``deltas`` the signed change of the (source, lang, tokenizer) totals.  The
 batch counts from the moment that an entry of ``log`` names its folder.  Entries
-are numbered and created exclusively: of two writers that start from the same
-state one commits, the other reads the new state and works its batch out again.
-A batch that failed half-way has no entry; a batch that has one is not applied
-again.  Totals are sums of deltas.  ``compact`` folds what is committed into one
-ledger and one table of totals, so that neither grows with the number of batches.
+are numbered and appear with their content, one writer a number: of two writers
+that start from the same state one commits, the other reads the new state and works
+its batch out again.  A batch that failed half-way has no entry; a batch that has
+one is not applied again.  Totals are sums of deltas.  ``compact`` folds what is
+committed into one ledger, one table of totals and one of batch ids, and shortens the
+log to that entry, so that none of them grows with the number of batches.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyshelf.llm.batches import slices
 from tallyshelf.llm.tokens import encoder
 from tallyshelf.scratch import broadcast_if_small, scratch_dir, stage
+from tallyshelf.sources.commitlog import CommitLog
 
 _KEY = ["source", "lang", "tokenizer"]
 _DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
 _LEDGER = f"doc_id long, {_DELTAS}"
+_BATCHES = "place long, batch string"
 _COUNTED = ["doc_id", *_KEY, "tokens"]
 
 
@@ -58,47 +59,26 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str, count: Callable[[DataFrame], DataFrame]):
         self.spark, self.path, self.count = spark, path.rstrip("/"), count
+        self.log = CommitLog(spark, f"{self.path}/log")
 
-    def _fs(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _log(self) -> tuple[int, list[dict]]:
-        """Number of the next entry, and the entries in order: one file a batch."""
-        fs, path = self._fs(f"{self.path}/log")
-        if not fs.exists(path):
-            return 0, []
-        entries, n = [], -1
-        for status in fs.listStatus(path):
-            n = max(n, int(status.getPath().getName()))
-            held = fs.open(status.getPath())
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8")
-            held.close()
-            if text:  # an entry without text was given up by its writer
-                entries.append(json.loads(text))
-        return n + 1, sorted(entries, key=lambda e: e["n"])
-
-    def _commit(self, n: int, entry: dict) -> bool:
-        """Create entry ``n`` of the log; False if another writer was first."""
-        fs, path = self._fs(f"{self.path}/log/{n:010d}")
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
-        out.write(bytearray(json.dumps({"n": n, **entry}).encode()))
-        out.close()
-        return True
+    def _batches(self, entries: list[dict]) -> DataFrame:
+        """(place, batch) of the batches that are folded into the first entry."""
+        return self.spark.read.schema(_BATCHES).parquet(f"{entries[0]['at']}/batches")
+
+    def _has(self, batch: str, entries: list[dict]) -> bool:
+        if any(e.get("batch") == batch for e in entries):
+            return True
+        return bool(entries and entries[0].get("restart")) and not self._batches(entries).filter(F.col("batch") == batch).isEmpty()
 
     def committed(self) -> list[str]:
         """Ids of the batches that count, in order."""
-        return [e["batch"] for e in self._log()[1] if "batch" in e]
+        entries = self.log.read()[1]
+        folded = [r.batch for r in self._batches(entries).orderBy("place").collect()] if entries and entries[0].get("restart") else []
+        return folded + [e["batch"] for e in entries if "batch" in e]
 
     def _read(self, what: str, entries: list[dict]) -> DataFrame:
         schema = {"ledger": _LEDGER, "deltas": _DELTAS}[what]
-        last = max((k for k, e in enumerate(entries) if "batch" not in e), default=0)
-        paths = [f"{e['at']}/{what}" for e in entries[last:]]
+        paths = [f"{e['at']}/{what}" for e in entries]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _counted(self, docs: DataFrame) -> DataFrame:
@@ -141,27 +121,31 @@ class TokenRollup:
         """Apply one batch: documents to insert, doc_ids to delete, documents whose
         text or labels changed.  Returns False if the batch was committed before."""
         while True:
-            n, entries = self._log()
-            if any(e.get("batch") == batch for e in entries):
+            n, entries = self.log.read()
+            if self._has(batch, entries):
                 return False
-            if self._commit(n, {"batch": batch, "at": self._write(self._change(entries, inserts, deletes, revisions))}):
+            if self.log.append(n, {"batch": batch, "at": self._write(self._change(entries, inserts, deletes, revisions))}):
                 return True
 
     def compact(self) -> None:
-        """Fold all committed batches into one ledger and one table of totals.
-        Totals stay as they are; folders of folded batches are kept for readers
-        that still use them."""
+        """Fold all committed batches into one ledger, one table of totals and one
+        table of batch ids; the log goes on from there.  Totals stay as they are;
+        folders of folded batches are kept for readers that still use them."""
         while True:
-            n, entries = self._log()
+            n, entries = self.log.read()
             if not entries:
                 return
             sums = self._read("ledger", entries).groupBy("doc_id", *_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-            if self._commit(n, {"at": self._write(sums.filter("documents <> 0 or tokens <> 0"))}):
+            at = self._write(sums.filter("documents <> 0 or tokens <> 0"))
+            ids = self.spark.createDataFrame([(e["n"], e["batch"]) for e in entries if "batch" in e], _BATCHES)
+            ids = self._batches(entries).union(ids) if entries[0].get("restart") else ids
+            ids.coalesce(1).write.parquet(f"{at}/batches")
+            if self.log.append(n, {"restart": True, "at": at}):
                 return
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, documents, tokens over all committed batches."""
-        sums = self._read("deltas", self._log()[1]).groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        sums = self._read("deltas", self.log.read()[1]).groupBy(*_KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return sums.filter("documents <> 0 or tokens <> 0")
 
 

@@ -409,9 +409,29 @@ def test_rollup(spark, tmp_path):
     assert got() == want
     store.compact()
     assert got() == want and store.committed() == ["1", "2"] and not store.apply("2", inserts=base)
-    assert store._read("ledger", store._log()[1]).count() == 3
+    assert store._read("ledger", store.log.read()[1]).count() == 3 and len(list((tmp_path / "r" / "log").glob("0*"))) == 1
     store.apply("3", deletes=spark.createDataFrame([(1,), (3,)], "doc_id long"))
     assert got() == {("a", 1, n("four"))}
+    store.compact()
+    assert got() == {("a", 1, n("four"))} and store.committed() == ["1", "2", "3"] and not store.apply("1", inserts=base)
+
+
+def test_a_batch_delivered_twice_at_once_counts_once(spark, tmp_path):
+    """Writer A is about to name its entry when B delivers the same batch whole."""
+    count = lambda d: rollup.bpe_counts(d, "v1")
+    a, b = (rollup.TokenRollup(spark, str(tmp_path / "r"), count) for _ in "ab")
+    a.apply("0", inserts=docs(spark, "one two", "three", ids=[1, 2]))
+    gone, name, done = spark.createDataFrame([(1,)], "doc_id long"), a.log._name, []
+
+    def late(*args):
+        if not done:
+            done.append(b.apply("1-delete", deletes=gone))
+        return name(*args)
+
+    a.log._name = late
+    assert not a.apply("1-delete", deletes=gone) and done == [True]
+    assert a.committed() == ["0", "1-delete"]
+    assert [(r.documents, r.tokens) for r in a.totals().collect()] == [(1, len(tokens.encoder().encode("three")) // 4)]
 
 
 def test_of_two_writers_one_starts_over(spark, tmp_path):
