@@ -34,6 +34,8 @@ EPOCHS, RATE = 6, 0.1
 TARGETS = ("low_quality", "toxic")
 #: Strength where groups do not differ beyond chance: they all get the parent's rate.
 MOST_STRENGTH = 1e9
+#: And at least, so that a site of one document never divides by nothing.
+LEAST_STRENGTH = 0.01
 _WIDTH = BUCKETS + SHAPES * BINS
 
 
@@ -120,13 +122,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about ``rows`` labelled documents: the weights on one half,
     their calibration on the other.  Rows with null labels are left out; where a
-    class is missing its weights are 0."""
+    class is missing its weights are 0.  A doc_id that repeats is one document, the
+    first of its texts."""
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg((F.min("quality") == 0).cast("long").alias("low_quality"), (F.max("toxic") == 1).cast("long").alias("toxic"))
     known = known.withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)))
     n = known.count()
     known = stage(known.filter(F.col("h") < 1_000_000 * min(1.0, rows / max(n, 1))), "quality-labels")
-    sample = docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id")
+    sample = docs.select("doc_id", "text").join(broadcast_if_small(known), "doc_id").groupBy("doc_id", "h", *TARGETS).agg(F.min("text").alias("text"))
     rows_ = sample.select("h", "text", *TARGETS).mapInArrow(_features, "h long, low_quality long, toxic long, f array<int>").toArrow()  # at most about `rows`
     order = np.lexsort([rows_.column(c).to_numpy() for c in ("toxic", "low_quality", "h")])
     y = np.stack([rows_.column(c).to_numpy()[order] for c in TARGETS], axis=1).astype(float)
@@ -178,10 +181,14 @@ def strength(n: float, groups: float, squares: float, within: float, between: fl
     """Documents that a parent's rate is worth: variance within groups over the
     variance between them.  ``within`` is the sum of squared deviations from group
     means, ``between`` that of these means from the parents', a document each,
-    ``squares`` and ``unequal`` the degrees of freedom and effective size."""
-    inside = within / max(n - groups, 1.0)
+    ``squares`` and ``unequal`` the degrees of freedom and effective size.  Where each
+    group is one document the variance within is unknown, and a group says nothing
+    beyond its parent."""
+    if n - groups < 1:
+        return MOST_STRENGTH
+    inside = within / (n - groups)
     beyond = (between - squares * inside) / max(unequal, 1e-9)
-    return min(max(inside / beyond, 0.0), MOST_STRENGTH) if beyond > 0 else MOST_STRENGTH
+    return min(max(inside / beyond, LEAST_STRENGTH), MOST_STRENGTH) if beyond > 0 else MOST_STRENGTH
 
 
 @dataclass

@@ -170,6 +170,38 @@ def test_sparse_sites_shrink(spark):
     assert rate["b"] < 0.25 < rate["a"] < 1 and 0.85 < rate["c"]
 
 
+@pytest.mark.parametrize("host, path", [("id", "id"), ("id % 7", "id"), ("id", "'p'"), ("'h'", "'p'"), ("'h'", "id")])
+@pytest.mark.parametrize("n", [1, 2, 60])
+def test_sites_of_one_document_get_their_parents_rate(spark, host, path, n):
+    r = random.Random(n)
+    rows = [(k, r.gauss(0, 3), r.gauss(0, 3)) for k in range(n)]
+    scored = spark.createDataFrame(rows, "id long, e0 double, e1 double").selectExpr(f"cast({host} as string) host", f"cast({path} as string) path", "e0", "e1", "id")
+    model = quality.Model(np.zeros((2, 1)), [1, 1], [0, 0], [0.5, 0.5])
+    sites = quality.site_rates(scored.drop("id"), model)
+    joined = scored.join(sites.table.withColumnsRenamed({"host": "h", "path": "p"}), F.expr("host <=> h and path <=> p"))
+    score = quality._score(F.col("e0"), 0.5)
+    got = {x.id: (x.prior, x.score) for x in joined.select("id", score.alias("score"), sites.prior(0, score, *(F.col(c) for c in ("n", "s0", "hn", "h0"))).alias("prior")).collect()}
+    assert len(got) == n and all(0 <= p <= 1 for p, _ in got.values())
+    if n == 1:
+        assert got[0][0] == 0.5
+    elif host == "id" or (host, path) == ("'h'", "id"):  # a document a host, or a document a path of one host
+        total = sum(s for _, s in got.values())
+        for p, s in got.values():
+            corpus = (total - s) / (n - 1)
+            if host == "id":
+                assert abs(p - corpus) < 1e-9
+            else:
+                k = sites.host_strength[0]
+                assert abs(p - (total - s + k * corpus) / (n - 1 + k)) < 1e-9
+
+
+def test_classify_with_a_host_for_each_document(spark):
+    d = docs(spark, *(prose(k, 30) for k in range(40)), sources=[f"h{k}" for k in range(40)]).union(docs(spark, "again", ids=[3], sources=["h3"]))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality long, toxic long")
+    out = quality.classify(d, labels).collect()
+    assert len(out) == 41 and all(0 <= r.low_quality <= 1 for r in out)
+
+
 # 3
 
 
