@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from tallyshelf.functions import rules
 from tallyshelf.operators.catalog import first_seen, refresh_counts
 from tallyshelf.operators.components import connected_components
+from tallyshelf.operators.identity import ProductIdentities, key_id, record_nodes, redirected
 from tallyshelf.scratch import stage
 
 
-def key_id(*parts: Column) -> Column:
-    """A deterministic id from natural key parts; null parts count as empty."""
-    return F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
-
-
 def resolve_brands(feed: DataFrame, brands: DataFrame) -> DataFrame:
     """All brands after the feed: those there (is_new false) and new ones.
 
@@ -68,10 +64,8 @@ def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -
     keyed = feed.withColumn("_brand", F.lower(rules.squeeze(F.col("brand")))).withColumn("_name", rules.network_key(F.col("model_name")))
     if mode == "name":
         return keyed.withColumn("product_key", F.when(F.col("_name").isNotNull(), key_id(F.col("_brand"), F.col("_name")))).drop("_brand", "_name")
-    number = F.nullif(F.upper(rules.squeeze(F.col("model_number"))), F.lit(""))
-    nodes = keyed.select("_brand", "_name", number.alias("_number")).filter("_name is not null").distinct()
-    name, num = key_id(F.lit("name"), F.col("_brand"), F.col("_name")), F.when(F.col("_number").isNotNull(), key_id(F.lit("number"), F.col("_brand"), F.col("_number")))
-    parts = connected_components(nodes.select(name.alias("a"), num.alias("b")).filter("b is not null"), "products")
+    name, number = record_nodes()
+    parts = connected_components(keyed.select(name.alias("a"), number.alias("b")).filter("b is not null").distinct(), "products")
     found = keyed.withColumn("_node", name).join(parts.select(F.col("node").alias("_node"), "component"), "_node", "left")
     return found.withColumn("product_key", F.when(F.col("_name").isNotNull(), F.coalesce("component", "_node"))).drop("_brand", "_name", "_node", "component")
 
@@ -205,8 +199,9 @@ def constraint_rejects(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """What ingestion returns: six tables with the rejects, and per record its ids
-    and match labels (product_match, category_match)."""
+    """What ingestion returns: six tables with the rejects, per record its ids and
+    match labels (product_match, category_match), and with stored identities the
+    product keys that live no more (old_key, product_key)."""
 
     brands: DataFrame
     categories: DataFrame
@@ -215,6 +210,7 @@ class Catalog:
     listings: DataFrame
     rejects: DataFrame
     labels: DataFrame
+    redirects: DataFrame | None = None
 
 
 def empty_catalog(spark) -> dict[str, DataFrame]:
@@ -238,14 +234,16 @@ def match_labels(records: DataFrame, old: DataFrame) -> DataFrame:
     return out.withColumn("product_match", match).select(*records.columns, "product_match")
 
 
-def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: str = "components") -> Catalog:
+def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: str = "components", identities: ProductIdentities | None = None, batch: str = "") -> Catalog:
     """Brand, category, product, variant and listing of every record.
 
     feed has row_id, store_name, url, title, brand, model_name, model_number,
     category, color, ram, storage, display_size, connectivity_type, price and
     scraped_at.  Tablets (category Tablets) get the tablet key.  catalog may have
     categories (category_id, name), by which records get their category_id (none
-    without them), and products of an earlier run, which new records join.
+    without them), and products of an earlier run, which new records join.  With
+    ``identities`` the feed is ``batch`` of that state: products keep their keys over
+    batches, and old products are met by their nodes instead of resolved again.
     """
     spark = feed.sparkSession
     catalog = empty_catalog(spark) | (catalog or {})
@@ -256,9 +254,14 @@ def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: s
     known = F.coalesce("category", F.lit("Smartphones"))
     named = assign_category(good, categories).join(categories.select(F.col("name").alias("_known")).distinct(), known == F.col("_known"), "left")
     good = named.withColumn("category_match", F.when(F.col("_known").isNotNull(), F.when(F.col("category").isNull(), "default").otherwise("name")).when(F.col("category_id").isNotNull(), "other").otherwise("none")).drop("_known")
-    before = catalog["products"].select("brand", "model_name", "model_number", F.lit(True).alias("_old"))
-    resolved = stage(resolve_products(good.withColumn("_old", F.lit(False)).unionByName(before, allowMissingColumns=True), mode), "resolved")
-    keyed, old = resolved.filter("not _old").drop("_old"), resolved.filter("_old").drop("_old")
+    if identities is None:
+        before = catalog["products"].select("brand", "model_name", "model_number", F.lit(True).alias("_old"))
+        resolved = stage(resolve_products(good.withColumn("_old", F.lit(False)).unionByName(before, allowMissingColumns=True), mode), "resolved")
+        keyed, old, redirects = resolved.filter("not _old").drop("_old"), resolved.filter("_old").drop("_old"), None
+    else:
+        keyed = stage(identities.assign(batch, good), "resolved")
+        redirects = identities.redirects()
+        old = redirected(catalog["products"].select("product_key", "brand", "model_name", "model_number"), redirects)
     products = keyed.groupBy("product_key").agg(*(F.min_by(c, "row_id").alias(c) for c in ("brand", "brand_id", "model_name", "category", "category_id")), F.lit(None).cast("string").alias("model_number"), F.count("*").alias("records"))
     products = backfill_model_numbers(products, keyed).withColumn("slug", F.concat_ws("-", rules.slug(F.col("brand")), rules.product_slug(F.col("model_name"))))
     products = products.join(old.select("product_key", F.lit(False).alias("_new")).distinct(), "product_key", "left").withColumn("is_new", F.coalesce("_new", F.lit(True))).drop("_new")
@@ -266,7 +269,7 @@ def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: s
     labels = stage(match_labels(keyed, old).withColumn("variant_id", F.when(tablets, variant_key(True)).otherwise(variant_key(False))), "labels")
     variants = resolve_variants(keyed.filter(~tablets), catalog["variants"]).unionByName(resolve_variants(keyed.filter(tablets), catalog["variants"], tablets=True))
     incoming = labels.filter("url is not null").select("url", "variant_id", "store_name", "title", F.col("price").cast("double").alias("price"), "scraped_at", F.col("scraped_at").alias("created_at"))
-    return Catalog(brands, categories, products, variants, upsert_listings(catalog["listings"], incoming), rejects, labels)
+    return Catalog(brands, categories, products, variants, upsert_listings(catalog["listings"], incoming), rejects, labels, redirects)
 
 
 def ingest_offers(feed: DataFrame, products: DataFrame, current: DataFrame, categories: DataFrame, brands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
 from tallyshelf.operators.hierarchy import subtree
+from tallyshelf.operators.identity import ProductIdentities, redirected
 from tallyshelf.plans.registry import query
 from tallyshelf.plans.views import WITH, offers, products, table
+from tallyshelf.scratch import scratch_dir, stage
 from tallyshelf.sources import feeds as S
 from tallyshelf.streaming import jobs as T
 
@@ -469,12 +473,6 @@ def search_trends(spark, d):
     return C.search_trends(table(spark, d, "events"), "ts", "event_type")
 
 
-@query("l2_sort_products", WITH + "SELECT product_id, CAST(list_price AS DOUBLE) AS list_price FROM products ORDER BY list_price DESC, product_id LIMIT 50")
-def sort_products(spark, d):
-    """The first 50, as its SQL has them; the l2_sort_products_* queries return all rows."""
-    return _dbl(C.sort_products(products(spark, d), "price", descending=True).filter("position <= 50"), "list_price").select("product_id", "list_price")
-
-
 @query("l2_sort_products_price", WITH + "SELECT product_id, CAST(list_price AS DOUBLE) AS list_price, row_number() OVER (ORDER BY list_price, product_id) AS position FROM products")
 def sort_products_price(spark, d):
     return _dbl(C.sort_products(products(spark, d), "price"), "list_price").select("product_id", "list_price", "position")
@@ -570,12 +568,37 @@ def resolve_products(spark, d):
     return keyed.join(first, "product_key").select("product_id", "first_id")
 
 
-@query("e3_product_components")
+PARTS = """, parts AS (SELECT product_id, lower(brand) AS b, lower(trim(model_name)) AS name, ram_gb || '-' || CAST(floor(list_price / 10) AS BIGINT) AS number FROM products),
+stars AS (SELECT product_id AS a, min(product_id) OVER (PARTITION BY b, name) AS z FROM parts UNION SELECT product_id, min(product_id) OVER (PARTITION BY b, number) FROM parts),
+links AS (SELECT a, z FROM stars UNION SELECT z, a FROM stars), reach AS (SELECT product_id AS a, product_id AS z FROM parts UNION SELECT r.a, l.z FROM reach r JOIN links l ON l.a = r.z),
+component AS (SELECT a AS product_id, min(z) AS first_id FROM reach GROUP BY a)
+"""
+
+
+def numbered_parts(spark, d):
+    """Products as records whose model number is their size and price step."""
+    step = F.floor(F.col("list_price") / 10).cast("string")
+    return products(spark, d).withColumns({"row_id": F.col("product_id"), "model_number": F.concat_ws("-", F.col("ram_gb").cast("string"), step)})
+
+
+@query("e3_product_components", "WITH RECURSIVE " + WITH.removeprefix("WITH ") + PARTS + "SELECT first_id, count(*) AS products FROM component GROUP BY first_id")
 def product_components(spark, d):
-    """Products joined by name or by a number shared by parts of equal size and price step."""
-    p = products(spark, d).withColumns({"row_id": F.col("product_id"), "model_number": F.concat(F.lit("m"), (F.col("product_id") % 97).cast("string"))})
-    keyed = R.resolve_products(p, "components")
-    return keyed.groupBy("product_key").agg(F.min("product_id").alias("first_id"), F.count("*").alias("products"))
+    """Products joined by name or by a number, that of size and price step, in a brand."""
+    keyed = R.resolve_products(numbered_parts(spark, d), "components")
+    return keyed.groupBy("product_key").agg(F.min("product_id").alias("first_id"), F.count("*").alias("products")).select("first_id", "products")
+
+
+@query("e3_stable_product_keys", "WITH RECURSIVE " + WITH.removeprefix("WITH ") + PARTS + ", early AS (SELECT * FROM parts WHERE product_id % 2 = 0), estars AS (SELECT product_id AS a, min(product_id) OVER (PARTITION BY b, name) AS z FROM early UNION SELECT product_id, min(product_id) OVER (PARTITION BY b, number) FROM early), elinks AS (SELECT a, z FROM estars UNION SELECT z, a FROM estars), ereach AS (SELECT product_id AS a, product_id AS z FROM early UNION SELECT r.a, l.z FROM ereach r JOIN elinks l ON l.a = r.z), was AS (SELECT a AS product_id, min(z) AS first_id FROM ereach GROUP BY a) SELECT c.product_id, c.first_id AS component, count(DISTINCT w.first_id) OVER (PARTITION BY c.first_id) > 1 AS merged FROM component c LEFT JOIN was w USING (product_id)")
+def stable_product_keys(spark, d):
+    """The same products in two batches, even ids first: the component of each after
+    both, and whether the second batch joined products of the first."""
+    p = numbered_parts(spark, d)
+    store = ProductIdentities(spark, f"{scratch_dir(spark)}/identities-{uuid4().hex}")
+    first = store.assign("even", p.filter("product_id % 2 = 0"))
+    both = redirected(stage(first.unionByName(store.assign("odd", p.filter("product_id % 2 = 1"))), "identity-both"), store.redirects())
+    ids = both.groupBy("product_key").agg(F.min("product_id").alias("component"))
+    joined = store.redirects().select("product_key").distinct().withColumn("merged", F.lit(True))
+    return both.join(ids, "product_key").join(joined, "product_key", "left").select("product_id", "component", F.coalesce("merged", F.lit(False)).alias("merged"))
 
 
 @query("e4_resolve_variants", WITH + "SELECT min(product_id) AS product_id, count(*) AS records FROM products GROUP BY lower(brand), lower(model_name), ram_gb, lower(category)")
@@ -625,7 +648,19 @@ def reconcile_similarity(spark, d):
     return products(spark, d).select("product_id", rules.similarity(F.col("brand"), F.col("category")).alias("similarity"))
 
 
-@query("e9_ingest")
+INGEST = FEED + """, r AS (SELECT *, regexp_replace(trim(lower(model_name)), ' 5g$', '') AS name_key FROM feed),
+m AS (SELECT *, CASE WHEN offer_id > min(offer_id) OVER (PARTITION BY product_id) THEN 'model_number' WHEN offer_id > min(offer_id) OVER (PARTITION BY brand, name_key) THEN 'model_name' ELSE 'new_product' END AS matched FROM r)
+SELECT entity, state, n::BIGINT AS n, CAST(NULL AS DOUBLE) AS pct FROM (
+  SELECT 'brand' AS entity, 'created' AS state, count(DISTINCT brand) AS n FROM r UNION ALL SELECT 'variant', 'created', count(DISTINCT (brand, name_key, ram_gb)) FROM r
+  UNION ALL SELECT 'listing', 'new', count(DISTINCT offer_id) FROM r UNION ALL SELECT 'product', 'created', count(DISTINCT (brand, name_key)) FROM r
+  UNION ALL SELECT 'category', 'existing', count(DISTINCT category) + 1 FROM products WHERE category < 'M'
+  UNION ALL SELECT 'category_match', CASE WHEN category < 'M' THEN 'name' ELSE 'other' END, count(*) FROM r GROUP BY ALL
+  UNION ALL SELECT 'product_match', matched, count(*) FROM m GROUP BY ALL UNION ALL SELECT 'processed', store_name, count(*) FROM r GROUP BY ALL)
+UNION ALL SELECT 'deduplicated', 'records', count(*) FILTER (matched <> 'new_product'), floor(count(*) FILTER (matched <> 'new_product') * 1000 / count(*) + 0.5) / 10 FROM m
+"""
+
+
+@query("e9_ingest", INGEST)
 def ingest(spark, d):
     """The whole flow over all offers as feed records, with the part's number as
     model number and some part types as known categories: rows by entity and state."""
