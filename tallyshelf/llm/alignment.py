@@ -8,6 +8,14 @@ alignment depends on its ids alone, so it is worked out once for each tuple of
 ids and kept in the worker: groups, cut where tokens of both sides end, and links,
 the A-B pairs whose byte ranges overlap.
 
+No token of either side crosses a single space that a letter or sign follows (A cuts
+there; B has no piece with a space after anything else, which is looked up in the
+model), and the token after it is marked on both sides.  So the whole tokenisation of a
+text without white space next to white space is that of its stretches between
+spaces, each of which is a window; the stretches not met before in a slice of
+documents are tokenised together, and remembered with the number of their window.  All
+other texts are tokenised and cut to windows as wholes.
+
 What is gathered from the corpus is, for each pair of ids, how many documents hold
 it linked.  A worker sends each chunk's distinct pairs with the chunk's counts; the
 totals come back to a chunk for its own pairs only, and meet its documents there.
@@ -31,6 +39,9 @@ from tallyshelf.scratch import stage
 #: Links kept in a worker's window memo before it is emptied, and the most tokens of
 #: a window that is kept.
 MEMO_LINKS, MEMO_TOKENS = 1 << 21, 48
+#: Stretches between spaces whose windows are kept, and marks of those that have none:
+#: white space next to white space, and bytes that B doesn't give back.
+STRETCHES, _UNEVEN, _OTHER = 400_000, -1, -2
 #: Distinct pairs of documents that a chunk gathers before it ends.
 CHUNK_PAIRS = 1 << 19
 
@@ -74,15 +85,17 @@ class Aligner:
         self.a_size, self.b_size = len(a_bytes), len(self.b_bytes)
         self._a_len, self._b_len = np.array(self.a_len), np.array(self.b_len)
         self._a_mark, self._b_mark = (np.array([x[:1] == b" " for x in t]) for t in (a_bytes, self.b_bytes))
+        #: Whether no piece of B holds a space after anything else.
+        self._cut = all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
         self._said = [str(i) for i in range(max(self.a_size, self.b_size))]
         self.empty_memo()
 
     def empty_memo(self) -> None:
         self.number: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.groups: list[int] = []
-        #: The windows' links one after the other, and where each window's begin.
-        self.links, self.begin = array("q"), [0]
+        #: Of each window: tokens of A and of B, groups, and where its links begin.
+        self.n_a, self.n_b, self.groups, self.begin, self.links = (array("q") for _ in range(5))
+        self.stretch: dict[str, int] = {}
 
     def _window(self, key: bytes, n_a: int) -> int:
         """The number of a window whose alignment isn't kept yet: ``n_a`` ids of A, then
@@ -116,18 +129,41 @@ class Aligner:
         if len(ids) <= MEMO_TOKENS:
             self.number[key] = k
         self.texts.append(";".join(texts))
+        self.n_a.append(n_a)
+        self.n_b.append(len(ids) - n_a)
         self.groups.append(len(texts))
-        self.links.extend(links)
         self.begin.append(len(self.links))
+        self.links.extend(links)
         return k
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides; None without text or where they don't give its bytes back."""
-        if not text:
-            return None
-        data = b" " + text.encode()
+    def _learn(self, new: list[str]) -> None:
+        """The windows of stretches between spaces, by their ids on both sides."""
+        odd = {w for w in new if not w or w[0].isspace()}
+        self.stretch.update(dict.fromkeys(odd, _UNEVEN))
+        new = [w for w in new if w not in odd]
+        if not new:
+            return
+        own = [f" {w}".encode() for w in new]
+        a = self.a.encode_to_numpy("".join([f" {w}" for w in new])).astype(np.int64)
+        starts = np.flatnonzero(self._a_mark[a])
+        if len(starts) != len(new) or (np.add.reduceat(self._a_len[a], starts) != [len(x) for x in own]).any():
+            parts = [self.a.encode_ordinary(f" {w}") for w in new]
+        else:
+            ids, cuts = a.tolist(), [*starts.tolist(), len(a)]
+            parts = [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        shift = self.a_size
+        for w, data, x, y in zip(new, own, parts, self.b.encode(new), strict=True):
+            if b"".join([self.b_bytes[i] for i in y]) != data:
+                self.stretch[w] = _OTHER
+                continue
+            key = array("I", [*x, *[i + shift for i in y]]).tobytes()
+            k = self.number.get(key)
+            self.stretch[w] = self._window(key, len(x)) if k is None else k
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides; None where they don't give the text's bytes back."""
         a, b = self.a.encode_to_numpy(f" {text}").astype(np.int64), self.b.encode(text)
-        if b"".join(map(self.b_bytes.__getitem__, b)) != data or self._a_len[a].sum() != len(data):
+        if b"".join(map(self.b_bytes.__getitem__, b)) != f" {text}".encode():
             return None
         return a, np.array(b)
 
@@ -154,20 +190,37 @@ class Aligner:
             out.append(new(key, n_a) if k is None else k)
         return out
 
-    def align(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """Tokens of A and of B, groups, the groups as text, and the links as
-        a * (size of B) + b."""
-        if len(self.links) > MEMO_LINKS:
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """For each text: tokens of A and of B, groups, the groups as text, and the links
+        as a * (size of B) + b."""
+        if len(self.links) > MEMO_LINKS or len(self.stretch) > STRETCHES:
             self.empty_memo()
-        ids = self.tokens(text)
-        if ids is None:
-            return 0, 0, 0, "", np.empty(0, np.int64)
-        found = self.windows(*ids)
-        texts, groups, begin = self.texts, self.groups, self.begin
-        start = np.array([begin[k] for k in found])
-        n = np.array([begin[k + 1] for k in found]) - start
-        links = np.frombuffer(self.links, np.int64)[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)]
-        return len(ids[0]), len(ids[1]), sum([groups[k] for k in found]), ";".join([texts[k] for k in found]), links
+        get, new, cut = self.stretch.get, set(), []
+        for text in texts:
+            words = text.split(" ") if text and self._cut else []
+            found = [get(w) for w in words]
+            if None in found:
+                new.update([w for w, k in zip(words, found, strict=True) if k is None])
+            cut.append((words, found))
+        self._learn(list(new))
+        numbers: list[list[int]] = []
+        for text, (words, found) in zip(texts, cut, strict=True):
+            if None in found:
+                found = [get(w) if k is None else k for w, k in zip(words, found, strict=True)]
+            if text and (not found or _UNEVEN in found):
+                ids = self.tokens(text)
+                found = [] if ids is None else self.windows(*ids)
+            numbers.append([] if _OTHER in found else found)
+        tables = [np.frombuffer(x, np.int64) for x in (self.n_a, self.n_b, self.groups, self.begin)]
+        ends, links, said = np.append(tables[3][1:], len(self.links)), np.frombuffer(self.links, np.int64), self.texts
+        out = []
+        for found in numbers:
+            k = np.array(found, np.int64)
+            start = tables[3][k]
+            n = ends[k] - start
+            at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+            out.append((*(int(t[k].sum()) for t in tables[:3]), ";".join([said[x] for x in found]), links[at]))
+        return out
 
 
 def _schema(kind: str, code: str) -> str:
@@ -202,8 +255,7 @@ def _aligned(docs: DataFrame, a_path: str | None, b_path: str | None, digest: bo
         size = 0
         for batch in slices(batches):
             rows, ids = [], batch.column("doc_id").type
-            for text in batch.column("text"):
-                n_a, n_b, n_groups, groups, links = align(text.as_py())
+            for n_a, n_b, n_groups, groups, links in align(batch.column("text").to_pylist()):
                 pairs, times = np.unique(links.astype(code[2]), return_counts=True)
                 gathered.append(pairs)
                 size += len(pairs)
