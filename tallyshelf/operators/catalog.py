@@ -204,53 +204,6 @@ def all_models(*feeds: DataFrame, name: str = "model_name") -> DataFrame:
     return out.filter(F.col(name).isNotNull()).distinct()
 
 
-def trigrams(name: str):
-    """Distinct trigrams of "  word " for every alphanumeric word."""
-    words = F.filter(F.split(F.lower(F.col(name)), "[^a-z0-9]+"), lambda w: w != "")
-    grams = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
-    return F.array_distinct(F.flatten(grams))
-
-
-def similar_names(names: DataFrame, threshold: float = 0.3, block: str = "brand", name: str = "model_name") -> DataFrame:
-    """Pairs of distinct names of a block whose trigram similarity reaches the
-    threshold: shared over all trigrams.
-
-    Names meet by their rarest trigrams alone: of n, the n - ceil(threshold * n) + 1
-    first, rarest first, of which a pair at the threshold shares one; and only where
-    their numbers of trigrams allow it.
-    """
-    base = names.select(F.col(block).alias("block"), F.col(name).alias("name")).distinct().withColumn("grams", trigrams("name"))
-    base = base.withColumn("n", F.size("grams"))
-    grams = base.select("block", "name", F.explode("grams").alias("gram"))
-    often = grams.groupBy("block", "gram").agg(F.count("*").alias("often"))
-    rare = grams.join(often, ["block", "gram"]).groupBy("block", "name").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("rare"))
-    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")).cast("int") + 1
-    ready = base.join(rare, ["block", "name"]).withColumn("gram", F.explode(F.transform(F.slice("rare", F.lit(1), most), lambda r: r.gram))).drop("rare")
-    a, b = (ready.select("block", "gram", F.col("name").alias(f"name_{x}"), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-    close = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
-    met = a.join(b, ["block", "gram"]).filter((F.col("name_a") < F.col("name_b")) & close)
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    scored = met.select("block", "name_a", "name_b", (shared / (F.col("n_a") + F.col("n_b") - shared)).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold).distinct().withColumnRenamed("block", block)
-
-
-def search(products: DataFrame, term: str, threshold: float = 0.3) -> DataFrame:
-    """Q1: products whose name, number and brand together hold every word of the
-    term (score 1), or one of which is similar to it by trigrams, best first."""
-    parts = [c for c in ("model_name", "model_number", "brand") if c in products.columns]
-    whole, hit = F.lower(F.concat_ws(" ", *parts)), F.lit(True)
-    for w in term.lower().split():
-        hit = hit & whole.contains(w)
-    asked = products.withColumn("_q", F.lit(term)).withColumns({f"_{k}": trigrams(c) for k, c in enumerate([*parts, "_q"])})
-    mine, scores = f"_{len(parts)}", []
-    for k in range(len(parts)):
-        both = F.size(F.array_intersect(f"_{k}", mine))
-        scores.append(F.coalesce(both / F.nullif(F.size(f"_{k}") + F.size(mine) - both, F.lit(0)), F.lit(0.0)))
-    score = F.when(hit, F.lit(1.0)).otherwise(F.greatest(*scores, F.lit(0.0)))
-    out = asked.withColumn("score", score).filter(F.col("score") >= threshold).drop("_q", *(f"_{k}" for k in range(len(parts) + 1)))
-    return out.orderBy(F.desc("score"), "product_id")
-
-
 def autocomplete(products: DataFrame, offers: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     """Q2: names by prefix, those with most offers first."""
     hits = products.filter(F.lower("model_name").startswith(prefix.lower()))

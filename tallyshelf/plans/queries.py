@@ -14,6 +14,7 @@ from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
 from tallyshelf.operators.hierarchy import subtree
+from tallyshelf.operators.trigrams import TrigramIndex, new_folder
 from tallyshelf.operators.identity import ProductIdentities, redirected
 from tallyshelf.plans.registry import query
 from tallyshelf.plans.views import WITH, offers, products, table
@@ -241,12 +242,23 @@ def top_models(spark, d):
     return C.top_models(feed(spark, d), "source")
 
 
+_INDEXES: dict[tuple[str, str], TrigramIndex] = {}
+
+
+def name_index(spark, d):
+    """The trigram index of the products' names and brands, built once a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        _INDEXES[key] = TrigramIndex.build(products(spark, d), "product_id", ["model_name", "brand"], new_folder(scratch_dir(spark)))
+    return _INDEXES[key]
+
+
 @query("j9_similar_names", WITH + """, names AS (SELECT DISTINCT brand, model_name FROM products), words AS (SELECT brand, model_name, unnest(string_split_regex(lower(model_name), '[^a-z0-9]+')) AS word FROM names),
 grams AS (SELECT DISTINCT brand, model_name, substr('  ' || word || ' ', i, 3) AS gram FROM words, LATERAL (SELECT unnest(range(1, length(word) + 2)) AS i) WHERE word <> ''),
 sizes AS (SELECT brand, model_name, count(*) AS n FROM grams GROUP BY ALL), shared AS (SELECT a.brand, a.model_name AS name_a, b.model_name AS name_b, count(*) AS shared FROM grams a JOIN grams b ON a.brand = b.brand AND a.gram = b.gram AND a.model_name < b.model_name GROUP BY ALL)
 SELECT s.brand, name_a, name_b, shared / CAST(x.n + y.n - shared AS DOUBLE) AS similarity FROM shared s JOIN sizes x ON x.brand = s.brand AND x.model_name = name_a JOIN sizes y ON y.brand = s.brand AND y.model_name = name_b WHERE shared / CAST(x.n + y.n - shared AS DOUBLE) >= 0.3""")
 def similar_names(spark, d):
-    return C.similar_names(products(spark, d))
+    return name_index(spark, d).pairs("model_name", "brand")
 
 
 def _grams(c: str) -> str:
@@ -264,7 +276,13 @@ SELECT product_id, model_name, score FROM scored WHERE score >= 0.3"""
 
 @query("q1_search_products", WITH + SEARCH)
 def search_products(spark, d):
-    return C.search(products(spark, d), "ring red").select("product_id", "model_name", "score")
+    return name_index(spark, d).search("ring red").select(F.col("id").alias("product_id"), "model_name", "score")
+
+
+@query("q1_search_word", WITH + SEARCH.replace("'ring red'", "'Blu'").replace("LIKE '%red%'", "LIKE '%blu%'").replace("LIKE '%ring%'", "LIKE '%blu%'"))
+def search_word(spark, d):
+    """A part of a word, in other letters than it is written with."""
+    return name_index(spark, d).search("Blu").select(F.col("id").alias("product_id"), "model_name", "score")
 
 
 @query(
