@@ -176,6 +176,12 @@ def clean_model(c: Column) -> Column:
     return F.nullif(squeeze(bare), F.lit(""))
 
 
+def clean_model_spaced(c: Column) -> Column:
+    """C12 as Croma's feed has it: a space for brackets and for what follows the last comma."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(c), r"\([^)]*\)", " "), r",[^,]*\z", " ")
+    return F.nullif(squeeze(bare), F.lit(""))
+
+
 def is_model_name(c: Column) -> Column:
     """Two characters or more and no general term."""
     return (F.length(squeeze(c)) >= 2) & ~F.lower(squeeze(c)).isin(*NOT_A_MODEL)
@@ -281,7 +287,7 @@ def total_cost(price: Column, shipping: Column) -> Column:
 def network_names(model: Column, title: Column, network: Column) -> Column:
     """C20: (model_name, model_name_with_5g).  A model that names 4G or 5G gives its
     form without; else title, then network field, then 5G give the form with."""
-    base = clean_model(model)
+    base = clean_model_spaced(model)
     five, four = (rf"(?i)\b{n}g\b" for n in (5, 4))
     said = lambda pattern: F.coalesce(title.rlike(pattern), F.lit(False)) | F.coalesce(network.rlike(pattern), F.lit(False))
     once = lambda pattern: squeeze(F.regexp_replace(base, r"(?s)^(.*?)" + pattern.replace("(?i)", "(?i:") + ")", "$1"))
@@ -310,11 +316,15 @@ def amazon_key(url: Column) -> Column:
     return F.coalesce(F.regexp_substr(url, F.lit(r"^.*?/dp/[A-Z0-9]{10}")), url)
 
 
+def _absolute(url: Column, site: str) -> Column:
+    return F.when(F.lower(url).startswith("http"), url).otherwise(F.concat(F.lit(site), F.when(url.startswith("/"), "").otherwise("/"), url))
+
+
 def flipkart_key(url: Column) -> Column:
-    """full address up to the pid parameter."""
-    full = F.when(url.startswith("/"), F.concat(F.lit("https://www.flipkart.com"), url)).otherwise(url)
-    path, pid = F.regexp_extract(full, r"^([^?#]*)", 1), F.regexp_substr(full, F.lit(r"[?&]pid=[^&#]+"))
-    return F.when(pid.isNull(), path).otherwise(F.concat(path, F.lit("?"), F.substring(pid, 2, 10_000)))
+    """the full address up to a pid that is its first parameter, else all of it;
+    empty and null stay."""
+    full = _absolute(url, "https://www.flipkart.com")
+    return F.when(F.coalesce(url, F.lit("")) == "", url).otherwise(F.coalesce(F.regexp_substr(full, F.lit(r"^.*?\?pid=[^&]+")), full))
 
 
 def croma_key(url: Column) -> Column:
@@ -325,9 +335,24 @@ def croma_key(url: Column) -> Column:
 
 
 def reliance_key(url: Column) -> Column:
-    """without parameters whose name starts with internal."""
-    out = F.regexp_replace(url, r"(?<=[?&])internal[^=&#]*=[^&#]*&?", "")
-    return F.regexp_replace(out, r"[?&]+\z", "")
+    """the full address without the parameters internal and internal_*.  The
+    others stay in order, as a form encodes them (name=value, + for a space); host in
+    lower case; empty and null stay."""
+    full = _absolute(url, "https://www.reliancedigital.in")
+    host = F.regexp_extract(full, r"^([^/?#]*//[^/?#]*)", 1)
+    rest = F.substring(full, F.length(host) + 1, F.length(full))
+    path, query, fragment = (F.regexp_extract(rest, r"^([^?#]*)(?:\?([^#]*))?(#.*)?$", k) for k in (1, 2, 3))
+    coded = lambda c: F.coalesce(F.url_encode(F.try_url_decode(c)), c)
+
+    def pair(c: Column) -> Column:
+        name, value = F.substring_index(c, "=", 1), F.regexp_extract(c, "^[^=]*=(.*)$", 1)
+        return F.struct(F.coalesce(F.try_url_decode(name), name).alias("plain"), F.concat(coded(name), F.lit("="), coded(value)).alias("text"))
+
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda c: c != ""), pair)
+    kept = F.filter(pairs, lambda c: (c.plain != "internal") & ~c.plain.startswith("internal_"))
+    params = F.array_join(F.transform(kept, lambda c: c.text), "&")
+    key = F.concat(F.lower(host), F.when(path == "", "/").otherwise(path), F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""), fragment)
+    return F.when(F.coalesce(url, F.lit("")) == "", url).otherwise(key)
 
 
 URL_KEYS = {"amazon": amazon_key, "flipkart": flipkart_key, "croma": croma_key, "reliance": reliance_key}

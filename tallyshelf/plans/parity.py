@@ -144,6 +144,18 @@ def network_names(spark, d):
     return out.select("id", "n.model_name", "n.model_name_with_5g")
 
 
+BRACKETS = r"""SELECT id, model_name, CASE WHEN model_name LIKE '%4G' THEN model_name ELSE model_name || ' 5G' END AS model_name_with_5g FROM (
+  SELECT id, CASE id % 3 WHEN 0 THEN 'Galaxy ' || size || ' A' WHEN 1 THEN 'Note Pro' ELSE 'Y' || size || ' Lite' END AS model_name FROM phones)"""
+
+
+@query("c20_bracketed_names", WITH + BRACKETS)
+def bracketed_names(spark, d):
+    """Names with brackets inside a word and after a comma."""
+    model = F.expr("CASE id % 3 WHEN 0 THEN concat('Galaxy ', size, '(2024)A') WHEN 1 THEN 'Note(8 GB) (Blue)Pro, 128 GB' ELSE concat(' Y', size, ' Lite,') END")
+    out = phones(spark, d).select("id", rules.network_names(model, F.lit("x"), F.lit(None).cast("string")).alias("n"))
+    return out.select("id", "n.model_name", "n.model_name_with_5g")
+
+
 @query("c22_breadcrumbs", WITH + " SELECT id, CASE WHEN size % 4 < 3 THEN 'Electronics>Mobiles & Accessories>Smartphones & Basic Mobiles>Smartphones' ELSE 'Home>' || name END AS crumbs FROM phones")
 def title_breadcrumbs(spark, d):
     kind = F.element_at(F.array(*(F.lit(x) for x in ("iPhone 16 Pro", "Apple iphone-16", "IPHONE_16e", "iPhone 15"))), (F.col("size") % 4 + 1).cast("int"))

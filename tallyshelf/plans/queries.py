@@ -917,15 +917,24 @@ def price_alerts(spark, d):
     return T.price_alerts(offers(spark, d), alerts).select("alert_id", "offer_id", "last_seen")
 
 
-@query(
-    "f7_url_keys",
-    "WITH p AS (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS bare "
-    "FROM pages), h AS (SELECT *, regexp_extract(bare, '^(https?://[^/]+)', 1) AS host FROM p) "
-    "SELECT page_id, lower(host) || substr(bare, length(host) + 1) AS croma_key, coalesce(nullif(regexp_extract(url, '^.*?/dp/[A-Z0-9]{10}'), ''), url) AS "
-    "amazon_key FROM h",
-)
+ADDRESSES = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN '/p/itm' || page_id || '?pid=MOB' || page_id || '&lid=L1#top' WHEN 2 THEN '/p/x' || page_id || '?lid=1&pid=MOB' || page_id
+  WHEN 3 THEN '/search?id=' || page_id WHEN 4 THEN 'HTTPS://Shop.Example/product/' || page_id || '?internal=1&a=b%20c&internalId=5&internal_source=search&flag#frag' WHEN 5 THEN '/product/' || page_id || '?internal_x=1'
+  WHEN 6 THEN 'https://www.amazon.in/name/dp/B0' || lpad(CAST(page_id AS {text}), 8, '0') || '/ref=x?psc=1' ELSE 'https://www.croma.com/p/' || page_id || '/?q=1' END AS url FROM {pages}"""
+
+
+KEYS = r"""SELECT page_id, lower(host) || substr(bare, length(host) + 1) AS croma_key, coalesce(nullif(regexp_extract(url, '^.*?/dp/[A-Z0-9]{10}'), ''), url) AS amazon_key,
+  coalesce(nullif(regexp_extract(CASE WHEN lower(url) LIKE 'http%' THEN url ELSE 'https://www.flipkart.com' || url END, '^.*?\?pid=[^&]+'), ''), CASE WHEN lower(url) LIKE 'http%' THEN url ELSE 'https://www.flipkart.com' || url END) AS flipkart_key,
+  CASE page_id % 8 WHEN 4 THEN 'https://shop.example/product/' || page_id || '?a=b+c&internalId=5&flag=#frag' WHEN 5 THEN 'https://www.reliancedigital.in/product/' || page_id
+    WHEN 0 THEN url WHEN 6 THEN url WHEN 7 THEN url ELSE 'https://www.reliancedigital.in' || url END AS reliance_key
+FROM (SELECT *, regexp_extract(bare, '^(https?://[^/]+)', 1) AS host FROM (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS bare FROM a))"""
+
+
+@query("f7_url_keys", f"WITH a AS ({ADDRESSES.format(text='VARCHAR', pages='pages')}) {KEYS}")
 def url_keys(spark, d):
-    return table(spark, d, "pages").select("page_id", rules.croma_key(F.col("url")).alias("croma_key"), rules.amazon_key(F.col("url")).alias("amazon_key"))
+    """Canonical addresses by all four stores' rules, of addresses with parameters in
+    several orders, fragments, and without a host."""
+    a = spark.sql(ADDRESSES.replace("{text}", "STRING"), pages=table(spark, d, "pages"))
+    return a.select("page_id", *(key(F.col("url")).alias(f"{store}_key") for store, key in rules.URL_KEYS.items()))
 
 
 @query("n9_validate_attributes", "SELECT event_id, CASE WHEN value - 20 >= 0 THEN value - 20 END AS storage FROM events")

@@ -72,6 +72,14 @@ CASES = [
     (lambda: tuple_of(R.network_names(s("Galaxy A16"), s("A16 4G phone"), s(None))), ["Galaxy A16", "Galaxy A16 4G"]),
     (lambda: tuple_of(R.network_names(s("Galaxy A16 (Blue)"), s(None), s("4G, 5G"))), ["Galaxy A16", "Galaxy A16 5G"]),
     (lambda: tuple_of(R.network_names(s("Galaxy A16"), s("phone"), s(None))), ["Galaxy A16", "Galaxy A16 5G"]),
+    (lambda: R.flipkart_key(s("/p/x?pid=A1&lid=2")), "https://www.flipkart.com/p/x?pid=A1"),
+    (lambda: R.flipkart_key(s("https://www.flipkart.com/search?id=1")), "https://www.flipkart.com/search?id=1"),
+    (lambda: R.flipkart_key(s("/p/x?lid=1&pid=2")), "https://www.flipkart.com/p/x?lid=1&pid=2"),
+    (lambda: R.flipkart_key(s("")), ""),
+    (lambda: R.reliance_key(s("/p/1?internal=a&internalId=5&internal_x=1&b=2#f")), "https://www.reliancedigital.in/p/1?internalId=5&b=2#f"),
+    (lambda: R.reliance_key(s("https://WWW.Reliancedigital.in?internal_source=x")), "https://www.reliancedigital.in/"),
+    (lambda: R.reliance_key(s("/p?a=%zz&b=x%2Fy z&&c")), "https://www.reliancedigital.in/p?a=%zz&b=x%2Fy+z&c="),
+    (lambda: R.network_names(s("Galaxy(2024)A"), s("x"), s(None))["model_name"], "Galaxy A"),
     (lambda: R.title_breadcrumb(s("Apple iPhone-16 Pro"), F.array(s("a"))), list(R.SMARTPHONE_CRUMBS)),
     (lambda: R.title_breadcrumb(s("Apple iPhone 15"), F.array(s("a"))), ["a"]),
     (lambda: R.url_or_placeholder(s(""), s("My Store"), F.lit(7)), "https://my-store.example/7"),
