@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
+from tallyshelf.operators.selectors import Block, block_links
 
 
 def plain(c: Column) -> Column:
@@ -122,9 +123,14 @@ def extract_links(pages: DataFrame, store: str | None = None, pattern: str | Non
     return page_links(pages, pattern).withColumn("link", key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def related_links(pages: DataFrame, seen: DataFrame, max_per_page: int, pattern: str | None = None) -> DataFrame:
-    """Links not yet seen, each on its first page, at most so many a page."""
-    new = extract_links(pages, pattern=pattern).join(seen.select("link").distinct(), "link", "left_anti")
+def related_links(pages: DataFrame, seen: DataFrame, max_per_page: int, pattern: str | None = None, block: Block | None = None, store: str | None = None) -> DataFrame:
+    """Links not yet seen, each on its first page, at most so many a page; of all
+    anchors, or of one block (``SIMILAR`` of a store).  With ``store`` they are
+    canonical addresses, as those of ``seen`` are."""
+    found = page_links(pages, pattern) if block is None else block_links(pages, block)
+    found = found.withColumn("link", rules.URL_KEYS[store](F.col("link"))) if store else found
+    first = found.groupBy("link").agg(F.min(F.struct("page_id", "pos")).alias("at")).select("at.page_id", "at.pos", "link")
+    new = first.join(seen.select("link").distinct(), "link", "left_anti")
     return new.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).filter(F.col("rank") <= max_per_page)
 
 

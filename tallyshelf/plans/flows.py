@@ -82,15 +82,16 @@ def main_images(spark, d):
 @query(
     "x6_unseen_links",
     LINKS
-    + ", often AS (SELECT link FROM l GROUP BY link HAVING count(DISTINCT page_id) > 2) SELECT page_id, pos, link, rank "
+    + ", often AS (SELECT link FROM l GROUP BY link HAVING count(DISTINCT page_id) > (SELECT count(*) FROM pages) / 50) SELECT page_id, pos, link, rank "
     "FROM (SELECT page_id, pos, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1 AND link NOT IN (SELECT link "
     "FROM often)) WHERE rank <= 3",
 )
 def unseen_links(spark, d):
-    """Links but for those that three pages or more have."""
+    """Links but for those that more than one page of fifty has."""
     pages = table(spark, d, "pages")
     every = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<a\\b[^>]*?\\bhref=[\"']([^\"'#]+)"), 1)).alias("link"))
-    seen = every.distinct().groupBy("link").agg(F.count("*").alias("n")).filter("n > 2").select("link")
+    seen = every.distinct().groupBy("link").agg(F.count("*").alias("n"))
+    seen = seen.filter(F.col("n") > pages.agg(F.count("*") / 50).scalar()).select("link")
     return P.related_links(pages, seen, 3)
 
 

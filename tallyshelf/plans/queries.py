@@ -14,6 +14,7 @@ from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators.enrich import classify_batches
 from tallyshelf.operators.hierarchy import subtree
+from tallyshelf.operators.selectors import SIMILAR, STORE_FIELDS, Field, select_fields
 from tallyshelf.operators.trigrams import TrigramIndex, new_folder
 from tallyshelf.operators.identity import ProductIdentities, redirected
 from tallyshelf.plans.registry import query
@@ -827,10 +828,47 @@ def extract_links(spark, d):
     return P.extract_links(table(spark, d, "pages"))
 
 
-@query("x6_related_links", LINKS + "SELECT page_id, pos, link, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1) WHERE rank <= 3")
+@query("x6_related_links", LINKS + "SELECT page_id, pos, link, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE n = 1 AND link NOT IN (SELECT link FROM l WHERE page_id % 10 = 0)) WHERE rank <= 3")
 def related_links(spark, d):
+    """Links that no tenth page has, by their first page."""
     pages = table(spark, d, "pages")
-    return P.related_links(pages, pages.select(F.lit("").alias("link")), 3)
+    return P.related_links(pages, P.page_links(pages.filter("page_id % 10 = 0")), 3)
+
+
+@query("x1_selected_fields", r"SELECT page_id, nullif(trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')), '') AS title, regexp_extract(html, '<html lang=\"(\w+)\"', 1) AS lang, array_to_string(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1), ' ') AS nav FROM pages")
+def selected_fields(spark, d):
+    """Headings, language and menu of pages by selectors, of which the first give nothing."""
+    fields = {"title": Field((".no-such h1", "article > h1", "title")), "lang": Field(("html",), attr="lang"), "nav": Field(("nav > a", "nav li > a"), attr="href", every=True)}
+    return select_fields(table(spark, d, "pages"), fields).select("page_id", "title", "lang", F.array_join("nav", " ").alias("nav"))
+
+
+#: A store's product page per part with two blocks of links, one of them of similar products.
+BLOCKS = """SELECT p_partkey AS page_id, '/p/itm?pid=' || p_partkey AS url, '<html><body><h1><span class="x">GB and RAM</span><span class="VU-ZEz a">' || p_name || '</span></h1><nav><a class="VJA3rP" href="/p/i?pid=1">n</a></nav><div class="Nx9bqj CxhGGd">₹' || p_size || '</div>' ||
+  '<div class="w pq8uUv"><div class="jOp9db">Recently <b>Viewed</b></div><a class="VJA3rP" href="/p/i?pid=2">v</a></div><div class="pq8uUv"><div class="h"><div class="jOp9db"> Similar<br>Products</div></div><p>' ||
+  '<a class="VJA3rP k" href="/p/i?pid=' || (p_partkey * 7 % 1000) || '&lid=9">a<a class="other" href="/p/i?pid=3">b</a><a class="VJA3rP" href="https://www.flipkart.com/p/i?pid=' || (p_partkey * 3 % 1000 + 500) || '#x">c</a></div></body></html>' AS html FROM {part}"""
+
+
+def block_pages(spark, d):
+    return spark.sql(BLOCKS.replace("Similar<br>Products", "Similar Products"), part=table(spark, d, "part"))
+
+
+@query(
+    "x6_similar_products",
+    "WITH l AS (SELECT p_partkey AS page_id, 0 AS pos, 'https://www.flipkart.com/p/i?pid=' || (p_partkey * 7 % 1000) AS link FROM part UNION ALL "
+    "SELECT p_partkey, 1, 'https://www.flipkart.com/p/i?pid=' || (p_partkey * 3 % 1000 + 500) || '#x' FROM part), "
+    "f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1) "
+    "SELECT page_id, pos, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM f WHERE link NOT IN (SELECT 'https://www.flipkart.com/p/i?pid=' || p_size FROM part)",
+)
+def similar_products(spark, d):
+    """Links of the Similar Products block alone, less those of addresses seen before."""
+    seen = table(spark, d, "part").select(F.concat(F.lit("https://www.flipkart.com/p/i?pid="), F.col("p_size").cast("string")).alias("link"))
+    return P.related_links(block_pages(spark, d), seen, 5, block=SIMILAR["flipkart"], store="flipkart")
+
+
+@query("x1_store_fields", "SELECT p_partkey AS page_id, p_name AS title, '₹' || p_size AS price FROM part")
+def store_fields(spark, d):
+    """Title and price of a store's pages by its selectors."""
+    return select_fields(block_pages(spark, d), STORE_FIELDS["flipkart"]).select("page_id", "title", "price")
 
 
 #: A product page per part, in the markup that the page operators read.
