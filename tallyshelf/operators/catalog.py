@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions import rules
 from tallyshelf.functions.rules import discount_2, network_key
 from tallyshelf.operators.hierarchy import breadcrumbs, closure as category_closure  # noqa: F401
+from tallyshelf.operators.slices import with_lookback
 from tallyshelf.scratch import stage
 
 AVAILABLE = ("in_stock", "limited_stock")
@@ -59,29 +60,40 @@ def price_comparison(offers: DataFrame) -> DataFrame:
     return offers.filter("is_active and price is not null").withColumns({"rank": F.rank().over(w.orderBy("price")), "gap": F.col("price") - F.min("price").over(w)})
 
 
+def _changes(seen: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
+    """Observations with _slice whose price differs from old_price, the one before."""
+    order = [when, tie, "price"]
+    w = W.partitionBy("_slice", *keys).orderBy(*order)
+    rows = with_lookback(seen, keys, order, 1).withColumn("old_price", F.lag("price").over(w))
+    return rows.filter(~F.col("_ghost") & (F.col("old_price") != F.col("price"))).drop("_ghost")
+
+
 def price_changes(seen: DataFrame, keys: list[str], when: str, tie: str = "offer_id") -> DataFrame:
     """Observations whose price differs from the one before."""
-    w = W.partitionBy(*keys).orderBy(when, tie, "price")
-    return seen.withColumn("old_price", F.lag("price").over(w)).filter(F.col("old_price") != F.col("price"))
+    return _changes(seen, keys, when, tie).drop("_slice")
 
 
 def price_history(seen: DataFrame, keys: list[str], when: str, tie: str = "offer_id", max_points: int = 30) -> DataFrame:
-    """The prices before each change, the last max_points, oldest first."""
-    changes = price_changes(seen, keys, when, tie)
-    w = W.partitionBy(*keys).orderBy(F.desc(when), F.desc(tie), F.desc("price"))
-    last = changes.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= max_points)
+    """The prices before each change, the last max_points, oldest first.  The last
+    of each slice of a key meet the key's others."""
+    order = F.desc(when), F.desc(tie), F.desc("price")
+    last = _changes(seen, keys, when, tie)
+    for group in (["_slice", *keys], keys):
+        last = last.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("nth") <= max_points)
     points = F.sort_array(F.collect_list(F.struct((-F.col("nth")).alias("place"), F.col("old_price").alias("price"), F.col(when).alias("date"))))
     return last.groupBy(*keys).agg(points.alias("points")).withColumn("points", F.transform("points", lambda p: F.struct(p.price.alias("price"), p.date.alias("date"))))
 
 
 def price_trend(seen: DataFrame, keys: list[str], when: str, tie: str = "offer_id", rows: int = 3) -> DataFrame:
     """Moving average over the last rows observations and its direction."""
-    order = W.partitionBy(*keys).orderBy(when, tie, "price")
+    sort = [when, tie, "price"]
+    order = W.partitionBy("_slice", *keys).orderBy(*sort)
     near = order.rowsBetween(-(rows - 1), 0)
     average = F.sum("price").over(near).cast("double") / F.count("price").over(near)
-    out = seen.withColumn("moving_avg", average)
+    out = with_lookback(seen, keys, sort, rows).withColumn("moving_avg", average)
     before = F.lag("moving_avg").over(order)
-    return out.withColumn("direction", F.when(before.isNull() | (F.col("moving_avg") == before), "flat").when(F.col("moving_avg") > before, "up").otherwise("down"))
+    out = out.withColumn("direction", F.when(before.isNull() | (F.col("moving_avg") == before), "flat").when(F.col("moving_avg") > before, "up").otherwise("down"))
+    return out.filter("not _ghost").drop("_slice", "_ghost")
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:

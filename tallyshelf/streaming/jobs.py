@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyshelf.operators.resolve import upsert
+from tallyshelf.operators.slices import running_sum
 from tallyshelf.sources.feeds import exists
 
 
@@ -128,10 +129,17 @@ def stream_request_counts(events: DataFrame, key: str, ts: str, window: str, del
 
 
 def sliding_request_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Requests of the key in the trailing window that ends with each request."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(key).orderBy("_t").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("_t", micros).withColumn("trailing", F.count("*").over(w)).drop("_t")
+    """Requests of the key in the trailing window that ends with each request.
+
+    A request counts one from its time on and one less when the window has left it, so
+    the count is a running sum, which is carried from slice to slice of a key.  Requests
+    without time are counted among themselves."""
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
+    ends = timed.filter("_t is not null").groupBy(key, (F.col("_t") + seconds * 1_000_000).alias("_t")).agg((-F.count("*")).alias("_one"))
+    rows = timed.withColumn("_one", F.lit(1).cast("long")).unionByName(ends, allowMissingColumns=True).withColumn("_is", F.col("_one") > 0)
+    # requests without time come first; what follows them starts at 0
+    rows = rows.withColumn("_none", F.col("_t").isNull())
+    return running_sum(rows, [key, "_none"], "_t", "_one", "trailing").filter("_is").select(*events.columns, "trailing")
 
 
 def two_bucket_estimate(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
