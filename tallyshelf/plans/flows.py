@@ -15,7 +15,7 @@ from tallyshelf.plans.parity import PHONES, phones
 from tallyshelf.plans.queries import LINKS
 from tallyshelf.plans.registry import query
 from tallyshelf.plans.views import WITH, offers, products, table
-from tallyshelf.scratch import scratch_dir
+from tallyshelf.scratch import scratch_dir, stage
 from tallyshelf.streaming import jobs as T
 
 
@@ -172,6 +172,39 @@ def stream_changes(spark, d):
     return spark.read.parquet(out).select(F.col("url").cast("long").alias("user_id"), "old_price", "price")
 
 
+@query(
+    "t5_stream_expiry",
+    "SELECT user_id, count(*) AS expired, min(epoch_ms(last_seen)) AS last_ms FROM (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id) "
+    "WHERE epoch_ms(last_seen) + 43200000 < (SELECT max(epoch_ms(ts)) - 60000 FROM events) GROUP BY user_id",
+)
+def stream_expiry(spark, d):
+    """Users not seen for half a day before the last event, less a minute of delay, by timers."""
+    out = _folder(spark, "t5")
+    T.run_available(T.stream_expiry(_events(spark, d), "user_id", "ts", 43200, "60 seconds"), out, _folder(spark, "t5-checkpoint"))
+    return spark.read.parquet(out).groupBy("user_id").agg(F.count("*").alias("expired"), F.min(F.unix_millis("last_seen")).alias("last_ms"))
+
+
+ALERTS = "WITH a AS (SELECT user_id AS product_id, unnest([1, 2]) AS k, avg(value) AS middle FROM events GROUP BY user_id), t AS (SELECT product_id * 10 + k AS alert_id, product_id, middle / k - 15 AS target FROM a) "
+
+
+@query(
+    "t10_stream_alerts",
+    ALERTS + "SELECT alert_id, product_id, event_id AS offer_id, value AS price FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts, event_id, value) AS n FROM events JOIN t ON product_id = user_id WHERE value <= target) WHERE n = 1",
+)
+def stream_alerts(spark, d):
+    """Two alerts for each user's value, below the mean and below half of it; the stream
+    runs twice and fires none again."""
+    e = table(spark, d, "events")
+    means = e.groupBy(F.col("user_id").alias("product_id")).agg(F.avg("value").alias("middle"))
+    alerts = means.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select((F.col("product_id") * 10 + F.col("k")).alias("alert_id"), "product_id", (F.col("middle") / F.col("k") - 15).alias("target"))
+    alerts = stage(alerts, "alerts")
+    out, checkpoint = _folder(spark, "t10"), _folder(spark, "t10-checkpoint")
+    for _ in range(2):
+        rows = _events(spark, d).select(F.col("user_id").alias("product_id"), F.col("event_id").alias("offer_id"), F.col("value").alias("price"), "ts")
+        T.run_available(T.stream_price_alerts(rows, alerts, "ts"), out, checkpoint)
+    return spark.read.parquet(out).select("alert_id", "product_id", "offer_id", "price")
+
+
 @query(
     "t9_failed_items",
     "SELECT user_id, n + 1 AS attempts FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) WHERE n < 70 AND user_id NOT IN (SELECT user_id "

@@ -162,3 +162,55 @@ def price_alerts(seen: DataFrame, alerts: DataFrame) -> DataFrame:
     hits = seen.join(alerts, "product_id").filter(F.col("price") <= F.col("target"))
     w = W.partitionBy("alert_id").orderBy("last_seen", "offer_id", "price")
     return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def stream_price_alerts(seen: DataFrame, alerts: DataFrame, ts: str = "last_seen") -> DataFrame:
+    """T10 on a stream of product_id, offer_id, price and ``ts``: each alert of the static
+    ``alerts`` (alert_id, product_id, target) once, at the first observation at or under
+    its target; of one micro-batch the earliest, ties by offer_id and price.
+
+    The stream meets the static side first, which new alerts may join between
+    batches; the state of an alert is only that it has fired."""
+    hits = seen.join(alerts, "product_id").filter(F.col("price") <= F.col("target"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = None
+        for rows in batches:  # one row of each batch at most stays in memory
+            one = rows.sort_values(["ts", "offer_id", "price"], kind="stable").head(1)
+            first = one if first is None else pd.concat([first, one]).sort_values(["ts", "offer_id", "price"], kind="stable").head(1)
+        if not state.exists:
+            state.update((True,))
+            yield first[["alert_id", "product_id", "offer_id", "price", "ts"]]
+
+    rows = hits.select("alert_id", "product_id", "offer_id", F.col("price").cast("double").alias("price"), F.col(ts).cast("timestamp").alias("ts"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("alert_id", "product_id", "offer_id")}
+    return rows.groupBy("alert_id").applyInPandasWithState(step, f"{', '.join(f'{c} {t}' for c, t in kinds.items())}, price double, ts timestamp", "fired boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_expiry(seen: DataFrame, key: str, ts: str, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """T5 on a stream: key, last_seen and expired_at of what is not seen for ``seconds``.
+
+    A timer at last_seen + seconds fires when the watermark passes it, with or without
+    data; a later sighting moves it.  What comes so late that its timer would lie behind
+    the watermark expires at once.  A key that is seen after it expired starts anew."""
+    kind = seen.schema[key].dataType.simpleString()
+    rows = seen.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", delay)
+    rows = rows.withColumn("ms", F.unix_millis("ts"))
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, state_ends = state.get[0], True
+            state.remove()
+        else:
+            last = max([int(b["ms"].max()) for b in batches if len(b)] + ([state.get[0]] if state.exists else []))
+            state_ends = last + seconds * 1000 <= state.getCurrentWatermarkMs()
+            if state_ends and state.exists:
+                state.remove()
+            elif not state_ends:
+                state.update((last,))
+                state.setTimeoutTimestamp(last + seconds * 1000)
+        out = [(group[0], last, last + seconds * 1000)] if state_ends else []
+        yield pd.DataFrame(out, columns=["key", "last", "at"])
+
+    out = rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, last long, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.col("key").alias(key), F.timestamp_millis("last").alias("last_seen"), F.timestamp_millis("at").alias("expired_at"))

@@ -49,3 +49,43 @@ def test_retry(spark):
     dead = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3), ("c", "x", 1)], "url string, reason string, attempts int")
     done = spark.createDataFrame([("c",)], "url string")
     assert [tuple(r) for r in T.failed_items_retry(dead, done).collect()] == [("a", "y", 3)]
+
+
+def test_alerts_fire_once(spark, tmp_path):
+    """Two micro-batches and a restart give what one batch gives."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    schema = "product_id long, offer_id long, price double, last_seen timestamp"
+    put = lambda name, rows: (src / name).write_text("\n".join(json.dumps({"product_id": p, "offer_id": o, "price": x, "last_seen": f"2024-01-01T00:{m:02d}:00Z"}) for p, o, x, m in rows))
+    alerts = spark.createDataFrame([(1, 7, 10.0), (2, 7, 5.0), (3, 8, 1.0), (4, 9, None)], "alert_id long, product_id long, target double")
+    run = lambda: T.run_available(T.stream_price_alerts(T.stream_feed(spark, str(src), schema), alerts), out, str(tmp_path / "c"))
+    one = [(7, 1, 12.0, 1), (7, 3, 9.0, 3), (7, 2, 10.0, 3), (8, 4, 2.0, 4), (9, 5, 1.0, 5)]
+    two = [(7, 6, 4.0, 6), (7, 7, 1.0, 7), (8, 8, None, 8)]
+    put("1.json", one)
+    run()
+    assert sorted((r.alert_id, r.offer_id) for r in spark.read.parquet(out).collect()) == [(1, 2)]
+    put("2.json", two)
+    run()
+    run()
+    got = sorted((r.alert_id, r.offer_id, r.price) for r in spark.read.parquet(out).collect())
+    batch = T.price_alerts(spark.read.schema(schema).json(str(src)), alerts)
+    assert got == sorted((r.alert_id, r.offer_id, r.price) for r in batch.collect()) == [(1, 2, 10.0), (2, 6, 4.0)]
+
+
+def test_expiry_by_timers(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    run = lambda: T.run_available(T.stream_expiry(T.stream_feed(spark, str(src), SCHEMA), "url", "ts", 600), out, str(tmp_path / "c"))
+    got = lambda: sorted((r.url, r.last_seen.minute) for r in spark.read.parquet(out).collect())
+    put(src, "1.json", [("a", 1.0, 0), ("b", 1.0, 5), ("c", 1.0, 12)])
+    run()
+    assert got() == [("a", 0)]  # 0 + 10 minutes lies before the watermark, 12
+    put(src, "2.json", [("b", 1.0, 14), ("d", 1.0, 23)])
+    run()
+    assert got() == [("a", 0), ("c", 12)]  # b was seen again in time
+    put(src, "3.json", [("a", 1.0, 30)])
+    run()
+    assert got() == [("a", 0), ("b", 14), ("c", 12)]
+    put(src, "4.json", [("e", 1.0, 45)])
+    run()
+    assert got() == [("a", 0), ("a", 30), ("b", 14), ("c", 12), ("d", 23)]
