@@ -216,13 +216,6 @@ def all_models(*feeds: DataFrame, name: str = "model_name") -> DataFrame:
     return out.filter(F.col(name).isNotNull()).distinct()
 
 
-def autocomplete(products: DataFrame, offers: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    """Q2: names by prefix, those with most offers first."""
-    hits = products.filter(F.lower("model_name").startswith(prefix.lower()))
-    counted = hits.join(offers.select("product_id", "offer_id"), "product_id", "left").groupBy("model_name").agg(F.count("offer_id").alias("offers"))
-    return counted.orderBy(F.desc("offers"), "model_name").limit(limit)
-
-
 def compare_specs(items: DataFrame, ids: list, specs: list[str], key: str = "product_id", offers: DataFrame | None = None) -> DataFrame:
     """One row per spec, one column per chosen item; with offers also their
     lowest and highest price."""

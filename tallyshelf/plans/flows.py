@@ -174,8 +174,8 @@ def stream_changes(spark, d):
 
 @query(
     "t5_stream_expiry",
-    "SELECT user_id, count(*) AS expired, min(epoch_ms(last_seen)) AS last_ms FROM (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id) "
-    "WHERE epoch_ms(last_seen) + 43200000 < (SELECT max(epoch_ms(ts)) - 60000 FROM events) GROUP BY user_id",
+    "SELECT user_id, count(*) AS expired, min(last_ms) AS last_ms FROM (SELECT user_id, max(CAST(floor(epoch_us(ts) / 1000) AS BIGINT)) AS last_ms FROM events GROUP BY user_id) "
+    "WHERE last_ms + 43200000 < (SELECT max(CAST(floor(epoch_us(ts) / 1000) AS BIGINT)) - 60000 FROM events) GROUP BY user_id",
 )
 def stream_expiry(spark, d):
     """Users not seen for half a day before the last event, less a minute of delay, by timers."""

@@ -12,8 +12,10 @@ from tallyshelf.operators import catalog as C
 from tallyshelf.operators import normalize as N
 from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
+from tallyshelf.operators import sketches as K
 from tallyshelf.operators.enrich import classify_batches
 from tallyshelf.operators.hierarchy import subtree
+from tallyshelf.operators.prefixes import PrefixTable, name_counts
 from tallyshelf.operators.selectors import SIMILAR, STORE_FIELDS, Field, select_fields
 from tallyshelf.operators.trigrams import TrigramIndex, new_folder
 from tallyshelf.operators.identity import ProductIdentities, redirected
@@ -293,7 +295,20 @@ def search_word(spark, d):
     "WHERE starts_with(lower(model_name), 're') GROUP BY model_name ORDER BY offers DESC, model_name LIMIT 10",
 )
 def autocomplete(spark, d):
-    return C.autocomplete(products(spark, d), offers(spark, d), "re")
+    """One key of the prefix table, which is built once a session."""
+    return prefix_table(spark, d).complete("re")
+
+
+_PREFIXES: dict[tuple[str, str], PrefixTable] = {}
+
+
+def prefix_table(spark, d):
+    key = spark.sparkContext.applicationId, d
+    if key not in _PREFIXES:
+        made = PrefixTable(spark, f"{scratch_dir(spark)}/prefixes-{uuid4().hex}")
+        made.build(name_counts(products(spark, d), offers(spark, d)))
+        _PREFIXES[key] = made
+    return _PREFIXES[key]
 
 
 @query(
@@ -457,6 +472,24 @@ def price_analysis(spark, d):
     return C.price_analysis(offers(spark, d))
 
 
+@query(
+    "a18_sketched_prices",
+    WITH
+    + f"SELECT product_id, count(*) AS n, {STATS}, count(DISTINCT store_name) AS stores, true AS median_within FROM offers WHERE price IS NOT NULL GROUP BY product_id",
+)
+def sketched_prices(spark, d):
+    """Sketches of every product and day, added in two batches and merged by product; and
+    whether the median's rank is within the stated error."""
+    sold = offers(spark, d).withColumn("day", F.col("last_seen"))
+    store = K.SketchStore(spark, f"{scratch_dir(spark)}/sketches-{uuid4().hex}")
+    for batch in ("active", "inactive", "active"):
+        store.add(batch, sold.filter("is_active" if batch == "active" else "not is_active"))
+    got = stage(K.answers(store.sketches(["product_id"])), "sketch-answers")
+    ranks = sold.filter("price is not null").join(got.select("product_id", "q50"), "product_id").groupBy("product_id").agg(F.count_if(F.col("price") < F.col("q50")).alias("below"), F.count_if(F.col("price") <= F.col("q50")).alias("upto"))
+    off = F.col("n") * (0.5 + K.rank_error()) + 1, F.col("n") * (0.5 - K.rank_error()) - 1
+    return got.join(ranks, "product_id").select("product_id", "n", "min_price", "max_price", "avg_price", "stores", ((F.col("below") <= off[0]) & (F.col("upto") >= off[1])).alias("median_within"))
+
+
 @query(
     "a19_store_wins",
     WITH

@@ -64,16 +64,6 @@ def append_new_by_url(existing: DataFrame, incoming: DataFrame, store: str, orde
     return existing.unionByName(fresh.select(*incoming.columns), allowMissingColumns=True).unionByName(incoming.filter("url is null"), allowMissingColumns=True)
 
 
-def write_catalog(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table to a folder of its own."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_catalog(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
-
-
 #: How many children of a category are featured, where it isn't the usual number.
 FEATURED = {"Mobiles": 1, "Basic Mobiles": 0, "Accessories": 5}
 
