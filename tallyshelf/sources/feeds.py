@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyshelf.functions import rules
 from tallyshelf.operators.hierarchy import rooted
+from tallyshelf.sources.jsonarray import read_objects
 
 _SPECS = "specifications map<string,map<string,string>>"
 #: Schemas of the raw feeds, one JSON array of objects a file.
@@ -25,6 +26,14 @@ def read_feed(spark: SparkSession, source: str, path: str) -> DataFrame:
     return reader.json(path)
 
 
+def read_large_feed(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """S1 for large files: the same records, each file read by as many tasks as it has
+    blocks; objects that can't be read are kept in _corrupt."""
+    schema = f"{SCHEMAS[source]}, _corrupt string"
+    one = F.from_json("text", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    return read_objects(spark, path).select(one.alias("r")).select("r.*")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
