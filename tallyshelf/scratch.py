@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
+_LISTS: ContextVar[tuple[list[str], ...]] = ContextVar("recorded", default=())
 
 #: Most bytes of a table that is broadcast, as its rows take in memory, and what a
 #: row takes besides its values.
@@ -41,17 +44,28 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for written in _LISTS.get():
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Delete the tables that ``stage`` wrote in this application, but for the first
-    ``since`` and the last ``keep``; results that still read them must have been
-    written before.  Returns how many went."""
-    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    paths = written[since : len(written) - keep]
-    del written[since : len(written) - keep]
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The tables that ``stage`` writes in this thread while the block lasts; other runs
+    of the same application have lists of their own."""
+    lists, mine = _LISTS.get(), []
+    token = _LISTS.set((*lists, mine))
+    try:
+        yield mine
+    finally:
+        _LISTS.reset(token)
+
+
+def drop(spark: SparkSession, written: list[str], keep: int = 0) -> int:
+    """Delete the tables of a recorded list but for the last ``keep``; results that
+    still read them must have been written before.  Returns how many went."""
+    paths = written[: len(written) - keep]
+    del written[: len(written) - keep]
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -60,11 +74,6 @@ def drop_staged(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     return len(paths)
 
 
-def staged(spark: SparkSession) -> int:
-    """How many tables ``stage`` has written in this application and not dropped."""
-    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
-
-
 def _bytes(c: Column, kind: T.DataType) -> Column:
     """Bytes of a value, nested ones included."""
     if isinstance(kind, T.StringType | T.BinaryType):
