@@ -15,7 +15,7 @@ from tallyshelf.llm.minmax import near_duplicates
 from tallyshelf.llm.mixing import mix
 from tallyshelf.llm.packing import pack
 from tallyshelf.llm.quality import classify
-from tallyshelf.scratch import broadcast_if_small, drop_staged, stage, staged
+from tallyshelf.scratch import broadcast_if_small, drop, recorded, stage
 
 
 def columns(docs: DataFrame) -> list[Column]:
@@ -68,8 +68,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = staged(spark)
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir).select(*columns(docs)), f"pipeline-{name}")
-        drop_staged(spark, before, keep=1)  # what the stage read is not read again
+    with recorded() as written:
+        for name, function in STAGES[:-1]:
+            docs = stage(function(spark, docs, sf_dir).select(*columns(docs)), f"pipeline-{name}")
+            drop(spark, written, keep=1)  # what the stage read is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
