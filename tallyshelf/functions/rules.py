@@ -223,11 +223,15 @@ def title_brand(title: Column) -> Column:
     return F.nullif(F.regexp_extract(squeeze(title), rf"(?i)^({'|'.join(TITLE_BRANDS)})\b", 1), F.lit(""))
 
 
+#: What ends a model name in a title, besides its end.
+TITLE_STOPS = (r"\s+\d+(?:\.\d+)?\s*(?:GB|TB)\b", r"\s*,", r"\s+Mobile Phone\b")
+
+
 def title_model(title: Column) -> Column:
     """What follows the brand up to a capacity, comma or "Mobile Phone", with
     the 5G that the title has elsewhere; null without a known brand."""
     names, fast = "|".join(TITLE_BRANDS), r"(?i)\b5G\b"
-    found = F.regexp_extract(squeeze(title), rf"(?i)^(?:{names})\s+(.+?)(?=\s+\d+(?:\.\d+)?\s*(?:GB|TB)\b|\s*,|\s+Mobile Phone\b|\z)", 1)
+    found = F.regexp_extract(squeeze(title), rf"(?i)^(?:{names})\s+(.+?)(?={'|'.join(TITLE_STOPS)}|\z)", 1)
 
     def whole(model: Column) -> Column:
         model = F.when(title.rlike(fast) & ~model.rlike(fast), F.concat(model, F.lit(" 5G"))).otherwise(model)

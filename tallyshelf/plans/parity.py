@@ -220,11 +220,17 @@ def flipkart_phones(spark, d):
     return _flat(N.normalize_flipkart_phones(feed))
 
 
-@query("n4_flipkart_tablets", WITH + rf""" SELECT 'u/' || id AS url, CASE WHEN id % 2 = 0 THEN 'Lenovo' ELSE upper(title[1]) || lower(substr(split_part(title, ' ', 1), 2)) END AS brand, spec_model AS model_name, 'n' || id AS model_number, 'Tablets' AS category,
-  trim(regexp_replace(color, '\s+', ' ', 'g')) AS color, nullif(size % 9, 0) AS ram, CASE WHEN storage LIKE '%TB' THEN (1 + size % 2) * 1024 WHEN storage LIKE '%GB' THEN size END AS storage, {PRICED}, size % 50 AS discount_percent,
-  regexp_replace(image_f, '/\d+/\d+/', '/845/845/') AS image_url, 0 AS images, i.flipkart AS display_size, n.flipkart AS connectivity_type FROM phones JOIN ({INCHES}) i USING (id) JOIN ({NETWORKS.replace("WHEN crumb = 'Tablets with Call Facility' THEN 'Wi-Fi+Cellular' ", "")}) n USING (id) WHERE id % 4 < 3 AND spec_model IS NOT NULL""")
+#: Titles of tablets, of whose parts the model name is what name stands for.
+TABLET_TITLE = """CASE size % 6 WHEN 0 THEN 'Lenovo ' || name || ' Tab (2nd Gen) 8 GB RAM' WHEN 1 THEN 'samsung ' || name || ' (Grey)' WHEN 2 THEN 'Apple ' || name || ' 8 GB RAM 128 GB ROM 10.1 inch'
+  WHEN 3 THEN 'Quix ' || name || ' 10.5 inch Wi-Fi Only' WHEN 4 THEN 'MI ' || name || ' iPad (Blue)' ELSE 'vivo ' || name || ' wi-fi  only (x)' END"""
+
+
+@query("n4_flipkart_tablets", WITH + rf""" SELECT 'u/' || id AS url, CASE WHEN size % 6 = 2 THEN 'Apple' WHEN id % 2 = 0 THEN 'Lenovo' ELSE upper(t[1]) || lower(substr(split_part(t, ' ', 1), 2)) END AS brand,
+  coalesce(spec_model, CASE WHEN size % 6 = 3 THEN 'Quix ' || name ELSE name END) AS model_name, 'n' || id AS model_number, 'Tablets' AS category,
+  trim(regexp_replace(color, '\s+', ' ', 'g')) AS color, nullif(size % 9, 0) AS ram, CASE WHEN storage LIKE '%TB' THEN (1 + size % 2) * 1024 WHEN storage LIKE '%GB' THEN size WHEN size % 6 = 2 THEN 128 END AS storage, {PRICED}, size % 50 AS discount_percent,
+  regexp_replace(image_f, '/\d+/\d+/', '/845/845/') AS image_url, 0 AS images, i.flipkart AS display_size, n.flipkart AS connectivity_type FROM (SELECT *, {TABLET_TITLE} AS t FROM phones) JOIN ({INCHES}) i USING (id) JOIN ({NETWORKS.replace("WHEN crumb = 'Tablets with Call Facility' THEN 'Wi-Fi+Cellular' ", "")}) n USING (id) WHERE id % 4 < 3""")
 def flipkart_tablets(spark, d):
-    p = phones(spark, d).filter("spec_model is not null")
+    p = phones(spark, d).withColumn("title", F.expr(TABLET_TITLE))
     specs = _map(("General", _map(("Model Name", F.col("spec_model")), ("Color", F.col("color")), ("Model Number", F.concat(F.lit("n"), "id")), ("RAM", F.concat(F.col("size") % 9, F.lit(".0 GB"))), ("Connectivity", F.col("network")))),
                  ("Product Details", _map(("Internal Storage", F.col("storage")), ("Display Size", F.col("display")))))
     crumbs = F.array(F.lit("Home"), F.lit("x"), F.when(F.col("id") % 4 < 3, "Tablets"), F.when(F.col("id") % 2 == 0, "Lenovo Tablets").otherwise("All Tablets of stores"))
