@@ -148,14 +148,16 @@ def next_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
 
 def sort_products(products: DataFrame, by: str, offers: DataFrame | None = None, descending: bool | None = None) -> DataFrame:
     """L2: all products with position from 1, by price (list_price, lowest first),
-    popularity (offers, most first) or date (last_seen of the offers, newest
-    first); nulls last, ties by product_id.
+    rating (highest first), popularity (offers, most first) or date (last_seen of the
+    offers, newest first); nulls last, ties by product_id.
 
     The sorted rows are written; positions are places in a partition plus the
     rows of the partitions before it.
     """
     if by == "price":
         keyed, key, down = products, "list_price", False
+    elif by == "rating":
+        keyed, key, down = products, by, True
     elif by in ("popularity", "date"):
         value = F.count("*").alias("popularity") if by == "popularity" else F.max("last_seen").alias("date")
         keyed, key, down = products.join(offers.groupBy("product_id").agg(value), "product_id", "left"), by, True
@@ -189,6 +191,16 @@ def variant_names(products: DataFrame) -> DataFrame:
     return products.withColumn("display_name", F.concat_ws(" ", "brand", "model_name", ram))
 
 
+def tablet_variant_names(tablets: DataFrame) -> DataFrame:
+    """J4 for tablets: brand, model, storage (whole TB from 1,024 GB on), display size,
+    connectivity and colour, as far as they are known; zero and empty are not."""
+    text = lambda c: F.nullif(F.regexp_replace(F.col(c).cast("string"), r"\.0\z", ""), F.lit(""))
+    gb, size = F.nullif(F.col("storage_gb"), F.lit(0)), F.nullif(text("display_size"), F.lit("0"))
+    storage = F.when(gb >= 1024, F.concat(F.floor(gb / 1024 + 0.5).cast("string"), F.lit(" TB ROM"))).otherwise(F.concat(text("storage_gb"), F.lit(" GB ROM")))
+    parts = [F.when(gb.isNotNull(), storage), F.concat(size, F.lit(" Inch")), F.concat(F.lit("with "), text("connectivity_type")), F.concat(F.lit("("), text("color"), F.lit(")"))]
+    return tablets.withColumn("display_name", F.concat_ws(" ", "brand", "model_name", *parts))
+
+
 def match_attributes(variants: DataFrame, wanted: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Variants that equal a wanted row in key and every attribute, null as null."""
     v, w = variants.alias("v"), wanted.alias("w")
@@ -309,8 +321,8 @@ def category_rollup(closure: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def facets(products: DataFrame, offers: DataFrame, band: int = 20000) -> DataFrame:
-    """Products by brand, category, RAM, price band and store; a product counts
-    once in each store that has it."""
+    """Products by brand, category, RAM, price band, store and, where products have
+    storage_gb, storage; a product counts once in each store that has it."""
     price = offers.groupBy("product_id").agg(F.min("price").alias("price"))
     df = products.join(price, "product_id", "left").select("brand", "category", F.col("ram_gb").cast("string").alias("ram"), (F.floor(F.col("price") / band) * band).cast("bigint").cast("string").alias("band"))
     cols = ["brand", "category", "ram", "band"]
@@ -318,7 +330,11 @@ def facets(products: DataFrame, offers: DataFrame, band: int = 20000) -> DataFra
     which = {7: "brand", 11: "category", 13: "ram", 14: "band"}
     facet = F.coalesce(*(F.when(F.col("g") == g, F.lit(c)) for g, c in which.items()))
     stores = offers.select("product_id", "store_name").distinct().groupBy(F.lit("store").alias("facet"), F.col("store_name").alias("value")).agg(F.count("*").alias("n"))
-    return out.select(facet.alias("facet"), F.coalesce(*cols).alias("value"), "n").unionByName(stores)
+    out = out.select(facet.alias("facet"), F.coalesce(*cols).alias("value"), "n").unionByName(stores)
+    if "storage_gb" in products.columns:
+        storage = products.groupBy(F.col("storage_gb").cast("string").alias("value")).agg(F.count("*").alias("n"))
+        out = out.unionByName(storage.withColumn("facet", F.lit("storage")))
+    return out
 
 
 def price_analysis(offers: DataFrame) -> DataFrame:

@@ -332,7 +332,16 @@ def extraction_completeness(df: DataFrame, source: str, fields: list[str]) -> Da
 
 
 def processing_stats(df: DataFrame, top: int = 10) -> DataFrame:
-    """Category distribution and the most frequent brands, as (kind, name, n)."""
-    of = lambda c: df.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n"))
-    brands = of("brand").filter("name is not null").orderBy(F.desc("n"), "name").limit(top)
+    """Category distribution and the most frequent brands, as (kind, name, n); rows
+    without one count as unknown."""
+    of = lambda c: df.groupBy(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias("name")).agg(F.count("*").alias("n"))
+    brands = of("brand").orderBy(F.desc("n"), "name").limit(top)
     return of("category").select(F.lit("category").alias("kind"), "name", "n").union(brands.select(F.lit("brand"), "name", "n"))
+
+
+def attribute_completion(df: DataFrame) -> DataFrame:
+    """One row: all products, those with brand and model, and their share in
+    percent to two places, null without products."""
+    known = (F.coalesce("brand", F.lit("")) != "") & (F.coalesce("model_name", F.lit("")) != "")
+    out = df.agg(F.count("*").alias("total_products"), F.count_if(known).alias("products_with_attributes"))
+    return out.withColumn("completion_pct", F.floor(F.col("products_with_attributes") * 10000 / F.nullif(F.col("total_products"), F.lit(0)) + 0.5) / 100)

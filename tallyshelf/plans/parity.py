@@ -240,6 +240,16 @@ def flipkart_tablets(spark, d):
     return _flat(N.normalize_flipkart_tablets(feed), "variant_attributes.display_size", "variant_attributes.connectivity_type")
 
 
+@query("a14_attribute_completion", WITH + " SELECT count(*) AS total_products, count(*) FILTER (spec_brand IS NOT NULL AND spec_model IS NOT NULL) AS products_with_attributes, floor(count(*) FILTER (spec_brand IS NOT NULL AND spec_model IS NOT NULL) * 10000 / count(*) + 0.5) / 100 AS completion_pct FROM phones")
+def attribute_completion(spark, d):
+    return R.attribute_completion(phones(spark, d).select(F.col("spec_brand").alias("brand"), F.col("spec_model").alias("model_name")))
+
+
+@query("a14_unknown_brands", WITH + " SELECT 'brand' AS kind, coalesce(spec_brand, 'unknown') AS name, count(*) AS n FROM phones GROUP BY ALL UNION ALL SELECT 'category', coalesce(crumb, 'unknown'), count(*) FROM phones GROUP BY ALL")
+def unknown_brands(spark, d):
+    return R.processing_stats(phones(spark, d).select(F.col("spec_brand").alias("brand"), F.col("crumb").alias("category")))
+
+
 @query("n5_croma", WITH + rf""" SELECT 'u/' || id AS url, spec_brand AS brand, spec_model AS model_name, 'n' || id AS model_number, CAST(NULL AS VARCHAR) AS category, trim(regexp_replace(color, '\s+', ' ', 'g')) AS color, size AS ram,
   CASE WHEN storage LIKE '%TB' THEN (1 + size % 2) * 1024 WHEN storage LIKE '%GB' THEN size END AS storage, {PRICED}, {OFF} AS discount_percent, CASE WHEN size % 2 = 1 THEN image_c END AS image_url, CAST(size % 2 AS INTEGER) + 1 AS images FROM phones""")
 def croma(spark, d):

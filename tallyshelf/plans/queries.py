@@ -170,6 +170,18 @@ def variant_names(spark, d):
     return C.variant_names(products(spark, d)).select("product_id", "display_name")
 
 
+@query(
+    "j4_tablet_names",
+    WITH
+    + "SELECT product_id, concat_ws(' ', brand, model_name, CASE WHEN ram_gb % 5 = 0 THEN NULL WHEN ram_gb % 5 = 4 THEN '2 TB ROM' ELSE (ram_gb % 5 * 256) || ' GB ROM' END, "
+    "CASE ram_gb % 3 WHEN 0 THEN '11 Inch' WHEN 1 THEN '10.1 Inch' END, CASE WHEN ram_gb % 2 = 0 THEN 'with Wi-Fi+5G' END, '(' || category || ')') AS display_name FROM products",
+)
+def tablet_names(spark, d):
+    n = F.col("ram_gb").cast("int")
+    p = products(spark, d).withColumns({"storage_gb": F.when(n % 5 == 4, 2048).otherwise(n % 5 * 256), "display_size": F.when(n % 3 == 0, 11.0).when(n % 3 == 1, 10.1), "connectivity_type": F.when(n % 2 == 0, "Wi-Fi+5G").otherwise(""), "color": F.col("category")})
+    return C.tablet_variant_names(p).select("product_id", "display_name")
+
+
 @query(
     "j6_match_attributes",
     WITH
@@ -462,6 +474,12 @@ def facets(spark, d):
     return C.facets(products(spark, d), offers(spark, d))
 
 
+@query("a17_storage_facet", WITH + "SELECT 'storage' AS facet, CAST(nullif(ram_gb % 4, 0) * 128 AS VARCHAR) AS value, count(*) AS n FROM products GROUP BY ALL")
+def storage_facet(spark, d):
+    p = products(spark, d).withColumn("storage_gb", F.nullif(F.col("ram_gb") % 4, F.lit(0)).cast("int") * 128)
+    return C.facets(p, offers(spark, d)).filter("facet = 'storage'")
+
+
 @query(
     "a18_price_analysis",
     WITH
@@ -530,6 +548,12 @@ def sort_products_price(spark, d):
     return _dbl(C.sort_products(products(spark, d), "price"), "list_price").select("product_id", "list_price", "position")
 
 
+@query("l2_sort_products_rating", WITH + "SELECT product_id, r AS rating, row_number() OVER (ORDER BY r DESC NULLS LAST, product_id) AS position FROM (SELECT product_id, nullif(ram_gb % 10, 0) * 0.5E0 AS r FROM products)")
+def sort_products_rating(spark, d):
+    p = products(spark, d).withColumn("rating", F.nullif(F.col("ram_gb") % 10, F.lit(0)) * 0.5)
+    return C.sort_products(p, "rating").select("product_id", F.col("rating").cast("double").alias("rating"), "position")
+
+
 @query(
     "l2_sort_products_popularity",
     WITH
