@@ -13,7 +13,7 @@ from tallyshelf.operators import normalize as N
 from tallyshelf.operators import pages as P
 from tallyshelf.operators import resolve as R
 from tallyshelf.operators import sketches as K
-from tallyshelf.operators.enrich import classify_batches
+from tallyshelf.operators.enrich import DEFAULT, KEYWORDS, classify_batches
 from tallyshelf.operators.hierarchy import subtree
 from tallyshelf.operators.prefixes import PrefixTable, name_counts
 from tallyshelf.operators.selectors import SIMILAR, STORE_FIELDS, Field, select_fields
@@ -974,9 +974,28 @@ def error_pages(spark, d):
     return P.flag_error_pages(part_pages(spark, d)).select("page_id", "error")
 
 
-@query("v2_classify_pages")
+def _text_of(tag: str) -> str:
+    """The text of the first element of a tag in DuckDB, as x1_page_fields has it."""
+    out = rf"regexp_replace(regexp_extract(html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', ' ', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{char}')"
+    return rf"nullif(trim(regexp_replace({out}, '\s+', ' ', 'g')), '')"
+
+
+#: A word of some category, or none, after every page's title.
+SUFFIX = "CASE page_id % 6 WHEN 0 THEN ' smartphone 5G' WHEN 1 THEN ' gaming LAPTOP' WHEN 2 THEN ' tablet' WHEN 3 THEN ' earbuds' WHEN 4 THEN ' smart watch' ELSE '' END"
+GUESS = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{c}'" for c, words in KEYWORDS.items())
+
+
+@query(
+    "v2_classify_pages",
+    f"WITH h AS (SELECT url, coalesce({_text_of('h1')}, {_text_of('title')}) AS t, {SUFFIX} AS more FROM pages), l AS (SELECT url, ' ' || lower(CASE WHEN length(t) BETWEEN 3 AND 500 THEN t || more ELSE '' END) || ' ' AS low FROM h), "
+    f"g AS (SELECT url, CASE {GUESS} END AS guess FROM l) SELECT url, coalesce(guess, '{DEFAULT[0]}') AS category, CASE WHEN guess IS NULL THEN {DEFAULT[1]}E0 ELSE 0.8E0 END AS confidence FROM g",
+)
 def classify_pages(spark, d):
-    titles = P.extract_page_fields(table(spark, d, "pages"))
+    """Categories of pages by the fixed keyword model."""
+    pages = table(spark, d, "pages")
+    titles = P.extract_page_fields(pages).withColumn("title", F.concat("title", F.expr(SUFFIX)))
     return classify_batches(titles)
 
 
