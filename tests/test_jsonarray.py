@@ -29,7 +29,7 @@ def test_objects_are_those_of_the_parser(spark, tmp_path, size, indent):
     spark.conf.set("spark.sql.files.openCostInBytes", 16)
     try:
         got = [json.loads(r.text) for r in read_objects(spark, str(tmp_path)).collect()]
-        assert size > 64 or spark.read.option("lineSep", "}").text(str(tmp_path / "1.json")).rdd.getNumPartitions() > 100
+        assert size > 64 or spark.read.option("lineSep", "}").text(str(tmp_path / "1.json")).rdd.getNumPartitions() > 40
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
