@@ -7,11 +7,11 @@ price.  Lengths covered ahead of the schedule get cheaper, lengths behind dearer
 Any prices bound the program from below: no sequence is worth more than the best
 configuration.
 
-The solution is rounded down, but for its configurations that leave space; what
-remains is completed from the longest length down, each sequence filled by the
-same dynamic program, and what it cannot fill is packed best-fit.  As rounding
-down costs most where counts are small, completion from nothing and best-fit alone
-are worked out as well, until one meets the bound; the fewest sequences win.
+The solution is rounded: its configurations that fill their sequence are taken as
+often as its whole amounts say, then once each, the fullest and those of few lengths first, up to half of its value; the
+program is solved again on what is left, until no more pieces are left than there
+are lengths.  This remainder is packed best-fit.  Best-fit alone answers only where
+the program's answer is above its bound and best-fit's is smaller.
 
 Everything here works on at most ``capacity`` lengths and their counts, whatever
 the number of documents, and is deterministic.
@@ -24,31 +24,31 @@ from math import ceil
 
 import numpy as np
 
-#: Rounds of the multiplicative weights and the learning rate; in the sweeps of a
-#: round, how far below the best price a configuration may be.
-ROUNDS, RATE, TOLERANCES = 15, 0.5, (0.3, 1.0, 1.0)
-#: Completion prefers long lengths: prices are lengths to this power.
-POWER = 1.1
+#: Rounds of the multiplicative weights, more where value and bound differ by more
+#: than the share GAP, and the learning rate; in the sweeps of a round, how far below
+#: the best price a configuration may be.
+ROUNDS, GAP, RATE, TOLERANCES = (6, 12, 24), 0.005, 0.5, (0.3, 1.0, 1.0)
+#: Among configurations that fill a sequence alike, long lengths are preferred:
+#: prices are lengths to these powers, in the rounds of the program and in what they leave.
+POWER, LAST_POWER = 1.02, 1.1
+#: A configuration counts as full if it leaves at most this share of its sequence;
+#: the share of a solution's value that is taken before the program is solved again.
+SLACK, TAKEN = 1 / 256, 0.5
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int, exactly: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Best total price for every capacity up to ``capacity`` (items may repeat)
-    and the item that a best choice takes (-1: none).  With ``exactly`` a choice
-    fills its capacity (-inf: none does); items at -inf are not to be had."""
-    best = np.full(capacity + 1, -np.inf) if exactly else np.zeros(capacity + 1)
-    best[0] = 0
-    take = np.full(capacity + 1, -1)
+    and the item that a best choice takes (-1: none)."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = fits[c]
+        best[c] = best[c - 1]
         if k:
             worth = prices[:k] + best[c - sizes[:k]]
             i = int(worth.argmax())
-            if worth[i] > (-np.inf if exactly else best[c - 1]):
+            if worth[i] > best[c]:
                 best[c], take[c] = worth[i], i
-                continue
-        if not exactly:
-            best[c] = best[c - 1]
     return best, take
 
 
@@ -66,108 +66,96 @@ def _fill(sizes: list[int], take: list[int], space: int) -> list[int]:
 
 def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], float]:
     """A solution of the program, amounts of configurations (sorted item indices),
-    and the best lower bound that its prices prove.  Round t may cover each length
-    up to the share t / ROUNDS of its count; what the last round leaves is covered
-    best-fit."""
+    and the best lower bound that its prices prove: of as many rounds as bring both
+    within GAP of each other, or of the most."""
+    found, bound = [], 0.0
+    for rounds in ROUNDS:
+        amounts, proved = solve(sizes, counts, capacity, rounds)
+        found.append(amounts)
+        bound = max(bound, proved)
+        if sum(amounts.values()) <= (1 + GAP) * bound:
+            break
+    return min(found, key=lambda amounts: sum(amounts.values())), bound
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """The solution and bound of so many rounds.  Round t may cover each length up to
+    the share t / rounds of its count; what the last round leaves is covered at
+    prices of its own, each step using up at least one length."""
     amounts: dict[tuple[int, ...], float] = defaultdict(float)
     room = np.zeros(len(sizes)).tolist()
     weight = np.ones(len(sizes))
-    listed = sizes.tolist()
+    listed, share = sizes.tolist(), sizes / capacity
     bound = float((sizes * counts).sum() / capacity)
-    for t in range(1, ROUNDS + 1):
-        room = [r + c / ROUNDS for r, c in zip(room, counts.tolist(), strict=True)]
-        for tolerance in TOLERANCES:
-            behind = np.array(room) * ROUNDS / counts  # in rounds
-            weight *= np.exp(RATE * np.clip(behind - 1, -1, 1))
-            weight /= weight.mean()
-            prices = np.where(behind > 1e-9, np.clip(weight, 0.05, 20), 0) * sizes / capacity
-            best, take = knapsack(sizes, prices, capacity)
-            if best[capacity] > 0:
-                bound = max(bound, float((prices * counts).sum() / best[capacity]))
-            steps = take.tolist()
-            for i in range(len(sizes) - 1, -1, -1):
-                if room[i] <= 0 or prices[i] + best[capacity - listed[i]] < (1 - tolerance) * best[capacity]:
-                    continue
-                items = sorted([i, *_fill(listed, steps, capacity - listed[i])])
-                need = Counter(items)
-                amount = min(room[k] / m for k, m in need.items())
-                if amount <= 1e-12:
-                    continue
+
+    def sweep(prices: np.ndarray, tolerance: float) -> bool:
+        nonlocal bound
+        best, take = knapsack(sizes, prices, capacity)
+        if best[capacity] > 0:
+            bound = max(bound, float((prices * counts).sum() / best[capacity]))
+        steps, moved = take.tolist(), False
+        for i in range(len(sizes) - 1, -1, -1):
+            if room[i] <= 1e-9 or prices[i] + best[capacity - listed[i]] < (1 - tolerance) * best[capacity]:
+                continue
+            items = sorted([i, *_fill(listed, steps, capacity - listed[i])])
+            need = Counter(items)
+            amount = min(room[k] / m for k, m in need.items())
+            if amount > 1e-9:
                 amounts[tuple(items)] += amount
+                moved = True
                 for k, m in need.items():
                     room[k] -= amount * m
-    index = {size: k for k, size in enumerate(listed)}
-    for config, copies in best_fit(listed, [ceil(r - 1e-9) for r in room], capacity):
-        amounts[tuple(sorted(index[x] for x in config))] += copies
-    return amounts, bound
-
+        return moved
 
-def complete(sizes: np.ndarray, left: list[int], capacity: int, slack: int) -> dict[tuple[int, ...], int]:
-    """Configurations of what is ``left`` of each length (counted down), from the
-    longest down, many copies at a time; each fills its sequence but for at most
-    ``slack``.  Lengths that find no such configuration stay."""
-    listed, prices = sizes.tolist(), (sizes / capacity) ** POWER
-    out: dict[tuple[int, ...], int] = defaultdict(int)
-    table = None
-    for i in range(len(listed) - 1, -1, -1):
-        barred: list[int] = []
-        fresh = False
-        while left[i] > 0:
-            if table is None:
-                use = np.where(np.array(left) > 0, prices, -np.inf)
-                use[barred] = -np.inf
-                table, fresh = knapsack(sizes, use, capacity, exactly=True), True
-            best, take = table
-            gap = capacity - listed[i]
-            top = next((c for c in range(gap, max(0, gap - slack) - 1, -1) if best[c] > -np.inf), None)
-            items = [i] if top is None else [i, *_fill(listed, take.tolist(), top)]
-            need = Counter(items)
-            short = [k for k, m in need.items() if left[k] < m]
-            if top is not None and not short:
-                copies = min(left[k] // m for k, m in need.items())
-                out[tuple(sorted(listed[k] for k in items))] += copies
-                for k, m in need.items():
-                    left[k] -= copies * m
-                fresh = False
-            elif not fresh:
-                table = None  # it was worked out when more was left
-            elif short:
-                barred, table = barred + short, None
-            else:
-                break
-        if barred:
-            table = None
-    return out
+    for _ in range(rounds):
+        room = [r + c / rounds for r, c in zip(room, counts.tolist(), strict=True)]
+        for tolerance in TOLERANCES:
+            behind = np.array(room) * rounds / counts  # in rounds
+            weight *= np.exp(RATE * np.clip(behind - 1, -1, 1))
+            weight /= weight.mean()
+            sweep(np.where(behind > 1e-9, np.clip(weight, 0.05, 20), 0) * share**POWER, tolerance)
+    while max(room) > 1e-9 and sweep(np.where(np.array(room) > 1e-9, share**LAST_POWER, 0), 1.0):
+        pass
+    return amounts, bound
 
 
 def rounded(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(configuration as lengths, copies) that use every length exactly ``counts`` times."""
-    listed, all_ = sizes.tolist(), counts.astype(np.int64).tolist()
-    amounts, bound = fractional(sizes, counts, capacity)
-
-    def whole(start: dict[tuple[int, ...], float], slack: int) -> dict[tuple[int, ...], int]:
-        out, left = defaultdict(int), list(all_)
-        for items, amount in sorted(start.items()):
-            need = Counter(items)
-            copies = min(int(amount + 1e-9), *(left[k] // m for k, m in need.items()))
-            if copies and sum(listed[k] for k in items) == capacity:
-                out[tuple(listed[k] for k in items)] += copies
-                for k, m in need.items():
-                    left[k] -= copies * m
-        for found in (complete(sizes, left, capacity, slack), dict(best_fit(listed, left, capacity))):
-            for config, copies in found.items():
-                out[config] += copies
-        return out
-
-    ways = (lambda: dict(best_fit(listed, all_, capacity)), lambda: whole(amounts, capacity), lambda: whole({}, 4))
-    fewest: dict[tuple[int, ...], int] | None = None
-    for way in ways:
-        found = way()
-        if fewest is None or sum(found.values()) < sum(fewest.values()):
-            fewest = found
-        if sum(fewest.values()) <= ceil(bound - 1e-9):
+    listed, left = sizes.tolist(), counts.astype(np.int64)
+    out: dict[tuple[int, ...], int] = defaultdict(int)
+    bound = float((sizes * counts).sum() / capacity)
+    while left.sum() > len(sizes):
+        live = np.flatnonzero(left)
+        amounts, proved = fractional(sizes[live], left[live], capacity)
+        if not out:
+            bound = proved
+        full = []
+        for items, amount in amounts.items():
+            config = tuple(live[list(items)].tolist())
+            waste = capacity - sum(listed[k] for k in config)
+            if waste <= capacity * SLACK:
+                full.append((waste, len(config), -amount, config))
+        most, taken = TAKEN * sum(amounts.values()), 0
+        for once in (False, True):
+            for _, _, minus, config in sorted(full):
+                if once and taken >= most:
+                    break
+                need = Counter(config)
+                copies = min(1 if once else int(1e-9 - minus), *(int(left[k]) // m for k, m in need.items()))
+                if copies > 0:
+                    out[tuple(listed[k] for k in config)] += copies
+                    taken += copies
+                    for k, m in need.items():
+                        left[k] -= copies * m
+        if not taken:
             break
-    return sorted(fewest.items())
+    for config, copies in best_fit(listed, left.tolist(), capacity):
+        out[config] += copies
+    if sum(out.values()) > ceil(bound - 1e-9):
+        plain = dict(best_fit(listed, counts.tolist(), capacity))
+        if sum(plain.values()) < sum(out.values()):
+            return sorted(plain.items())
+    return sorted(out.items())
 
 
 def best_fit(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

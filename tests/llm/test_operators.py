@@ -88,6 +88,25 @@ def test_small_instances_are_packed_in_the_fewest_sequences():
         assert got <= fewest(lengths.tolist(), 20) + (len(lengths) > 8)
 
 
+def test_the_program_meets_its_bound_and_is_rounded_well():
+    rng = np.random.default_rng(5)
+    smooth = np.clip(rng.lognormal(3.6, 1.0, 6000), 1, 256).astype(int)
+    spiked = np.concatenate([smooth, np.repeat([97, 141, 200], 900)])  # what no price proves may be more here
+    for some, gap in ((smooth, 0.005), (smooth[::6], 0.01), (spiked, 0.03), (spiked[::9], 0.03)):
+        sizes, counts = np.unique(some, return_counts=True)
+        amounts, bound = configlp.fractional(sizes, counts, 256)
+        covered = np.zeros(len(sizes))
+        for items, amount in amounts.items():
+            assert sizes[list(items)].sum() <= 256 and amount > 0
+            for k in items:
+                covered[k] += amount
+        assert np.allclose(covered, counts)
+        assert bound - 1e-6 <= sum(amounts.values()) <= (1 + gap) * bound
+        total = sum(copies for _, copies in configlp.rounded(sizes, counts, 256))
+        plain = sum(copies for _, copies in configlp.best_fit(sizes.tolist(), counts.tolist(), 256))
+        assert ceil(bound - 1e-9) <= total <= min(plain, ceil((1 + gap) * bound) + 1)
+
+
 def test_pack(spark):
     texts = [prose(k, 3 * k) for k in range(60)] + [None, "", prose(1, 3), prose(1, 3)]
     df = docs(spark, *texts, ids=[*range(60), None, 61, 7, 7])
