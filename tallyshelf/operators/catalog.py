@@ -16,6 +16,7 @@ from tallyshelf.functions import rules
 from tallyshelf.functions.rules import discount_2, network_key
 from tallyshelf.operators.hierarchy import breadcrumbs, closure as category_closure  # noqa: F401
 from tallyshelf.operators.slices import with_lookback
+from tallyshelf.operators.trigrams import trigrams
 from tallyshelf.scratch import stage
 
 AVAILABLE = ("in_stock", "limited_stock")
@@ -371,19 +372,41 @@ def top_models(feed: DataFrame, source: str, n: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(W.partitionBy(source).orderBy(F.desc("n"), "model_name"))).filter(F.col("rank") <= n)
 
 
-def related_products(products: DataFrame, n: int = 3, band: float = 50.0) -> DataFrame:
-    """L4: products of the same brand and category nearest in price.
+def _price_neighbours(products: DataFrame, n: int, *carried: str) -> DataFrame:
+    """Each product with the ``n`` of its brand and category nearest in price (ties: smaller ids),
+    as ``other``, their gap and rank; ``carried`` columns come along on both sides.
 
     Each product meets its n neighbours on either side in price order and the
     first of its own price, which hold the n nearest with ties to smaller ids; no
     group is paired with itself."""
     group = W.partitionBy("brand", "category")
-    me = F.struct("product_id", "list_price")
+    me = F.struct("product_id", "list_price", *carried)
     above = [F.lead(me, k).over(group.orderBy("list_price", "product_id")) for k in range(1, n + 1)]
     below = [F.lag(me, k).over(group.orderBy("list_price", F.desc("product_id"))) for k in range(1, n + 1)]
     same = W.partitionBy("brand", "category", "list_price").orderBy("product_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     equal = [F.nth_value(me, k).over(same) for k in range(1, n + 2)]
-    near = products.select("product_id", "list_price", F.array_distinct(F.array(*above, *below, *equal)).alias("near")).select("product_id", "list_price", F.explode("near").alias("other")).filter("other is not null and other.product_id <> product_id")
+    near = products.select("product_id", "list_price", *carried, F.array_distinct(F.array(*above, *below, *equal)).alias("near"))
+    near = near.withColumn("other", F.explode("near")).drop("near").filter("other is not null and other.product_id <> product_id")
     gap = F.abs(F.col("other.list_price") - F.col("list_price"))
-    rank = F.row_number().over(W.partitionBy("product_id").orderBy("gap", "related_id"))
-    return near.select("product_id", F.col("other.product_id").alias("related_id"), gap.cast("double").alias("gap")).withColumn("rank", rank).filter(F.col("rank") <= n)
+    rank = F.row_number().over(W.partitionBy("product_id").orderBy("gap", "other.product_id"))
+    return near.withColumn("gap", gap).withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def related_products(products: DataFrame, n: int = 3) -> DataFrame:
+    """L4: products of the same brand and category nearest in price."""
+    near = _price_neighbours(products, n)
+    return near.select("product_id", F.col("other.product_id").alias("related_id"), F.col("gap").cast("double").alias("gap"), "rank")
+
+
+def related_by_name(products: DataFrame, n: int = 3, pool: int = 10) -> DataFrame:
+    """L4: of the ``pool`` products of the same brand and category nearest in price, the ``n``
+    whose names are most alike (shared trigrams over all), ties to the nearer price and the
+    smaller id.  A null name is like no other."""
+    near = _price_neighbours(products, pool, "model_name")
+    mine, others = trigrams(F.col("model_name")), trigrams(F.col("other.model_name"))
+    near = near.withColumns({"mine": mine, "others": others}).withColumn("shared", F.size(F.array_intersect("mine", "others")))
+    either = F.size("mine") + F.size("others") - F.col("shared")
+    near = near.withColumn("similarity", F.coalesce(F.when((F.col("shared") > 0) & (either > 0), F.col("shared") / either), F.lit(0.0)))
+    rank = F.row_number().over(W.partitionBy("product_id").orderBy(F.desc("similarity"), "gap", "other.product_id"))
+    out = near.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return out.select("product_id", F.col("other.product_id").alias("related_id"), F.col("gap").cast("double").alias("gap"), "similarity", "rank")

@@ -591,6 +591,21 @@ def related_products(spark, d):
     return C.related_products(products(spark, d))
 
 
+@query(
+    "l4_related_by_name",
+    WITH
+    + ", near AS (SELECT a.product_id, a.model_name AS mine, b.product_id AS related_id, b.model_name AS theirs, abs(a.list_price - b.list_price) AS gap FROM products a "
+    "JOIN products b ON a.brand = b.brand AND a.category = b.category AND a.product_id <> b.product_id), r AS (SELECT *, row_number() "
+    "OVER (PARTITION BY product_id ORDER BY gap, related_id) AS nearest FROM near), "
+    f"g AS (SELECT *, {_grams('mine')} AS x, {_grams('theirs')} AS y FROM r WHERE nearest <= 10), "
+    "s AS (SELECT *, len(list_intersect(x, y)) / CAST(len(x) + len(y) - len(list_intersect(x, y)) AS DOUBLE) AS similarity FROM g), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, gap, related_id) AS rank FROM s) "
+    "SELECT product_id, related_id, CAST(gap AS DOUBLE) AS gap, similarity, rank FROM o WHERE rank <= 3",
+)
+def related_by_name(spark, d):
+    return C.related_by_name(products(spark, d))
+
+
 @query(
     "c1_slugs",
     WITH
