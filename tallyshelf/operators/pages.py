@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,18 +14,22 @@ from tallyshelf.functions import rules
 from tallyshelf.operators.selectors import Block, block_links
 
 
-def plain(c: Column) -> Column:
+#: Common entities and what they stand for, in the order they are decoded.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def plain(c: Column, entities: dict[str, str] = ENTITIES, squeeze: Callable[[Column], Column] = rules.squeeze) -> Column:
     """Text of an HTML fragment: tags out, common entities decoded, spaces squeezed."""
     out = F.regexp_replace(c, "<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in entities.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return rules.squeeze(out)
+    return squeeze(out)
 
 
-def element(tag: str, html: Column | None = None) -> Column:
+def element(tag: str, html: Column | None = None, entities: dict[str, str] = ENTITIES, squeeze: Callable[[Column], Column] = rules.squeeze) -> Column:
     """Inner text of the first element of a tag; null if there is none."""
     html = F.col("html") if html is None else html
-    return F.nullif(plain(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    return F.nullif(plain(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), entities, squeeze), F.lit(""))
 
 
 def extract_page_fields(pages: DataFrame, least: int = 3, most: int = 500) -> DataFrame:
