@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyshelf.scratch import broadcast_if_small, stage
 
 
-def _same(a: str, b: str, keys: list[str]) -> Column:
+def same(a: str, b: str, keys: list[str]) -> Column:
     """Rows of frames ``a`` and ``b`` with equal keys, null as null."""
     return reduce(lambda x, y: x & y, (F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys))
 
@@ -44,11 +44,11 @@ def with_lookback(df: DataFrame, keys: list[str], order: list[str], rows: int, s
     own = sliced(df, keys, order, slices)
     several = spanning(own, keys)
     back = [F.desc_nulls_last(c) for c in order]
-    held = own.alias("a").join(several.alias("b"), (F.col("a._slice") == F.col("b._slice")) & _same("a", "b", keys), "left_semi")
+    held = own.alias("a").join(several.alias("b"), (F.col("a._slice") == F.col("b._slice")) & same("a", "b", keys), "left_semi")
     tails = held.withColumn("_n", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(*back))).filter(F.col("_n") <= rows).drop("_n")
     tails = stage(tails, "slices-tails")  # at most `rows` a slice
     near = (F.col("b._slice") > F.col("a._slice")) & (F.col("b._slice") <= F.col("a._slice") + rows)
-    ghosts = tails.alias("a").join(several.alias("b"), near & _same("a", "b", keys)).select(*(F.col(f"a.`{c}`") for c in df.columns), F.col("a._slice").alias("_from"), F.col("b._slice").alias("_slice"))
+    ghosts = tails.alias("a").join(several.alias("b"), near & same("a", "b", keys)).select(*(F.col(f"a.`{c}`") for c in df.columns), F.col("a._slice").alias("_from"), F.col("b._slice").alias("_slice"))
     ghosts = ghosts.withColumn("_n", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(F.desc("_from"), *back))).filter(F.col("_n") <= rows).drop("_n", "_from")
     return own.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
 
@@ -62,5 +62,5 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, into: st
     carried = stage(sums.withColumn("_before", before).filter("_before is not null").drop("_sum"), "slices-carried")
     w = W.partitionBy("_slice", *keys).orderBy(order).rangeBetween(W.unboundedPreceding, 0)
     out = own.withColumn(into, F.sum(value).over(w)).alias("a")
-    out = out.join(broadcast_if_small(carried).alias("b"), (F.col("a._slice") == F.col("b._slice")) & _same("a", "b", keys), "left")
+    out = out.join(broadcast_if_small(carried).alias("b"), (F.col("a._slice") == F.col("b._slice")) & same("a", "b", keys), "left")
     return out.select(*(F.col(f"a.`{c}`") for c in df.columns), (F.col(f"a.`{into}`") + F.coalesce("_before", F.lit(0))).alias(into))
