@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over as many tasks as shuffles have.  A table of short rows is read by one
+    task or few, as it is one small file; what is built from its rows can be much larger."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """product_id, brand, model_name, category, ram_gb, list_price."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("model_name"), F.col("p_type").alias("category"), F.col("p_size").alias("ram_gb"), F.col("p_retailprice").cast("decimal(12,2)").alias("list_price"))
