@@ -10,7 +10,7 @@ from tallyshelf.functions import rules
 from tallyshelf.operators import normalize as N
 from tallyshelf.operators import resolve as R
 from tallyshelf.plans.registry import query
-from tallyshelf.plans.views import table
+from tallyshelf.plans.views import spread, table
 
 #: One store-like record per part; Spark and DuckDB run the same text.
 PHONES = """SELECT p_partkey AS id, p_name AS name, p_size AS size, CAST(p_retailprice AS DOUBLE) AS price,
@@ -34,7 +34,7 @@ WITH = f"WITH phones AS ({PHONES.format(part='part')})"
 
 
 def phones(spark, d) -> DataFrame:
-    return spark.sql(PHONES, part=table(spark, d, "part"))
+    return spark.sql(PHONES, part=spread(table(spark, d, "part")))
 
 
 @query("c4_color_keys", WITH + r"SELECT id, trim(regexp_replace(regexp_replace(lower(color), '\s+color\s*$', ''), '\s+', ' ', 'g')) AS color_key FROM phones")
