@@ -54,6 +54,12 @@ def category_lookup(feed: DataFrame, categories: DataFrame) -> DataFrame:
     return out.withColumn("category_id", F.coalesce("_ia", "_ib")).drop("_a", "_b", "_ia", "_ib")
 
 
+def dealt(key: str, row: str = "row_id") -> Column:
+    """A key id to join by from the left, for rows without one a value of their own that no
+    id has: as null they would all meet in one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("-"), F.xxhash64(row).cast("string")))
+
+
 def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -> DataFrame:
     """Feed with product_key, equal for records of one product.
 
@@ -66,8 +72,8 @@ def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -
         return keyed.withColumn("product_key", F.when(F.col("_name").isNotNull(), key_id(F.col("_brand"), F.col("_name")))).drop("_brand", "_name")
     name, number = record_nodes()
     parts = connected_components(keyed.select(name.alias("a"), number.alias("b")).filter("b is not null").distinct(), "products")
-    found = keyed.withColumn("_node", name).join(parts.select(F.col("node").alias("_node"), "component"), "_node", "left")
-    return found.withColumn("product_key", F.when(F.col("_name").isNotNull(), F.coalesce("component", "_node"))).drop("_brand", "_name", "_node", "component")
+    found = keyed.withColumn("_node", name).withColumn("_at", dealt("_node", row)).join(parts.select(F.col("node").alias("_at"), "component"), "_at", "left")
+    return found.withColumn("product_key", F.when(F.col("_name").isNotNull(), F.coalesce("component", "_node"))).drop("_brand", "_name", "_node", "_at", "component")
 
 
 def backfill_model_numbers(products: DataFrame, feed: DataFrame) -> DataFrame:
@@ -227,8 +233,8 @@ def match_labels(records: DataFrame, old: DataFrame) -> DataFrame:
     out = named(records)
     every = out.select("product_key", "_name", "_number", "row_id", F.lit(False).alias("_old")).unionByName(named(old).select("product_key", "_name", "_number", F.lit(None).cast(records.schema["row_id"].dataType).alias("row_id"), F.lit(True).alias("_old")))
     for k, tag in (("_number", "number"), ("_name", "name"), ("product_key", "product")):
-        seen = every.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("row_id").alias(f"_{tag}_row"), F.max("_old").alias(f"_{tag}_old"))
-        out = out.join(seen, k, "left")
+        seen = every.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_at")).agg(F.min("row_id").alias(f"_{tag}_row"), F.max("_old").alias(f"_{tag}_old"))
+        out = out.withColumn("_at", dealt(k)).join(seen, "_at", "left").drop("_at")
     earlier = lambda tag: F.coalesce(F.col(f"_{tag}_old") | (F.col(f"_{tag}_row") < F.col("row_id")), F.lit(False))
     match = F.when(earlier("number"), "model_number").when(earlier("name"), "model_name").when(F.col("_product_old"), "existing").when(earlier("product"), "linked").otherwise("new_product")
     return out.withColumn("product_match", match).select(*records.columns, "product_match")
