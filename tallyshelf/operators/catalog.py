@@ -267,16 +267,28 @@ def refresh_counts(products: DataFrame, offers: DataFrame) -> DataFrame:
     return products.join(n, "product_id", "left").withColumn("active_offers", F.coalesce("active_offers", F.lit(0)))
 
 
+#: Fixed value: rows of offers that a task takes, however many there are.
+TASK_ROWS = 1_000_000
+
+
 def sightings(products: DataFrame, offers: DataFrame) -> DataFrame:
-    """brand, name_key, store_name, product_id of every offer: input of A5 to A8."""
+    """brand, name_key, store_name, product_id of every offer: input of A5 to A8.  Offers
+    are dealt by product to as many tasks as their rows ask for."""
     named = products.select("product_id", "brand", network_key(F.col("model_name")).alias("name_key"))
-    return offers.select("product_id", "store_name").distinct().join(named, "product_id")
+    tasks = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-offers.count() // TASK_ROWS))
+    return offers.select("product_id", "store_name").repartition(tasks, "product_id").distinct().join(named, "product_id")
+
+
+def _stores(seen: DataFrame) -> DataFrame:
+    """brand, name_key, a, b: the first and last store of each model, first by product,
+    where a product's rows already lie together."""
+    per = seen.groupBy("product_id", "brand", "name_key").agg(F.min("store_name").alias("a"), F.max("store_name").alias("b"))
+    return per.groupBy("brand", "name_key").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def cross_store_coverage(seen: DataFrame) -> DataFrame:
     """A5: models in several stores, in one, all, and the share in several."""
-    n = seen.groupBy("brand", "name_key").agg(F.min("store_name").alias("a"), F.max("store_name").alias("b"))
-    out = n.agg(F.count_if(F.col("a") != F.col("b")).alias("common"), F.count_if(F.col("a") == F.col("b")).alias("single"), F.count("*").alias("total"))
+    out = _stores(seen).agg(F.count_if(F.col("a") != F.col("b")).alias("common"), F.count_if(F.col("a") == F.col("b")).alias("single"), F.count("*").alias("total"))
     return out.withColumn("coverage_pct", F.floor(F.col("common") * 10000 / F.col("total") + 0.5) / 100)
 
 
@@ -286,13 +298,12 @@ def store_exclusives(seen: DataFrame) -> DataFrame:
     return one.groupBy("store_name").agg(F.count("*").alias("exclusive_models"))
 
 
-def _common(seen: DataFrame) -> DataFrame:
-    return seen.groupBy("brand", "name_key").agg(F.min("store_name").alias("a"), F.max("store_name").alias("b")).filter("a <> b").select("brand", "name_key")
-
-
 def variants_per_store_common(seen: DataFrame) -> DataFrame:
     """Distinct products per store over models in several stores."""
-    return seen.join(_common(seen), ["brand", "name_key"], "left_semi").groupBy("store_name").agg(F.countDistinct("product_id").alias("variants"))
+    common = _stores(seen).filter("a <> b").select("brand", "name_key")
+    products = seen.select("product_id", "brand", "name_key").distinct().join(common, ["brand", "name_key"], "left_semi").select("product_id")
+    pairs = seen.select("product_id", "store_name").distinct().join(products, "product_id", "left_semi")
+    return pairs.groupBy("store_name").agg(F.count("*").alias("variants"))
 
 
 def common_products_list(seen: DataFrame, limit: int = 10) -> DataFrame:
