@@ -9,8 +9,8 @@ from tallyshelf.operators import resolve as R
 
 @pytest.fixture
 def shuffled(spark):
-    """No broadcasts, and partitions as they are dealt."""
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    """No broadcasts, and plans and partitions as they are dealt."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     for k, v in conf.items():
         spark.conf.set(k, v)
     yield spark
