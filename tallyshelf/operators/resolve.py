@@ -5,6 +5,7 @@ second run gives the same id."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +15,18 @@ from tallyshelf.functions import rules
 from tallyshelf.operators.catalog import first_seen, refresh_counts
 from tallyshelf.operators.components import connected_components
 from tallyshelf.operators.identity import ProductIdentities, key_id, record_nodes, redirected
-from tallyshelf.scratch import stage
+from tallyshelf.operators.slices import same
+from tallyshelf.scratch import broadcast_if_small, stage
+
+#: What a record's product follows from; records alike in these are resolved once.
+SPELLING = ["brand", "model_name", "model_number"]
+
+
+def by_spelling(feed: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
+    """feed with the other columns of ``of``, which has one row a spelling (``keys``, null as null)."""
+    more = [c for c in of.columns if c not in keys]
+    out = feed.drop(*more).alias("f").join(broadcast_if_small(stage(of, "spellings")).alias("s"), same("f", "s", keys), "left")
+    return out.select("f.*", *(F.col(f"s.`{c}`") for c in more))
 
 
 def resolve_brands(feed: DataFrame, brands: DataFrame) -> DataFrame:
@@ -23,7 +35,7 @@ def resolve_brands(feed: DataFrame, brands: DataFrame) -> DataFrame:
     feed has brand; brands have brand_id, name and slug.  A feed brand matches by
     slug, then by trimmed name; null and empty brands make none.
     """
-    named = feed.select(rules.squeeze(F.col("brand")).alias("name")).filter("name <> ''").withColumn("slug", rules.slug(F.col("name")))
+    named = feed.select("brand").distinct().select(rules.squeeze(F.col("brand")).alias("name")).filter("name <> ''").withColumn("slug", rules.slug(F.col("name")))
     new = named.join(brands.select("slug"), "slug", "left_anti").join(brands.select(F.trim("name").alias("name")), "name", "left_anti")
     new = new.groupBy("slug").agg(F.min("name").alias("name")).select(key_id(F.col("slug")).alias("brand_id"), "name", "slug", F.lit(True).alias("is_new"))
     return brands.select("brand_id", "name", "slug", F.lit(False).alias("is_new")).unionByName(new)
@@ -31,8 +43,8 @@ def resolve_brands(feed: DataFrame, brands: DataFrame) -> DataFrame:
 
 def brand_of(feed: DataFrame, brands: DataFrame) -> DataFrame:
     """feed with brand_id, by slug."""
-    keyed = feed.withColumn("_slug", rules.slug(rules.squeeze(F.col("brand"))))
-    return keyed.join(brands.select("brand_id", F.col("slug").alias("_slug")), "_slug", "left").drop("_slug")
+    keyed = feed.select("brand").distinct().withColumn("_slug", rules.slug(rules.squeeze(F.col("brand"))))
+    return by_spelling(feed, keyed.join(brands.select("brand_id", F.col("slug").alias("_slug")), "_slug").drop("_slug"), ["brand"])
 
 
 def assign_category(feed: DataFrame, categories: DataFrame, default: str = "Smartphones", other: str = "others") -> DataFrame:
@@ -49,31 +61,34 @@ def category_lookup(feed: DataFrame, categories: DataFrame) -> DataFrame:
     keys = (F.col("slug"), F.col("name"), F.lower("slug"), F.lower("name"))
     on = categories.filter("is_active").select("category_id", F.explode(F.array(*(F.struct(k.alias("k"), F.lit(p).alias("p")) for p, k in enumerate(keys)))).alias("e"))
     best = on.groupBy(F.col("e.k").alias("_k")).agg(F.min_by("category_id", F.struct("e.p", "category_id")).alias("_id"))
+    best = broadcast_if_small(stage(best, "category-names"))
     exact, low = best.select(F.col("_k").alias("_a"), F.col("_id").alias("_ia")), best.select(F.col("_k").alias("_b"), F.col("_id").alias("_ib"))
     out = feed.join(exact, F.col("category") == F.col("_a"), "left").join(low, F.lower("category") == F.col("_b"), "left")
     return out.withColumn("category_id", F.coalesce("_ia", "_ib")).drop("_a", "_b", "_ia", "_ib")
 
 
-def dealt(key: str, row: str = "row_id") -> Column:
+def dealt(key: str, *row: str) -> Column:
     """A key id to join by from the left, for rows without one a value of their own that no
     id has: as null they would all meet in one task."""
-    return F.coalesce(F.col(key), F.concat(F.lit("-"), F.xxhash64(row).cast("string")))
+    return F.coalesce(F.col(key), F.concat(F.lit("-"), F.xxhash64(*row).cast("string")))
 
 
-def resolve_products(feed: DataFrame, mode: str = "name", row: str = "row_id") -> DataFrame:
+def resolve_products(feed: DataFrame, mode: str = "name") -> DataFrame:
     """Feed with product_key, equal for records of one product.
 
-    feed has row_id (unique), brand, model_name and model_number.  Within a brand,
-    mode "name" joins records by network-normalised model name; mode "components"
-    also by model number, and takes the connected components of both keys.
+    feed has brand, model_name and model_number.  Within a brand, mode "name" joins
+    records by network-normalised model name; mode "components" also by model number,
+    and takes the connected components of both keys.  Keys are made once a spelling.
     """
-    keyed = feed.withColumn("_brand", F.lower(rules.squeeze(F.col("brand")))).withColumn("_name", rules.network_key(F.col("model_name")))
     if mode == "name":
-        return keyed.withColumn("product_key", F.when(F.col("_name").isNotNull(), key_id(F.col("_brand"), F.col("_name")))).drop("_brand", "_name")
+        name = rules.network_key(F.col("model_name"))
+        key = F.when(name.isNotNull(), key_id(F.lower(rules.squeeze(F.col("brand"))), name))
+        return by_spelling(feed, feed.select("brand", "model_name").distinct().withColumn("product_key", key), ["brand", "model_name"])
     name, number = record_nodes()
-    parts = connected_components(keyed.select(name.alias("a"), number.alias("b")).filter("b is not null").distinct(), "products")
-    found = keyed.withColumn("_node", name).withColumn("_at", dealt("_node", row)).join(parts.select(F.col("node").alias("_at"), "component"), "_at", "left")
-    return found.withColumn("product_key", F.when(F.col("_name").isNotNull(), F.coalesce("component", "_node"))).drop("_brand", "_name", "_node", "_at", "component")
+    kinds = stage(feed.select(*SPELLING).distinct().withColumns({"_node": name, "_number": number}), "spelling-nodes")
+    parts = connected_components(kinds.select(F.col("_node").alias("a"), F.col("_number").alias("b")).filter("b is not null").distinct(), "products")
+    found = kinds.withColumn("_at", dealt("_node", *SPELLING)).join(parts.select(F.col("node").alias("_at"), "component"), "_at", "left")
+    return by_spelling(feed, found.select(*SPELLING, F.coalesce("component", "_node").alias("product_key")), SPELLING)
 
 
 def backfill_model_numbers(products: DataFrame, feed: DataFrame) -> DataFrame:
@@ -85,8 +100,10 @@ def backfill_model_numbers(products: DataFrame, feed: DataFrame) -> DataFrame:
 def variant_key(tablets: bool = False) -> Column:
     """Product, RAM (not for Apple), storage, normalised colour; for
     tablets also display size and connectivity."""
-    brand = F.lower(rules.squeeze(F.col("brand")))
-    apple = F.coalesce(brand.contains("apple") if tablets else brand == "apple", F.lit(False))
+    apple = F.lower("brand").contains("apple")  # spares most rows the next test
+    if not tablets:
+        apple = apple & (F.lower(rules.squeeze(F.col("brand"))) == "apple")
+    apple = F.coalesce(apple, F.lit(False))
     parts = [F.col("product_key"), F.when(~apple, F.col("ram")), F.col("storage"), rules.color_key(F.col("color"))]
     if tablets:
         parts += [F.col("display_size"), F.col("connectivity_type")]
@@ -96,9 +113,13 @@ def variant_key(tablets: bool = False) -> Column:
 def resolve_variants(feed: DataFrame, existing: DataFrame | None = None, tablets: bool = False) -> DataFrame:
     """One row per variant of the feed, its first record, with variant_id
     and is_new (not in existing, which has variant_id)."""
-    out = first_seen(feed.withColumn("variant_id", variant_key(tablets)), ["variant_id"], ["row_id"])
-    if tablets:
-        out = out.withColumn("ram", F.when(~F.coalesce(F.lower("brand").contains("apple"), F.lit(False)), F.col("ram")))
+    return first_variants(feed.withColumn("variant_id", variant_key(tablets)), existing, F.lit(tablets))
+
+
+def first_variants(keyed: DataFrame, existing: DataFrame | None, tablets: Column) -> DataFrame:
+    """Variants of records that have variant_id, of which some may be tablets."""
+    out = first_seen(keyed, ["variant_id"], ["row_id"])
+    out = out.withColumn("ram", F.when(~(tablets & F.coalesce(F.lower("brand").contains("apple"), F.lit(False))), F.col("ram")))
     if existing is None:
         return out.withColumn("is_new", F.lit(True))
     old = existing.select("variant_id", F.lit(False).alias("_old")).distinct()
@@ -115,15 +136,12 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], recency: st
     columns = current.columns
     w = W.partitionBy(*keys).orderBy(F.desc(recency), F.desc(F.xxhash64(*[c for c in columns if c not in keys])))
     latest = incoming.select(*columns).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    c, i = current.select(F.struct(*columns).alias("c")), latest.select(F.struct(*columns).alias("i"))
-    on = None
-    for k in keys:
-        test = F.col(f"c.{k}").eqNullSafe(F.col(f"i.{k}"))
-        on = test if on is None else on & test
-    both = c.join(i, on, "full_outer")
-    pick = lambda n: F.when(F.col("i").isNull(), F.col(f"c.{n}")).otherwise(F.coalesce(F.col(f"c.{n}"), F.col(f"i.{n}")) if n == created else F.col(f"i.{n}")).alias(n)
-    change = F.when(F.col("i").isNull(), "kept").when(F.col("c").isNull(), "new").otherwise("updated").alias("change")
-    moved = F.coalesce(F.col("c.price") != F.col("i.price"), F.lit(False)).alias("price_changed")
+    side = lambda df, tag: df.select(*(F.col(n).alias(f"_{tag}_{n}") for n in columns), F.lit(True).alias(f"_{tag}"))
+    on = reduce(lambda x, y: x & y, (F.col(f"_c_{k}").eqNullSafe(F.col(f"_i_{k}")) for k in keys))
+    both = side(current, "c").join(side(latest, "i"), on, "full_outer")
+    pick = lambda n: F.when(F.col("_i").isNull(), F.col(f"_c_{n}")).otherwise(F.coalesce(F.col(f"_c_{n}"), F.col(f"_i_{n}")) if n == created else F.col(f"_i_{n}")).alias(n)
+    change = F.when(F.col("_i").isNull(), "kept").when(F.col("_c").isNull(), "new").otherwise("updated").alias("change")
+    moved = F.coalesce(F.col("_c_price") != F.col("_i_price"), F.lit(False)).alias("price_changed")
     return both.select(*(pick(n) for n in columns), change, moved)
 
 
@@ -183,13 +201,19 @@ def reconcile_identifiers(df: DataFrame) -> DataFrame:
     return df.withColumn("_settled", out).withColumns({c: F.col(f"_settled.{c}") for c in ("brand", "model_name", "model_number", "needs_manual_review")}).drop("_settled")
 
 
-def split_rejects(df: DataFrame, target_category: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected rows with reject_reason)."""
-    reason = F.when(F.coalesce(rules.squeeze(F.col("title")), F.lit("")) == "", "empty title")
+def mark_rejects(df: DataFrame, target_category: str | None = None) -> DataFrame:
+    """df with reject_reason, null for good rows."""
+    blank = lambda c: ~F.coalesce(F.col(c).rlike(r"(?U)\S"), F.lit(False))
+    reason = F.when(blank("title"), "empty title")
     if target_category is not None:
         reason = reason.when(~F.col("category").eqNullSafe(F.lit(target_category)), "other category")
-    reason = reason.when(F.coalesce(rules.squeeze(F.col("brand")), F.lit("")) == "", "no brand").when(F.col("model_name").isNull(), "not resolved")
-    marked = df.withColumn("reject_reason", reason)
+    reason = reason.when(blank("brand"), "no brand").when(F.col("model_name").isNull(), "not resolved")
+    return df.withColumn("reject_reason", reason)
+
+
+def split_rejects(df: DataFrame, target_category: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows with reject_reason)."""
+    marked = mark_rejects(df, target_category)
     return marked.filter("reject_reason is null").drop("reject_reason"), marked.filter("reject_reason is not null")
 
 
@@ -224,20 +248,33 @@ def empty_catalog(spark) -> dict[str, DataFrame]:
     return {"brands": make("brand_id string, name string, slug string"), "categories": make("category_id string, name string"), "products": make("product_key string, brand string, model_name string, model_number string"), "variants": make("variant_id string"), "listings": make("url string, variant_id string, store_name string, title string, price double, scraped_at timestamp, created_at timestamp")}
 
 
-def match_labels(records: DataFrame, old: DataFrame) -> DataFrame:
-    """records (with product_key) and product_match: model_number or model_name if
-    an earlier record or an old product has it, existing or linked if the product
-    is old or was found by a later record's keys, else new_product."""
+def earlier_records(kinds: DataFrame, old: DataFrame) -> DataFrame:
+    """kinds (spellings with product_key and row_id, that of their first record) and for
+    their model number, name and product, as number, name and product: the first record
+    that has it (_row) and whether an old product has it (_old)."""
     brand = F.lower(rules.squeeze(F.col("brand")))
     named = lambda df: df.withColumns({"_name": key_id(brand, rules.network_key(F.col("model_name"))), "_number": F.when(F.nullif(rules.squeeze(F.col("model_number")), F.lit("")).isNotNull(), key_id(brand, F.upper(rules.squeeze(F.col("model_number")))))})
-    out = named(records)
-    every = out.select("product_key", "_name", "_number", "row_id", F.lit(False).alias("_old")).unionByName(named(old).select("product_key", "_name", "_number", F.lit(None).cast(records.schema["row_id"].dataType).alias("row_id"), F.lit(True).alias("_old")))
+    out = stage(named(kinds), "kinds-named")
+    every = out.select("product_key", "_name", "_number", "row_id", F.lit(False).alias("_old")).unionByName(named(old).select("product_key", "_name", "_number", F.lit(None).cast(kinds.schema["row_id"].dataType).alias("row_id"), F.lit(True).alias("_old")))
     for k, tag in (("_number", "number"), ("_name", "name"), ("product_key", "product")):
         seen = every.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias("_at")).agg(F.min("row_id").alias(f"_{tag}_row"), F.max("_old").alias(f"_{tag}_old"))
-        out = out.withColumn("_at", dealt(k)).join(seen, "_at", "left").drop("_at")
+        out = out.withColumn("_at", dealt(k, "row_id")).join(seen, "_at", "left").drop("_at")
+    return out.drop("row_id", "_name", "_number")
+
+
+def product_match() -> Column:
+    """The match label of a record with the columns of its spelling in ``earlier_records``."""
     earlier = lambda tag: F.coalesce(F.col(f"_{tag}_old") | (F.col(f"_{tag}_row") < F.col("row_id")), F.lit(False))
-    match = F.when(earlier("number"), "model_number").when(earlier("name"), "model_name").when(F.col("_product_old"), "existing").when(earlier("product"), "linked").otherwise("new_product")
-    return out.withColumn("product_match", match).select(*records.columns, "product_match")
+    return F.when(earlier("number"), "model_number").when(earlier("name"), "model_name").when(F.col("_product_old"), "existing").when(earlier("product"), "linked").otherwise("new_product")
+
+
+def match_labels(records: DataFrame, old: DataFrame) -> DataFrame:
+    """records (with product_key) and product_match: model_number or model_name if
+    an earlier record or an old product has it, existing or linked if the product
+    is old or was found by a later record's keys, else new_product."""
+    keys = [*SPELLING, "product_key"]
+    of = earlier_records(records.groupBy(*keys).agg(F.min("row_id").alias("row_id")), old)
+    return by_spelling(records, of, keys).withColumn("product_match", product_match()).select(*records.columns, "product_match")
 
 
 def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: str = "components", identities: ProductIdentities | None = None, batch: str = "") -> Catalog:
@@ -253,27 +290,33 @@ def ingest(feed: DataFrame, catalog: dict[str, DataFrame] | None = None, mode: s
     """
     spark = feed.sparkSession
     catalog = empty_catalog(spark) | (catalog or {})
-    good, rejects = split_rejects(feed)
+    marked = stage(mark_rejects(feed), "feed")
+    good, rejects = marked.filter("reject_reason is null").drop("reject_reason"), marked.filter("reject_reason is not null")
     brands = stage(resolve_brands(good, catalog["brands"]), "brands")
     good = brand_of(good, brands)
-    categories = catalog["categories"]
+    categories = broadcast_if_small(stage(catalog["categories"], "categories"))
     known = F.coalesce("category", F.lit("Smartphones"))
     named = assign_category(good, categories).join(categories.select(F.col("name").alias("_known")).distinct(), known == F.col("_known"), "left")
     good = named.withColumn("category_match", F.when(F.col("_known").isNotNull(), F.when(F.col("category").isNull(), "default").otherwise("name")).when(F.col("category_id").isNotNull(), "other").otherwise("none")).drop("_known")
+    tablets = F.coalesce(F.col("category") == "Tablets", F.lit(False))
+    variant = F.when(tablets, variant_key(True)).otherwise(variant_key(False))
     if identities is None:
-        before = catalog["products"].select("brand", "model_name", "model_number", F.lit(True).alias("_old"))
-        resolved = stage(resolve_products(good.withColumn("_old", F.lit(False)).unionByName(before, allowMissingColumns=True), mode), "resolved")
-        keyed, old, redirects = resolved.filter("not _old").drop("_old"), resolved.filter("_old").drop("_old"), None
+        kinds = good.groupBy(*SPELLING).agg(F.min("row_id").alias("row_id")).withColumn("_old", F.lit(False))
+        before = catalog["products"].select(*SPELLING, F.lit(True).alias("_old"))
+        resolved = stage(resolve_products(stage(kinds.unionByName(before, allowMissingColumns=True), "kinds"), mode), "resolved")
+        kinds, old, redirects = resolved.filter("not _old").drop("_old"), resolved.filter("_old").drop("_old", "row_id"), None
+        keyed = by_spelling(good, earlier_records(kinds, old), SPELLING).withColumn("product_match", product_match())
+        labels = stage(keyed.select(*good.columns, "product_key", "product_match", variant.alias("variant_id")), "labels")
     else:
         keyed = stage(identities.assign(batch, good), "resolved")
         redirects = identities.redirects()
-        old = redirected(catalog["products"].select("product_key", "brand", "model_name", "model_number"), redirects)
+        old = redirected(catalog["products"].select("product_key", *SPELLING), redirects)
+        labels = stage(match_labels(keyed, old).withColumn("variant_id", variant), "labels")
+    keyed = labels.drop("product_match", "variant_id")
     products = keyed.groupBy("product_key").agg(*(F.min_by(c, "row_id").alias(c) for c in ("brand", "brand_id", "model_name", "category", "category_id")), F.lit(None).cast("string").alias("model_number"), F.count("*").alias("records"))
     products = backfill_model_numbers(products, keyed).withColumn("slug", F.concat_ws("-", rules.slug(F.col("brand")), rules.product_slug(F.col("model_name"))))
     products = products.join(old.select("product_key", F.lit(False).alias("_new")).distinct(), "product_key", "left").withColumn("is_new", F.coalesce("_new", F.lit(True))).drop("_new")
-    tablets = F.coalesce(F.col("category") == "Tablets", F.lit(False))
-    labels = stage(match_labels(keyed, old).withColumn("variant_id", F.when(tablets, variant_key(True)).otherwise(variant_key(False))), "labels")
-    variants = resolve_variants(keyed.filter(~tablets), catalog["variants"]).unionByName(resolve_variants(keyed.filter(tablets), catalog["variants"], tablets=True))
+    variants = first_variants(labels.drop("product_match"), catalog["variants"], tablets)
     incoming = labels.filter("url is not null").select("url", "variant_id", "store_name", "title", F.col("price").cast("double").alias("price"), "scraped_at", F.col("scraped_at").alias("created_at"))
     return Catalog(brands, categories, products, variants, upsert_listings(catalog["listings"], incoming), rejects, labels, redirects)
 
@@ -282,10 +325,11 @@ def ingest_offers(feed: DataFrame, products: DataFrame, current: DataFrame, cate
     """Parsed records to (offers after upsert, products with price statistics
     and active offers, brands).  Records without a brand or a known active
     category (category_id, name, slug, is_active) are left out."""
+    feed = stage(feed, "offer-feed")
     brands = stage(resolve_brands(feed, brands), "offer-brands")
     keyed = resolve_products(category_lookup(brand_of(feed, brands), categories).filter("brand_id is not null and category_id is not null"), "name")
     keyed = keyed.withColumn("variant_id", variant_key()).withColumn("url", rules.url_or_placeholder(F.col("url"), F.col("store_name"), F.col("store_product_id")))
-    keyed = stage(keyed, "offer-records")
+    keyed = stage(keyed.select(*current.columns, "product_key"), "offer-records")
     after = stage(upsert_offers(current, keyed.select(*current.columns)), "offers-after")
     of = keyed.select("variant_id", "product_key").distinct().join(after, "variant_id")
     stats = of.filter("price is not null").groupBy("product_key").agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"), (F.sum(F.col("price").cast("decimal(18,4)")).cast("double") / F.count("price")).alias("avg_price"), F.count("*").alias("offers"))
