@@ -64,7 +64,7 @@ def ingest_offers(spark, d):
     feed = offers(spark, d).join(p, "product_id").select(F.col("offer_id").alias("row_id"), "store_name", "brand", "model_name", F.lit(None).cast("string").alias("model_number"), "category", F.lit(None).cast("string").alias("color"), F.lit(None).cast("int").alias("ram"), F.lit(None).cast("int").alias("storage"), F.lit(None).cast("double").alias("display_size"), F.lit(None).cast("string").alias("connectivity_type"), F.col("price").cast("double").alias("price"), F.col("last_seen").cast("timestamp").alias("last_seen"), "is_active", F.lit("x").alias("store_product_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"))
     known = p.select("category").distinct().select(F.lower("category").alias("category_id"), F.col("category").alias("name"), F.lower("category").alias("slug"), F.lit(True).alias("is_active"))
     current = spark.createDataFrame([], "variant_id string, store_name string, store_product_id string, price double, last_seen timestamp, is_active boolean")
-    base = R.resolve_products(feed).select("product_key", "brand", "model_name").dropDuplicates(["product_key"])
+    base = R.resolve_products(feed.select("brand", "model_name").distinct()).select("product_key", "brand", "model_name").dropDuplicates(["product_key"])
     after, counted, brands = R.ingest_offers(feed, base, current, known, R.empty_catalog(spark)["brands"])
     return after.agg(F.count("*").alias("offers")).withColumns({"products": counted.agg(F.count("*")).scalar(), "brands": brands.agg(F.count("*")).scalar()})
 

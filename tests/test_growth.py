@@ -28,3 +28,12 @@ def test_ingest_makes_the_feed_once(spark):
     got = {(x.entity, x.state): x.n for x in R.ingestion_report(R.ingest(feed)).collect()}
     assert got["listing", "new"] == 300 and got["product", "created"] == 5 and got["product_match", "model_name"] == 295
     assert made.value == 300
+
+
+def test_ingest_offers_makes_the_feed_once(spark):
+    feed, made = counted_feed(spark, 300)
+    base = spark.createDataFrame([], "product_key string, brand string, model_name string")
+    current = spark.createDataFrame([], "variant_id string, store_name string, store_product_id string, price double, last_seen timestamp, is_active boolean")
+    known = spark.createDataFrame([("p", "Phones", "phones", True)], "category_id string, name string, slug string, is_active boolean")
+    after, _, brands = R.ingest_offers(feed, base, current, known, R.empty_catalog(spark)["brands"])
+    assert (after.count(), brands.count(), made.value) == (5, 1, 300)
