@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyshelf.functions import rules
 from tallyshelf.functions.rules import discount_2, network_key
 from tallyshelf.operators.hierarchy import breadcrumbs, closure as category_closure  # noqa: F401
-from tallyshelf.operators.slices import with_lookback
+from tallyshelf.operators.slices import tasks, with_lookback
 from tallyshelf.operators.trigrams import trigrams
 from tallyshelf.scratch import stage
 
@@ -61,11 +61,11 @@ def price_comparison(offers: DataFrame) -> DataFrame:
     return offers.filter("is_active and price is not null").withColumns({"rank": F.rank().over(w.orderBy("price")), "gap": F.col("price") - F.min("price").over(w)})
 
 
-def _changes(seen: DataFrame, keys: list[str], when: str, tie: str) -> DataFrame:
+def _changes(seen: DataFrame, keys: list[str], when: str, tie: str, slices: int | None = None) -> DataFrame:
     """Observations with _slice whose price differs from old_price, the one before."""
     order = [when, tie, "price"]
     w = W.partitionBy("_slice", *keys).orderBy(*order)
-    rows = with_lookback(seen, keys, order, 1).withColumn("old_price", F.lag("price").over(w))
+    rows = with_lookback(seen, keys, order, 1, slices).withColumn("old_price", F.lag("price").over(w))
     return rows.filter(~F.col("_ghost") & (F.col("old_price") != F.col("price"))).drop("_ghost")
 
 
@@ -76,11 +76,11 @@ def price_changes(seen: DataFrame, keys: list[str], when: str, tie: str = "offer
 
 def price_history(seen: DataFrame, keys: list[str], when: str, tie: str = "offer_id", max_points: int = 30) -> DataFrame:
     """The prices before each change, the last max_points, oldest first.  The last
-    of each slice of a key meet the key's others."""
+    of each slice of a key meet the key's others, in as many tasks as their rows ask for."""
     order = F.desc(when), F.desc(tie), F.desc("price")
-    last = _changes(seen, keys, when, tie)
-    for group in (["_slice", *keys], keys):
-        last = last.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("nth") <= max_points)
+    nth = lambda df, *group: df.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy(*order))).filter(F.col("nth") <= max_points)
+    n = tasks(seen)
+    last = nth(nth(_changes(seen, keys, when, tie, n), "_slice", *keys).select(*keys, when, tie, "price", "old_price").repartition(n, *keys), *keys)
     points = F.sort_array(F.collect_list(F.struct((-F.col("nth")).alias("place"), F.col("old_price").alias("price"), F.col(when).alias("date"))))
     return last.groupBy(*keys).agg(points.alias("points")).withColumn("points", F.transform("points", lambda p: F.struct(p.price.alias("price"), p.date.alias("date"))))
 

@@ -23,10 +23,20 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys))
 
 
+#: Fixed value: rows that a slice takes, however many there are.
+SLICE_ROWS = 1_000_000
+
+
+def tasks(df: DataFrame) -> int:
+    """As many tasks as shuffles have, or more if the rows of ``df`` ask for them: what a
+    task sorts doesn't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+
+
 def sliced(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
     """``df`` as a staged table with _slice: ranges of (keys, order), nulls first.  Rows
     that are equal in all of them are in one slice."""
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or tasks(df)
     return stage(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
@@ -41,6 +51,7 @@ def with_lookback(df: DataFrame, keys: list[str], order: list[str], rows: int, s
     """``df`` with _slice and _ghost: in each slice of a key also, as ghosts, the last
     ``rows`` rows that come before it.  A window over (_slice, keys) in ``order`` that
     looks back so far is right for all rows but the ghosts."""
+    slices = slices or tasks(df)
     own = sliced(df, keys, order, slices)
     several = spanning(own, keys)
     back = [F.desc_nulls_last(c) for c in order]
@@ -50,17 +61,19 @@ def with_lookback(df: DataFrame, keys: list[str], order: list[str], rows: int, s
     near = (F.col("b._slice") > F.col("a._slice")) & (F.col("b._slice") <= F.col("a._slice") + rows)
     ghosts = tails.alias("a").join(several.alias("b"), near & same("a", "b", keys)).select(*(F.col(f"a.`{c}`") for c in df.columns), F.col("a._slice").alias("_from"), F.col("b._slice").alias("_slice"))
     ghosts = ghosts.withColumn("_n", F.row_number().over(W.partitionBy("_slice", *keys).orderBy(F.desc("_from"), *back))).filter(F.col("_n") <= rows).drop("_n", "_from")
-    return own.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
+    both = own.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
+    return both.repartition(slices, "_slice", *keys)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, into: str, slices: int | None = None) -> DataFrame:
     """``df`` with ``into``: the sum of ``value`` over the key's rows up to and with those of
     the row's own ``order``."""
+    slices = slices or tasks(df)
     own = sliced(df, keys, [order], slices)
     sums = own.groupBy("_slice", *keys).agg(F.sum(value).alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
     carried = stage(sums.withColumn("_before", before).filter("_before is not null").drop("_sum"), "slices-carried")
     w = W.partitionBy("_slice", *keys).orderBy(order).rangeBetween(W.unboundedPreceding, 0)
-    out = own.withColumn(into, F.sum(value).over(w)).alias("a")
+    out = own.repartition(slices, "_slice", *keys).withColumn(into, F.sum(value).over(w)).alias("a")
     out = out.join(broadcast_if_small(carried).alias("b"), (F.col("a._slice") == F.col("b._slice")) & same("a", "b", keys), "left")
     return out.select(*(F.col(f"a.`{c}`") for c in df.columns), (F.col(f"a.`{into}`") + F.coalesce("_before", F.lit(0))).alias(into))

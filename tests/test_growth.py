@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyshelf.operators import resolve as R
+from tallyshelf.operators import slices as S
 
 RECORD = "row_id long, store_name string, store_product_id string, url string, title string, brand string, model_name string, model_number string, category string, color string, ram int, storage int, display_size double, connectivity_type string, price double, scraped_at timestamp, last_seen timestamp, is_active boolean"
 
@@ -37,3 +38,11 @@ def test_ingest_offers_makes_the_feed_once(spark):
     known = spark.createDataFrame([("p", "Phones", "phones", True)], "category_id string, name string, slug string, is_active boolean")
     after, _, brands = R.ingest_offers(feed, base, current, known, R.empty_catalog(spark)["brands"])
     assert (after.count(), brands.count(), made.value) == (5, 1, 300)
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_ROWS", 100, raising=False)
+    df = spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"))
+    rows = S.with_lookback(df, ["k"], ["t"], 1)
+    assert rows.filter("not _ghost").select("_slice").distinct().count() >= 20
+    assert rows.rdd.getNumPartitions() >= 20 and rows.filter("not _ghost").count() == 2000
