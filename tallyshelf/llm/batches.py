@@ -6,7 +6,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Rows of a slice.
 ROWS = 256
@@ -30,6 +32,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _trim()
 
 
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """As ``slices``, but of at most ``most`` bytes of a text column, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def unused(taken: list[str], *names: str) -> list[str]:
     """``names``, each with as many underscores in front as set it apart from the
     columns ``taken`` (Spark's names ignore case)."""

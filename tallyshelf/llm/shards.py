@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyshelf.llm.batches import slices
-from tallyshelf.llm.tokens import END, default_path, encoder
+from tallyshelf.llm.batches import byte_slices
+from tallyshelf.llm.tokens import COLUMN_BYTES, END, default_path, encoder
 from tallyshelf.scratch import broadcast_if_small, scratch_dir, stage
 
 STRIDE, PER_SHARD, KEY = 1024, 512, 0x5EED
@@ -90,38 +90,23 @@ def slot_of(number: Column, n: int, key: int = KEY) -> Column:
 
 def _sequences(path: str | None, stride: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        task, nth = TaskContext.get().partitionId(), 0
-        end = np.array([END], np.uint32).tobytes()
-        for batch in slices(batches):
-            rows, data, sizes, size = [], [], [], 0
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = encode(text.as_py()) + end
-                data.append(ids)
-                n = len(ids) // 4
-                for piece, at in enumerate(range(0, n, stride)):
-                    sizes.append(min(stride, n - at))
-                    rows.append((doc, piece, sizes[-1], task, nth))
-                    nth += 1
-                size += n
-                if size > 1 << 22:  # a few very long texts
-                    yield _batch(rows, data, sizes, width)
-                    rows, data, sizes, size = [], [], [], 0
-            yield _batch(rows, data, sizes, width)
+        encode, task, nth = encoder(path).encode_all, TaskContext.get().partitionId(), 0
+        for batch in byte_slices(batches, "text", COLUMN_BYTES):
+            ids, n = encode(batch.column("text"))
+            ids, n = np.insert(ids.astype(f"<u{width}"), np.cumsum(n), END), n + 1
+            pieces = -(-n // stride)
+            row, first = np.repeat(np.arange(len(n)), pieces), np.cumsum(pieces) - pieces
+            piece = np.arange(len(row)) - first[row]
+            sizes = np.minimum(stride, n[row] - piece * stride)
+            cuts = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])  # slices of one buffer
+            numbers = [pa.array(x, k) for x, k in ((piece, pa.int32()), (sizes, pa.int32()), (np.full(len(row), task), pa.int32()), (nth + np.arange(len(row)), pa.int64()))]
+            nth += len(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *numbers, packed], names=["doc_id", "piece", "n_tokens", "task", "nth", "ids"])
 
     return run
 
 
-def _batch(rows: list[tuple], data: list[bytes], sizes: list[int], width: int) -> pa.RecordBatch:
-    """Rows with their ids as slices of one buffer."""
-    ids = np.frombuffer(b"".join(data), "<u4").astype(f"<u{width}")
-    cuts = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(np.array(sizes, np.int64) * width, out=cuts[1:])
-    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-    packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
-    return pa.RecordBatch.from_arrays([*columns, packed], names=["doc_id", "piece", "n_tokens", "task", "nth", "ids"])
-
-
 class Shards:
     """Shards that were written to ``path``."""
 

@@ -7,6 +7,9 @@ pre-tokens never cross such a place, so the pieces' ids joined are the text's
 ids.  Texts with two white-space characters in a row (where this doesn't hold)
 are encoded whole, and texts that hold one of the file's special tokens go
 through ``tokenizers`` itself.
+
+``encode_all`` does this for a column of texts: Arrow cuts them and finds the
+distinct pieces, these are encoded in one call, and NumPy deals out their ids.
 """
 
 from __future__ import annotations
@@ -15,10 +18,21 @@ import json
 from array import array
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: End-of-document id that the corpus operators append.
 END = 2
 #: Pieces kept per worker process before the cache is emptied.
 CACHE_PIECES = 100_000
+#: Bytes of texts that ``encode_all`` is best given at once: few repeats are encoded
+#: again, and a worker holds about ten times as much.
+COLUMN_BYTES = 1 << 23
+#: Longer texts are encoded one by one (Arrow's offsets end at 2 GB).
+_LONG = 1 << 28
+#: White space but for space and line feed, as Python's ``isspace``.
+_SPACE = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -78,6 +92,9 @@ class Encoder:
         hidden = [b for b in range(256) if b not in visible]
         byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int32)
+        for token, i in ranks.items():
+            self.token_bytes[i] = len(token)
         self.fast = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = _Pieces(self.fast.encode_ordinary, " ")
 
@@ -103,3 +120,48 @@ class Encoder:
             return head + b"".join(map(get, rest))
         except _Uneven:
             return array("I", self.fast.encode_ordinary(text)).tobytes()
+
+    def _whole(self, text: str) -> np.ndarray:
+        """The ids of a text that isn't cut."""
+        special = any(s in text for s in self.special)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids if special else self.fast.encode_ordinary(text), np.uint32)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has (null: 0)."""
+        texts = pc.fill_null(texts, "")
+        if texts.nbytes > _LONG or not len(texts):
+            each = [np.frombuffer(self.encode(t.as_py()), np.uint32) for t in texts]
+            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+        texts = texts.cast(pa.string())
+        whole = pc.match_substring_regex(texts, rf"\A[\n{_SPACE}]")
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        first, heads = cut.offsets.to_numpy()[:-1], pc.list_element(cut, 0)
+        cut = pc.list_flatten(cut).dictionary_encode()
+        pieces, piece = cut.dictionary, cut.indices.to_numpy()
+        uneven = pc.match_substring_regex(pieces, rf"\A\n?(?:[{_SPACE}]|\z)")
+        pieces = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(" ", pieces, ""))
+        pieces = pc.if_else(uneven, "", pieces)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), "")[0].as_py()
+        pool = [np.array(self.fast.encode_ordinary(joined), np.uint32)]
+        # the ids that end in a piece's bytes are the piece's
+        token_ends, ends = (np.cumsum(x, dtype=np.int64) for x in (self.token_bytes[pool[0]], pc.binary_length(pieces).to_numpy()))
+        stops = np.searchsorted(token_ends, ends, side="right").astype(np.int32)
+        counts = np.diff(stops, prepend=np.int32(0))
+        starts, n = (stops - counts)[piece], counts[piece]
+        # texts that aren't cut, and first pieces, which no space precedes, have ids of their own
+        bad = uneven.to_numpy(zero_copy_only=False)[piece]
+        bad[first] = False
+        whole = whole.to_numpy(zero_copy_only=False) | np.logical_or.reduceat(bad, first)
+        n[np.repeat(whole, np.diff(first, append=len(piece)))] = 0
+        at = len(pool[0])
+        for k, (place, alone, head) in enumerate(zip(first.tolist(), whole.tolist(), heads.to_pylist(), strict=True)):
+            own = self._whole(texts[k].as_py()) if alone else np.array(self.fast.encode_ordinary(head), np.uint32)
+            pool.append(own)
+            starts[place], n[place] = at, len(own)
+            at += len(own)
+        starts -= np.cumsum(n, dtype=np.int32) - n
+        take = np.repeat(starts, n)
+        take += np.arange(len(take), dtype=np.int32)
+        return np.concatenate(pool)[take], np.add.reduceat(n, first, dtype=np.int64)

@@ -35,6 +35,21 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(e.encode(text), np.uint32).tolist() == e.exact.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_column_are_the_tokenizers():
+    import pyarrow as pa
+
+    e, r = tokens.encoder(), random.Random(3)
+    odd = [" ", "\n", "\t", "a", "b", "'s", "é", "1", "-", "\xa0", "\x1c", "\x85", "\u2009", "\u3000", "\r", "日", "😀", "<|endoftext|>"]
+    texts = [None, "", "a\t b", "a\t\nb", *("".join(r.choices(odd, k=r.randint(0, 12))) for _ in range(3000))]
+    texts += ["".join(r.choice(" \n") + r.choice(["a", "b'", "'s", "é1", "x\t", "日本", "it's"]) for _ in range(9))[k % 2 :] for k in range(1000)]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()).slice(1, 50), pa.array([None], pa.string()), pa.array([], pa.string())):
+        ids, n = e.encode_all(column)
+        ends = np.cumsum(n)
+        assert len(ids) == n.sum()
+        for text, start, end in zip(column.to_pylist(), ends - n, ends, strict=True):
+            assert ids[start:end].tolist() == e.exact.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_configurations_use_each_length_exactly():
     r = np.random.default_rng(5)
     for n in (1, 7, 400):
@@ -546,6 +561,37 @@ def test_shards_round_trip(spark, tmp_path):
     assert shards.write_shards(docs(spark), str(tmp_path / "e")).manifest().count() == 0
 
 
+def test_sequences_encode_a_word_once_a_column(monkeypatch):
+    """Words beyond the cache were merged again each time they came, one call each."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Counting:
+        calls = given = 0
+
+        def __init__(self, fast):
+            self.encode = fast.encode_ordinary
+
+        def encode_ordinary(self, text):
+            self.calls, self.given = self.calls + 1, self.given + len(text)
+            return self.encode(text)
+
+    e = tokens.Encoder(tokens.default_path())
+    e.fast = Counting(e.fast)
+    e.pieces.encode = e.fast.encode_ordinary
+    monkeypatch.setitem(tokens._ENCODERS, tokens.default_path(), e)
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 7})())
+    text = " ".join(f"w{k}" for k in range(tokens.CACHE_PIECES + 1000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, None, 5], "text": [text, None, text]})
+    out = pa.Table.from_batches(shards._sequences(None, 1024, 2)([batch])).to_pandas()
+    assert e.fast.calls <= 10 and e.fast.given <= 2 * len(text)
+    ids = [*e.exact.encode(text, add_special_tokens=False).ids, 2]
+    assert b"".join(out.ids) == np.array([*ids, 2, *ids], "<u2").tobytes()
+    assert out.n_tokens.tolist() == [len(x) // 2 for x in out.ids] and out.nth.tolist() == list(range(len(out))) and set(out.task) == {7}
+    k = ceil(len(ids) / 1024)
+    assert out.piece.tolist() == [*range(k), 0, *range(k)] and out.doc_id.isna().sum() == 1 and out.doc_id[0] == 3 and out.doc_id[k + 1] == 5
+
+
 def test_wide_ids_take_four_bytes(tmp_path):
     import json
 
