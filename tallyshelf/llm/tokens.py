@@ -27,7 +27,7 @@ END = 2
 #: Pieces kept per worker process before the cache is emptied.
 CACHE_PIECES = 100_000
 #: Bytes of texts that ``encode_all`` is best given at once: few repeats are encoded
-#: again, and a worker holds about ten times as much.
+#: again, and a worker holds some five times as much.
 COLUMN_BYTES = 1 << 23
 #: Longer texts are encoded one by one (Arrow's offsets end at 2 GB).
 _LONG = 1 << 28
