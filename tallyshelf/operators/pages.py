@@ -108,8 +108,9 @@ def extract_images_breadcrumb_tags(pages: DataFrame) -> DataFrame:
     """Image addresses (main first), breadcrumb names and list items as tags."""
     images = F.array_distinct(F.regexp_extract_all("html", F.lit(r"""(?i)<img\b[^>]*?\bsrc=["']([^"']+)"""), 1))
     nav = F.regexp_extract("html", r"(?is)<(?:nav|ul|ol)\b[^>]*breadcrumb[^>]*>(.*?)</(?:nav|ul|ol)>", 1)
-    names = F.filter(F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), plain), lambda x: x != "")
-    tags = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*highlight[^>]*>(.*?)</li>"), 1), plain), lambda x: x != "")
+    text = lambda x: plain(x)  # noqa: E731  (Spark passes a column for each parameter of a function, also for those with defaults)
+    names = F.filter(F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), text), lambda x: x != "")
+    tags = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*highlight[^>]*>(.*?)</li>"), 1), text), lambda x: x != "")
     return pages.select("page_id", "url", F.get(images, 0).alias("main_image"), images.alias("images"), names.alias("breadcrumb"), tags.alias("tags"))
 
 
